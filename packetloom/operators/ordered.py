@@ -31,6 +31,12 @@ def time_bucket(ts: str | Column, seconds: float) -> Column:
     return F.floor(epoch_micros(ts) / F.lit(int(seconds * 1_000_000)))
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate to every row, as a scalar subquery."""
+    row = right.select(F.struct(*right.columns).alias("row")).scalar()
+    return left.withColumn("__row", row).select(*left.columns, "__row.*")
+
+
 def running_totals(
     rows: DataFrame,
     keys: Sequence[str],
