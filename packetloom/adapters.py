@@ -121,7 +121,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 10 < 7, "train").when(F.col("event_id") % 10 == 7, "validation")
          .otherwise("test").alias("split"),
         F.when(k % 5 == 0, 1).otherwise(0).alias("label"),
-        F.round((F.col("value") * 13 + (k % 5 == 0).cast("int") * 997 + k) % 1000 / 1000, 3).alias("score"),
+        ((F.round(F.col("value") * 100).cast("long") * 13 + F.when(k % 5 == 0, F.col("event_id") % 2 * 333).otherwise(0) + k)
+         % F.when(k % 5 == 0, 1000).otherwise(800) / 1000).alias("score"),
     )
 
 
@@ -130,5 +131,6 @@ scores AS (
   SELECT event_id, 'site-' || (user_id % 4) AS source_file, ts AS window_start,
     CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 = 7 THEN 'validation' ELSE 'test' END AS split,
     CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS label,
-    round((value * 13 + CAST(k % 5 = 0 AS INT) * 997 + k) % 1000 / 1000, 3) AS score
+    (CAST(round(value * 100) AS BIGINT) * 13 + CASE WHEN k % 5 = 0 THEN event_id % 2 * 333 ELSE 0 END + k)
+      % CASE WHEN k % 5 = 0 THEN 1000 ELSE 800 END / 1000 AS score
   FROM (SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) AS k FROM events))"""
