@@ -97,7 +97,7 @@ def peer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host -> host edges over a shared node space, for path and centrality operators."""
     events = table(spark, sf_dir, "events")
     return (
-        events.filter((F.col("event_type") == "error") & (F.col("value") > ATTACK_VALUE))
+        events.filter((F.col("event_type") == "error") & (F.col("value") > 90))
         .select((F.col("user_id") % 60).alias("src"), ((F.col("user_id") * 7 + event_number()) % 60).alias("dst"))
         .groupBy("src", "dst").agg(F.count("*").alias("weight"))
     )
@@ -107,7 +107,7 @@ PEER_EDGES_SQL = """
 peer_edges AS (
   SELECT user_id % 60 AS src, (user_id * 7 + CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)) % 60 AS dst,
     count(*) AS weight
-  FROM events WHERE event_type = 'error' AND value > 150 GROUP BY 1, 2)"""
+  FROM events WHERE event_type = 'error' AND value > 90 GROUP BY 1, 2)"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
