@@ -12,8 +12,8 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    """F2."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """F2. NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def normalize_score(value: Column, minimum: float, maximum: float) -> Column:
@@ -57,7 +57,7 @@ def top_two_margin(values: Column) -> Column:
 
 def log_clip(value: Column) -> Column:
     """F6. log1p of the value clipped at zero."""
-    return F.log1p(F.greatest(value, F.lit(0.0)))
+    return F.log1p(F.when(value < 0, 0.0).otherwise(value))
 
 
 def pct_change(value: Column, previous: Column) -> Column:
