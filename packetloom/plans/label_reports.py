@@ -141,7 +141,7 @@ def infiltration(s, d):
 
 REPORTS.add("infiltration_score", lambda s, d: infiltration(s, d).select("event_id", "network", "probability"),
             with_tables(NETWORK_SQL, select="SELECT event_id, network, probability FROM scored"),
-            doubles=["network", "probability"])
+            doubles=["network", "probability"], digits=9)
 REPORTS.add(
     "risk_level",
     lambda s, d: infiltration(s, d).select("event_id", rk.risk_level(F.col("probability")).alias("level"), F.size(
