@@ -15,6 +15,7 @@ from packetloom.functions.labels import coarse_stage, is_attack, map_label_set
 from packetloom.functions.numeric import finite_double
 from packetloom.operators.ordered import epoch_micros, grouped_percentiles, owned_rows, with_halo
 from packetloom.operators.windows import window_start
+from packetloom.session import cut_lineage
 
 HISTORY, HORIZON = 6, 6
 SPLIT_TENTHS = (70, 85)  # percent of windows before validation and before test
@@ -130,9 +131,11 @@ def mean_std_max_min_states(rows: DataFrame, columns: Sequence[str], window_seco
 def complete_timeline(states: DataFrame, window_seconds: int = 10, keys: Sequence[str] = ("source_file",)) -> DataFrame:
     """J4. Every window from first to last per source; empty ones hold zeros.
 
-    ``window_index`` and ``window_count`` follow from arithmetic, so no ordering is needed.
+    ``window_index`` and ``window_count`` follow from arithmetic, so no ordering is needed. The states
+    (one per non-empty window) are written once, so that bounds and join share one aggregation.
     """
     keys = list(keys)
+    states = cut_lineage(states)
     bounds = states.groupBy(*keys).agg(F.min("window_start").alias("__first"), F.max("window_start").alias("__last"))
     step = F.expr(f"INTERVAL {window_seconds} SECONDS")
     micros = window_seconds * 1_000_000

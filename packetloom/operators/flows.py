@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import distinct_with_null, safe_ratio
-from packetloom.operators.ordered import (
-    BUCKET, KEY, epoch_micros, group_key, grouped_percentiles, time_bucket,
-)
+from packetloom.operators.ordered import BUCKET, KEY, epoch_micros, group_key, grouped_percentiles, time_bucket
 
 FLOW_KEYS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
@@ -95,21 +93,9 @@ def segment_flows(
     )
 
 
-def aggregate_flows(
-    segmented: DataFrame,
-    keys: Sequence[str] = FLOW_KEYS,
-    ts: str = "timestamp",
-    tie_break: Sequence[str] = (),
-    with_median: bool = True,
-) -> DataFrame:
-    """A1 + A2. One row per key and session, with sizes, durations and rates.
-
-    The exact median costs a pass of its own; callers that do not read it leave it out.
-    """
-    group = [*keys, "flow_segment"]
-    tagged = segmented.withColumn("__flow", group_key(group))
+def _flow_statistics(ts: str, first_columns: Sequence[str]) -> list:
     spread = {"ttl": "ttl", "tcp_window": "tcp_window_size"}
-    flows = tagged.groupBy("__flow", *group).agg(
+    return [
         F.min(ts).alias("flow_start"),
         F.max(ts).alias("flow_end"),
         F.sum("packet_count").alias("packet_count"),
@@ -120,14 +106,16 @@ def aggregate_flows(
         F.max("byte_count").alias("packet_size_max"),
         *[F.avg(c).alias(f"{n}_mean") for n, c in spread.items()],
         *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{n}_std") for n, c in spread.items()],
-        F.count_distinct("tcp_flags").alias("unique_tcp_flags"),
-        F.min_by("source_type", F.struct(ts, *tie_break)).alias("source_type"),
-    )
-    if with_median:
-        medians = grouped_percentiles(tagged, ["__flow"], "byte_count", {"packet_size_median": 0.5})
-        flows = flows.join(medians, "__flow", "left")
+        # Flag combinations come from eight bits, so the set stays small.
+        F.size(F.collect_set("tcp_flags")).cast("long").alias("unique_tcp_flags"),
+        *[F.min_by(c, ts).alias(c) for c in first_columns],
+    ]
+
+
+def with_rates(flows: DataFrame) -> DataFrame:
+    """A2. Duration in seconds, and packets and bytes per second (the count itself at zero duration)."""
     seconds = (epoch_micros("flow_end") - epoch_micros("flow_start")) / 1_000_000
-    flows = flows.drop("__flow").withColumn("flow_duration_seconds", seconds)
+    flows = flows.withColumn("flow_duration_seconds", seconds)
     return flows.withColumns({
         f"{unit}_per_second": F.when(
             F.col("flow_duration_seconds") > 0, F.col(column) / F.col("flow_duration_seconds")
@@ -136,6 +124,39 @@ def aggregate_flows(
     })
 
 
+def session_flows(
+    packets: DataFrame,
+    keys: Sequence[str] = FLOW_KEYS,
+    ts: str = "timestamp",
+    timeout_seconds: int = 60,
+    first_columns: Sequence[str] = ("source_type",),
+) -> DataFrame:
+    """W1 + A1 + A2 in one scan and one shuffle: one row per key and session (without the median).
+
+    A gap splits when its whole seconds exceed the timeout, hence the session gap of one second less
+    one microsecond more. With ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` sessions
+    merge before the shuffle, so a hot key sends sessions instead of packets.
+    """
+    if timeout_seconds <= 0:
+        raise ValueError("timeout_seconds must be greater than zero")
+    gap = F.session_window(F.col(ts), f"{timeout_seconds}.999999 seconds")
+    flows = packets.filter(F.col(ts).isNotNull()).groupBy(*keys, gap.alias("__session")).agg(
+        *_flow_statistics(ts, first_columns))
+    return with_rates(flows.drop("__session"))
+
+
+def aggregate_flows(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp",
+                    first_columns: Sequence[str] = ("source_type",)) -> DataFrame:
+    """A1 + A2 over packets numbered by :func:`segment_flows`."""
+    return with_rates(segmented.groupBy(*keys, "flow_segment").agg(*_flow_statistics(ts, first_columns)))
+
+
+def flow_medians(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp") -> DataFrame:
+    """A1. Exact median packet size per flow, next to (keys, flow_segment)."""
+    slim = segmented.select(*keys, "flow_segment", "byte_count")
+    return grouped_percentiles(slim, [*keys, "flow_segment"], "byte_count", {"packet_size_median": 0.5})
+
+
 def source_features(flows: DataFrame) -> DataFrame:
     """A3."""
     return flows.groupBy("src_ip").agg(
@@ -175,9 +196,20 @@ def add_ratio_features(flows: DataFrame) -> DataFrame:
 
 
 def build_flows(packets: DataFrame, keys: Sequence[str] = FLOW_KEYS, timeout_seconds: int = 60,
-                tie_break: Sequence[str] = (), bucket_seconds: int = 3600) -> DataFrame:
-    """Packets to flows with size, rate, directional and ratio features."""
+                tie_break: Sequence[str] = (), bucket_seconds: int = 3600, with_median: bool = True) -> DataFrame:
+    """Packets to flows with size, rate, directional and ratio features.
+
+    The exact median needs the session of every packet, a second pass; leave it out where it is not read.
+    """
     require_columns(packets, [*keys, "timestamp", "packet_count", "byte_count"], "Event table")
-    segmented = segment_flows(prepare_events(packets), keys, "timestamp", tie_break, timeout_seconds,
-                              bucket_seconds)
-    return add_ratio_features(add_directional_features(aggregate_flows(segmented, keys, "timestamp", tie_break)))
+    prepared = prepare_events(packets)
+    if with_median:
+        segmented = segment_flows(prepared, keys, "timestamp", tie_break, timeout_seconds, bucket_seconds)
+        medians = flow_medians(segmented, keys)
+        flows = aggregate_flows(segmented, keys)
+        same = [flows[c].eqNullSafe(medians[c]) for c in (*keys, "flow_segment")]
+        flows = flows.join(medians, same, "left").select(*[flows[c] for c in flows.columns], "packet_size_median").drop(
+            "flow_segment")
+    else:
+        flows = session_flows(prepared, keys, "timestamp", timeout_seconds)
+    return add_ratio_features(add_directional_features(flows))

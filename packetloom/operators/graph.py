@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.numeric import distinct_with_null, finite_double
 from packetloom.operators.ordered import beside
 from packetloom.operators.windows import window_start
+from packetloom.session import cut_lineage
 
 
 def _edge_stats() -> list[Column]:
@@ -40,31 +41,38 @@ def dynamic_edges(flows: DataFrame, window_seconds: int = 10) -> DataFrame:
 def node_features(flows: DataFrame) -> DataFrame:
     """A17 + J3. Outgoing and incoming flows, bytes and peers per host; absent sides are zero.
 
-    The full outer join of both sides is a union of the two partial aggregates, grouped once.
+    Each flow yields a sender row and a receiver row, so one grouping gives what a full outer join
+    of two aggregates would, from a single scan.
     """
-    def side(node, peer, prefix, other):
-        grouped = flows.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(
-            F.count("*").alias(f"{prefix}_flow_count"), F.sum("byte_count").alias(f"{prefix}_bytes"),
-            distinct_with_null(F.col(peer)).alias(f"{prefix}_unique_peers"))
-        return grouped.withColumns({f"{other}_flow_count": F.lit(0).cast("long"), f"{other}_bytes": F.lit(0.0),
-                                    f"{other}_unique_peers": F.lit(0).cast("long")})
-
-    sides = side("src_ip", "dst_ip", "out", "in").unionByName(side("dst_ip", "src_ip", "in", "out"))
-    return sides.groupBy("node").agg(*[F.sum(c).alias(c) for c in sides.columns if c != "node"])
+    def role(node, peer, out):
+        return F.struct(F.col(node).alias("node"), F.col(peer).alias("peer"), F.lit(out).alias("out"), F.col("byte_count"))
+
+    rows = flows.select(F.explode(F.array(role("src_ip", "dst_ip", True), role("dst_ip", "src_ip", False))).alias("r")).select(
+        "r.*").filter(F.col("node").isNotNull())
+    sides = []
+    for prefix, mine in (("out", F.col("out")), ("in", ~F.col("out"))):
+        sides += [
+            F.count_if(mine).alias(f"{prefix}_flow_count"),
+            F.coalesce(F.sum(F.when(mine, F.col("byte_count"))), F.lit(0.0)).alias(f"{prefix}_bytes"),
+            (F.count_distinct(F.when(mine, F.col("peer")))
+             + F.max((mine & F.col("peer").isNull()).cast("int"))).alias(f"{prefix}_unique_peers"),
+        ]
+    return rows.groupBy("node").agg(*sides)
 
 
 def degrees(edges: DataFrame, src: str = "src", dst: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
     """G1. Distinct directed neighbours; a self-loop counts once in and once out."""
     pairs = edges.select(*keys, src, dst).distinct()
-    ends = pairs.select(*keys, F.col(src).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(
-        pairs.select(*keys, F.col(dst).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ends = pairs.select(*keys, F.explode(F.array(
+        F.struct(F.col(src).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col(dst).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("end")).select(*keys, "end.*")
     return ends.groupBy(*keys, "node").agg(
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("total_degree"))
 
 
 def degree_centrality(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """G2. Total degree over n - 1; 1 in a graph of one node."""
-    degree = degrees(edges, src, dst)
+    degree = cut_lineage(degrees(edges, src, dst))
     counted = beside(degree, degree.agg(F.count("*").alias("__n")))
     return counted.select("node", F.when(F.col("__n") <= 1, 1.0).otherwise(
         F.col("total_degree") / F.when(F.col("__n") > 1, F.col("__n") - 1)).alias("degree_centrality"))
@@ -133,11 +141,11 @@ def window_churn(members: DataFrame, element: Sequence[str], total_windows: Data
         "__kept": F.coalesce(F.lag("window_index").over(along) == here - 1, F.lit(False)),
         "__gone": F.coalesce(F.lead("window_index").over(along) > here + 1, F.lit(True)),
     })
-    now = placed.select(here, F.lit(1).alias("size"), (~F.col("__kept")).cast("int").alias("new"),
-                        F.col("__kept").cast("int").alias("kept"), F.lit(0).alias("gone"), F.lit(0).alias("prior"))
-    after = placed.select((here + 1).alias("window_index"), F.lit(0).alias("size"), F.lit(0).alias("new"),
-                          F.lit(0).alias("kept"), F.col("__gone").cast("int").alias("gone"), F.lit(1).alias("prior"))
-    counts = now.unionAll(after).groupBy("window_index").agg(
+    now = F.struct(here.alias("window_index"), F.lit(1).alias("size"), (~F.col("__kept")).cast("int").alias("new"),
+                   F.col("__kept").cast("int").alias("kept"), F.lit(0).alias("gone"), F.lit(0).alias("prior"))
+    after = F.struct((here + 1).alias("window_index"), F.lit(0).alias("size"), F.lit(0).alias("new"),
+                     F.lit(0).alias("kept"), F.col("__gone").cast("int").alias("gone"), F.lit(1).alias("prior"))
+    counts = placed.select(F.explode(F.array(now, after)).alias("m")).select("m.*").groupBy("window_index").agg(
         *[F.sum(c).alias(c) for c in ("size", "new", "kept", "gone", "prior")])
     grid = total_windows.filter("total_windows > 1").select(F.explode(F.sequence(
         F.lit(1).cast("long"), F.col("total_windows").cast("long") - 1)).alias("window_index"))

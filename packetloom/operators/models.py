@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from packetloom.functions.numeric import clamp, finite_double, is_finite, log_clip, sigmoid
 from packetloom.operators.ordered import beside, owned_rows, with_halo
+from packetloom.session import cut_lineage
 
 # Heavy-tailed features that are log-scaled.
 HEAVY_TAILED = ("fwd_act_data_pkts__mean", "tot_fwd_pkts__mean", "subflow_fwd_pkts__mean", "fwd_header_len__mean")
@@ -29,10 +30,11 @@ def fit_scaler(states: DataFrame, features: Sequence[str], weight: str | Column
     """E1 + E44. One row (mean, scale): weighted mean and population deviation per feature, 0 read as 1.
 
     E1 weighs each state by :func:`history_weights`; E44 fits on training states once each. Two
-    passes keep the deviation exact for large means.
+    passes over the states, written once, keep the deviation exact for large means.
     """
     w = F.lit(1) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     rows = states.select(w.cast("double").alias("__w"), *[F.col(c).cast("double").alias(c) for c in features]).filter("__w > 0")
+    rows = cut_lineage(rows)
     means = rows.agg(F.array(*[F.sum(F.col(c) * F.col("__w")) / F.sum("__w") for c in features]).alias("mean"))
     centred = beside(rows, means)
     spread = [F.sqrt(F.sum(F.col("__w") * F.pow(F.col(c) - F.get("mean", F.lit(i)), 2)) / F.sum("__w"))
@@ -82,6 +84,7 @@ def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: boo
     ``features`` is an array column: a flattened history (E5) or the last state (E6).
     """
     rows = samples.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
+    rows = rows.persist()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     weight = F.lit(1.0)
@@ -89,7 +92,9 @@ def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: boo
         weight = F.when(F.col("label") == 1, total / (2 * counts.get(1.0, 1))).otherwise(total / (2 * counts.get(0.0, 1)))
     learner = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(total, 1)), standardization=False,
                                  maxIter=max_iter, tol=1e-8)
-    return learner.fit(rows.withColumn("weight", weight))
+    model = learner.fit(rows.withColumn("weight", weight))
+    rows.unpersist()
+    return model
 
 
 def logistic_scores(model: LogisticRegressionModel, samples: DataFrame, features: Column, name: str = "score") -> DataFrame:
@@ -227,7 +232,7 @@ def logistic_operating_metrics(samples: DataFrame, features: Column, label: str,
     from packetloom.operators.scores import confusion, f1_threshold, ranking_metrics
 
     model = fit_logistic(samples.filter(F.col(split) == "train"), features, label)
-    scored = logistic_scores(model, samples, features)
+    scored = cut_lineage(logistic_scores(model, samples, features).select(split, label, "score"))
     cut = f1_threshold(scored.filter(F.col(split) == "validation"), label=label).select("threshold")
     test = beside(scored.filter(F.col(split) == "test"), cut)
     at_cut = confusion(test, F.col("threshold"), label=label)

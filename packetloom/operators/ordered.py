@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.session import cut_lineage
+
 KEY, BUCKET, BLOCK, OWNED = "__key", "__bucket", "__block", "__owned"
 
 
@@ -149,8 +151,11 @@ def grouped_percentiles(
     value: str,
     probabilities: Mapping[str, float],
 ) -> DataFrame:
-    """F3. Exact linear-interpolated percentiles per key without buffering a group in one task."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    """F3. Exact linear-interpolated percentiles per key without buffering a group in one task.
+
+    The counts per distinct value are written once, since ranks, sizes and cut points all read them.
+    """
+    counts = cut_lineage(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")))
     ranked = running_totals(
         add_value_bucket(counts, value), keys, [F.col(value)], F.col("__vb"), {"__cum": F.col("__n")}
     ).withColumn(KEY, group_key(keys))

@@ -40,7 +40,7 @@ def pseudonym(ip: Column, salt: str = DEFAULT_SALT) -> Column:
 
 def hosts(packets: DataFrame, source: str = "src_ip", target: str = "dst_ip") -> DataFrame:
     """U3. Distinct hosts, source or destination."""
-    return packets.select(F.col(source).alias("host")).union(packets.select(target)).distinct()
+    return packets.select(F.explode(F.array(source, target)).alias("host")).distinct()
 
 
 def pseudonym_check(raw_hosts: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
@@ -167,17 +167,19 @@ def retransmissions(packets: DataFrame, window: str = "window_index", ts: str =
 
 
 def _role_rows(packets: DataFrame) -> DataFrame:
-    """Each packet once as sender row and once as receiver row; a self-loop packet yields two of each."""
+    """Each packet once as sender row and once as receiver row; a self-loop packet weighs double in both."""
+    nothing = F.lit(None)
     loop = F.when(F.col("src_ip") == F.col("dst_ip"), 2).otherwise(1)
-    shared = ["window_index", "offset", "packet_length", protocol_name(F.col("protocol")).alias("protocol"),
-              loop.alias("copies")]
-    sender = packets.select(F.col("src_ip").alias("node"), *shared, F.col("dst_ip").alias("sent_to"),
-                            F.lit(None).cast("string").alias("got_from"), F.col("dst_port").alias("to_port"),
-                            F.lit(None).cast("long").alias("from_port"), F.lit(1).alias("sent"))
-    receiver = packets.select(F.col("dst_ip").alias("node"), *shared, F.lit(None).cast("string").alias("sent_to"),
-                              F.col("src_ip").alias("got_from"), F.lit(None).cast("long").alias("to_port"),
-                              F.col("src_port").cast("long").alias("from_port"), F.lit(0).alias("sent"))
-    return sender.unionByName(receiver)
+    sender = F.struct(
+        F.col("src_ip").alias("node"), F.lit(1).alias("sent"), F.col("dst_ip").alias("sent_to"),
+        nothing.cast("string").alias("got_from"), F.col("dst_port").cast("long").alias("to_port"),
+        nothing.cast("long").alias("from_port"))
+    receiver = F.struct(
+        F.col("dst_ip").alias("node"), F.lit(0).alias("sent"), nothing.cast("string").alias("sent_to"),
+        F.col("src_ip").alias("got_from"), nothing.cast("long").alias("to_port"), F.col("src_port").cast("long").alias("from_port"))
+    return packets.select(
+        "window_index", "offset", "packet_length", protocol_name(F.col("protocol")).alias("protocol"),
+        loop.alias("copies"), F.explode(F.array(sender, receiver)).alias("role")).select("*", "role.*").drop("role")
 
 
 def node_window_features(packets: DataFrame) -> DataFrame:
@@ -279,7 +281,7 @@ def capture_summary(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def host_counts(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A23. Distinct hosts in either role."""
-    both = packets.select(*keys, F.col("src_ip").alias("host")).union(packets.select(*keys, "dst_ip"))
+    both = packets.select(*keys, F.explode(F.array("src_ip", "dst_ip")).alias("host"))
     return both.groupBy(*keys).agg(F.count_distinct("host").alias("unique_hosts"))
 
 

@@ -20,7 +20,7 @@ from packetloom.session import cut_lineage
 
 def graph_nodes(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All endpoints, once each."""
-    return edges.select(*keys, F.col("src").alias("node")).union(edges.select(*keys, "dst")).distinct()
+    return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 def weak_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:

@@ -59,8 +59,8 @@ def label_distribution(rows: DataFrame, raw: str = "raw_label", normal: str = "l
     counts = rows.groupBy(F.col(raw).alias("raw_label"), F.col(normal).alias("normalized_label")).agg(
         F.count("*").alias("flow_count"), F.array_join(F.sort_array(F.collect_set(file)), "; ").alias("files"),
         F.min(ts).alias("first_timestamp"), F.max(ts).alias("last_timestamp"))
-    return beside(counts, counts.agg(F.sum("flow_count").alias("__n"))).withColumn(
-        "percentage", F.round(F.col("flow_count") * 100 / F.col("__n"), 8)).drop("__n")
+    total = F.sum("flow_count").over(Window.partitionBy())  # one row per label spelling
+    return counts.withColumn("percentage", F.round(F.col("flow_count") * 100 / total, 8))
 
 
 def label_report(distribution: DataFrame, n: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from packetloom.operators.ordered import (
     add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals,
 )
+from packetloom.session import cut_lineage
 
 # Cumulative Poisson(1) probabilities, for bootstrap weights.
 POISSON_ONE = [
@@ -39,18 +40,19 @@ def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
 def score_ladder(rows: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
                  candidates: Sequence[float] = (), weight: str | None = None) -> DataFrame:
     """One row per distinct score (and extra candidate threshold) with, at ``score >= threshold``,
-    tp and fp, and the class totals of its key."""
+    tp and fp, and the class totals of its key. The counts per distinct score are written once."""
     keys = list(keys)
     unit = F.col(weight) if weight else F.lit(1)
     counts = rows.groupBy(*keys, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(F.col(label) == 1, unit).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(unit)).alias("neg"))
+    counts = cut_lineage(counts)
     if candidates:
         extra = counts.select(*keys).distinct() if keys else counts.limit(1).select()
         added = extra.select(*keys, F.explode(F.array(*[F.lit(float(c)) for c in candidates])).alias("threshold"),
                              F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
-        counts = counts.unionByName(added).groupBy(*keys, "threshold").agg(
-            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        counts = cut_lineage(counts.unionByName(added).groupBy(*keys, "threshold").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     ladder = running_totals(
         add_value_bucket(counts, "threshold"), keys, [F.desc("threshold")], -F.col("__vb"),
         {"tp": F.col("pos"), "fp": F.col("neg")}).drop("__vb")
@@ -231,8 +233,8 @@ def bootstrap_interval(rows: DataFrame, row_id: str, threshold: float, replicate
 def class_weights(rows: DataFrame, label: str, classes: int) -> DataFrame:
     """A32. Balanced weights N / (classes * count)."""
     counts = rows.groupBy(label).agg(F.count("*").alias("count"))
-    return beside(counts, counts.agg(F.sum("count").alias("__n"))).select(
-        label, "count", (F.col("__n") / (F.lit(classes) * F.col("count"))).alias("weight"))
+    total = F.sum("count").over(Window.partitionBy())  # one row per class
+    return counts.select(label, "count", (total / (F.lit(classes) * F.col("count"))).alias("weight"))
 
 
 def stage_confusion(rows: DataFrame, keys: Sequence[str] = (), true: str = "true", predicted: str = "predicted") -> DataFrame:
@@ -334,8 +336,8 @@ def horizon_state_error(rows: DataFrame, predicted: str, actual: str, by_feature
     errors = cells.groupBy(key).agg(F.avg(F.col("d") * F.col("d")).alias("mse"), F.avg(F.abs("d")).alias("mae"))
     if not by_feature:
         return errors
-    return beside(errors, errors.agg(F.sum("mse").alias("__t"))).withColumn(
-        "share_pct", F.col("mse") * 100 / F.when(F.col("__t") != 0, F.col("__t"))).drop("__t")
+    total = F.sum("mse").over(Window.partitionBy())  # one row per feature
+    return errors.withColumn("share_pct", F.col("mse") * 100 / F.when(total != 0, total))
 
 
 def detection_by_first_step(rows: DataFrame, threshold: float, step: str = "future_attack_step", score: str = "score",
@@ -382,11 +384,12 @@ def compare_models(rows: DataFrame, model: str = "model", split: str = "split",
         model, "threshold", F.col("recall").alias("validation_recall"))
     at_cut = confusion(test.join(cuts, model), F.col("threshold"), [model]).join(cuts, model)
     table = at_cut.join(ranking_metrics(test, [model]), model)
-    leaders = table.agg(
-        F.max_by(model, "average_precision").alias("best_average_precision"), F.max_by(model, "roc_auc").alias("best_roc_auc"),
-        F.max_by(model, "validation_recall").alias("best_validation_recall"), F.max_by(model, "f1").alias("best_f1"),
-        F.min_by(model, "fpr").alias("lowest_fpr"))
-    return beside(table, leaders)
+    every = Window.partitionBy()  # one row per model
+    leaders = {"best_average_precision": "average_precision", "best_roc_auc": "roc_auc",
+               "best_validation_recall": "validation_recall", "best_f1": "f1"}
+    return table.withColumns({
+        **{name: F.max_by(model, metric).over(every) for name, metric in leaders.items()},
+        "lowest_fpr": F.min_by(model, "fpr").over(every)})
 
 
 def claim_verdict(table: DataFrame, candidate: str, rival: str, model: str = "model") -> DataFrame:
@@ -477,7 +480,7 @@ def worst_share(rows: DataFrame, sse: str = "sse", percents: Sequence[int] = (1,
 
     Equal errors share a ladder step, of which exactly the missing number of samples is taken.
     """
-    counts = rows.groupBy(F.col(sse).alias("value")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(rows.groupBy(F.col(sse).alias("value")).agg(F.count("*").alias("n")))
     ladder = running_totals(add_value_bucket(counts, "value"), [], [F.desc("value")], -F.col("__vb"), {"upto": F.col("n")})
     whole = counts.agg(F.sum("n").alias("__n"), F.sum(F.col("n") * F.col("value")).alias("__t"))
     spread = beside(ladder, whole).withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.numeric import distinct_with_null, pct_change, safe_ratio
 from packetloom.operators.flows import require_columns
 from packetloom.operators.ordered import owned_rows, row_index, time_bucket, with_halo
+from packetloom.session import cut_lineage
 
 TREND_COLUMNS = ("flow_count", "total_packets", "total_bytes", "unique_destinations", "unique_destination_ports")
 ROLLING_LENGTHS = (3, 6, 12)
@@ -61,8 +62,12 @@ def window_states(flows: DataFrame, window_seconds: int = 10, stream: Sequence[s
 
 
 def indexed_states(states: DataFrame, stream: Sequence[str] = (), bucket_seconds: int = 86400) -> DataFrame:
-    """Number the windows of each stream in time order."""
-    return row_index(states, list(stream), ["window_start"], time_bucket("window_start", bucket_seconds))
+    """Number the windows of each stream in time order.
+
+    States number at most one per window and stream, so they are written once here rather than
+    aggregated from the flows again for every branch that follows.
+    """
+    return row_index(cut_lineage(states), list(stream), ["window_start"], time_bucket("window_start", bucket_seconds))
 
 
 def add_trend_features(

@@ -6,7 +6,7 @@ import importlib
 
 from packetloom.plans.registry import Report
 
-MODULES = ("flow_reports", "dataset_reports", "packet_reports", "graph_reports", "score_reports", "path_reports", "label_reports", "quality_reports", "model_reports")
+MODULES = ("flow_reports", "dataset_reports", "packet_reports", "graph_reports", "score_reports", "path_reports", "label_reports", "quality_reports", "model_reports", "source_reports")
 
 
 def reports() -> dict[str, Report]:

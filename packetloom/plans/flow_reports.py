@@ -74,11 +74,15 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows keyed by source; the other endpoint columns come from the first packet."""
+    packets = fl.prepare_events(adapters.packets(spark, sf_dir))
+    return fl.session_flows(packets, KEYS, "timestamp", TIMEOUT,
+                            ("source_type", "dst_ip", "src_port", "dst_port", "protocol"))
+
+
+def full_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered flows with the exact median packet size."""
     segmented = segments(spark, sf_dir)
-    first = segmented.groupBy("src_ip", "flow_segment").agg(
-        *[F.min_by(c, "timestamp").alias(c) for c in ("dst_ip", "src_port", "dst_port", "protocol")]
-    )
-    return fl.aggregate_flows(segmented, KEYS, "timestamp", ["event_id"], with_median=False).join(first, ["src_ip", "flow_segment"])
+    return fl.aggregate_flows(segmented, KEYS).join(fl.flow_medians(segmented, KEYS), [*KEYS, "flow_segment"])
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +100,11 @@ REPORTS.add(
 )
 REPORTS.add(
     "flow_features",
-    lambda s, d: fl.aggregate_flows(segments(s, d), KEYS, "timestamp", ["event_id"]),
+    full_flows,
     with_tables(*BASE, select="SELECT * EXCLUDE (dst_ip, src_port, dst_port, protocol) FROM flows"),
     doubles=FLOW_DOUBLES, digits=4,
 )
-DIRECTIONAL = ["src_ip", "flow_segment", "dst_ip", "src_unique_destinations", "src_unique_destination_ports",
+DIRECTIONAL = ["src_ip", "flow_start", "dst_ip", "src_unique_destinations", "src_unique_destination_ports",
                "src_unique_source_ports", "src_flow_count", "src_total_bytes", "dst_unique_sources",
                "dst_unique_ports", "dst_flow_count", "dst_total_bytes"]
 REPORTS.add(
@@ -121,8 +125,8 @@ REPORTS.add(
 REPORTS.add(
     "flow_ratios",
     lambda s, d: fl.add_ratio_features(fl.add_directional_features(source_flows(s, d))).select(
-        "src_ip", "flow_segment", "bytes_per_packet", "src_average_bytes_per_flow", "dst_average_bytes_per_flow"),
-    with_tables(*BASE, DIRECTIONAL_SQL, select="""SELECT src_ip, flow_segment,
+        "src_ip", "flow_start", "bytes_per_packet", "src_average_bytes_per_flow", "dst_average_bytes_per_flow"),
+    with_tables(*BASE, DIRECTIONAL_SQL, select="""SELECT src_ip, flow_start,
   byte_count / packet_count AS bytes_per_packet, src_total_bytes / src_flow_count AS src_average_bytes_per_flow,
   dst_total_bytes / dst_flow_count AS dst_average_bytes_per_flow FROM directional"""),
     doubles=["bytes_per_packet", "src_average_bytes_per_flow", "dst_average_bytes_per_flow"],

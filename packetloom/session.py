@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
