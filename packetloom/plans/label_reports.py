@@ -261,7 +261,7 @@ REPORTS.add(
   ELSE 'roughly stable' END || '.' AS text FROM tr"""),
 )
 REPORTS.add(
-    "pipeline_verdict",
+    "risk_verdict",
     lambda s, d: probabilities(s, d).withColumns(dict(rk.verdict(F.col("attack")))).select(
         "event_id", "attack_type", "estimated_time_seconds", F.get("precautions", F.lit(0)).alias("first_precaution")),
     with_tables(PROBABILITIES_SQL, select=f"""SELECT event_id, CASE WHEN attack >= 0.7 THEN 'Brute Force' ELSE 'Benign' END AS attack_type,
