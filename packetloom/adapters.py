@@ -111,15 +111,15 @@ peer_edges AS (
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction rows: one score and label per event, split by event id."""
+    """Prediction rows: one score and label per event, split by time."""
     events = table(spark, sf_dir, "events")
     k = event_number()
     return events.select(
         "event_id",
         F.concat(F.lit("site-"), (F.col("user_id") % 4).cast("string")).alias("source_file"),
         F.col("ts").alias("window_start"),
-        F.when(F.col("event_id") % 10 < 7, "train").when(F.col("event_id") % 10 == 7, "validation")
-         .otherwise("test").alias("split"),
+        F.when(F.col("ts") < F.lit("2024-01-22").cast("timestamp_ntz"), "train")
+         .when(F.col("ts") < F.lit("2024-01-26").cast("timestamp_ntz"), "validation").otherwise("test").alias("split"),
         F.when(k % 5 == 0, 1).otherwise(0).alias("label"),
         ((F.round(F.col("value") * 100).cast("long") * 13 + F.when(k % 5 == 0, F.col("event_id") % 2 * 333).otherwise(0) + k)
          % F.when(k % 5 == 0, 1000).otherwise(800) / 1000).alias("score"),
@@ -129,7 +129,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES_SQL = """
 scores AS (
   SELECT event_id, 'site-' || (user_id % 4) AS source_file, ts AS window_start,
-    CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 = 7 THEN 'validation' ELSE 'test' END AS split,
+    CASE WHEN ts < TIMESTAMP '2024-01-22' THEN 'train' WHEN ts < TIMESTAMP '2024-01-26' THEN 'validation' ELSE 'test' END AS split,
     CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS label,
     (CAST(round(value * 100) AS BIGINT) * 13 + CASE WHEN k % 5 = 0 THEN event_id % 2 * 333 ELSE 0 END + k)
       % CASE WHEN k % 5 = 0 THEN 1000 ELSE 800 END / 1000 AS score

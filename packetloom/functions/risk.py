@@ -90,7 +90,7 @@ def attack_chain(predictions: DataFrame, keys: Sequence[str], ts: str, tie_break
 
 
 def chain_summary(chain: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """F14 + F15. Per chain: overall risk, activity, stage names in order, latest and next stage."""
+    """F14 + F15. Per forward chain (at most 14 rows): risk, activity, stage names, latest and next stage."""
     at = F.struct(*order)
     latest = chain.groupBy(*keys).agg(
         F.max_by("stage", at).alias("latest"), F.max_by("confidence", at).alias("confidence"),

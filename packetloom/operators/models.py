@@ -91,7 +91,7 @@ def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: boo
     if balanced:
         weight = F.when(F.col("label") == 1, total / (2 * counts.get(1.0, 1))).otherwise(total / (2 * counts.get(0.0, 1)))
     learner = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(total, 1)), standardization=False,
-                                 maxIter=max_iter, tol=1e-8)
+                                 maxIter=max_iter, tol=1e-7)
     model = learner.fit(rows.withColumn("weight", weight))
     rows.unpersist()
     return model

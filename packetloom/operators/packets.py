@@ -328,23 +328,32 @@ def window_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def preservation_check(packets: DataFrame, events: DataFrame) -> DataFrame:
-    """A28. Whether micro-batching kept totals, pairs, protocol counts and ports."""
-    before = packets.agg(F.count("*").alias("packets_before"), F.sum("packet_length").alias("bytes_before"))
-    after = events.agg(F.sum("packet_count").alias("packets_after"), F.sum("total_bytes").alias("bytes_after"))
-
-    def differing(columns, name):
-        left, right = packets.select(*columns).distinct(), events.select(*columns).distinct()
-        lost = left.exceptAll(right).unionAll(right.exceptAll(left))
-        return lost.agg(F.count("*").alias(name))
-
-    checks = [differing(["src_ip", "dst_ip"], "pairs_differing"), differing(["src_port"], "src_ports_differing"),
-              differing(["dst_port"], "dst_ports_differing")]
-    mix = packets.groupBy(protocol_name(F.col("protocol")).alias("p")).agg(F.count("*").alias("n"))
-    kept = events.groupBy(protocol_name(F.col("protocol")).alias("p")).agg(F.sum("packet_count").alias("n"))
-    checks.append(mix.exceptAll(kept).agg(F.count("*").alias("protocols_differing")))
-    result = beside(before, after)
-    for check in checks:
-        result = beside(result, check)
-    return result.withColumn("preserved", (F.col("packets_before") == F.col("packets_after")) & (
-        F.col("bytes_before") == F.col("bytes_after")) & (F.col("pairs_differing") == 0) & (
-        F.col("src_ports_differing") == 0) & (F.col("dst_ports_differing") == 0) & (F.col("protocols_differing") == 0))
+    """A28. Whether micro-batching kept totals, pairs, protocol counts and ports.
+
+    Both tables are read once: each row states its facts, the facts are counted per side and then
+    compared side by side.
+    """
+    def facts(rows, count, size, side):
+        pair = F.concat_ws(">", "src_ip", "dst_ip")
+        stated = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in (
+            ("total", F.lit("")), ("pairs", pair), ("src_ports", F.col("src_port")), ("dst_ports", F.col("dst_port")),
+            ("protocols", protocol_name(F.col("protocol"))))])).alias("fact")
+        counted = rows.select(stated, count.alias("n"), size.alias("bytes")).groupBy("fact.kind", "fact.value").agg(
+            F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+        return counted.withColumn("side", F.lit(side))
+
+    both = facts(packets, F.lit(1), F.col("packet_length"), "before").unionByName(
+        facts(events, F.col("packet_count"), F.col("total_bytes"), "after")).groupBy("kind", "value").agg(*[
+            F.coalesce(F.sum(F.when(F.col("side") == side, F.col(c))), F.lit(0)).alias(f"{c}_{side}")
+            for c in ("n", "bytes") for side in ("before", "after")])
+    kind = F.col("kind")
+    present = (F.col("n_before") > 0) == (F.col("n_after") > 0)
+    same = F.when(kind == "protocols", F.col("n_before") == F.col("n_after")).otherwise(present)
+    checked = both.agg(
+        *[F.coalesce(F.sum(F.when(kind == "total", F.col(f"{c}_{side}"))), F.lit(0)).alias(f"{name}_{side}")
+          for c, name in (("n", "packets"), ("bytes", "bytes")) for side in ("before", "after")],
+        *[F.count_if((kind == k) & ~same).alias(f"{k}_differing") for k in ("pairs", "src_ports", "dst_ports", "protocols")])
+    kept = (F.col("packets_before") == F.col("packets_after")) & (F.col("bytes_before") == F.col("bytes_after"))
+    for k in ("pairs", "src_ports", "dst_ports", "protocols"):
+        kept = kept & (F.col(f"{k}_differing") == 0)
+    return checked.withColumn("preserved", kept)

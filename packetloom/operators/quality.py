@@ -46,11 +46,14 @@ def numeric_quality(rows: DataFrame, columns: Sequence[str], file: str = "source
     parsed = long.withColumns({"__missing": missing, "__n": number})
     n, bad = F.col("__n"), ~F.col("__missing") & (F.col("__n").isNull() | F.isnan("__n"))
     infinity = F.lit(float("inf"))
-    return parsed.groupBy("feature").agg(
-        F.count_distinct(file).alias("files_present"), F.count_if("__missing").alias("missing_count"),
-        F.count_if(bad).alias("invalid_count"), F.count_if(n == infinity).alias("positive_infinity_count"),
-        F.count_if(n == -infinity).alias("negative_infinity_count"),
+    per_file = parsed.groupBy("feature", file).agg(
+        F.count_if("__missing").alias("missing_count"), F.count_if(bad).alias("invalid_count"),
+        F.count_if(n == infinity).alias("positive_infinity_count"), F.count_if(n == -infinity).alias("negative_infinity_count"),
         F.min(F.when(is_finite(n), n)).alias("finite_minimum"), F.max(F.when(is_finite(n), n)).alias("finite_maximum"))
+    counts = [c for c in per_file.columns if c.endswith("_count")]
+    return per_file.groupBy("feature").agg(
+        F.count("*").alias("files_present"), *[F.sum(c).alias(c) for c in counts],
+        F.min("finite_minimum").alias("finite_minimum"), F.max("finite_maximum").alias("finite_maximum"))
 
 
 def label_distribution(rows: DataFrame, raw: str = "raw_label", normal: str = "label", file: str = "source_file",

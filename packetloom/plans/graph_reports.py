@@ -126,44 +126,41 @@ REPORTS.add("window_graph_metrics", metrics,
 DISTRIBUTED = ["node_count", "edge_count", "packet_count", "density", "average_degree", "max_degree"]
 SUMMARY = """min(value) AS "min", quantile_cont(value, 0.5) AS median, avg(value) AS mean,
   quantile_cont(value, 0.95) AS p95, max(value) AS "max", count(value) AS defined"""
+def short_metrics(spark, sf_dir):
+    rows = pr.short_capture(spark, sf_dir)
+    return gr.window_graph_metrics(pk.node_window_features(rows), pk.edge_window_features(rows, pr.TIE, 600))
+
+
 REPORTS.add(
-    "graph_distributions",
-    lambda s, d: gr.window_distributions(metrics(s, d).filter("window_index % 5 > 0"), DISTRIBUTED),
-    with_tables(*pr.BASE, pr.EDGES_SQL, METRICS_SQL, """
-grid AS (SELECT unnest(generate_series(0, (SELECT max(window_index) FROM metrics WHERE window_index % 5 > 0))) AS window_index),
+    "graph_distributions", lambda s, d: gr.window_distributions(short_metrics(s, d), DISTRIBUTED),
+    with_tables(*pr.BASE, pr.SHORT_SQL, pr.EDGES_SQL.replace("FROM capture)", "FROM short_capture)"), METRICS_SQL, """
+grid AS (SELECT unnest(generate_series(0, (SELECT max(window_index) FROM metrics))) AS window_index),
 filled AS (SELECT grid.window_index, CAST(coalesce(node_count, 0) AS DOUBLE) AS node_count,
   CAST(coalesce(edge_count, 0) AS DOUBLE) AS edge_count, CAST(coalesce(packet_count, 0) AS DOUBLE) AS packet_count, density,
-  average_degree, CAST(max_degree AS DOUBLE) AS max_degree FROM grid LEFT JOIN (SELECT * FROM metrics WHERE
-  window_index % 5 > 0) m ON m.window_index = grid.window_index),
+  average_degree, CAST(max_degree AS DOUBLE) AS max_degree FROM grid LEFT JOIN metrics m ON m.window_index = grid.window_index),
 long AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS value FROM filled" for c in DISTRIBUTED) + ")",
                 select=f"SELECT metric, {SUMMARY} FROM long GROUP BY 1"),
     doubles=["min", "median", "mean", "p95", "max"],
 )
 
 
-def sparse_members(spark, sf_dir):
-    """(window, node, pair) presence with some windows empty, so that churn meets gaps."""
-    return pr.capture(spark, sf_dir).filter("flag_bits = 20 AND window_index % 4 <> 2")
-
-
 def total_windows(spark, sf_dir):
-    return pr.capture(spark, sf_dir).agg((F.max("window_index") + 1).alias("total_windows"))
+    return pr.short_capture(spark, sf_dir).agg((F.max("window_index") + 1).alias("total_windows"))
 
 
 def node_churn(spark, sf_dir):
-    rows = sparse_members(spark, sf_dir)
-    ends = rows.select("window_index", F.col("src_ip").alias("node")).union(rows.select("window_index", "dst_ip"))
+    ends = pr.short_capture(spark, sf_dir).select("window_index", F.explode(F.array("src_ip", "dst_ip")).alias("node"))
     return gr.window_churn(ends, ["node"], total_windows(spark, sf_dir))
 
 
 def edge_churn(spark, sf_dir):
-    return gr.window_churn(sparse_members(spark, sf_dir), ["src_ip", "dst_ip"], total_windows(spark, sf_dir))
+    return gr.window_churn(pr.short_capture(spark, sf_dir), ["src_ip", "dst_ip"], total_windows(spark, sf_dir))
 
 
 def _churn_sql(name: str, members: str) -> str:
     return f"""
 {name}_m AS ({members}),
-{name}_w AS (SELECT unnest(generate_series(1, (SELECT max(window_index) FROM capture))) AS window_index),
+{name}_w AS (SELECT unnest(generate_series(1, (SELECT max(window_index) FROM short_capture))) AS window_index),
 {name}_c AS (SELECT b.window_index, e, 1 AS side FROM {name}_m b UNION ALL
   SELECT window_index + 1, e, 2 FROM {name}_m),
 {name}_p AS (SELECT window_index, e, sum(side) AS s FROM {name}_c GROUP BY 1, 2),
@@ -173,31 +170,31 @@ def _churn_sql(name: str, members: str) -> str:
   FROM {name}_w w LEFT JOIN {name}_p p USING (window_index) GROUP BY 1)"""
 
 
-SPARSE = "capture WHERE flag_bits = 20 AND window_index % 4 <> 2"
+SPARSE = "short_capture"
 NODE_CHURN_SQL = _churn_sql("node_churn", f"""SELECT window_index, src_ip AS e FROM {SPARSE}
   UNION SELECT window_index, dst_ip FROM {SPARSE}""")
 EDGE_CHURN_SQL = _churn_sql("edge_churn", f"SELECT DISTINCT window_index, src_ip || '>' || dst_ip AS e FROM {SPARSE}")
 REPORTS.add("churn_nodes", lambda s, d: node_churn(s, d).drop("kept", "jaccard"),
-            with_tables(*pr.BASE, NODE_CHURN_SQL, select='SELECT window_index, "new", gone, churn FROM node_churn'))
+            with_tables(*pr.BASE, pr.SHORT_SQL, NODE_CHURN_SQL, select='SELECT window_index, "new", gone, churn FROM node_churn'))
 REPORTS.add("churn_edges", lambda s, d: edge_churn(s, d).drop("kept", "jaccard"),
-            with_tables(*pr.BASE, EDGE_CHURN_SQL, select='SELECT window_index, "new", gone, churn FROM edge_churn'))
+            with_tables(*pr.BASE, pr.SHORT_SQL, EDGE_CHURN_SQL, select='SELECT window_index, "new", gone, churn FROM edge_churn'))
 REPORTS.add(
     "jaccard_windows",
     lambda s, d: node_churn(s, d).select("window_index", F.col("jaccard").alias("node_jaccard")).join(
         edge_churn(s, d).select("window_index", F.col("jaccard").alias("edge_jaccard")), "window_index"),
-    with_tables(*pr.BASE, NODE_CHURN_SQL, EDGE_CHURN_SQL, select="""SELECT n.window_index, n.jaccard AS node_jaccard,
+    with_tables(*pr.BASE, pr.SHORT_SQL, NODE_CHURN_SQL, EDGE_CHURN_SQL, select="""SELECT n.window_index, n.jaccard AS node_jaccard,
   e.jaccard AS edge_jaccard FROM node_churn n JOIN edge_churn e USING (window_index)"""),
     doubles=["node_jaccard", "edge_jaccard"],
 )
 RUN_SQL = f"""
 runs AS (SELECT window_index - row_number() OVER (ORDER BY window_index) AS g FROM (SELECT DISTINCT window_index FROM {SPARSE})),
 islands AS (SELECT g, count(*) AS n FROM runs GROUP BY 1)"""
-REPORTS.add("longest_run", lambda s, d: gr.longest_run(sparse_members(s, d)),
-            with_tables(*pr.BASE, RUN_SQL, select="""SELECT max(n) AS longest_run, CAST(sum(n) AS BIGINT) AS non_empty_windows
+REPORTS.add("longest_run", lambda s, d: gr.longest_run(pr.short_capture(s, d)),
+            with_tables(*pr.BASE, pr.SHORT_SQL, RUN_SQL, select="""SELECT max(n) AS longest_run, CAST(sum(n) AS BIGINT) AS non_empty_windows
   FROM islands"""))
 REPORTS.add(
     "dynamics_summary", lambda s, d: gr.dynamics_summary(node_churn(s, d), edge_churn(s, d)),
-    with_tables(*pr.BASE, NODE_CHURN_SQL, EDGE_CHURN_SQL, "long AS (" + " UNION ALL ".join(
+    with_tables(*pr.BASE, pr.SHORT_SQL, NODE_CHURN_SQL, EDGE_CHURN_SQL, "long AS (" + " UNION ALL ".join(
         f'SELECT \'{k}_{c}\' AS metric, CAST("{c}" AS DOUBLE) AS value FROM {k}_churn'
         for k in ("node", "edge") for c in ("new", "gone", "churn", "jaccard")) + ")",
                 select=f"SELECT metric, {SUMMARY} FROM long GROUP BY 1"),
@@ -222,8 +219,12 @@ REPORTS.add(
 )
 REPORTS.add(
     "dangling_endpoints",
-    lambda s, d: gr.dangling_endpoints(pr.edges(s, d), pr.nodes(s, d).filter("node <> '10.0.0.7'"), ["window_index"]),
-    with_tables(*pr.BASE, select="SELECT DISTINCT window_index, src_ip, dst_ip FROM capture WHERE src_ip = '10.0.0.7'"),
+    lambda s, d: gr.dangling_endpoints(
+        pr.edges(s, d), pk.node_window_features(pr.capture(s, d).filter("protocol = 'TCP'")), ["window_index"]),
+    with_tables(*pr.BASE, """known AS (SELECT window_index AS w, src_ip AS n FROM capture WHERE protocol = 'TCP' UNION
+  SELECT window_index, dst_ip FROM capture WHERE protocol = 'TCP')""", select="""SELECT DISTINCT window_index, src_ip, dst_ip FROM capture
+  WHERE NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = src_ip)
+    OR NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = dst_ip)"""),
 )
 REPORTS.add(
     "graph_validation",

@@ -110,12 +110,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY importance DESC,
                 select="SELECT *, round(relative_importance * 100, 2) AS percentage FROM r WHERE rank <= 8"),
     doubles=["importance", "relative_importance"],
 )
-WEIGHTS = [[((w * 4 + f) % 7 - 3) / 10 for f in range(4)] for w in range(6)]
+WEIGHTS = [[((w * 4 + f) % 7 - 3) / 10 for f in range(4)] for w in range(16)]
 
 
 def windows_of_vectors(s, d):
-    """The first 24 components of a vector, read as six windows of four features."""
-    return vectors(s, d).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda w: F.slice("state", w * 4 + 1, 4)))
+    """The 64 components of a vector, read as sixteen windows of four features."""
+    return vectors(s, d).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda w: F.slice("state", w * 4 + 1, 4)))
 
 
 def attributed(s, d):
@@ -125,7 +125,7 @@ def attributed(s, d):
 
 CELLS_SQL = """
 cells AS (SELECT vec_id, i // 4 AS w, i % 4 AS f, state[i + 1] * (((i // 4 * 4 + i % 4) % 7 - 3) / 10) AS v FROM (
-  SELECT vec_id, state, unnest(generate_series(0, 23)) AS i FROM vectors)),
+  SELECT vec_id, state, unnest(generate_series(0, len(state) - 1)) AS i FROM vectors)),
 margins AS (SELECT vec_id, 1 / (1 + exp(-(0.1 + sum(v)))) AS p FROM cells GROUP BY 1),
 attr AS (SELECT vec_id, w, f, p * (1 - p) * abs(v) AS importance FROM cells JOIN margins USING (vec_id))"""
 REPORTS.add(
@@ -190,8 +190,8 @@ def load_linear():
 
 REPORTS.add(
     "batch_model_scores",
-    lambda s, d: md.score_with_model(windows_of_vectors(s, d), load_linear, "x", (6, 4)).select("vec_id", "score"),
-    with_tables(VECTORS_SQL, select="SELECT vec_id, 1 / (1 + exp(-(state[21] + state[22] + state[23] + state[24]) / 4)) AS score FROM vectors"),
+    lambda s, d: md.score_with_model(windows_of_vectors(s, d), load_linear, "x", (16, 4)).select("vec_id", "score"),
+    with_tables(VECTORS_SQL, select="SELECT vec_id, 1 / (1 + exp(-(state[61] + state[62] + state[63] + state[64]) / 4)) AS score FROM vectors"),
     doubles=["score"],
 )
 

@@ -17,6 +17,8 @@ TIE = ["event_id"]
 CAPTURE_SQL = """
 placed AS (SELECT *, date_diff('microsecond', min("timestamp") OVER (), "timestamp") AS us FROM packets),
 capture AS (SELECT *, us / 1000000 AS "offset", us // 21600000000 AS window_index FROM placed)"""
+SHORT_SQL = """
+short_capture AS (SELECT * REPLACE (us // 600000000 AS window_index) FROM capture)"""
 EDGES_SQL = """
 edge_gaps AS (SELECT *, date_diff('microsecond', lag("timestamp") OVER (PARTITION BY window_index, src_ip, dst_ip
     ORDER BY "timestamp", event_id), "timestamp") / 1000000 AS gap FROM capture),
@@ -50,6 +52,11 @@ def capture(spark, sf_dir):
     return pk.with_capture_offsets(adapters.packets(spark, sf_dir), WINDOW)
 
 
+def short_capture(spark, sf_dir):
+    """The same packets in windows so short that some stay empty."""
+    return pk.with_capture_offsets(adapters.packets(spark, sf_dir), 600)
+
+
 def edges(spark, sf_dir):
     return pk.edge_window_features(capture(spark, sf_dir), TIE, 3600)
 

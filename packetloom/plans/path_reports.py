@@ -61,13 +61,13 @@ reach AS (SELECT node AS a, node AS b FROM vertices UNION SELECT r.a, s.b FROM r
 
 
 def window_links(s, d):
-    return gr.sparse_members(s, d).select("window_index", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"))
+    return pr.short_capture(s, d).select("window_index", F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"))
 
 
 REPORTS.add(
     "window_component_counts",
     lambda s, d: pt.component_counts(pt.weak_components(window_links(s, d), ["window_index"]), ["window_index"]),
-    with_tables(*pr.BASE, f"""
+    with_tables(*pr.BASE, pr.SHORT_SQL, f"""
 links AS (SELECT DISTINCT window_index AS w, src_ip AS a, dst_ip AS b FROM {gr.SPARSE}),
 sym AS (SELECT w, a, b FROM links UNION SELECT w, b, a FROM links),
 reach AS (SELECT w, a, a AS b FROM sym UNION SELECT r.w, r.a, s.b FROM reach r JOIN sym s ON s.w = r.w AND s.a = r.b),

@@ -325,13 +325,11 @@ REPORTS.add(
 REPORTS.add(
     "model_alignment",
     lambda s, d: sc.alignment_check(
-        SCORES(s, d).filter("event_id % 50 <> 0"),
-        SCORES(s, d).filter("event_id % 70 <> 0").withColumn("label", F.when(F.col("event_id") % 90 == 0, 2).otherwise(
+        SCORES(s, d).filter("score < 0.75"),
+        SCORES(s, d).filter("score >= 0.02").withColumn("label", F.when(F.col("score").between(0.5, 0.51), 2).otherwise(
             F.col("label"))), ["source_file", "event_id"]),
-    with_tables(SCORES_SQL, select="""SELECT count(*) FILTER (event_id % 70 = 0 AND event_id % 50 <> 0) AS only_left,
-  count(*) FILTER (event_id % 50 = 0 AND event_id % 70 <> 0) AS only_right,
-  count(*) FILTER (event_id % 90 = 0 AND event_id % 50 <> 0 AND event_id % 70 <> 0) AS label_mismatches, false AS aligned
-  FROM scores"""),
+    with_tables(SCORES_SQL, select="""SELECT count(*) FILTER (score < 0.02) AS only_left, count(*) FILTER (score >= 0.75) AS only_right,
+  count(*) FILTER (score BETWEEN 0.5 AND 0.51) AS label_mismatches, false AS aligned FROM scores"""),
 )
 
 

@@ -122,18 +122,27 @@ def recent_events(events: DataFrame) -> DataFrame:
 
 def store_and_forecast(store: str, result: str, timeout_seconds: int = 60, window_seconds: int = 10, n: int = BUFFER_SIZE):
     """M2. A micro-batch handler: append the events, then rerun the event path on the newest n of each
-    stream key seen in the batch, and append one forecast per key. Keys share one job."""
+    stream key seen in the batch, and append one forecast per key. Keys share one job.
+
+    The newest events live in a small table of their own, rewritten by each batch from the one of the
+    batch before, so a batch never reads the whole store. A batch repeated after a failure rewrites
+    its own folders and nothing else.
+    """
     from packetloom.operators.models import heuristic_forecast
     from packetloom.operators.windows import window_states
     from packetloom.sources.sinks import latest_per_stream
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # A batch repeated after a failure overwrites its own folder and is not stored twice.
-        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        touched = batch.select("stream_key").distinct()
-        events = spark.read.parquet(store).join(touched, "stream_key", "left_semi")
-        newest = latest_per_stream(events, n, "stream_key", "timestamp")
+        batch.write.mode("overwrite").parquet(f"{store}/events/batch={batch_id}")
+        arrived = spark.read.schema(batch.schema).parquet(f"{store}/events/batch={batch_id}")
+        known = arrived
+        if batch_id > 0:
+            known = spark.read.schema(batch.schema).parquet(f"{store}/recent/batch={batch_id - 1}").unionByName(arrived)
+        latest_per_stream(known, n, "stream_key", "timestamp").drop("position").write.mode("overwrite").parquet(
+            f"{store}/recent/batch={batch_id}")
+        newest = spark.read.schema(batch.schema).parquet(f"{store}/recent/batch={batch_id}").join(
+            arrived.select("stream_key").distinct(), "stream_key", "left_semi")
         flows = session_flows(newest, ["stream_key", *FLOW_KEYS], "timestamp", timeout_seconds)
         states = window_states(flows, window_seconds, ["stream_key"])
         features = [c for c, t in states.dtypes if t in ("bigint", "double")]

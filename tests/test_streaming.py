@@ -75,6 +75,7 @@ def test_store_and_forecast(spark, tmp_path):
     rows = stream(spark, tmp_path / "in").withColumn("stream_key", F.col("src_ip"))
     handler = st.store_and_forecast(str(tmp_path / "store"), str(tmp_path / "result"))
     st.run_micro_batches(rows, handler, str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 10
+    assert spark.read.parquet(str(tmp_path / "store/events")).count() == 10
+    assert spark.read.parquet(str(tmp_path / "store/recent/batch=1")).count() == 10
     got = spark.read.parquet(str(tmp_path / "result")).collect()
     assert {r["stream_key"] for r in got} == {"a", "c"} and all(0 <= r["forecasted_risk"] <= 1 for r in got)
