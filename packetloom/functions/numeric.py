@@ -76,3 +76,8 @@ def distinct_with_null(column: Column) -> Column:
     return F.count_distinct(column) + F.coalesce(F.max(column.isNull().cast("int")), F.lit(0))
 
 
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

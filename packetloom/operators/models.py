@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.functions.numeric import clamp, finite_double, is_finite, log_clip, sigmoid
+from packetloom.functions.numeric import bind, clamp, finite_double, is_finite, log_clip, sigmoid
 from packetloom.operators.ordered import beside, owned_rows, with_halo
 from packetloom.session import cut_lineage
 
@@ -164,18 +164,23 @@ def top_features(importances: DataFrame, keys: Sequence[str], k: int = 8) -> Dat
 
 def gradient_x_input(x: Column, weights: Column, intercept: float = 0.0) -> Column:
     """E37. |dp/dx * x| of a logistic scorer per cell: p(1-p)|w*x|, with x and weights as [window][feature] arrays."""
+    def slope(products):
+        p = sigmoid(F.aggregate(F.flatten(products), F.lit(float(intercept)), lambda a, v: a + v))
+        return bind(p, lambda q: q * (1 - q))
+
     products = F.zip_with(x, weights, lambda row, ws: F.zip_with(row, ws, lambda v, w: v * w))
-    margin = F.aggregate(F.flatten(products), F.lit(float(intercept)), lambda a, v: a + v)
-    p = sigmoid(margin)
-    return F.transform(products, lambda row: F.transform(row, lambda v: p * (1 - p) * F.abs(v)))
+    return bind(products, lambda cells: bind(slope(cells), lambda k: F.transform(
+        cells, lambda row: F.transform(row, lambda v: k * F.abs(v)))))
 
 
 def mean_over_windows(attribution: Column) -> Column:
     """E37. Mean importance per feature over the history."""
-    first = F.get(attribution, F.lit(0))
-    total = F.aggregate(F.slice(attribution, 2, F.greatest(F.size(attribution) - 1, F.lit(0))), first,
-                        lambda a, row: F.zip_with(a, row, lambda p, q: p + q))
-    return F.transform(total, lambda v: v / F.size(attribution))
+    def mean(rows):
+        rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+        total = F.aggregate(rest, F.get(rows, F.lit(0)), lambda a, row: F.zip_with(a, row, lambda p, q: p + q))
+        return bind(F.size(rows), lambda n: F.transform(total, lambda v: v / n))
+
+    return bind(attribution, mean)
 
 
 def pick_samples(samples: DataFrame, negatives: int, positives: int, order: Sequence[str], label: str = "label") -> DataFrame:

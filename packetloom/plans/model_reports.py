@@ -178,19 +178,22 @@ def static_importance(s, d):
 REPORTS.add("static_logistic_importance", static_importance)
 
 
-def load_linear():
-    """A user model: the mean of the newest state squashed to (0, 1)."""
-    import numpy as np
+def linear_model():
+    """A user model's loader: the mean of the newest state squashed to (0, 1)."""
+    def load():
+        import numpy as np
 
-    def predict(batch: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-batch[:, -1, :].mean(axis=1)))
+        def predict(batch):
+            return 1 / (1 + np.exp(-batch[:, -1, :].mean(axis=1)))
 
-    return predict
+        return predict
+
+    return load
 
 
 REPORTS.add(
     "batch_model_scores",
-    lambda s, d: md.score_with_model(windows_of_vectors(s, d), load_linear, "x", (16, 4)).select("vec_id", "score"),
+    lambda s, d: md.score_with_model(windows_of_vectors(s, d), linear_model(), "x", (16, 4)).select("vec_id", "score"),
     with_tables(VECTORS_SQL, select="SELECT vec_id, 1 / (1 + exp(-(state[61] + state[62] + state[63] + state[64]) / 4)) AS score FROM vectors"),
     doubles=["score"],
 )

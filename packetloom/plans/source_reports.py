@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -242,9 +243,21 @@ def stream_packets(s, d):
     return st.with_event_time(events)
 
 
+@contextmanager
+def one_store_per_core(s):
+    """A stream keeps one state store per shuffle partition for life; the short test streams need no more than cores."""
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    s.conf.set("spark.sql.shuffle.partitions", str(min(int(before), s.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        s.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def finished(s, rows):
     out = scratch(s)
-    st.run_to_files(rows, f"{out}/rows", f"{out}/state").awaitTermination()
+    with one_store_per_core(s):
+        st.run_to_files(rows, f"{out}/rows", f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/rows")
 
 
@@ -300,7 +313,8 @@ def stream_forecasts(s, d):
     out = scratch(s)
     rows = stream_packets(s, d).withColumn("stream_key", F.col("src_ip"))
     handler = st.store_and_forecast(f"{out}/store", f"{out}/result", 60, 3600)
-    st.run_micro_batches(rows, handler, f"{out}/state").awaitTermination()
+    with one_store_per_core(s):
+        st.run_micro_batches(rows, handler, f"{out}/state").awaitTermination()
     return s.read.parquet(f"{out}/result").select("stream_key", F.col("forecasted_risk").between(0, 1).alias("valid"))
 
 
