@@ -24,6 +24,7 @@ NETWORK_SIGNALS = [
     (("internal_connections", "east_west_connections"), 1000.0),
     (("anomaly_score",), 1.0),
 ]
+# Infiltration reasons and the stages that count towards them.
 REASON_PROBABILITY = "The world model predicts a high probability of malicious activity in the next network state."
 REASON_STAGE = "The predicted MITRE stage is consistent with possible attack progression or internal compromise."
 REASON_NETWORK = "Network-state indicators show elevated behavioural risk."
@@ -49,6 +50,7 @@ PRECAUTIONS = {
         "Restrict inbound access to trusted sources and review perimeter logs.",
     ],
 }
+# Words of a severe message, and the limits of a head disagreement and of a trend.
 HIGH_RISK_TERMS = ("attack", "injection", "unauthorized", "brute", "malware", "scan")
 LOW_ATTACK_PROBABILITY, HIGH_STAGE_CONFIDENCE, TREND_EPSILON = 0.30, 0.70, 0.05
 

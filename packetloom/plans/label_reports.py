@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom import adapters
 from packetloom.adapters import event_number, table
 from packetloom.functions import labels as lb
 from packetloom.functions import risk as rk
@@ -273,7 +272,7 @@ REPORTS.add(
     "forecast_timeline",
     lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("latest"), F.avg("value").alias("v")).select(
         "user_id", F.explode(rk.forecast_timeline(F.col("latest"), F.lit(0.5))).alias("t")).select("user_id", "t.at", "t.risk"),
-    """SELECT user_id, latest + to_seconds(10 * k) AS "at", 0.5 AS risk FROM (SELECT user_id, max(ts) AS latest,
+    """SELECT user_id, latest + to_seconds(10 * k) AS "at", 0.5::DOUBLE AS risk FROM (SELECT user_id, max(ts) AS latest,
   unnest([1,2,3,4,5,6]) AS k FROM events GROUP BY 1)""",
 )
 REPORTS.add(
@@ -312,7 +311,7 @@ REPORTS.add("log_entries", logs, with_tables(LOGS_SQL, select="SELECT * FROM log
 REPORTS.add(
     "alerts", lambda s, d: al.alerts(logs(s, d).unionByName(logs(s, d))),
     with_tables(LOGS_SQL, select="""SELECT log_id, "timestamp", 'High severity IDS event: IDS event' AS rule_triggered, 'Active' AS status,
-  severity, 1.0 AS anomaly_score FROM logs WHERE severity = 'HIGH'"""),
+  severity, 1::DOUBLE AS anomaly_score FROM logs WHERE severity = 'HIGH'"""),
 )
 REPORTS.add(
     "log_page", lambda s, d: al.filter_logs(logs(s, d), severity="HIGH", page=2).select("log_id", "timestamp", "severity"),

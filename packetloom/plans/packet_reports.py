@@ -210,8 +210,8 @@ stats AS (SELECT window_index, CAST(count(*) AS DOUBLE) AS packet_count, CAST(su
   {_spread_sql('payload', 'payload_length')}, {_spread_sql('packet_length', 'packet_length')},
   CAST(count(*) FILTER (more_fragments OR fragment_offset > 0) AS DOUBLE) AS fragment_count,
   CAST(count(*) FILTER (protocol = 'TCP') AS DOUBLE) AS tcp_packet_count,
-  CAST(count(*) FILTER (protocol = 'UDP') AS DOUBLE) AS udp_packet_count, 0.0 AS icmp_packet_count,
-  0.0 AS other_packet_count, {FLAGS_SQL} FROM capture GROUP BY 1)"""
+  CAST(count(*) FILTER (protocol = 'UDP') AS DOUBLE) AS udp_packet_count, 0::DOUBLE AS icmp_packet_count,
+  0::DOUBLE AS other_packet_count, {FLAGS_SQL} FROM capture GROUP BY 1)"""
 SPREADS = [f"{p}_{k}" for p in ("ttl", "tcp_window", "payload", "packet_length") for k in ("mean", "std", "variance")]
 STATS_RATIOS = ["bytes_per_packet", "fragment_ratio", *[f"{p.lower()}_packet_ratio" for p in pk.PROTOCOLS]]
 FLAG_RATIOS = [f"{f}_ratio" for f in pk.FLAG_BITS]

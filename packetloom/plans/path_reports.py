@@ -124,7 +124,7 @@ REPORTS.add(
     "victim_outcome",
     lambda s, d: pt.victim_outcome(EDGES(s, d), victims(s, d)).drop("reasons"),
     with_tables(*BASE, BETWEEN_SQL, RISK_SQL, CONTACT_SQL, gr.DEGREE_SQL, VICTIMS_SQL,
-                select="SELECT node AS victim, 1.0 AS probability FROM scored ORDER BY score DESC, node LIMIT 1"),
+                select="SELECT node AS victim, 1::DOUBLE AS probability FROM scored ORDER BY score DESC, node LIMIT 1"),
 )
 IMPORTANCE_SQL = """
 imp AS (SELECT node, 0.25 * degree_centrality + 0.25 * betweenness + 0.15 * closeness + 0.15 * rank + 0.15 * coalesce(risk, 0)

@@ -255,7 +255,7 @@ REPORTS.add(
     lambda s, d: sc.baseline_scores(trajectories(s, d), "current_attack", "score").select(
         "event_id", F.aggregate("persistence", F.lit(0.0), lambda a, v: a + v).alias("persistence_total"),
         F.size("broadcast").alias("steps"), F.col("broadcast")[5].alias("last_score")),
-    with_tables(SCORES_SQL, select="""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 6.0 ELSE 0.0 END AS persistence_total,
+    with_tables(SCORES_SQL, select="""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 6::DOUBLE ELSE 0::DOUBLE END AS persistence_total,
   6 AS steps, score AS last_score FROM scores"""),
 )
 REPORTS.add(

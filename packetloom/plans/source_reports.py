@@ -48,7 +48,7 @@ def events_csv(s, d):
 
 
 REPORTS.add("events_csv", events_csv, with_tables(PACKETS_SQL, select="""SELECT event_id AS "row", "timestamp", src_ip, dst_ip, src_port,
-  dst_port, protocol, CASE WHEN event_id % 9 = 0 THEN 2.0 ELSE 3.0 END AS packet_count, byte_count, ttl,
+  dst_port, protocol, CASE WHEN event_id % 9 = 0 THEN 2::DOUBLE ELSE 3::DOUBLE END AS packet_count, byte_count, ttl,
   CAST(NULL AS VARCHAR) AS tcp_flags, 'csv' AS source_type, label FROM packets"""))
 ZEEK = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "duration", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes"]
 
@@ -86,7 +86,7 @@ def zeek_columns(events):
 
 
 ZEEK_SQL = with_tables(PACKETS_SQL, select="""SELECT "timestamp", src_ip, dst_ip, lower(protocol) AS protocol,
-  CASE WHEN event_id % 6 > 0 THEN 3 END AS packet_count, packet_length + 10 AS byte_count, 0.5 AS duration, 'zeek' AS source_type FROM packets""")
+  CASE WHEN event_id % 6 > 0 THEN 3 END AS packet_count, packet_length + 10 AS byte_count, 0.5::DOUBLE AS duration, 'zeek' AS source_type FROM packets""")
 REPORTS.add("zeek_tsv", zeek_tsv, ZEEK_SQL)
 REPORTS.add("zeek_json", zeek_json, ZEEK_SQL)
 RAW_HEADER = ["Dst Port", "Protocol", "Timestamp", "Tot Fwd Pkts", "Label"]

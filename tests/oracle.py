@@ -36,6 +36,13 @@ def canonical(value):
     return str(value)
 
 
+KINDS = {
+    "bigint": "int", "int": "int", "double": "float", "string": "text", "boolean": "bool", "timestamp": "time",
+    "timestamp_ntz": "time", "BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "bool",
+    "TIMESTAMP": "time",
+}
+
+
 def difference(spark, con, report, sf_dir: str):
     """None when equal, else a short description; also the Spark seconds."""
     start = time.time()
@@ -50,6 +57,12 @@ def difference(spark, con, report, sf_dir: str):
     if sorted(names) != columns:
         return f"columns {columns} != {sorted(names)}", seconds, len(got)
     order = [names.index(c) for c in columns]
+    spark_types = dict(df.dtypes)
+    kinds = {c: (KINDS.get(spark_types[c], spark_types[c]), KINDS.get(str(d[1]), str(d[1])))
+             for c, d in ((d[0], d) for d in cursor.description)}
+    odd = {c: pair for c, pair in kinds.items() if pair[0] != pair[1]}
+    if odd:
+        return f"types (spark, sql) differ: {odd}", seconds, len(got)
     want = sorted(tuple(canonical(row[i]) for i in order) for row in cursor.fetchall())
     if got == want:
         return None, seconds, len(got)
