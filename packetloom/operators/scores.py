@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.numeric import bind
 from packetloom.operators.ordered import (
     add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals,
 )
@@ -156,7 +157,7 @@ def threshold_sweep(rows: DataFrame, thresholds: Sequence[float], keys: Sequence
                     label: str = "label") -> DataFrame:
     """E18. Metrics at fixed thresholds: rows are counted once by how many thresholds they pass."""
     grid = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
-    passed = rows.groupBy(*keys, F.size(F.filter(grid, lambda t: t <= F.col(score))).alias("passed")).agg(
+    passed = rows.groupBy(*keys, bind(F.col(score), lambda v: F.size(F.filter(grid, lambda t: t <= v))).alias("passed")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     spread = passed.select(*keys, "passed", "pos", "neg", F.posexplode(grid).alias("i", "threshold"))
     above = F.col("i") < F.col("passed")
@@ -189,7 +190,7 @@ def reliability_bins(rows: DataFrame, keys: Sequence[str] = (), bins: int = 10,
     step = 1.0 / bins
     inner = F.array(*[F.lit(i * step) for i in range(1, bins)])
     placed = rows.filter(F.col(score).between(0.0, 1.0)).withColumn(
-        "bin", F.size(F.filter(inner, lambda e: e <= F.col(score))))
+        "bin", bind(F.col(score), lambda v: F.size(F.filter(inner, lambda e: e <= v))))
     return placed.groupBy(*keys, "bin").agg(
         F.count("*").alias("count"), F.avg(score).alias("mean_predicted"),
         F.avg(F.col(label).cast("double")).alias("observed_rate")
@@ -210,9 +211,10 @@ def bootstrap_interval(rows: DataFrame, row_id: str, threshold: float, replicate
     agree; single-class replicates are skipped and fewer than 50 valid ones give NULL.
     """
     draw = F.pmod(F.xxhash64(F.col(row_id), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    weight = F.size(F.filter(F.array(*[F.lit(p) for p in POISSON_ONE]), lambda p: p <= F.col("__u")))
+    steps = F.array(*[F.lit(p) for p in POISSON_ONE])
+    weight = bind(draw, lambda u: F.size(F.filter(steps, lambda p: p <= u)))
     copies = rows.select(row_id, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = copies.withColumn("__u", draw).withColumn("weight", weight.cast("long")).filter("weight > 0")
+    drawn = copies.withColumn("weight", weight.cast("long")).filter("weight > 0")
     counted = drawn.groupBy("replicate", score, label).agg(F.sum("weight").alias("weight"))
     ranked = ranking_metrics(counted, ["replicate"], score=score, label=label, weight="weight")
     hit, true = F.col(score) >= threshold, F.col(label) == 1
