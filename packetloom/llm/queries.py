@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from packetloom.llm import exact, jaccard, mixing, pieces, quality
+from packetloom.llm import exact, jaccard, langid, mixing, pieces, quality, vectors
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_mixing_sources": mixing.op7_mixing_sources,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
 
 SQL = {"op5_exact_dedup": exact.OP5_SQL}
