@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from packetloom.llm import exact, jaccard, langid, mixing, pieces, quality, vectors
+from packetloom.llm import exact, jaccard, langid, mixing, pieces, pii, quality, secret_scan, urls, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_url_filter": urls.op2_url_filter,
+    "op3_pii_surrogates": pii.op3_pii_surrogates,
     "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_mixing_sources": mixing.op7_mixing_sources,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
 }
