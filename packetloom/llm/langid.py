@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,7 +70,7 @@ class LanguageModel:
         return shifted / shifted.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs: int = 12, batch: int = 16, rate: float = 2.0,
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, steps: int = 1500, batch: int = 16, rate: float = 2.0,
           rejected: float = 0.01, seed: int = 5) -> LanguageModel:
     """Stochastic gradient descent over (bucket, count, language) rows, then calibration on every fifth row.
 
@@ -92,6 +93,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs:
             x[k, rows[at][0]] = rows[at][1]
         return x / np.maximum(1, x.sum(axis=1, keepdims=True)), np.array([place[rows[at][2]] for at in some])
 
+    epochs = max(1, math.ceil(steps * batch / max(1, len(fitted))))  # as many steps whatever the number of rows
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(fitted)
