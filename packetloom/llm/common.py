@@ -68,8 +68,9 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def as_bytes(texts: pa.Array) -> list[bytes | None]:
-    return texts.cast(pa.binary()).to_pylist()
+def as_bytes(texts: pa.Array) -> Iterator[bytes | None]:
+    """The values one at a time, so that a batch is not held twice."""
+    return (value.as_py() for value in texts.cast(pa.binary()))
 
 
 def batches_of_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
