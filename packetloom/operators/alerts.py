@@ -14,14 +14,15 @@ FORBIDDEN_STATEMENTS = (r"UPDATE\s+{t}", r"DELETE\s+FROM\s+{t}", r"DROP\s+TABLE\
                         r"ALTER\s+TABLE\s+{t}")
 
 
-def log_entries(lines: DataFrame, text: str = "value", log_id: str | None = None, ts: str | None = None) -> DataFrame:
-    """S13. Non-blank trimmed lines as log rows; the message is cut to 500 characters, the raw line is kept."""
+def log_entries(lines: DataFrame, text: str = "value", log_id: str | None = None, ts: str | None = None,
+                message_length: int | None = None) -> DataFrame:
+    """S13. Non-blank trimmed lines as log rows; the message is the line, or its first ``message_length`` characters."""
     line = F.trim(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""))
     kept = [F.col(log_id).alias("log_id")] if log_id else []
     kept += [F.col(ts).alias("timestamp")] if ts else []
     return lines.select(*kept, line.alias("raw_log")).filter("raw_log <> ''").withColumns({
         "severity": keyword_severity(F.col("raw_log")), "event_type": F.lit("IDS event"),
-        "src_ip": F.lit("127.0.0.1"), "dest_ip": F.lit("127.0.0.1"), "message": F.substring("raw_log", 1, 500)})
+        "src_ip": F.lit("127.0.0.1"), "dest_ip": F.lit("127.0.0.1"), "message": F.col("raw_log") if message_length is None else F.substring("raw_log", 1, message_length)})
 
 
 def alerts(logs: DataFrame) -> DataFrame:

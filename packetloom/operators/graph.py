@@ -267,22 +267,18 @@ def validate_graph(edges: DataFrame, nodes: DataFrame, states: DataFrame, sample
     return result
 
 
-def snapshot_artifact(nodes: DataFrame, edges: DataFrame, limit_bytes: int = 5 * 1024 * 1024) -> DataFrame:
-    """S10. Window-by-window graph as JSON lines, or one summary per window if that exceeds the limit.
+def snapshot_artifact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """S10. Window-by-window graph as JSON lines, one row for each edge and node, whatever the size."""
+    return edges.select("window_index", F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("payload")).unionAll(
+        nodes.select("window_index", F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("payload")))
 
-    Each edge and node stays a row of its own, so no window is gathered; the choice is a scalar
-    subquery over the serialized length and happens inside the plan.
-    """
-    edge_rows = edges.select("window_index", F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("payload"))
-    node_rows = nodes.select("window_index", F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("payload"))
-    full = edge_rows.unionAll(node_rows)
-    size = full.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).scalar()
+
+def snapshot_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """S10. One JSON line of counts for each window with nodes."""
     per_window = nodes.groupBy("window_index").agg(F.count("*").alias("node_count")).join(
         edges.groupBy("window_index").agg(F.count("*").alias("edge_count"), F.sum("packet_count").alias("packet_count"),
                                           F.sum("total_bytes").alias("byte_count")), "window_index", "left")
-    summary = per_window.select("window_index", F.lit("summary").alias("kind"),
-                                F.to_json(F.struct(*per_window.columns)).alias("payload"))
-    return full.filter(size <= limit_bytes).unionAll(summary.filter(size > limit_bytes))
+    return per_window.select("window_index", F.lit("summary").alias("kind"), F.to_json(F.struct(*per_window.columns)).alias("payload"))
 
 
 # The compared metrics that tell how rich a capture is.

@@ -87,6 +87,8 @@ def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: boo
     rows = rows.persist()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
+    if set(counts) != {0.0, 1.0}:
+        raise ValueError(f"two classes are needed, the samples hold {sorted(counts)}")
     weight = F.lit(1.0)
     if balanced:
         weight = F.when(F.col("label") == 1, total / (2 * counts.get(1.0, 1))).otherwise(total / (2 * counts.get(0.0, 1)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def graph_nodes(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def weak_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int = 60) -> DataFrame:
+def weak_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """G7. (keys, node, component): the smallest node reachable when direction is ignored.
 
     Alternating large-star and small-star rounds: every node links its larger neighbours, then its
@@ -38,7 +39,7 @@ def weak_components(edges: DataFrame, keys: Sequence[str] = (), max_rounds: int
     links = edges.filter(F.col("src") != F.col("dst")).select(
         *keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links, mark = cut_lineage(links), None
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_neighbour(both).withColumn("m", F.least("u", "m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, [*keys, "u"]).select(
@@ -61,7 +62,7 @@ def component_counts(components: DataFrame, keys: Sequence[str] = ()) -> DataFra
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
-    """G5. Rank with dangling mass spread evenly; stops when the total change is below n * tolerance.
+    """G5. Rank with dangling mass spread evenly; stops when the total change is below n * tolerance and raises if ``max_rounds`` do not reach it.
 
     The edges are hashed by source once and keep that layout over all rounds; a round hands three
     sums to the driver: total change, dangling mass and node count.
@@ -85,10 +86,13 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max
         ranks = settled.drop("before")
         if change < n * tolerance:
             break
+    else:
+        if n:
+            raise ValueError(f"the ranks have not settled in {max_rounds} rounds")
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
-def breadth_first(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -> list[DataFrame]:
+def breadth_first(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
     """Levels of a breadth-first search from every row of ``sources`` (column ``source``).
 
     Level d holds (source, node, dist, sigma): nodes first reached in d hops and over how many
@@ -98,7 +102,7 @@ def breadth_first(edges: DataFrame, sources: DataFrame, max_depth: int = 1000) -
     level = cut_lineage(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"),
                                        F.lit(1.0).alias("sigma")))
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         reached = reduce(DataFrame.unionByName, levels).select("source", "node")
         step = level.join(links, level["node"] == links["src"]).groupBy("source", F.col("dst").alias("node")).agg(
             F.lit(depth).alias("dist"), F.sum("sigma").alias("sigma"))
@@ -165,14 +169,14 @@ def closeness(edges: DataFrame, batches: int = 1) -> DataFrame:
     return path_centralities(edges, batches).select("node", "closeness")
 
 
-def shortest_paths(edges: DataFrame, attackers: Sequence, target, max_depth: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, attackers: Sequence, target) -> DataFrame:
     """G10. One shortest path per attacker that reaches the target; ties go to the least node sequence."""
     node_type = dict(edges.dtypes)["src"]
     links = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
     known = graph_nodes(edges).filter(F.col("node").isin(*attackers))
     level = cut_lineage(known.select(F.col("node").alias("attacker"), "node", F.array("node").alias("path")))
     levels, found = [level], [level.filter(F.col("node") == F.lit(target).cast(node_type))]
-    for _ in range(max_depth):
+    while True:
         reached = reduce(DataFrame.unionByName, levels).select("attacker", "node")
         finished = reduce(DataFrame.unionByName, found).select("attacker")
         step = level.join(finished, "attacker", "left_anti").join(links, level["node"] == links["src"]).groupBy(

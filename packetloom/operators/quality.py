@@ -288,6 +288,3 @@ def schema_groups(headers: DataFrame, file: str = "file", columns: str = "column
     """U6. Files sharing an identical header."""
     return headers.groupBy(F.array_join(columns, ",").alias("header")).agg(
         F.array_join(F.sort_array(F.collect_list(file)), "; ").alias("files"), F.count("*").alias("file_count"))
-
-
-FAMILIES = sorted(set(LABEL_FAMILY.values()))

@@ -236,7 +236,14 @@ REPORTS.add(
 )
 REPORTS.add(
     "snapshot_artifact",
-    lambda s, d: gr.snapshot_artifact(pr.nodes(s, d), pr.edges(s, d), 1000).groupBy("kind").agg(
+    lambda s, d: gr.snapshot_artifact(pr.nodes(s, d), pr.edges(s, d)).filter("kind = 'edge'").groupBy("window_index").agg(
+        F.count("*").alias("edge_rows"), F.sum(F.get_json_object("payload", "$.packet_count").cast("long")).alias("packets")),
+    with_tables(*pr.BASE, pr.EDGES_SQL, select="""SELECT window_index, count(*) AS edge_rows,
+  CAST(sum(packet_count) AS BIGINT) AS packets FROM edges GROUP BY window_index"""),
+)
+REPORTS.add(
+    "snapshot_summary",
+    lambda s, d: gr.snapshot_summary(pr.nodes(s, d), pr.edges(s, d)).groupBy("kind").agg(
         F.count("*").alias("windows"),
         F.sum(F.get_json_object("payload", "$.edge_count").cast("long")).alias("edge_rows")),
     with_tables(*pr.BASE, pr.EDGES_SQL, select="""SELECT 'summary' AS kind, count(DISTINCT window_index) AS windows,

@@ -304,7 +304,7 @@ logs AS (SELECT *, CASE WHEN regexp_matches(lower(raw_log), 'attack|injection|un
 
 
 def logs(s, d):
-    return al.log_entries(log_lines(s, d), "value", "id", "ts")
+    return al.log_entries(log_lines(s, d), "value", "id", "ts", message_length=500)
 
 
 REPORTS.add("log_entries", logs, with_tables(LOGS_SQL, select="SELECT * FROM logs"))

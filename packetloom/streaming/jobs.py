@@ -94,6 +94,9 @@ def sliding_scan(events: DataFrame, history: str = "200 seconds", stride: str =
 class RecentEvents(StatefulProcessor):
     """M3. Keeps the newest events of a stream key, whatever order batches bring them in."""
 
+    def __init__(self, n: int = BUFFER_SIZE) -> None:
+        self.n = n
+
     def init(self, handle) -> None:
         self.buffer = handle.getListState("recent", "created_at long, event_id long, payload string")
 
@@ -101,7 +104,7 @@ class RecentEvents(StatefulProcessor):
         kept = list(self.buffer.get()) if self.buffer.exists() else []
         for frame in rows:
             kept += list(frame[["created_at", "event_id", "payload"]].itertuples(index=False, name=None))
-            kept = sorted(kept, key=lambda r: (r[0], r[1]))[-BUFFER_SIZE:]
+            kept = sorted(kept, key=lambda r: (r[0], r[1]))[-self.n:]
         self.buffer.put(kept)
         yield pd.DataFrame({
             "stream_key": [key[0]], "events": [len(kept)], "oldest_id": [int(kept[0][1])], "newest_id": [int(kept[-1][1])]})
