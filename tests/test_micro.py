@@ -198,3 +198,11 @@ def test_stage_narrative(spark):
     row = one(spark.range(1).select(lb.stage_narrative(F.array(F.lit(0), F.lit(4))).alias("t"),
                                     lb.stage_narrative(F.array(F.lit(0), F.lit(0))).alias("q")))
     assert row["t"].startswith("- **T+2**: Lateral Movement (TA0008)") and row["q"].startswith("All forecast windows")
+
+
+def test_components_of_a_long_chain(spark):
+    """Longer than any fixed number of rounds would bring one hop each."""
+    from packetloom.operators.paths import weak_components
+
+    chain = spark.range(300).selectExpr("(id * 7) % 301 AS src", "((id + 1) * 7) % 301 AS dst")
+    assert weak_components(chain).select("component").distinct().collect() == [(0,)]
