@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordered import beside
+
 # Event type -> destination port, TCP flag bits, flag text.
 EVENT_PORTS = {"click": 443, "view": 80, "purchase": 8443, "signup": 21, "error": 22}
 EVENT_FLAG_BITS = {"click": 2, "purchase": 18, "error": 20}
@@ -94,20 +96,20 @@ packets AS (
 
 
 def peer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host -> host edges over a shared node space, for path and centrality operators."""
+    """User -> user edges of every event; users are the nodes, so the graph grows with the table."""
     events = table(spark, sf_dir, "events")
+    counted = beside(events.select("user_id", event_number().alias("k")), events.agg((F.max("user_id") + 1).alias("users")))
     return (
-        events.filter((F.col("event_type") == "error") & (F.col("value") > 90))
-        .select((F.col("user_id") % 60).alias("src"), ((F.col("user_id") * 7 + event_number()) % 60).alias("dst"))
+        counted.select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("k")) % F.col("users")).alias("dst"))
         .groupBy("src", "dst").agg(F.count("*").alias("weight"))
     )
 
 
 PEER_EDGES_SQL = """
 peer_edges AS (
-  SELECT user_id % 60 AS src, (user_id * 7 + CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)) % 60 AS dst,
-    count(*) AS weight
-  FROM events WHERE event_type = 'error' AND value > 90 GROUP BY 1, 2)"""
+  SELECT user_id AS src, (user_id * 7 + CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT))
+      % (SELECT max(user_id) + 1 FROM events) AS dst, count(*) AS weight
+  FROM events GROUP BY 1, 2)"""
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

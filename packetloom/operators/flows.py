@@ -93,7 +93,7 @@ def segment_flows(
     )
 
 
-def _flow_statistics(ts: str, first_columns: Sequence[str]) -> list:
+def _flow_statistics(ts: str, first_columns: Sequence[str], tie_break: Sequence[str] = ()) -> list:
     spread = {"ttl": "ttl", "tcp_window": "tcp_window_size"}
     return [
         F.min(ts).alias("flow_start"),
@@ -108,7 +108,8 @@ def _flow_statistics(ts: str, first_columns: Sequence[str]) -> list:
         *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{n}_std") for n, c in spread.items()],
         # Flag combinations come from eight bits, so the set stays small.
         F.size(F.collect_set("tcp_flags")).cast("long").alias("unique_tcp_flags"),
-        *[F.min_by(c, ts).alias(c) for c in first_columns],
+        # One least packet gives all of them, so equal times never mix two packets.
+        *[F.min(F.struct(ts, *tie_break, *first_columns)).getField(c).alias(c) for c in first_columns],
     ]
 
 
@@ -130,25 +131,27 @@ def session_flows(
     ts: str = "timestamp",
     timeout_seconds: int = 60,
     first_columns: Sequence[str] = ("source_type",),
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """W1 + A1 + A2 in one scan and one shuffle: one row per key and session (without the median).
 
     A gap splits when its whole seconds exceed the timeout, hence the session gap of one second less
     one microsecond more. With ``spark.sql.sessionWindow.merge.sessions.in.local.partition`` sessions
-    merge before the shuffle, so a hot key sends sessions instead of packets.
+    merge before the shuffle, so a hot key sends sessions instead of packets. ``first_columns`` come
+    from one packet, the first by time, then ``tie_break``, then their own values.
     """
     if timeout_seconds <= 0:
         raise ValueError("timeout_seconds must be greater than zero")
     gap = F.session_window(F.col(ts), f"{timeout_seconds}.999999 seconds")
     flows = packets.filter(F.col(ts).isNotNull()).groupBy(*keys, gap.alias("__session")).agg(
-        *_flow_statistics(ts, first_columns))
+        *_flow_statistics(ts, first_columns, tie_break))
     return with_rates(flows.drop("__session"))
 
 
 def aggregate_flows(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp",
-                    first_columns: Sequence[str] = ("source_type",)) -> DataFrame:
+                    first_columns: Sequence[str] = ("source_type",), tie_break: Sequence[str] = ()) -> DataFrame:
     """A1 + A2 over packets numbered by :func:`segment_flows`."""
-    return with_rates(segmented.groupBy(*keys, "flow_segment").agg(*_flow_statistics(ts, first_columns)))
+    return with_rates(segmented.groupBy(*keys, "flow_segment").agg(*_flow_statistics(ts, first_columns, tie_break)))
 
 
 def flow_medians(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp") -> DataFrame:
@@ -206,10 +209,10 @@ def build_flows(packets: DataFrame, keys: Sequence[str] = FLOW_KEYS, timeout_sec
     if with_median:
         segmented = segment_flows(prepared, keys, "timestamp", tie_break, timeout_seconds, bucket_seconds)
         medians = flow_medians(segmented, keys)
-        flows = aggregate_flows(segmented, keys)
+        flows = aggregate_flows(segmented, keys, tie_break=tie_break)
         same = [flows[c].eqNullSafe(medians[c]) for c in (*keys, "flow_segment")]
         flows = flows.join(medians, same, "left").select(*[flows[c] for c in flows.columns], "packet_size_median").drop(
             "flow_segment")
     else:
-        flows = session_flows(prepared, keys, "timestamp", timeout_seconds)
+        flows = session_flows(prepared, keys, "timestamp", timeout_seconds, tie_break=tie_break)
     return add_ratio_features(add_directional_features(flows))

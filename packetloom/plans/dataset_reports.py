@@ -317,15 +317,15 @@ REPORTS.add(
     lambda s, d: ds.merge_packet_states(
         states(s, d).groupBy(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_id")).agg(
             F.sum("flow_count").alias("flow_count"), F.sum("rate__sum").alias("bytes")),
-        rows(s, d).filter("protocol = 'UDP' AND ttl > 60").groupBy(
-            F.date_format("timestamp", "yyyy-MM-dd HH").alias("window_id")).agg(
+        rows(s, d).groupBy(F.concat(
+            F.date_format("timestamp", "yyyy-MM-dd HH"), F.when(F.expr("protocol = 'UDP' AND ttl > 60"), "").otherwise(" other")).alias("window_id")).agg(
             F.count("*").alias("flow_count"), F.max("ttl").alias("max_ttl"))),
     with_tables(*BASE, select="""SELECT f.window_id, CASE WHEN p.window_id IS NOT NULL THEN p.n
   ELSE CAST(f.n AS BIGINT) END AS flow_count, f.bytes, p.max_ttl
   FROM (SELECT strftime(window_start, '%Y-%m-%d %H') AS window_id, sum(flow_count) AS n, sum(rate__sum) AS bytes
         FROM states GROUP BY 1) f
-  LEFT JOIN (SELECT strftime("timestamp", '%Y-%m-%d %H') AS window_id, count(*) AS n, max(ttl) AS max_ttl FROM rows_in
-        WHERE protocol = 'UDP' AND ttl > 60 GROUP BY 1) p USING (window_id)"""),
+  LEFT JOIN (SELECT strftime("timestamp", '%Y-%m-%d %H') || CASE WHEN protocol = 'UDP' AND ttl > 60 THEN '' ELSE ' other' END AS window_id,
+        count(*) AS n, max(ttl) AS max_ttl FROM rows_in GROUP BY 1) p USING (window_id)"""),
 )
 REPORTS.add(
     "canonical_index_check",

@@ -217,12 +217,19 @@ REPORTS.add(
   window_index AS current_window_index, array_to_string(generate_series(window_index - 5, window_index), ',')
   AS history_window_indices FROM labelled WHERE eligible"""),
 )
+def known_hosts(s, d):
+    """The capture with hosts renamed outside TCP, so that some endpoints have no node."""
+    mark = F.when(F.col("protocol") == "TCP", "").otherwise("/udp")
+    return pr.capture(s, d).withColumns({c: F.concat(c, mark) for c in ("src_ip", "dst_ip")})
+
+
 REPORTS.add(
     "dangling_endpoints",
     lambda s, d: gr.dangling_endpoints(
-        pr.edges(s, d), pk.node_window_features(pr.capture(s, d).filter("protocol = 'TCP'")), ["window_index"]),
-    with_tables(*pr.BASE, """known AS (SELECT window_index AS w, src_ip AS n FROM capture WHERE protocol = 'TCP' UNION
-  SELECT window_index, dst_ip FROM capture WHERE protocol = 'TCP')""", select="""SELECT DISTINCT window_index, src_ip, dst_ip FROM capture
+        pr.edges(s, d), pk.node_window_features(known_hosts(s, d)), ["window_index"]),
+    with_tables(*pr.BASE, """
+named AS (SELECT window_index, src_ip, dst_ip, CASE WHEN protocol = 'TCP' THEN '' ELSE '/udp' END AS mark FROM capture),
+known AS (SELECT window_index AS w, src_ip || mark AS n FROM named UNION SELECT window_index, dst_ip || mark FROM named)""", select="""SELECT DISTINCT window_index, src_ip, dst_ip FROM capture
   WHERE NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = src_ip)
     OR NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = dst_ip)"""),
 )

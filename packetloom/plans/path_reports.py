@@ -18,14 +18,14 @@ DEPTH = 10
 
 
 def risk(s, d):
-    """Node risk: the share of error events per peer host."""
+    """Node risk: the share of error events per user."""
     events = adapters.table(s, d, "events")
-    return events.groupBy((F.col("user_id") % 60).alias("node")).agg(
+    return events.groupBy(F.col("user_id").alias("node")).agg(
         (F.count_if(F.col("event_type") == "error") * 2.5 / F.count("*")).alias("risk"))
 
 
 RISK_SQL = """
-risk AS (SELECT user_id % 60 AS node, count(*) FILTER (event_type = 'error') * 2.5 / count(*) AS raw_risk,
+risk AS (SELECT user_id AS node, count(*) FILTER (event_type = 'error') * 2.5 / count(*) AS raw_risk,
   least(1, count(*) FILTER (event_type = 'error') * 2.5 / count(*)) AS risk FROM events GROUP BY 1)"""
 NODES_SQL = "vertices AS (SELECT src AS node FROM peer_edges UNION SELECT dst FROM peer_edges)"
 # Shortest distances and path counts from walk counts: the first length with a walk is the distance.

@@ -325,10 +325,12 @@ REPORTS.add(
 REPORTS.add(
     "model_alignment",
     lambda s, d: sc.alignment_check(
-        SCORES(s, d).filter("score < 0.75"),
-        SCORES(s, d).filter("score >= 0.02").withColumn("label", F.when(F.col("score").between(0.5, 0.51), 2).otherwise(
+        SCORES(s, d).withColumn("event_id", F.when(F.col("score") < 0.75, F.col("event_id")).otherwise(-1 - F.col("event_id"))),
+        SCORES(s, d).withColumn("event_id", F.when(F.col("score") >= 0.02, F.col("event_id")).otherwise(
+            F.col("event_id") + 10 ** 15)).withColumn("label", F.when(F.col("score").between(0.5, 0.51), 2).otherwise(
             F.col("label"))), ["source_file", "event_id"]),
-    with_tables(SCORES_SQL, select="""SELECT count(*) FILTER (score < 0.02) AS only_left, count(*) FILTER (score >= 0.75) AS only_right,
+    with_tables(SCORES_SQL, select="""SELECT count(*) FILTER (score < 0.02 OR score >= 0.75) AS only_left,
+  count(*) FILTER (score < 0.02 OR score >= 0.75) AS only_right,
   count(*) FILTER (score BETWEEN 0.5 AND 0.51) AS label_mismatches, false AS aligned FROM scores"""),
 )
 
@@ -384,23 +386,22 @@ rk AS (SELECT subset, sum(pos / positives * tp / (tp + fp)) AS average_precision
 )
 
 
-def hourly(s, d, event_types):
-    events = adapters.table(s, d, "events").filter(F.col("event_type").isin(event_types))
-    return events.groupBy(F.window("ts", "1 hour").start.alias("window_start")).agg(F.count("*").alias("value"))
+def hourly(s, d, value):
+    events = adapters.table(s, d, "events")
+    return events.groupBy(F.window("ts", "1 hour").start.alias("window_start")).agg(value.alias("value"))
 
 
 HOURLY_SQL = """
-a AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS x FROM events WHERE event_type IN ('click','view','error') GROUP BY 1),
-b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOUR AS w, count(*) AS y FROM events
-  WHERE event_type IN ('click','view','purchase') GROUP BY 1),
+a AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS x FROM events GROUP BY 1),
+b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOUR AS w, sum(user_id) AS y FROM events GROUP BY 1),
 c AS (SELECT h AS offset_hours, count(*) AS overlap, corr(x, y) AS pearson FROM (SELECT unnest([0,1,2,3,4,5,6,7,8]) AS h) o,
   a JOIN b ON b.w = a.w + to_hours(h) GROUP BY 1)"""
 
 
 def correlations(s, d):
-    delayed = hourly(s, d, ["click", "view", "purchase"]).withColumn(
+    delayed = hourly(s, d, F.sum("user_id")).withColumn(
         "window_start", F.col("window_start") + F.expr("INTERVAL 2 HOURS"))
-    return sc.offset_correlations(hourly(s, d, ["click", "view", "error"]), delayed)
+    return sc.offset_correlations(hourly(s, d, F.count("*")), delayed)
 
 
 REPORTS.add("clock_offset_corr", correlations, with_tables(HOURLY_SQL, select="SELECT * FROM c"), doubles=["pearson"])
@@ -415,14 +416,14 @@ REPORTS.add(
 
 
 def clock_events(s, d):
-    return adapters.table(s, d, "events").filter("event_type = 'signup'").select(F.date_trunc("second", "ts").alias("timestamp"))
+    return adapters.table(s, d, "events").select(F.date_trunc("second", "ts").alias("timestamp"))
 
 
 REPORTS.add(
     "clock_offset_vote",
     lambda s, d: sc.clock_offset_votes(
         clock_events(s, d).withColumn("timestamp", F.col("timestamp") - F.expr("INTERVAL 4 HOURS")), clock_events(s, d)),
-    """WITH p AS (SELECT epoch(date_trunc('second', ts))::BIGINT % 86400 AS t FROM events WHERE event_type = 'signup'),
+    """WITH p AS (SELECT epoch(date_trunc('second', ts))::BIGINT % 86400 AS t FROM events),
 l AS (SELECT (t - 14400 + 86400) % 86400 AS t FROM p),
 v AS (SELECT h AS offset_hours, count(*) FILTER ((l.t + h * 3600) % 86400 IN (SELECT t FROM p)) AS matches
   FROM l, (SELECT unnest(generate_series(0, 12)) AS h) GROUP BY 1)
