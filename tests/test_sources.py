@@ -44,11 +44,53 @@ def test_classic_captures(spark, tmp_path, order, nano, fraction):
 
 
 def test_other_files_are_refused(spark, tmp_path):
-    (tmp_path / "x.pcap").write_bytes(b"\x0a\x0d\x0d\x0arest")
-    with pytest.raises(Exception, match="not a classic capture"):
+    (tmp_path / "x.pcap").write_bytes(b"any other text")
+    with pytest.raises(Exception, match="no capture file"):
         cp.read_capture_frames(spark, str(tmp_path)).count()
 
 
+def test_cut_records_are_parse_errors(spark, tmp_path):
+    whole = capture([(100, 0, frame()), (101, 0, frame())])
+    (tmp_path / "body.pcap").write_bytes(whole[:-5])
+    (tmp_path / "head.pcap").write_bytes(whole + b"\0" * 7)
+    (tmp_path / "bare.pcap").write_bytes(whole[:9])
+    frames = cp.decode_frames(cp.read_capture_frames(spark, str(tmp_path)))
+    found = {(r["path"].rsplit("/", 1)[1], r["parse_status"]): r["n"] for r in
+             frames.groupBy("path", "parse_status").agg(F.count("*").alias("n")).collect()}
+    assert found == {("body.pcap", "ok"): 1, ("body.pcap", "parse_error"): 1, ("head.pcap", "ok"): 2,
+                     ("head.pcap", "parse_error"): 1, ("bare.pcap", "parse_error"): 1}
+
+
+def block(order, kind, body):
+    body += b"\0" * (-len(body) % 4)
+    size = struct.pack(order + "I", len(body) + 12)
+    return struct.pack(order + "I", kind) + size + body + size
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_block_captures_and_link_types(spark, tmp_path, order):
+    whole = frame()
+    ip = whole[14:]
+    nanos = struct.pack(order + "HHB3xHH", 9, 1, 9, 0, 0)  # time option: 10^-9
+    links = [(1, nanos), (101, b""), (113, b""), (276, b""), (0, b""), (999, b"")]
+    data = block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    data += b"".join(block(order, 1, struct.pack(order + "HHI", link, 0, 0) + options) for link, options in links)
+    two_tags = whole[:12] + struct.pack(">HHHH", 0x88A8, 5, 0x8100, 6) + whole[12:]
+    bodies = [(0, whole), (0, two_tags), (1, ip), (2, b"\0" * 14 + b"\x08\0" + ip), (3, b"\x08\0" + b"\0" * 18 + ip),
+              (4, b"\2\0\0\0" + ip), (5, whole)]
+    for port, body in bodies:
+        ticks = 7_500_000_000 if port == 0 else 7_500_000
+        data += block(order, 6, struct.pack(order + "IIIII", port, ticks >> 32, ticks & 0xFFFFFFFF, len(body), len(body)) + body)
+    data += block(order, 3, struct.pack(order + "I", len(whole)) + whole) + block(order, 5, b"\0" * 12)
+    data += block(order, 6, struct.pack(order + "IIIII", 77, 0, 0, 0, 0))
+    (tmp_path / "x.pcapng").write_bytes(data + b"\6\0\0")
+    rows = cp.decode_frames(cp.read_capture_frames(spark, str(tmp_path))).orderBy("frame_no").collect()
+    assert [r["parse_status"] for r in rows] == ["ok"] * 6 + ["non_ip", "ok", "parse_error", "parse_error"]
+    assert {(r["src_ip"], r["dst_port"], r["payload_length"]) for r in rows if r["parse_status"] == "ok"} == {("10.0.0.1", 80, 5)}
+    assert {r["timestamp"] for r in rows[:7]} == {dt.datetime(1970, 1, 1, 0, 0, 7, 500_000)}
+    assert rows[7]["timestamp"] is None
+
+
 def test_flag_bits(spark):
     row = spark.range(1).select(*[flag(F.lit(18).cast("long"), f).alias(f) for f in ("fin", "syn", "rst", "ack")]).first()
     assert row.asDict() == {"fin": False, "syn": True, "rst": False, "ack": True}
