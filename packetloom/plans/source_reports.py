@@ -93,15 +93,18 @@ RAW_HEADER = ["Dst Port", "Protocol", "Timestamp", "Tot Fwd Pkts", "Label"]
 
 
 def raw_flows(s, d):
-    path, i = scratch(s), F.col("event_id")
+    """Raw flow files, each part with a header; those of one site have a quoted first column more."""
+    path, i, header = scratch(s), F.col("event_id"), ",".join(RAW_HEADER)
     cells = F.concat_ws(",", F.col("dst_port").cast("string"), F.col("protocol"), F.when(i % 83 == 0, "bad").otherwise(
         F.date_format("timestamp", DAY_FIRST)), i.cast("string"), F.col("label"))
-    rows = adapters.packets(s, d).select("source_file", F.when(i % 97 == 0, F.concat(cells, F.lit(",extra"))).when(
-        i % 89 == 0, ",".join(RAW_HEADER)).otherwise(cells).alias("value"))
-    for site in range(4):
-        head = s.createDataFrame([(",".join(RAW_HEADER),)], "value string")
-        head.unionAll(rows.filter(F.col("source_file") == f"site-{site}").select("value")).coalesce(1).write.text(f"{path}/site-{site}")
-    return fc.parse_raw_flows(fc.read_raw_flow_lines(s, [f"{path}/site-{i}" for i in range(4)]), RAW_HEADER)
+    packets = adapters.packets(s, d)
+    for name, chosen, head, start in (("narrow", F.col("source_file") != "site-3", header, F.lit("")),
+                                      ("wide", F.col("source_file") == "site-3", f"Hosts,{header}",
+                                       F.concat(F.lit('"'), F.concat_ws(",", "src_ip", "dst_ip"), F.lit('",')))):
+        rows = packets.filter(chosen).select(F.when(i % 97 == 0, F.concat(start, cells, F.lit(",extra"))).when(
+            i % 89 == 0, head).otherwise(F.concat(start, cells)).alias(head))
+        rows.write.csv(f"{path}/{name}", header=True, sep="\t", quote="\0")
+    return fc.parse_raw_flows(fc.read_raw_flow_lines(s, [f"{path}/narrow", f"{path}/wide"]), RAW_HEADER)
 
 
 REPORTS.add(

@@ -142,6 +142,21 @@ def test_raw_flow_lines(spark, tmp_path):
     assert good.filter("Port = 5").first()["raw_label"] == "B\ufffd"
 
 
+def test_raw_flow_files_of_other_widths(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Port,Timestamp,Label\n1,02/01/2018 10:00:00,Benign\n")
+    (tmp_path / "b.csv").write_text('Flow ID,Label,Timestamp,Port\n"x,""y""",Bot,02/01/2018 10:00:00,2\n,Bot,02/01/2018 10:00:00,3\n'
+                                    '4,02/01/2018 10:00:00,Bot\n')
+    (tmp_path / "c.csv").write_text("Timestamp,Label\n02/01/2018 10:00:00,Bot\n")
+    (tmp_path / "d.csv").write_text('5,02/01/2018 10:00:00,"Web ""x"", y"\n')
+    parsed = fc.parse_raw_flows(fc.read_raw_flow_lines(spark, str(tmp_path)), ["Port", "Timestamp", "Label"])
+    rows = {(r["source_file"], r["Port"], r["raw_label"], r["reason"]) for r in parsed.collect()}
+    assert rows == {("a.csv", "1", "Benign", None), ("b.csv", "2", "Bot", None), ("b.csv", "3", "Bot", None),
+                    ("b.csv", None, "02/01/2018 10:00:00", "malformed_width"), ("c.csv", None, "Bot", None),
+                    ("d.csv", "5", 'Web "x", y', None)}
+    quoted = spark.createDataFrame([('a,"b,c",,"d""e"',), (',x"y,"open',)], "v string").select(fc.split_fields(F.col("v")).alias("f"))
+    assert [r["f"] for r in quoted.collect()] == [["a", "b,c", "", 'd"e'], ["", 'x"y', '"open']]
+
+
 def test_sinks_refuse_to_overwrite(spark, tmp_path):
     table = spark.range(3).withColumn("list", F.array(F.lit(1)))
     for fmt in ("parquet", "json", "csv"):
