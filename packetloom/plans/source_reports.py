@@ -66,9 +66,10 @@ def zeek_cells(s, d):
 def zeek_tsv(s, d):
     path = scratch(s)
     line = F.concat_ws("\t", *[F.col(f"`{c}`") for c in ZEEK])
-    header = s.range(1).select(F.explode(F.array(F.lit("#separator \\x09"), F.lit("#fields\t" + "\t".join(ZEEK)))).alias("value"))
-    header.coalesce(1).write.text(path)
-    zeek_cells(s, d).select(line.alias("value")).write.mode("append").text(path)
+    head = F.array(F.lit("#separator \\x09"), F.lit("#fields\t" + "\t".join(ZEEK)), F.col("value"))
+    opens_file = F.monotonically_increasing_id() % 2**33 == 0  # the first row of a partition
+    rows = zeek_cells(s, d).select(line.alias("value"), opens_file.alias("opens"))
+    rows.select(F.explode(F.when(F.col("opens"), head).otherwise(F.array("value"))).alias("value")).write.text(path)
     return zeek_columns(zk.read_zeek(s, path, "tsv"))
 
 

@@ -128,6 +128,21 @@ def test_zeek(spark, tmp_path):
         zk.read_zeek(spark, str(tmp_path / "conn.log"), "xml")
 
 
+def test_zeek_folder(spark, tmp_path):
+    """Each file of a folder has its own type and its own #fields line."""
+    (tmp_path / "a.log").write_text(ZEEK)
+    (tmp_path / "b.log").write_text("#fields\torig_pkts\tid.resp_h\tts\tid.orig_h\n7\td\t3.5\tc\n")
+    (tmp_path / "c d.json").write_text('{"ts": 4.5, "id.orig_h": "e", "orig_pkts": 2, "resp_pkts": 2}\n{"ts": 5.5, "orig_pkts": 2}\n')
+    rows = zk.read_zeek(spark, str(tmp_path)).orderBy("timestamp").collect()
+    assert [(r["src_ip"], r["dst_ip"], r["packet_count"]) for r in rows] == [
+        ("a", "b", 3), ("a", "b", None), ("c", "d", 7), ("e", None, 4), (None, None, None)]
+    with pytest.raises(ValueError, match="cannot tell"):
+        zk.detect_zeek_type(spark, str(tmp_path))
+    (tmp_path / "b.log").write_text("#fields\tts\n1.0\n#fields\tproto\nudp\n")
+    with pytest.raises(ValueError, match="lines differ"):
+        zk.read_zeek(spark, str(tmp_path))
+
+
 def test_raw_flow_lines(spark, tmp_path):
     (tmp_path / "day.csv").write_bytes("\ufeffPort,Timestamp,Label\r\n1,02/01/2018 08:00:00,Benign\r\nPort,Timestamp,Label\r\n2,xx,Bot\r\n"
                                        "3,05/01/1970 00:00:00,Bot\r\n4,02/01/2018 08:00:00\r\n".encode() + b"5,02/01/2018 09:00:00,B\xff\r\n")
