@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import distinct_with_null, finite_double
-from packetloom.operators.ordered import beside
+from packetloom.operators.ordered import beside, row_index
 from packetloom.operators.windows import window_start
 from packetloom.session import cut_lineage
 
@@ -130,23 +130,19 @@ def window_churn(members: DataFrame, element: Sequence[str], total_windows: Data
     """W20 + W21 + U4. Appearing, vanishing and kept elements against the previous window index.
 
     ``members`` lists (window_index, element...); ``total_windows`` is a one-row table with
-    ``total_windows``. A member's neighbouring windows come from its own sorted appearances, so
-    windows are never compared as sets. Windows 1 .. n-1 are all reported; Jaccard is NULL if both
-    sides are empty.
+    ``total_windows``. Each membership counts for its own window and, as a prior one, for the next;
+    both meet per (window, element), so an element of every window is never one task. Windows
+    1 .. n-1 are all reported; Jaccard is NULL if both sides are empty.
     """
-    present = members.select("window_index", *element).distinct()
-    along = Window.partitionBy(*element).orderBy("window_index")
-    here = F.col("window_index")
-    placed = present.withColumns({
-        "__kept": F.coalesce(F.lag("window_index").over(along) == here - 1, F.lit(False)),
-        "__gone": F.coalesce(F.lead("window_index").over(along) > here + 1, F.lit(True)),
-    })
-    now = F.struct(here.alias("window_index"), F.lit(1).alias("size"), (~F.col("__kept")).cast("int").alias("new"),
-                   F.col("__kept").cast("int").alias("kept"), F.lit(0).alias("gone"), F.lit(0).alias("prior"))
-    after = F.struct((here + 1).alias("window_index"), F.lit(0).alias("size"), F.lit(0).alias("new"),
-                     F.lit(0).alias("kept"), F.col("__gone").cast("int").alias("gone"), F.lit(1).alias("prior"))
-    counts = placed.select(F.explode(F.array(now, after)).alias("m")).select("m.*").groupBy("window_index").agg(
-        *[F.sum(c).alias(c) for c in ("size", "new", "kept", "gone", "prior")])
+    here, yes, no = F.col("window_index"), F.lit(1), F.lit(0)
+    marks = F.array(F.struct(here.alias("window_index"), yes.alias("__here"), no.alias("__prior")),
+                    F.struct((here + 1).alias("window_index"), no.alias("__here"), yes.alias("__prior")))
+    met = members.select(*element, F.explode(marks).alias("__m")).select(*element, "__m.*").groupBy("window_index", *element).agg(
+        F.max("__here").alias("__here"), F.max("__prior").alias("__prior"))
+    now, before = F.col("__here"), F.col("__prior")
+    counts = met.groupBy("window_index").agg(
+        F.sum(now).alias("size"), F.sum(before).alias("prior"), F.sum(now * before).alias("kept"),
+        F.sum(now * (1 - before)).alias("new"), F.sum(before * (1 - now)).alias("gone"))
     grid = total_windows.filter("total_windows > 1").select(F.explode(F.sequence(
         F.lit(1).cast("long"), F.col("total_windows").cast("long") - 1)).alias("window_index"))
     full = grid.join(counts, "window_index", "left").na.fill(0, ["size", "new", "kept", "gone", "prior"])
@@ -158,9 +154,8 @@ def window_churn(members: DataFrame, element: Sequence[str], total_windows: Data
 def longest_run(window_indices: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """W22. Longest run of consecutive non-empty window indices (gaps and islands over windows)."""
     distinct = window_indices.select(*keys, "window_index").distinct()
-    position = F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy("window_index"))
-    runs = distinct.withColumn("__island", F.col("window_index") - position).groupBy(*keys, "__island").agg(
-        F.count("*").alias("n"))
+    placed = row_index(distinct, keys, ["window_index"], F.floor(F.col("window_index") / 4096), "__position")
+    runs = placed.groupBy(*keys, (F.col("window_index") - F.col("__position")).alias("__island")).agg(F.count("*").alias("n"))
     return runs.groupBy(*keys).agg(F.max("n").alias("longest_run"), F.sum("n").alias("non_empty_windows"))
 
 
