@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import distinct_with_null, safe_ratio
 from packetloom.operators.ordered import BUCKET, KEY, epoch_micros, group_key, grouped_percentiles, time_bucket
+from packetloom.session import cut_lineage
 
 FLOW_KEYS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
@@ -148,6 +149,13 @@ def session_flows(
     return with_rates(flows.drop("__session"))
 
 
+def numbered_packets(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp",
+                     extra: Sequence[str] = ("source_type",)) -> DataFrame:
+    """What :func:`aggregate_flows` and :func:`flow_medians` read of the numbered packets, written once for both."""
+    columns = [*keys, ts, *extra, "flow_segment", "packet_count", "byte_count", "ttl", "tcp_window_size", "tcp_flags"]
+    return cut_lineage(segmented.select(*dict.fromkeys(columns)))
+
+
 def aggregate_flows(segmented: DataFrame, keys: Sequence[str] = FLOW_KEYS, ts: str = "timestamp",
                     first_columns: Sequence[str] = ("source_type",), tie_break: Sequence[str] = ()) -> DataFrame:
     """A1 + A2 over packets numbered by :func:`segment_flows`."""
@@ -208,6 +216,7 @@ def build_flows(packets: DataFrame, keys: Sequence[str] = FLOW_KEYS, timeout_sec
     prepared = prepare_events(packets)
     if with_median:
         segmented = segment_flows(prepared, keys, "timestamp", tie_break, timeout_seconds, bucket_seconds)
+        segmented = numbered_packets(segmented, keys, extra=("source_type", *tie_break))
         medians = flow_medians(segmented, keys)
         flows = aggregate_flows(segmented, keys, tie_break=tie_break)
         same = [flows[c].eqNullSafe(medians[c]) for c in (*keys, "flow_segment")]

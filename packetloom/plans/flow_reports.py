@@ -81,7 +81,7 @@ def source_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered flows with the exact median packet size."""
-    segmented = segments(spark, sf_dir)
+    segmented = fl.numbered_packets(segments(spark, sf_dir), KEYS)
     return fl.aggregate_flows(segmented, KEYS).join(fl.flow_medians(segmented, KEYS), [*KEYS, "flow_segment"])
 
 
