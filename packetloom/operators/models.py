@@ -91,7 +91,7 @@ def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: boo
         raise ValueError(f"two classes are needed, the samples hold {sorted(counts)}")
     weight = F.lit(1.0)
     if balanced:
-        weight = F.when(F.col("label") == 1, total / (2 * counts.get(1.0, 1))).otherwise(total / (2 * counts.get(0.0, 1)))
+        weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
     learner = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(total, 1)), standardization=False,
                                  maxIter=max_iter, tol=1e-7)
     model = learner.fit(rows.withColumn("weight", weight))

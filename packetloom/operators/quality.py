@@ -137,7 +137,7 @@ def feature_quality(states: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def temporal_invariants(labelled: DataFrame, features: Sequence[str], source: str = "source_file", window_seconds: int = 10,
                         history: int = 6, horizon: int = 6) -> DataFrame:
-    """Q9. Per source: unique contiguous windows, no 1970, finite features, labels and eligibility recomputed."""
+    """Q9. Per source: unique contiguous windows, no 1970, one day, finite features, labels and eligibility recomputed."""
     from packetloom.operators.dataset import split_for
     from packetloom.operators.ordered import epoch_micros, owned_rows, with_halo
 
@@ -152,7 +152,9 @@ def temporal_invariants(labelled: DataFrame, features: Sequence[str], source: st
     finite = F.forall(F.array(*[F.col(c).cast("double") for c in features]), lambda v: is_finite(v))
     return checked.groupBy(source).agg(
         F.bool_and(F.coalesce(F.col("__step") == window_seconds * 1_000_000, F.lit(True))).alias("sorted_unique"),
-        F.bool_and(F.year("window_start") != 1970).alias("no_1970"), F.bool_and(finite).alias("all_finite"),
+        F.bool_and(F.year("window_start") != 1970).alias("no_1970"),
+        (F.min(F.to_date("window_start")) == F.max(F.to_date("window_start"))).alias("single_day"),
+        F.bool_and(finite).alias("all_finite"),
         F.bool_and(F.col("__future") == F.col("future_attack_within_horizon")).alias("future_label_matches"),
         F.bool_and(eligible == F.col("forecast_sample_eligible")).alias("eligibility_matches"))
 

@@ -233,13 +233,25 @@ known AS (SELECT window_index AS w, src_ip || mark AS n FROM named UNION SELECT
   WHERE NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = src_ip)
     OR NOT EXISTS (SELECT 1 FROM known WHERE w = window_index AND n = dst_ip)"""),
 )
+def faulty_graph(s, d):
+    """The item graph with planted faults, some for each check."""
+    edges = item_edges(s, d).withColumn("cents__sum", F.when(F.col("quantity__sum") <= 40, F.col("cents__sum")).otherwise(
+        F.lit(float("nan"))))
+    states = flow_edges(s, d).groupBy("ship_year").agg((F.count("*") + F.col("ship_year") % 2).alias("flow_count"))
+    index = F.col("current_window_index")
+    return (edges, item_nodes(s, d).filter(~F.col("node").endswith("7")), states.filter("ship_year % 3 > 0"),
+            gr.sample_index(dr.labelled(s, d)).withColumn("current_window_index", F.when(index % 4 > 0, index).otherwise(index + 1)))
+
+
 REPORTS.add(
     "graph_validation",
-    lambda s, d: gr.validate_graph(
-        item_edges(s, d), item_nodes(s, d), flow_edges(s, d).groupBy("ship_year").agg(F.count("*").alias("flow_count")),
-        gr.sample_index(dr.labelled(s, d)), ["ship_year"], ["quantity__sum", "cents__sum"]),
-    """SELECT unnest(['flow_reconciliation', 'snapshot_in_index', 'endpoints_present', 'finite_values', 'history_mapping'])
-  AS "check", CAST(0 AS BIGINT) AS violations""",
+    lambda s, d: gr.validate_graph(*faulty_graph(s, d), ["ship_year"], ["quantity__sum", "cents__sum"]),
+    with_tables(ITEM_EDGES_SQL, *dr.LABELLED, "years AS (SELECT DISTINCT ship_year FROM items)", select="""
+SELECT 'flow_reconciliation' AS "check", count(*) AS violations FROM years WHERE ship_year % 2 = 1 AND ship_year % 3 > 0
+UNION ALL SELECT 'snapshot_in_index', count(*) FROM years WHERE ship_year % 3 = 0
+UNION ALL SELECT 'endpoints_present', count(*) FROM item_edges WHERE src_ip LIKE '%7' OR dst_ip LIKE '%7'
+UNION ALL SELECT 'finite_values', count(*) FROM item_edges WHERE quantity__sum > 40
+UNION ALL SELECT 'history_mapping', count(*) FROM labelled WHERE eligible AND window_index % 4 = 0"""),
 )
 REPORTS.add(
     "snapshot_artifact",

@@ -131,8 +131,9 @@ c AS (SELECT feature, v, count(*) AS n FROM long GROUP BY 1, 2)""", select="""SE
 )
 REPORTS.add(
     "temporal_invariants", lambda s, d: q.temporal_invariants(dr.labelled(s, d), CHECKED, window_seconds=3600),
-    with_tables(*dr.BASE, select="""SELECT DISTINCT source_file, true AS sorted_unique, true AS no_1970, true AS all_finite,
-  true AS future_label_matches, true AS eligibility_matches FROM timeline"""),
+    with_tables(*dr.BASE, select="""SELECT source_file, true AS sorted_unique, bool_and(year(window_start) <> 1970) AS no_1970,
+  count(DISTINCT CAST(window_start AS DATE)) = 1 AS single_day, true AS all_finite,
+  true AS future_label_matches, true AS eligibility_matches FROM timeline GROUP BY 1"""),
 )
 REPORTS.add(
     "duplicate_states",
