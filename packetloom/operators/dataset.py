@@ -249,7 +249,7 @@ def walk_forward_check(labelled: DataFrame, source: str = "source_file") -> Data
                  & (F.col("validation_last") < F.col("test_first")))
 
 
-def build_summary(labelled: DataFrame, source: str = "source_file") -> DataFrame:
+def build_summary(labelled: DataFrame, source: str = "source_file", horizon: int = 6) -> DataFrame:
     """A29. Window and sample counts per source and, in the row with NULL source, overall."""
     eligible = F.col("forecast_sample_eligible")
 
@@ -263,6 +263,7 @@ def build_summary(labelled: DataFrame, source: str = "source_file") -> DataFrame
         count_of(F.col("future_attack_within_horizon") == 1).alias("future_attack_positive_windows"),
         count_of(F.col("future_attack_within_horizon") == 0).alias("future_attack_negative_windows"),
         F.min("window_start").alias("earliest_window"), F.max("window_start").alias("latest_window"),
+        count_of(F.col("window_index") + horizon >= F.col("window_count")).alias("incomplete_future_horizon_windows"),
         count_of(eligible).alias("valid_forecasting_samples"),
         *[count_of(eligible & (F.col("split") == s)).alias(f"{s}_windows") for s in ("train", "validation", "test")],
     )

@@ -125,8 +125,13 @@ def owned_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(OWNED).drop(BLOCK, OWNED)
 
 
+def value_buckets(written: DataFrame, rows_per_bucket: int = 2_000_000, least: int = 64) -> int:
+    """Buckets for a written table, so that one holds about ``rows_per_bucket`` rows however many there are."""
+    return max(least, -(-written.count() // rows_per_bucket))
+
+
 def add_value_bucket(values: DataFrame, column: str, name: str = "__vb", buckets: int = 64,
-                     sample: int = 8192) -> DataFrame:
+                     sample_per_bucket: int = 128) -> DataFrame:
     """Add an order-preserving bucket number with roughly equal distinct values per bucket.
 
     The cut points are quantiles of the values with the smallest hashes: a bounded sample that is
@@ -137,7 +142,7 @@ def add_value_bucket(values: DataFrame, column: str, name: str = "__vb", buckets
         values.select(F.col(column).cast("double").alias("v"))
         .distinct()
         .orderBy(F.xxhash64("v"), "v")
-        .limit(sample)
+        .limit(sample_per_bucket * buckets)
     )
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = picked.agg(F.coalesce(F.percentile("v", steps), F.array().cast("array<double>"))).scalar()
@@ -157,7 +162,7 @@ def grouped_percentiles(
     """
     counts = cut_lineage(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")))
     ranked = running_totals(
-        add_value_bucket(counts, value), keys, [F.col(value)], F.col("__vb"), {"__cum": F.col("__n")}
+        add_value_bucket(counts, value, buckets=value_buckets(counts)), keys, [F.col(value)], F.col("__vb"), {"__cum": F.col("__n")}
     ).withColumn(KEY, group_key(keys))
     sizes = ranked.groupBy(KEY).agg(F.sum("__n").alias("__size"))
     placed = ranked.join(sizes, KEY)

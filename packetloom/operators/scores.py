@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import bind
 from packetloom.operators.ordered import (
-    add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals,
+    add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals, value_buckets,
 )
 from packetloom.session import cut_lineage
 
@@ -30,6 +30,11 @@ def _ratio(numerator: Column, denominator: Column, otherwise: Column | None = No
     return value.otherwise(F.lit(0.0) if otherwise is None else otherwise)
 
 
+def _one_row(df: DataFrame) -> DataFrame:
+    """A row without columns, so that fixed grids exist for empty inputs too."""
+    return df.sparkSession.range(1, numPartitions=1).select()
+
+
 def rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     """E15. Precision, recall, F1 and false-positive rate, 0 on an empty denominator."""
     return {
@@ -49,13 +54,13 @@ def score_ladder(rows: DataFrame, keys: Sequence[str] = (), score: str = "score"
         F.sum(F.when(F.col(label) == 1, 0).otherwise(unit)).alias("neg"))
     counts = cut_lineage(counts)
     if candidates:
-        extra = counts.select(*keys).distinct() if keys else counts.limit(1).select()
+        extra = counts.select(*keys).distinct() if keys else _one_row(counts)
         added = extra.select(*keys, F.explode(F.array(*[F.lit(float(c)) for c in candidates])).alias("threshold"),
                              F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
         counts = cut_lineage(counts.unionByName(added).groupBy(*keys, "threshold").agg(
             F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     ladder = running_totals(
-        add_value_bucket(counts, "threshold"), keys, [F.desc("threshold")], -F.col("__vb"),
+        add_value_bucket(counts, "threshold", buckets=value_buckets(counts)), keys, [F.desc("threshold")], -F.col("__vb"),
         {"tp": F.col("pos"), "fp": F.col("neg")}).drop("__vb")
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     if not keys:
@@ -247,7 +252,7 @@ def stage_confusion(rows: DataFrame, keys: Sequence[str] = (), true: str = "true
 def class_metrics(table: DataFrame, keys: Sequence[str] = (), true: str = "true", predicted: str = "predicted",
                   classes: int = 6) -> DataFrame:
     """E27. Precision, recall, F1 and support for every class 0..classes-1 from a confusion table."""
-    base = table.select(*keys).distinct() if keys else table.limit(1).select()
+    base = table.select(*keys).distinct() if keys else _one_row(table)
     every = base.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("class"), F.lit(0).alias("n_true"),
                         F.lit(0).alias("n_pred"), F.lit(0).alias("hit"))
     as_true = table.select(*keys, F.col(true).alias("class"), F.col("n").alias("n_true"), F.lit(0).alias("n_pred"),
@@ -348,7 +353,7 @@ def detection_by_first_step(rows: DataFrame, threshold: float, step: str = "futu
     found = rows.groupBy(step).agg(
         F.count("*").alias("samples"), F.avg(score).alias("mean_score"),
         F.avg((F.col(score) >= threshold).cast("double")).alias("positive_rate"))
-    grid = found.limit(1).select().select(F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias(step))
+    grid = _one_row(found).select(F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias(step))
     return grid.join(found.withColumn(step, F.col(step).cast("int")), step, "left").na.fill(0, ["samples"])
 
 

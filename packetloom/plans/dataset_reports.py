@@ -186,6 +186,7 @@ REPORTS.add(
   count(*) FILTER (future_attack_within_horizon = 1) AS future_attack_positive_windows,
   count(*) FILTER (future_attack_within_horizon = 0) AS future_attack_negative_windows,
   min(window_start) AS earliest_window, max(window_start) AS latest_window,
+  count(*) FILTER (window_index + 6 >= window_count) AS incomplete_future_horizon_windows,
   count(*) FILTER (eligible) AS valid_forecasting_samples, count(*) FILTER (eligible AND split = 'train') AS train_windows,
   count(*) FILTER (eligible AND split = 'validation') AS validation_windows,
   count(*) FILTER (eligible AND split = 'test') AS test_windows FROM labelled GROUP BY ROLLUP (source_file)"""),

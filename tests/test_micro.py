@@ -14,6 +14,7 @@ from packetloom.operators import dataset as ds
 from packetloom.operators import flows as fl
 from packetloom.operators import graph as gr
 from packetloom.operators import packets as pk
+from packetloom.operators import scores as sc
 from packetloom.operators import windows as wn
 
 T0 = dt.datetime(2024, 1, 1)
@@ -87,6 +88,14 @@ def test_churn_and_longest_run(spark):
     assert one(gr.longest_run(members))["longest_run"] == 2
 
 
+def test_score_grids_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "score double, label int, future_attack_step int")
+    pick = one(sc.f1_threshold(empty))
+    assert (pick["threshold"], pick["f1"]) == (0.5, 0.0)
+    assert [r["samples"] for r in sc.detection_by_first_step(empty, 0.5).collect()] == [0] * 7
+    assert sc.class_metrics(spark.createDataFrame([], "true int, predicted int, n long")).count() == 6
+
+
 def test_jaccard_undefined_when_both_windows_are_empty(spark):
     members = spark.createDataFrame([(0, "A"), (4, "A")], "window_index long, node string")
     total = spark.createDataFrame([(5,)], "total_windows long")
