@@ -52,6 +52,22 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, byte_ids, min(usual) - UNKNOWN_GAP, text)
 
 
+class _Chunks(dict):
+    """Packed ids by chunk; a short chunk met for the first time is encoded and kept."""
+
+    def __init__(self, viterbi):
+        super().__init__()
+        self.viterbi = viterbi
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.viterbi(chunk), np.int32).tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes texts; built once in each worker from the broadcast vocabulary."""
 
@@ -65,7 +81,7 @@ class Encoder:
         inside = any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
         line = any("\n" in p and len(p) > 1 for p in vocabulary.pieces)
         self.cut = None if inside or line else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.known: dict[str, bytes] = {}
+        self.known = _Chunks(self.viterbi)
 
     def viterbi(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best-scoring split; of equal splits, the one whose last piece is longer.
@@ -110,16 +126,6 @@ class Encoder:
             at -= length
         return found[::-1]
 
-    def _packed(self, chunk: str) -> bytes:
-        ids = self.known.get(chunk)
-        if ids is None:
-            ids = np.array(self.viterbi(chunk), np.int32).tobytes()
-            if len(chunk) <= 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[chunk] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; a leading mark is added and blanks become marks. An empty text has none."""
         if not text:
@@ -130,12 +136,11 @@ class Encoder:
         marked = SPACE + text.replace(" ", SPACE)
         if self.cut is None:
             return np.array(self.viterbi(marked), np.int32)
-        return np.frombuffer(b"".join(map(self._packed, self.cut.findall(marked))), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut.findall(marked))), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of the ids, without the leading blank."""
-        text = self.vocabulary.text
-        return b"".join([text[k] for k in ids.tolist()])[1:]
+        return b"".join(map(self.vocabulary.text.__getitem__, ids.tolist()))[1:]
 
 
 _encoders: dict[int, Encoder] = {}
