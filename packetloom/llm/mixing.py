@@ -106,11 +106,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     gives targets of 0. Columns beyond id, text, source and ``carry`` are not read.
     """
     columns = [F.col(c) for c in carry]
-    sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[c.alias(f"carry_{k}") for k, c in enumerate(columns)],
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"))
-    sized = stored(sized)
+    sized = docs.select(*_sized(id_col, text_col, source_col, seed), *[c.alias(f"carry_{k}") for k, c in enumerate(columns)])
+    both = _streams(stored(sized), weights, share, ceiling, block, shard_rows, seed)
+    return both.select(F.col("id").alias(id_col), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)], "size",
+                       "source_size", F.col("target").cast("double").alias("target"), "taken")
+
+
+def _sized(id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw")]
+
+
+def _streams(sized: DataFrame, weights: Sequence[float], share: float, ceiling: float, block: int, shard_rows: int, seed: int) -> DataFrame:
+    """Adds source_size, target, taken, and ``place``: how far the document begins behind the start of its shard's run, from 0 to 1."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = stored(source_targets(sources, weights, share, ceiling).withColumn(
         "shards", F.ceil(F.col("n_rows") / shard_rows).cast("long")).drop("n_rows"))
@@ -129,7 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         "until", F.col("from") + (F.col("quota") - F.col("rounds") * F.col("blocks")) * block)
     # A run that passes the end goes on at the start of the stream; the last block may be short.
     over = F.greatest(F.lit(0), F.col("until") - F.col("blocks") * block)
-    quotas = quotas.select(F.col("source").alias("of"), F.col("shard").alias("cut"), "rounds", "from",
+    quotas = quotas.select(F.col("source").alias("of"), F.col("shard").alias("cut"), "rounds", "from", "words",
                            F.least("until", "words").alias("until"), over.alias("again"))
     stream = Window.partitionBy(*keys).orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
@@ -139,20 +148,64 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         return F.greatest(F.lit(0), F.least("end", hi) - F.greatest("begin", lo))
 
     taken = F.col("rounds") * F.col("size") + overlap(F.col("from"), F.col("until")) + overlap(F.lit(0), F.col("again"))
-    return both.select(F.col("id").alias(id_col), *[F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)], "size",
-                       "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    place = F.when(F.col("words") > 0, F.pmod(F.col("begin") - F.col("from"), F.col("words")) / F.col("words")).otherwise(0.0)
+    return both.withColumn("taken", taken.cast("long")).withColumn("place", place)
+
+
+def _running(rows: DataFrame, bucket: Column, order: Sequence[Column]) -> DataFrame:
+    """Adds ``ahead``: words of the rows before each in its source; one row per bucket carries the sum across borders."""
+    rows = rows.withColumn("b", bucket)
+    sums = rows.groupBy("source", "b").agg(F.sum("size").alias("words"))
+    carried = sums.withColumn("carried", F.sum("words").over(Window.partitionBy("source").orderBy("b")) - F.col("words")).select(
+        F.col("source").alias("of"), F.col("b").alias("at"), "carried")
+    inside = F.sum("size").over(Window.partitionBy("source", "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("inside", inside).join(carried, F.col("source").eqNullSafe(F.col("of")) & (F.col("b") == F.col("at"))).withColumn(
+        "ahead", F.col("carried") + F.col("inside") - F.col("size")).drop("of", "at", "b", "carried", "inside")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix with all their columns: as many copies as the nearest whole number to taken / size.
+def whole_copies(streams: DataFrame, bucket_rows: int = 512) -> DataFrame:
+    """(n, copies) of documents with words: 0 to 2 whole copies, so that each source keeps the words that its blocks have.
 
-    Fewer than half of a document's words in the mix leave it out; documents without words go.
+    All documents of a source get the whole number of rounds. The words left go to documents by ``place``, that
+    is to those that begin in the runs of blocks, whatever their length; the one at the end of the words is taken
+    if that comes nearer. What is then missing (or too much) goes to the next documents after (or before) that
+    end which bring the sum nearer, again until none does.
+    """
+    rows = streams.filter("size > 0").select("n", "source", "size", "taken", "place", "draw")
+    sums = rows.groupBy("source").agg(F.sum("taken").alias("goal"), F.sum("size").alias("all"), F.count("*").alias("n_rows"))
+    sums = sums.select(F.col("source").alias("of"), F.floor(F.col("goal") / F.col("all")).alias("base"), F.pmod("goal", "all").alias("extra"),
+                       F.ceil(F.col("n_rows") / bucket_rows).alias("buckets"))
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of"))).drop("of", "taken")
+    laid = _running(rows.withColumn("bucket", F.floor(F.col("place") * F.col("buckets"))), F.col("bucket"), [F.col("place"), F.col("draw"), F.col("n")])
+    laid = stored(laid.withColumn("chosen", F.col("ahead") + F.col("size") / 2 <= F.col("extra")).withColumnRenamed("ahead", "at_word").drop("place", "draw"))
+    while True:
+        left = laid.groupBy("source").agg((F.first("extra") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("left"))
+        near = laid.join(left.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").filter(
+            (F.col("chosen") == (F.col("left") < 0)) & (F.col("size") < 2 * F.abs("left")))
+        sign = F.signum("left")
+        order = F.col("at_word") * sign
+        moved = stored(_running(near, F.col("bucket") * sign, [order, F.col("n") * sign]).filter(
+            F.col("ahead") + F.col("size") / 2 <= F.abs("left")).select("n", F.lit(True).alias("moved")))
+        if moved.isEmpty():
+            return laid.select("n", (F.col("base") + F.col("chosen").cast("long")).cast("int").alias("copies"))
+        laid = stored(laid.join(moved, "n", "left").withColumn("chosen", F.col("chosen") != F.col("moved").isNotNull()).drop("moved"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, block: int = 16,
+                    shard_rows: int = 512, seed: int = 17) -> DataFrame:
+    """The documents of the mix with all their columns, each in 0, 1 or 2 whole copies by ``whole_copies``.
+
+    A source ends nearer to its target than half of any document that could still be added to it or left out of it.
+    Documents without words go.
     """
     names = docs.columns
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
-    chosen = mix(rows, id_col="i", text_col="t", source_col="s", carry=["row"])
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return chosen.withColumn("copies", copies).filter("copies > 0").select(
+    rows = stored(rows.select(*_sized("i", "t", "s", seed), "row", F.monotonically_increasing_id().alias("n")))
+    streams = stored(_streams(rows.drop("row"), weights, share, ceiling, block, shard_rows, seed).select(
+        "n", "source", "size", "taken", "place", "draw"))
+    copies = whole_copies(streams).filter("copies > 0")
+    return rows.select("n", "row").join(copies, "n").select(
         "row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 

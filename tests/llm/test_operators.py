@@ -163,6 +163,57 @@ def test_mix(docs, rows, none):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def _whole_copies(rows, bucket=512):
+    """Plain version of mixing.whole_copies over (n, source, size, taken, place, draw)."""
+    copies = {}
+    for source in {r["source"] for r in rows}:
+        mine = sorted((r for r in rows if r["source"] == source and r["size"]), key=lambda r: (r["place"], r["draw"], r["n"]))
+        if not mine:
+            continue
+        base, extra = divmod(sum(r["taken"] for r in mine), sum(r["size"] for r in mine))
+        at, chosen = 0, []
+        for r in mine:
+            chosen.append(at + r["size"] / 2 <= extra)
+            at += r["size"]
+        while True:
+            left = extra - sum(r["size"] for r, c in zip(mine, chosen, strict=True) if c)
+            line = [k for k in range(len(mine)) if chosen[k] == (left < 0) and mine[k]["size"] < 2 * abs(left)]
+            ahead, moved = 0, []
+            for k in line if left > 0 else line[::-1]:
+                if ahead + mine[k]["size"] / 2 <= abs(left):
+                    moved.append(k)
+                ahead += mine[k]["size"]
+            if not moved:
+                break
+            for k in moved:
+                chosen[k] = not chosen[k]
+        copies |= {r["n"]: base + c for r, c in zip(mine, chosen, strict=True)}
+    return copies
+
+
+def test_mixed_documents_keep_the_words_of_a_hot_source_with_very_long_documents(spark):
+    rng = random.Random(11)
+    hot = [rng.randint(5, 60) for _ in range(1200)] + [rng.randint(4000, 9000) for _ in range(24)]
+    sources = [("hot", hot), ("few", [3000, 4000, 5000]), *((f"s{k}", [rng.randint(5, 40) for _ in range(30)]) for k in range(12))]
+    texts = [(source, " ".join(["w"] * n)) for source, sizes in sources for n in sizes]
+    docs = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(texts)], "doc_id long, text string, source string").repartition(4)
+    size = {k: len(t.split()) for k, (_, t) in enumerate(texts)}
+    target = _targets({s: sum(sizes) for s, sizes in sources}, share=0.3)
+    made = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, share=0.3, shard_rows=64).select("doc_id").collect())
+    assert max(made.values()) <= 2 and 0.1 < target["hot"] / sum(hot) < 0.5
+    words = Counter()
+    for k, n in made.items():
+        words[texts[k][0]] += n * size[k]
+    for s, sizes in sources:
+        assert abs(words[s] - target[s]) <= 40 + (max(sizes) / 2 if s == "few" else 0), s
+    longs = sum(n for k, n in made.items() if size[k] >= 4000 and texts[k][0] == "hot")
+    assert 2 <= longs <= 18  # of 24, at a share of about a third
+    sized = docs.select(*mixing._sized("doc_id", "text", "source", 17), F.col("doc_id").alias("n"))
+    streams = mixing.stored(mixing._streams(sized, (3, 1, 2), 0.3, 2.0, 16, 64, 17).select("n", "source", "size", "taken", "place", "draw"))
+    got = {r["n"]: r["copies"] for r in mixing.whole_copies(streams, bucket_rows=16).collect()}
+    assert got == _whole_copies(streams.collect())
+
+
 def test_apportion_gives_the_highest_quotients(spark):
     rng = random.Random(2)
     for blocks, votes in ((37, [rng.random() * 9 for _ in range(12)]), (7, [1.0] * 5), (100, [1e-3, 5.0, 5.0, 1e6]), (3, [2.0, 0.0])):
