@@ -13,31 +13,65 @@ from packetloom.llm.common import BLANKS, stored, table
 LEAST = 16
 CANDIDATE = r"[A-Za-z0-9_/+=.~-]{16,}"
 # Names before an assigned secret, and words that mark a value as a stand-in.
-NAMES = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|private_?key)"
+NAMES = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth|credential|private_?key)"
 STAND_INS = r"(?i)(example|sample|dummy|changeme|placeholder|xxxx|your_|test_?key)"
+# Values that a telling name is assigned: a quoted one up to a quote, another up to a separator, with all symbols between.
+SHORTEST = 6
+_QUOTES = "\"'`"
+_NAMED = rf"{NAMES}[\w.-]*[{_QUOTES}\]]*"
+_EQUALS = r"(?:=>|:=|[=:])+"
+_VALUE = (rf"((?<=[{_QUOTES}])[^{_QUOTES}\s]{{{SHORTEST},}}"
+          rf"|(?<![{_QUOTES}])[^{_QUOTES}\s&,;]{{{SHORTEST - 1},}}[^{_QUOTES}\s&,;)\]}}>])")
 FEATURES = ("length", "digit_share", "upper_share", "transitions", "distinct_share", "coverage", "slashes", "suffix",
             "before_name", "before_equals", "quoted", "before_length", "after_length")
 GRAM = 4
 COMMON = 20
 
 
+def _assigned(word: Column, near: Column) -> Column:
+    """Values that a telling name is assigned, in ``word`` itself or by the words ``near`` before it."""
+    inside = F.regexp_extract_all(word, F.lit(f"{_NAMED}{_EQUALS}[{_QUOTES}]?{_VALUE}"), F.lit(1))
+    led = F.concat(near, F.lit(" "), F.regexp_extract(word, f"^{_EQUALS}", 0)).rlike(rf"{_NAMED}\s*{_EQUALS}[{_QUOTES}]?\s*$")
+    after = F.regexp_extract(word, f"^(?:{_EQUALS})?[{_QUOTES}(]*{_VALUE}", 1)
+    return F.when(F.size(inside) > 0, inside).when(led & (after != ""), F.array(after)).otherwise(F.array().cast("array<string>"))
+
+
+def _runs(word: Column) -> Column:
+    """Runs of secret-like characters, each cut at = into its parts of LEAST characters; whole where it has none."""
+    parts = lambda run: F.filter(F.split(run, "=+(?=[^=])"), lambda x: F.char_length(x) >= LEAST)
+    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1)), lambda run: F.when(
+        F.size(parts(run)) > 0, parts(run)).otherwise(F.array(run))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, position, value, quoted, before, before2, after): every run of secret-like characters in a word, by word number from 0."""
+    """(id, position, value, quoted, before, before2, after) by word number from 0.
+
+    Values are what a telling name is assigned, from SHORTEST characters, and every other run of LEAST
+    secret-like characters. ``before`` is the name and sign in the same word, if there is one, else the word before.
+    """
     words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")), " ")
     near = docs.select(F.col(id_col).alias("id"), words.alias("words"))
 
     def at(k: Column, step: int) -> Column:
         return F.coalesce(F.try_element_at("words", F.when(k + step >= 0, k + 1 + step).otherwise(F.size("words") + 1).cast("int")), F.lit(""))
 
+    def sign(w: Column) -> Column:
+        return w.contains("=") | w.contains(":")
+
     def look(w: Column, k: Column) -> Column:
-        return F.when(F.char_length(w) >= LEAST, F.struct(k.alias("position"), w.alias("word"), at(k, -1).alias("before"),
-                                                          at(k, -2).alias("before2"), at(k, 1).alias("after")))
+        may = (F.char_length(w) >= LEAST) | (F.char_length(w) >= SHORTEST) & (sign(w) | sign(at(k, -1)))
+        return F.when(may, F.struct(k.alias("position"), w.alias("word"), at(k, -1).alias("before"), at(k, -2).alias("before2"), at(k, 1).alias("after")))
 
     hit = F.filter(F.transform("words", look), lambda x: x.isNotNull())
-    rows = near.select("id", F.explode(hit).alias("c")).select("id", "c.*")
-    return rows.select("id", "position", "before", "before2", "after", "word", F.explode(
-        F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("value")).withColumn(
-        "quoted", F.col("word").rlike(r"[\"'`]")).drop("word")
+    rows = near.select("id", F.explode(hit).alias("c")).select("id", "c.*").withColumn(
+        "assigned", _assigned(F.col("word"), F.concat_ws(" ", "before2", "before")))
+    free = F.filter(_runs(F.col("word")), lambda run: ~F.exists("assigned", lambda value: value.contains(run)))
+    rows = rows.select("id", "position", "before", "before2", "after", "word", F.explode(F.concat("assigned", free)).alias("value"))
+    lead = F.expr("substring(word, 1, instr(word, value) - 1)")
+    own = F.regexp_extract(lead, r"[A-Za-z0-9_.-]+[^A-Za-z0-9_.-]*$", 0)
+    opening = F.regexp_extract(lead, r"^[=:>]+", 0)
+    return rows.select("id", "position", F.when(own != "", "").otherwise(F.col("before2")).alias("before2"), F.when(own != "", own).otherwise(
+        F.concat("before", opening)).alias("before"), "after", "value", F.col("word").rlike(r"[\"'`]").alias("quoted"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", common: int = COMMON) -> DataFrame:
@@ -70,7 +104,7 @@ def with_features(found: DataFrame, known: DataFrame) -> DataFrame:
         "length": n.cast("double"), "digit_share": share("[^0-9]"), "upper_share": share("[^A-Z]"),
         "transitions": F.char_length(runs) / n, "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / n,
         "slashes": share("[^/]"), "suffix": value.rlike(r"\.[A-Za-z]{2,4}$").cast("double"),
-        "before_name": before.rlike(NAMES).cast("double"), "before_equals": before.rlike(r"[=:]\s*$").cast("double"),
+        "before_name": before.rlike(NAMES).cast("double"), "before_equals": before.rlike(rf"[=:]>?\s*[{_QUOTES}]*$").cast("double"),
         "quoted": F.col("quoted").cast("double"), "before_length": F.char_length("before").cast("double"),
         "after_length": F.char_length("after").cast("double")})
 

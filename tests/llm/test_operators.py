@@ -417,3 +417,20 @@ def test_secret_scan(spark):
     one = secret_scan.secret_scan(df.filter("doc_id < 5")).collect()
     assert len(one) == 5 and not any(r["secret"] for r in one)
     assert secret_scan.secret_scan(df.limit(0)).count() == 0
+
+
+def test_secret_scan_reads_assignments_within_a_word_and_short_values(spark):
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choices("0123456789abcdefXYZ", k=n - 1)) + "7"
+    short, cut, glued, json = ([draw(n) for _ in range(20)] for n in (10, 9, 32, 24))
+    cut = [f"{c}!{c[::-1]}@1" for c in cut]
+    texts = [f'the password = "{s}" here' for s in short] + [f"passwd: {c} here" for c in cut] + [f"export API_KEY={g} now" for g in glued]
+    texts += [f'{{"id":"{"z" * 20}","password":"{j}"}}' for j in json] + [f"the internationalisation{k} of communications/and/directories{k}" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {(r["doc_id"], r["value_sha256"]): r["secret"] for r in secret_scan.secret_scan(df).collect()}
+    for k, value in enumerate(short + cut + glued + json):
+        assert told[k, hashlib.sha256(value.encode()).hexdigest()], texts[k]
+    assert not told[60, hashlib.sha256(b"z" * 20).hexdigest()] and sum(told.values()) == 80
+    plain = spark.createDataFrame([(1, 'password = "Tr0ub4dor&3" x token="abcd1234" q?auth=k1k2k3k4&b=1 aaaa=bbbbbbbbbbbb=c1c1c1 cGFkZGVkIHZhbHVlIQ== (secret: p4ssw0rd)')], "doc_id long, text string")
+    assert {r["value"] for r in secret_scan.candidates(plain).collect()} == {
+        "Tr0ub4dor&3", "abcd1234", "k1k2k3k4", "aaaa=bbbbbbbbbbbb=c1c1c1", "cGFkZGVkIHZhbHVlIQ==", "p4ssw0rd"}
