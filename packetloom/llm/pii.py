@@ -36,6 +36,22 @@ def canonical(raw: Column) -> Column:
             .when(kind.isin("female", "male"), name).otherwise(F.lower(raw)))
 
 
+def entities_of(raw: Column) -> Column:
+    """(kind, entity) of a mention: itself, and for full names the given name as an entity of its own kind."""
+    kind, words = kind_of(raw), F.split(raw, " ")
+    own = F.struct(kind.alias("kind"), canonical(raw).alias("entity"))
+    given = F.struct(_given(kind).alias("kind"), F.try_element_at(words, F.lit(2)).alias("entity"))
+    return F.when(kind.isin("female", "male") & (F.size(words) > 2), F.array(own, given)).otherwise(F.array(own))
+
+
+def _given(kind: Column) -> Column:
+    return F.concat(kind, F.lit("_given"))
+
+
+def _named(kind: Column) -> Column:
+    return kind.isin("female", "male", "female_given", "male_given")
+
+
 def _drawn(digest: Column, place: Column, choices: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, F.pmod(place * 3, F.lit(61)) + 1, F.lit(4)), 16, 10).cast("long") + place, F.lit(choices))
 
@@ -56,11 +72,12 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
         def pick(alphabet: str) -> Column:
             return F.substring(F.lit(alphabet), (_drawn(digest, k, len(alphabet)) + 1).cast("int"), F.lit(1))
 
-        last = kind.isin("female", "male") & (k == n - 1)
+        female = kind.startswith("female")
+        last = _named(kind) & (k == n - 1)
         lower_cyrillic, lower_greek = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
-        latin = F.when(last & (kind == "female"), "a").when(last, pick("bdklmnrst")).otherwise(pick("abcdefghijklmnopqrstuvwxyz"))
+        latin = F.when(last & female, "a").when(last, pick("bdklmnrst")).otherwise(pick("abcdefghijklmnopqrstuvwxyz"))
         return (F.when(c.rlike(r"\d"), pick("0123456789"))
-                .when(c.rlike(r"\p{IsCyrillic}"), F.when(last & (kind == "female"), "а").otherwise(F.when(
+                .when(c.rlike(r"\p{IsCyrillic}"), F.when(last & female, "а").otherwise(F.when(
                     c.rlike(r"\p{Lu}"), F.upper(pick(lower_cyrillic))).otherwise(pick(lower_cyrillic))))
                 .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), F.upper(pick(lower_greek))).otherwise(pick(lower_greek)))
                 .when(c.rlike(r"\p{Lu}"), F.upper(latin)).when(c.rlike(r"\p{L}"), latin).otherwise(c))
@@ -72,8 +89,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     return F.when(kind == "address", octets).otherwise(drawn)
 
 
-def rendered(raw: Column, kind: Column, replacement: Column) -> Column:
-    """The surrogate in the mention's own format: separators of numbers, case of addresses, title and first name's shape."""
+def rendered(raw: Column, kind: Column, replacement: Column, given: Column) -> Column:
+    """The surrogate in the mention's own format: separators of numbers, case of addresses, title and given name."""
 
     def digit(c: Column, k: Column) -> Column:
         at = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), k + 1), r"\D", ""))
@@ -81,9 +98,7 @@ def rendered(raw: Column, kind: Column, replacement: Column) -> Column:
 
     numbers = F.array_join(F.transform(F.split(raw, ""), digit), "")
     words = F.split(raw, " ")
-    given = F.element_at(words, F.lit(2))
-    name = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) > 2, surrogate(
-        kind, given, F.lit(0))), replacement)
+    name = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) > 2, given), replacement)
     shouted = (raw == F.upper(raw)) & (raw != F.lower(raw))
     return (F.when(kind.isin("phone", "card"), numbers).when(kind.isin("female", "male"), name)
             .when((kind == "email") & shouted, F.upper(replacement)).otherwise(replacement))
@@ -96,18 +111,21 @@ def mentions(text: Column) -> Column:
 def entity_attempts(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, entity, attempt): which draw gives every entity a surrogate of its own.
 
-    A surrogate that another entity has too, or that is itself an entity of the corpus, is drawn again by all but the
-    one of least digest; rounds go on until no collision is left.
+    A surrogate that another entity has too, or that is itself an entity of the corpus (of names: any name), is drawn
+    again by all but the one of least digest; rounds go on until no collision is left.
     """
+    sort = F.when(_named(F.col("kind")), "name").otherwise(F.col("kind"))
+    real = entities.select(sort.alias("sort"), F.col("entity").alias("drawn"), F.lit(True).alias("real")).distinct()
     settled, waiting = None, entities.withColumn("attempt", F.lit(0))
     while True:
         drawn = waiting.withColumn("drawn", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key))
         first = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy(F.xxhash64("entity"), "entity")) == 1
-        taken = entities.select("kind", F.col("entity").alias("drawn"), F.lit(True).alias("real"))
+        tried = drawn.withColumn("first", first).withColumn("sort", sort).join(real, ["sort", "drawn"], "left").withColumn(
+            "good", F.col("first") & F.col("real").isNull())
         if settled is not None:
-            taken = taken.unionByName(settled.select("kind", "drawn", F.lit(True).alias("real"))).distinct()
-        tried = stored(drawn.withColumn("first", first).join(taken, ["kind", "drawn"], "left")
-                       .withColumn("good", F.col("first") & F.col("real").isNull()))
+            tried = tried.join(settled.select("kind", "drawn", F.lit(True).alias("given_out")), ["kind", "drawn"], "left").withColumn(
+                "good", F.col("good") & F.col("given_out").isNull())
+        tried = stored(tried)
         done = tried.filter("good").select("kind", "entity", "attempt", "drawn")
         settled = done if settled is None else settled.unionByName(done)
         waiting = tried.filter("not good").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
@@ -124,8 +142,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule; further columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.explode(F.array_distinct(mentions(text))).alias("raw")).select(
-        kind_of(F.col("raw")).alias("kind"), canonical(F.col("raw")).alias("entity"))
+    found = docs.select(F.explode(F.array_distinct(mentions(text))).alias("raw")).select(F.inline(entities_of(F.col("raw"))))
     attempts = entity_attempts(stored(found.distinct()), key)
     again = stored(attempts.filter("attempt > 0").select("kind", "entity", "attempt"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mentions(text).alias("raw"))
@@ -134,7 +151,7 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Entities beyond the first draw are looked up by text, so copies of a text share one row.
     rows = rows.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
     wanted = rows.filter(F.size("raw") > 0).groupBy("h").agg(F.first("raw").alias("raw")).select("h", F.explode("raw").alias("raw")).select(
-        "h", kind_of(F.col("raw")).alias("kind"), canonical(F.col("raw")).alias("entity")).distinct()
+        "h", F.inline(entities_of(F.col("raw")))).distinct()
     drawn = wanted.join(again, ["kind", "entity"]).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws("|", "kind", "entity"), "attempt"))).alias("attempts"))
     rows = rows.join(drawn, "h", "left")
@@ -145,7 +162,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _replaced(rows: DataFrame, attempt, key: str) -> DataFrame:
     def substitute(raw: Column) -> Column:
         kind, entity = kind_of(raw), canonical(raw)
-        return rendered(raw, kind, surrogate(kind, entity, attempt(kind, entity), key))
+        given, first = _given(kind), F.coalesce(F.try_element_at(F.split(raw, " "), F.lit(2)), F.lit(""))
+        return rendered(raw, kind, surrogate(kind, entity, attempt(kind, entity), key), surrogate(given, first, attempt(given, first), key))
 
     gaps = F.split("text", ANY, -1)
     pieces = F.zip_with(gaps, F.transform("raw", substitute), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))

@@ -403,6 +403,14 @@ def test_pii_collisions_are_drawn_again(spark):
     assert not set(got.values()) & {t.split()[0] for _, t in short}
 
 
+def test_given_names_never_share_a_surrogate(spark):
+    given = [f"{a}{b}" for a in "ABCDEFGHIJKLMNOPQRST" for b in "eiouy"]  # of 234 that end in a consonant
+    df = spark.createDataFrame([(k, f"Mr {g} Smith") for k, g in enumerate([*given, "Ab", "Cd", "Ek"])], "doc_id long, text string")
+    got = [r["text"].split()[1:] for r in pii.surrogates(df).collect()]
+    assert len({g for g, _ in got}) == len(given) + 3 and len({s for _, s in got}) == 1
+    assert not {g for g, _ in got} & {*given, "Ab", "Cd", "Ek", "Smith"}
+
+
 def test_secret_scan(spark):
     rng = random.Random(8)
     token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
