@@ -56,16 +56,31 @@ def _drawn(digest: Column, place: Column, choices: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, F.pmod(place * 3, F.lit(61)) + 1, F.lit(4)), 16, 10).cast("long") + place, F.lit(choices))
 
 
+def _growth(kind: Column, entity: Column, attempt: Column) -> Column:
+    """Characters to add at an attempt: one more each time that as many draws as the space of the present length has bits are used up.
+
+    A digit counts 3 bits, a letter 4, the last letter of a name and what a surrogate keeps none.
+    """
+    drawn = F.when(kind == "email", F.regexp_replace(entity, r"\.\p{L}+$", "")).otherwise(entity)
+    letters = F.char_length(F.regexp_replace(drawn, r"\P{L}", "")) - F.when(_named(kind), 1).otherwise(0)
+    bits = F.when(kind == "address", 32).otherwise(4 * letters + 3 * F.char_length(F.regexp_replace(drawn, r"\D", "")))
+    return F.floor(attempt / F.greatest(F.lit(2), bits)).cast("int")
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     """Same length and character classes as ``entity``, drawn from a digest of key, type, attempt and entity.
 
     Digits stay digits, letters stay letters of their case and script (Latin, Cyrillic, Greek; others become Latin). A phone
     keeps its country code, an e-mail its last label, an internet address gets octets of 1 to 254,
-    a card its first digit, and names of women end in a, those of men in a consonant.
+    a card its first digit, and names of women end in a, those of men in a consonant. Once the draws of
+    a length are used up (``_growth``), surrogates are longer: by letters, digits or octets.
     """
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), entity), 256)
+    more = _growth(kind, entity, attempt)
+    entity = F.when(more == 0, entity).when(kind == "email", F.concat(F.repeat(F.lit("a"), more), entity)).when(
+        _named(kind), F.concat(entity, F.repeat(F.substring(entity, -1, 1), more))).otherwise(F.concat(entity, F.repeat(F.lit("0"), more)))
     n = F.char_length(entity)
-    fixed_head = F.when(kind == "phone", n - 10).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
+    fixed_head = F.when(kind == "phone", n - more - 10).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
     fixed_tail = F.when(kind == "email", F.char_length(F.regexp_extract(entity, r"\.\p{L}+$", 0))).otherwise(F.lit(0))
 
     def letter(c: Column, k: Column) -> Column:
@@ -84,7 +99,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
 
     drawn = F.array_join(F.transform(F.split(entity, ""), lambda c, k: F.when(
         (k < fixed_head) | (k >= n - fixed_tail), c).otherwise(letter(c, k))), "")
-    octets = F.array_join(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: (
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), more + 3), lambda k: (
         _drawn(digest, k * 5, 254) + 1).cast("string")), ".")
     return F.when(kind == "address", octets).otherwise(drawn)
 
@@ -96,7 +111,9 @@ def rendered(raw: Column, kind: Column, replacement: Column, given: Column) -> C
         at = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), k + 1), r"\D", ""))
         return F.when(c.rlike(r"\d"), F.substring(replacement, at, F.lit(1))).otherwise(c)
 
-    numbers = F.array_join(F.transform(F.split(raw, ""), digit), "")
+    grown = F.substring(
+        replacement, F.char_length(F.regexp_replace(raw, r"\D", "")) + 1, F.char_length(replacement))
+    numbers = F.concat(F.array_join(F.transform(F.split(raw, ""), digit), ""), grown)
     words = F.split(raw, " ")
     name = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) > 2, given), replacement)
     shouted = (raw == F.upper(raw)) & (raw != F.lower(raw))

@@ -411,6 +411,20 @@ def test_given_names_never_share_a_surrogate(spark):
     assert not {g for g, _ in got} & {*given, "Ab", "Cd", "Ek", "Smith"}
 
 
+def test_surrogates_grow_when_their_space_is_used_up(spark):
+    names = [f"{a}{b}" for a in "ABCDEFGHIJKLMNO" for b in "ou"]  # 30, where 26 end in a
+    texts = [f"Ms {n} wrote" for n in names] + [f"Ms {a}a wrote" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    got = pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    made = {r["text"].split()[1] for r in got}
+    assert len(made) == 56 and not made & {t.split()[1] for t in texts}
+    assert all(re.fullmatch(r"[A-Z][a-z]+a", m) for m in made)
+    grown = spark.range(1).select(*[pii.rendered(F.lit(raw), F.lit(kind), pii.surrogate(F.lit(kind), F.lit(entity), F.lit(70)), F.lit("")).alias(kind)
+                                    for raw, kind, entity in (("+1 (017) 555-7713", "phone", "10175557713"), ("a@b.io", "email", "a@b.io"),
+                                                              ("10.2.3.4", "address", "10.2.3.4"))]).first()
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{6}", grown["phone"]) and re.fullmatch(r"[a-z]{9}@[a-z]\.io", grown["email"])
+    assert grown["address"].count(".") == 5
+
+
 def test_secret_scan(spark):
     rng = random.Random(8)
     token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
