@@ -11,35 +11,71 @@ KEY = "corpus-surrogates"
 _GAP = r"[^\p{L}\d\n]{0,6}"  # what may stand between the groups of a number, decoration included
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
 PHONE = rf"(?<![\d+])\+\d{{1,3}}{_GAP}\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)"
-CARD = r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"
+ABROAD = r"(?<![\d+])\+\d{1,3}(?:[ ./()-]{0,3}\d){6,12}(?!\d)"
+# Without a country code: an area code in brackets, one with a leading 0, or groups of 3, 3 and 4.
+NATIONAL = (r"(?:(?<![\p{L}\d])\(\d{2,5}\)[ -]?\d{3,4}[ .-]?\d{3,4}|(?<![\p{L}\d+.,/:-])0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4}"
+            r"|(?<![\p{L}\d+.,/:-])\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4})(?![\d-])")
+SOCIAL = r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])"
+CARD16 = r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)"
+# Other lengths only with a right check digit: ``checked`` decides, as a pattern cannot.
+CARD = (rf"(?:{CARD16}|(?<![\p{{L}}\d.,])(?:3[47]\d{{2}}[ -]\d{{6}}[ -]\d{{5}}|\d{{4}}(?:[ -]\d{{4}}){{3}}[ -]\d{{3}}"
+        r"|\d{13,15}|\d{17,19})(?![\p{L}\d]))")
+ACCOUNT = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,19}(?![\p{L}\p{N}])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+ADDRESS6 = rf"(?<![\p{{L}}\d:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\d:])"
 ADDRESS = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 # Titles by the gender that they tell.
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Señora|Señorita|Госпожа"
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Господин"
 NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}{{1,24}}(?: \p{{Lu}}\p{{Ll}}{{1,24}})?(?!\p{{L}})"
-ANY = "|".join((EMAIL, PHONE, ADDRESS, CARD, NAME))
+ANY = "|".join((EMAIL, PHONE, ABROAD, ADDRESS, ADDRESS6, ACCOUNT, CARD, SOCIAL, NATIONAL, NAME))
 
 
 def kind_of(raw: Column) -> Column:
     return (F.when(raw.contains("@"), "email").when(raw.startswith("+"), "phone").when(raw.rlike(rf"^{ADDRESS}$"), "address")
+            .when(raw.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "address6").when(raw.rlike(r"^[A-Z]{2}\d{2}"), "account")
+            .when(raw.rlike(rf"^{SOCIAL}$"), "social").when(raw.rlike(rf"^{NATIONAL}$"), "phone")
             .when(raw.rlike(r"^\d"), "card").otherwise(F.when(raw.rlike(rf"^(?:{FEMALE})\b"), "female").otherwise("male")))
 
 
-def canonical(raw: Column) -> Column:
+def _let(use, **values: Column) -> Column:
+    """``use`` of a struct of ``values``, each computed once rather than wherever it stands."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), 1)
+
+
+def checked(raw: Column, kind: Column) -> Column:
+    """Whether a mention counts: card numbers of other than 16 digits need a right check digit, accounts the remainder 1 by 97."""
+    def digits(c: Column, k: Column) -> Column:
+        x = c.try_cast("int") * (k % 2 + 1)
+        return x - F.when(x > 9, 9).otherwise(0)
+
+    def remainder(so_far: Column, c: Column) -> Column:
+        value = F.coalesce(c.try_cast("int"), F.ascii(c) - 55)
+        return (so_far * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    plain = F.regexp_replace(raw, r"\D", "")
+    luhn = F.aggregate(F.transform(F.split(F.reverse(plain), ""), digits), F.lit(0), lambda a, x: a + x) % 10 == 0
+    code = F.regexp_replace(raw, " ", "")
+    moved = F.concat(F.substring(code, 5, 40), F.substring(code, 1, 4))
+    whole = F.aggregate(F.split(moved, ""), F.lit(0), remainder) == 1
+    return F.when(kind == "card", raw.rlike(rf"^{CARD16}$") | luhn).when(kind == "account", whole).otherwise(F.lit(True))
+
+
+def canonical(raw: Column, kind: Column) -> Column:
     """The entity behind a mention: digits of numbers, lower case of addresses, names without title.
 
     A surname names its bearer: full name and surname after a title of one gender share the surname's surrogate.
     """
-    kind = kind_of(raw)
     name = F.element_at(F.split(raw, " "), -1)
-    return (F.when(kind.isin("phone", "card"), F.regexp_replace(raw, r"\D", ""))
+    return (F.when(kind.isin("phone", "card", "social"), F.regexp_replace(raw, r"\D", ""))
+            .when(kind == "account", F.regexp_replace(raw, " ", ""))
             .when(kind.isin("female", "male"), name).otherwise(F.lower(raw)))
 
 
-def entities_of(raw: Column) -> Column:
+def entities_of(raw: Column, kind: Column) -> Column:
     """(kind, entity) of a mention: itself, and for full names the given name as an entity of its own kind."""
-    kind, words = kind_of(raw), F.split(raw, " ")
-    own = F.struct(kind.alias("kind"), canonical(raw).alias("entity"))
+    words = F.split(raw, " ")
+    own = F.struct(kind.alias("kind"), canonical(raw, kind).alias("entity"))
     given = F.struct(_given(kind).alias("kind"), F.try_element_at(words, F.lit(2)).alias("entity"))
     return F.when(kind.isin("female", "male") & (F.size(words) > 2), F.array(own, given)).otherwise(F.array(own))
 
@@ -75,14 +111,20 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     a card its first digit, and names of women end in a, those of men in a consonant. Once the draws of
     a length are used up (``_growth``), surrogates are longer: by letters, digits or octets.
     """
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), entity), 256)
-    more = _growth(kind, entity, attempt)
+    return _let(lambda x: _surrogate(x["kind"], x["entity"], x["digest"], x["more"]), kind=kind, entity=entity, more=_growth(
+        kind, entity, attempt), digest=F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), entity), 256))
+
+
+def _surrogate(kind: Column, entity: Column, digest: Column, more: Column) -> Column:
     entity = F.when(more == 0, entity).when(kind == "email", F.concat(F.repeat(F.lit("a"), more), entity)).when(
         _named(kind), F.concat(entity, F.repeat(F.substring(entity, -1, 1), more))).otherwise(F.concat(entity, F.repeat(F.lit("0"), more)))
-    n = F.char_length(entity)
-    fixed_head = F.when(kind == "phone", n - more - 10).when(kind == "card", F.lit(1)).otherwise(F.lit(0))
-    fixed_tail = F.when(kind == "email", F.char_length(F.regexp_extract(entity, r"\.\p{L}+$", 0))).otherwise(F.lit(0))
+    return _let(lambda x: _letters(*[x[c] for c in ("kind", "entity", "digest", "more", "n", "head", "tail")]), kind=kind, entity=entity,
+                digest=digest, more=more, n=F.char_length(entity), head=F.when(kind == "phone", F.least(F.char_length(entity) - more - 10, F.lit(3))).when(
+                    kind == "card", F.lit(1)).when(kind == "account", F.lit(2)).otherwise(F.lit(0)), tail=F.when(
+                    kind == "email", F.char_length(F.regexp_extract(entity, r"\.\p{L}+$", 0))).otherwise(F.lit(0)))
 
+
+def _letters(kind: Column, entity: Column, digest: Column, more: Column, n: Column, fixed_head: Column, fixed_tail: Column) -> Column:
     def letter(c: Column, k: Column) -> Column:
         def pick(alphabet: str) -> Column:
             return F.substring(F.lit(alphabet), (_drawn(digest, k, len(alphabet)) + 1).cast("int"), F.lit(1))
@@ -92,6 +134,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
         lower_cyrillic, lower_greek = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
         latin = F.when(last & female, "a").when(last, pick("bdklmnrst")).otherwise(pick("abcdefghijklmnopqrstuvwxyz"))
         return (F.when(c.rlike(r"\d"), pick("0123456789"))
+                .when(kind == "address6", F.when(c == ":", c).otherwise(pick("abcdef")))
                 .when(c.rlike(r"\p{IsCyrillic}"), F.when(last & female, "а").otherwise(F.when(
                     c.rlike(r"\p{Lu}"), F.upper(pick(lower_cyrillic))).otherwise(pick(lower_cyrillic))))
                 .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), F.upper(pick(lower_greek))).otherwise(pick(lower_greek)))
@@ -108,16 +151,16 @@ def rendered(raw: Column, kind: Column, replacement: Column, given: Column) -> C
     """The surrogate in the mention's own format: separators of numbers, case of addresses, title and given name."""
 
     def digit(c: Column, k: Column) -> Column:
-        at = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), k + 1), r"\D", ""))
-        return F.when(c.rlike(r"\d"), F.substring(replacement, at, F.lit(1))).otherwise(c)
+        at = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), k + 1), r"[^\dA-Z]", ""))
+        return F.when(c.rlike(r"[\dA-Z]"), F.substring(replacement, at, F.lit(1))).otherwise(c)
 
     grown = F.substring(
-        replacement, F.char_length(F.regexp_replace(raw, r"\D", "")) + 1, F.char_length(replacement))
+        replacement, F.char_length(F.regexp_replace(raw, r"[^\dA-Z]", "")) + 1, F.char_length(replacement))
     numbers = F.concat(F.array_join(F.transform(F.split(raw, ""), digit), ""), grown)
     words = F.split(raw, " ")
     name = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) > 2, given), replacement)
     shouted = (raw == F.upper(raw)) & (raw != F.lower(raw))
-    return (F.when(kind.isin("phone", "card"), numbers).when(kind.isin("female", "male"), name)
+    return (F.when(kind.isin("phone", "card", "social", "account"), numbers).when(kind.isin("female", "male"), name)
             .when((kind == "email") & shouted, F.upper(replacement)).otherwise(replacement))
 
 
@@ -159,7 +202,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rule; further columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.explode(F.array_distinct(mentions(text))).alias("raw")).select(F.inline(entities_of(F.col("raw"))))
+    found = docs.select(F.explode(F.array_distinct(mentions(text))).alias("raw")).withColumn("kind", kind_of(F.col("raw"))).filter(
+        checked(F.col("raw"), F.col("kind"))).select(F.inline(entities_of(F.col("raw"), F.col("kind"))))
     attempts = entity_attempts(stored(found.distinct()), key)
     again = stored(attempts.filter("attempt > 0").select("kind", "entity", "attempt"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), mentions(text).alias("raw"))
@@ -167,8 +211,8 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _replaced(rows, lambda kind, entity: F.lit(0), key).withColumnRenamed("id", id_col)
     # Entities beyond the first draw are looked up by text, so copies of a text share one row.
     rows = rows.withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
-    wanted = rows.filter(F.size("raw") > 0).groupBy("h").agg(F.first("raw").alias("raw")).select("h", F.explode("raw").alias("raw")).select(
-        "h", F.inline(entities_of(F.col("raw")))).distinct()
+    wanted = rows.filter(F.size("raw") > 0).groupBy("h").agg(F.first("raw").alias("raw")).select("h", F.explode("raw").alias("raw")).withColumn("kind", kind_of(F.col("raw"))).filter(
+        checked(F.col("raw"), F.col("kind"))).select("h", F.inline(entities_of(F.col("raw"), F.col("kind")))).distinct()
     drawn = wanted.join(again, ["kind", "entity"]).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws("|", "kind", "entity"), "attempt"))).alias("attempts"))
     rows = rows.join(drawn, "h", "left")
@@ -177,15 +221,23 @@ def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _replaced(rows: DataFrame, attempt, key: str) -> DataFrame:
-    def substitute(raw: Column) -> Column:
-        kind, entity = kind_of(raw), canonical(raw)
-        given, first = _given(kind), F.coalesce(F.try_element_at(F.split(raw, " "), F.lit(2)), F.lit(""))
-        return rendered(raw, kind, surrogate(kind, entity, attempt(kind, entity), key), surrogate(given, first, attempt(given, first), key))
-
-    gaps = F.split("text", ANY, -1)
-    pieces = F.zip_with(gaps, F.transform("raw", substitute), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    def told(x: Column) -> Column:
+        first = F.coalesce(F.try_element_at(F.split(x["raw"], " "), F.lit(2)), F.lit(""))
+        return F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), canonical(x["raw"], x["kind"]).alias("entity"),
+                        checked(x["raw"], x["kind"]).alias("counts"), first.alias("first"), _given(x["kind"]).alias("given"))
+
+    def drawn(x: Column) -> Column:
+        given = F.when(x["kind"].isin("female", "male"), surrogate(x["given"], x["first"], attempt(x["given"], x["first"]), key))
+        return _let(lambda y: rendered(y["raw"], y["kind"], y["new"], y["given"]), raw=x["raw"], kind=x["kind"], given=given,
+                    new=surrogate(x["kind"], x["entity"], attempt(x["kind"], x["entity"]), key))
+
+    named = F.transform("raw", lambda raw: F.struct(raw.alias("raw"), kind_of(raw).alias("kind")))
+    rows = rows.withColumn("found", F.transform(named, told))
+    new = F.transform("found", lambda x: F.when(x["counts"], drawn(x)).otherwise(x["raw"]))
+    counted = F.filter("found", lambda x: x["counts"])
+    pieces = F.zip_with(F.split("text", ANY, -1), new, lambda gap, put: F.concat(gap, F.coalesce(put, F.lit(""))))
     return rows.select("id", F.when(F.size("raw") == 0, F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"),
-                       F.size("raw").alias("n_entities"), F.transform("raw", kind_of).alias("kinds"))
+                       F.size(counted).alias("n_entities"), F.transform(counted, lambda x: x["kind"]).alias("kinds"))
 
 
 def op3_pii_surrogates(spark, sf_dir):

@@ -425,6 +425,20 @@ def test_surrogates_grow_when_their_space_is_used_up(spark):
     assert grown["address"].count(".") == 5
 
 
+def test_pii_of_other_shapes(spark):
+    found = {"(555) 123-4567": "phone", "020 7946 0958": "phone", "+49 30 1234567": "phone", "555-123-4567": "phone", "378282246310005": "card",
+             "3782 822463 10005": "card", "6304 0000 0000 0000 000": "card", "2001:db8::8a2e:370:7334": "address6", "078-05-1120": "social",
+             "DE89 3704 0044 0532 0130 00": "account", "GB82WEST12345698765432": "account"}
+    kept = ["378282246310006", "1700000000000", "2024-01-15 12:30:45", "std::vector", "v1.2.3", "DE88 3704 0044 0532 0130 00", "0.1234567890123"]
+    df = spark.createDataFrame([(k, f"see {t} here") for k, t in enumerate([*found, *kept])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogates(df).collect()}
+    shape = lambda t: re.sub("[A-Za-z]", "a", re.sub(r"\d", "9", t))
+    for k, (t, kind) in enumerate(found.items()):
+        assert got[k]["kinds"] == [kind] and t not in got[k]["text"] and shape(got[k]["text"]) == shape(f"see {t} here"), t
+    for k, t in enumerate(kept):
+        assert (got[len(found) + k]["text"], got[len(found) + k]["n_entities"]) == (f"see {t} here", 0), t
+
+
 def test_secret_scan(spark):
     rng = random.Random(8)
     token = lambda: "".join(rng.choices("0123456789abcdef", k=40))
