@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetloom.llm import exact, fim, jaccard, langid, merkle, mixing, pieces, pii, quality, secret_scan, urls, vectors
+from packetloom.llm import exact, fim, jaccard, langid, lm, merkle, mixing, pieces, pii, quality, secret_scan, urls, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_lm_scores": lm.op12_lm_scores,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
     "op5_exact_dedup": exact.OP5_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_lm_scores": lm.op12_lm_scores,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }

@@ -3,15 +3,17 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import tiktoken
 import zstandard
 
-from packetloom.llm import fim, merkle
+from packetloom.llm import fim, lm, merkle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, pos int, total int, digest int, frames int, output int"
 
@@ -168,3 +170,79 @@ def test_round_three_sql_runs_on_odd_rows(spark, docs, rows):
     got = Counter(map(tuple, con.execute(merkle.OP13_SQL).fetchall()))
     kept = [r for r in rows if r[1] is None or "\u0000" not in r[1]]
     assert got == Counter(_manifest(kept))
+
+
+def _base(rows):
+    """(n_tokens, n_known, train_tokens, base) by row, counted plainly."""
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = [[w for w in re.split(r"[\x20\x09-\x0D]+", lower(r[1])) if w] + [None] for r in rows]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows]
+    count = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    total, kinds = sum(count.values()), len(count)
+    return [(r[0], h, len(t), sum(count[w] > 0 for w in t), total,
+             sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)) for r, t, h in zip(rows, tokens, held, strict=True)]
+
+
+def _slow_score(model, ids):
+    """log10 P of a text, one token at a time, in plain Python over the model's numbers."""
+    sequence = [model.end, *ids.tolist(), model.end]
+    known, total = model.known, 0.0
+    for k in range(len(sequence) - 1):
+        first = max(0, k // lm.STRIDE * lm.STRIDE - (lm.CONTEXT - lm.STRIDE))
+        x = [model.x[t].astype(float) for t in sequence[first:k + 1]]
+        q = x[-1] @ model.q
+        s = [q @ (y @ model.k) + model.bias[0][len(x) - 1 - j] for j, y in enumerate(x)]
+        a = [math.exp(v - max(s)) for v in s]
+        h = np.tanh(x[-1] @ model.u + sum(v / sum(a) * (y @ model.v) for v, y in zip(a, x, strict=True)))
+        goal = known.of[sequence[k + 1]]
+        group, member = divmod(int(goal), lm.MEMBERS)
+        outer = h @ model.wg + model.bg[0]
+        inner = (h @ model.w + model.b[0])[group * lm.MEMBERS:(group + 1) * lm.MEMBERS]
+        total += outer[group] - np.log(np.exp(outer).sum()) + inner[member] - np.log(np.exp(inner).sum()) + known.log_share[sequence[k + 1]]
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("head", [0, 40, lm.HEAD])
+def test_lm_scores(docs, rows, none, head, monkeypatch):
+    kept = {}
+    train, whole = lm.train, lm._head
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.setdefault("model", train(*a, one_of=2, **k)))
+    monkeypatch.setattr(lm, "_head", lambda counts: whole(counts, head))
+    got = lm.lm_scores(docs).collect()
+    near = lambda r: (*r[:5], round(r[5], 6))
+    assert Counter(near(r) for r in got) == Counter(near(r) for r in _base(rows))
+    model, texts = kept["model"], {r[0]: r[1] for r in rows if r[0] not in (None, 5) and len(r[1] or "") < 1000}
+    coding = tiktoken.Encoding("t", pat_str=lm.PATTERN, mergeable_ranks=lm.read_vocabulary(), special_tokens={})
+    for r in got:
+        if r["doc_id"] in texts:
+            want = _slow_score(model, np.array(coding.encode_ordinary(texts[r["doc_id"]] or ""), "<u2"))
+            assert r["score"] == pytest.approx(want, rel=1e-4, abs=1e-3)
+        assert r["score"] < 0
+    assert lm.lm_scores(none).collect() == []
+
+
+def test_lm_chances_of_all_next_tokens_add_up_to_one():
+    counts = np.random.default_rng(2).integers(0, 50, 700)
+    model = lm.Attention(700, lm.classes(counts))
+    model.descend(np.stack([lm.windows(np.arange(k, k + 15, dtype=np.uint16), 699)[0] for k in range(64)]), 0.2)
+    row = lm.windows(np.array([3, 5, 8], np.uint16), 699)[0].copy()
+    total = 0.0
+    for token in range(700):
+        row[lm.CONTEXT - lm.STRIDE + 3] = token
+        total += math.exp(model.forward(row[None, :])[0][0, 2])
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_windows_score_each_token_once():
+    for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 5 * lm.STRIDE + 3):
+        rows = lm.windows(np.arange(n, dtype=np.uint16), 1000)
+        targets = rows[:, lm.CONTEXT - lm.STRIDE + 1:].ravel()
+        assert targets[targets != 65535].tolist() == [*range(n), 1000]
+        for row in rows[1:]:
+            assert (row[:lm.CONTEXT - lm.STRIDE + 1] != 65535).all() or n < lm.CONTEXT
+
+
+def test_lm_learns(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = [r for r in lm.lm_scores(sf).collect() if r["held_out"]]
+    assert len(got) > 5 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) * 1.2
