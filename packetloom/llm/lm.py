@@ -23,8 +23,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 DIM, CONTEXT, STRIDE = 16, 32, 16  # model width; a window has CONTEXT inputs, of which the last STRIDE are scored
 GROUPS, MEMBERS = 16, 16  # the softmax picks one of GROUPS, then one of its MEMBERS classes
 BINS = 64  # classes of several ids, by equal mass; the most frequent ids have a class each
-ONE_OF = 32  # of so many windows of a training text, one is a training example
-SHARD = 1 << 16  # training windows that one task descends over
+ONE_OF = 32  # of so many windows of every training text one is an example, of fewer where that gave less than a shard
+SHARD = 1 << 16  # examples that one task descends over
+STEPS = 1024  # of the first descent, by one task
 HEAD = 1 << 17  # words whose counts every task gets; those of all other words are joined
 SMOOTH = 0.1  # fixed value of the base: added to each count
 _PAD = 65535
@@ -194,12 +195,17 @@ class Attention:
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         return -float(logp.sum()) / n, n, dense, ids[first], np.add.reduceat(dx.reshape(-1, DIM)[order], first, axis=0)
 
-    def descend(self, rows: np.ndarray, rate: float, batch: int = 64) -> np.ndarray:
-        """One pass of adaptive stochastic gradient descent in the order of the rows; returns how often each embedding was met."""
+    def descend(self, rows: np.ndarray, rate: float, batch: int = 64, steps: int = 0) -> np.ndarray:
+        """Adaptive stochastic gradient descent, one pass or as many as make ``steps``; returns how often each embedding was met."""
         seen = {name: np.full_like(getattr(self, name), 1e-6) for name in self.DENSE}
         seen_x, met = np.full_like(self.x, 1e-6), np.zeros(len(self.x), np.int64)
-        for begin in range(0, len(rows), batch):
-            _, _, dense, ids, slope = self.gradient(rows[begin:begin + batch])
+        per_pass = -(-len(rows) // batch)
+        rng = np.random.default_rng(len(rows))
+        for k in range(max(per_pass, steps)):
+            if k % per_pass == 0:
+                order = rng.permutation(len(rows))
+            at = k % per_pass * batch
+            _, _, dense, ids, slope = self.gradient(rows[order[at:at + batch]])
             for name, g in dense.items():
                 seen[name] += g * g
                 getattr(self, name)[...] -= rate * g / np.sqrt(seen[name])
@@ -259,9 +265,9 @@ def _examples(coded: DataFrame, end: int, one_of: int, shards: int) -> DataFrame
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, place, found = [], [], []
-            for key, data in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+            for key, data in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1), strict=True):
                 rows = windows(np.frombuffer(data.as_buffer(), "<u2"), end)
-                h = mix(np.arange(len(rows), dtype=np.uint64) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF))
+                h = mix(np.arange(len(rows), dtype=np.uint64) ^ key)
                 at = np.flatnonzero(h % np.uint64(one_of) == 0)
                 h = h[at] // np.uint64(one_of)
                 shard.append(h % np.uint64(shards))
@@ -273,7 +279,7 @@ def _examples(coded: DataFrame, end: int, one_of: int, shards: int) -> DataFrame
     return coded.select(F.xxhash64("ids").alias("key"), "ids").mapInArrow(draw, "shard long, place long, window binary")
 
 
-def _averaged(model: Attention, examples: DataFrame, rate: float) -> None:
+def _averaged(model: Attention, examples: DataFrame, rate: float, steps: int = 0) -> None:
     """Every shard descends from the same model in a task of its own; the model becomes the weighted mean of theirs."""
     shared = examples.sparkSession.sparkContext.broadcast(model)
 
@@ -283,7 +289,7 @@ def _averaged(model: Attention, examples: DataFrame, rate: float) -> None:
         own = Attention(shared.value.end + 1, shared.value.known)
         for name in ("x", *Attention.DENSE):
             setattr(own, name, getattr(shared.value, name).copy())
-        met = own.descend(rows, rate)
+        met = own.descend(rows, rate, steps=steps)
         at = np.flatnonzero(met)
         names, places, weights, values = ["x"] * len(at), at.tolist(), met[at].astype(float).tolist(), own.x[at].astype(float).tolist()
         for name in Attention.DENSE:
@@ -310,18 +316,20 @@ def train(coded: DataFrame, ids: int, one_of: int = ONE_OF, shard: int = SHARD,
     """Fit on the coded training texts.
 
     Counts of ids, and with them classes and shares, come from every token. One window of ``one_of``
-    of every text, drawn by hash, is an example, so their number grows with the corpus. They are
-    dealt over shards of about ``shard``: first one shard descends alone, then in each of ``passes`` all
-    do side by side and are averaged. The driver gets one model, its size set by the vocabulary.
+    of every text, drawn by hash, is an example, so their number grows with the corpus; a corpus too
+    small for a shard of them gives more, up to all its windows. They are dealt over shards of about
+    ``shard``: first one shard descends alone for STEPS steps, then in each of ``passes`` all do side by
+    side and are averaged. The driver gets one model, its size set by the vocabulary.
     """
     counts = _id_counts(coded, ids)
     model = Attention(ids, classes(counts))
-    expected = (counts.sum() / STRIDE + counts[-1]) / one_of
-    shards = max(1, math.ceil(expected / shard))
+    expected = int(counts.sum() / STRIDE + counts[-1])
+    one_of = max(1, min(one_of, expected // shard))
+    shards = max(1, math.ceil(expected / one_of / shard))
     examples = stored(_examples(coded, ids - 1, one_of, shards))
     if examples.isEmpty():
         return model
-    _averaged(model, examples.filter("shard = 0"), rate)
+    _averaged(model, examples.filter("shard = 0"), rate, STEPS)
     for k in range(passes):
         _averaged(model, examples, rate / (k + 2))
     return model
