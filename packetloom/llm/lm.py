@@ -7,6 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -214,31 +215,66 @@ class Attention:
             met[ids] += 1
         return met
 
+    def _spread(self, logits: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """log P(goal) of each row; h lies within -1 and 1, so logits only need a shift where weights are extreme."""
+        if max(np.abs(self.w).sum(axis=0).max(), np.abs(self.wg).sum(axis=0).max()) > 80:
+            logits -= logits.max(axis=1, keepdims=True)
+        hit = logits[np.arange(len(goal)), goal]
+        return hit - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 P of each text and its end, every token scored once, in blocks of windows of any texts."""
-        rows = [windows(t, self.end) for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
-        total, at = np.zeros(len(texts)), 0
-        for block in _blocks(rows):
-            logp = self.forward(block)[0].sum(axis=1, dtype=np.float64)
-            total += np.bincount(owner[at:at + len(block)], weights=logp, minlength=len(texts))
-            at += len(block)
-        return total / math.log(10)
-
-
-def _blocks(rows: list[np.ndarray]) -> Iterator[np.ndarray]:
-    held, size = [], 0
-    for part in rows:
-        while len(part):
-            take = part[:_BLOCK - size]
-            held.append(take)
-            size += len(take)
-            part = part[len(take):]
-            if size == _BLOCK:
-                yield np.concatenate(held)
-                held, size = [], 0
-    if held:
-        yield np.concatenate(held)
+        """log10 P of each text and its end, every token scored once.
+
+        The texts lie one after another, each after a lead of padding and padded to whole strides, so that
+        window k begins at stride k and embeddings, keys and values of overlapping windows are made once.
+        """
+        sizes = np.array([len(t) for t in texts], np.int64)
+        count = -(-(sizes + 1) // STRIDE)
+        lead = -(-(CONTEXT - STRIDE) // STRIDE)
+        strides = lead + -(-(sizes + 2) // STRIDE)
+        begin = np.concatenate([[0], np.cumsum(strides)])
+        line = np.full((begin[-1] + lead + 1) * STRIDE, self.end + 1, np.int64)
+        owner = np.full(begin[-1], len(texts))
+        for k, text in enumerate(texts):
+            at = (begin[k] + lead) * STRIDE
+            line[at] = line[at + len(text) + 1] = self.end
+            line[at + 1:at + len(text) + 1] = text
+            first = begin[k] + lead - (CONTEXT - STRIDE) // STRIDE
+            owner[first:first + count[k]] = k
+        allowed = (self.bias[0][self.lag] + np.where(self.future, np.float32(-1e9), np.float32(0))).astype(np.float32)
+        both = np.concatenate([self.k, self.v], axis=1)
+        members = np.ascontiguousarray(self.w.reshape(DIM, GROUPS, MEMBERS).transpose(1, 0, 2))
+        inner_b = self.b.reshape(GROUPS, MEMBERS)
+        total = np.zeros(len(texts) + 1)
+        for w in range(0, begin[-1], _BLOCK):
+            rows = min(_BLOCK, begin[-1] - w)
+            at = line[w * STRIDE:(w + rows - 1) * STRIDE + CONTEXT + 1]
+            x = self.x.take(at[:-1], axis=0)
+            own = x[CONTEXT - STRIDE:]
+            kv = x @ both
+            step = kv.strides
+            seen = np.lib.stride_tricks.as_strided(kv, (rows, CONTEXT, 2 * DIM), (STRIDE * step[0], *step), writeable=False)
+            scores = (own @ self.q).reshape(rows, STRIDE, DIM) @ seen[:, :, :DIM].transpose(0, 2, 1)
+            scores += allowed
+            pad = at[:-1] > self.end
+            if pad.any():
+                mask = np.where(pad, np.float32(-1e9), np.float32(0))
+                scores += np.lib.stride_tricks.as_strided(mask, (rows, 1, CONTEXT), (STRIDE * mask.strides[0], 0, mask.strides[0]))
+            scores -= scores.max(axis=2, keepdims=True)
+            a = np.exp(scores, out=scores)
+            weight = a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)
+            h = own @ self.u
+            h += (a @ seen[:, :, DIM:]).reshape(-1, DIM) / weight[:, None]
+            np.tanh(h, out=h)
+            targets = at[CONTEXT - STRIDE + 1:]
+            real = targets <= self.end
+            goal = np.minimum(targets, self.end)
+            group, member = np.divmod(self.known.of[goal], MEMBERS)
+            inner = (h[:, None, :] @ members[group])[:, 0] + inner_b[group]
+            logp = self._spread(h @ self.wg + self.bg, group) + self._spread(inner, member) + self.known.log_share[goal]
+            logp = np.where(real, logp, 0.0).reshape(rows, STRIDE).sum(axis=1, dtype=np.float64)
+            total += np.bincount(owner[w:w + rows], weights=logp, minlength=len(texts) + 1)
+        return total[:-1] / math.log(10)
 
 
 def _id_counts(coded: DataFrame, ids: int) -> np.ndarray:
@@ -389,27 +425,39 @@ def _head(counts: DataFrame, most: int = HEAD) -> dict[bytes | None, int]:
     return dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
+class _Logs(dict):
+    """Logs of known words; others are NaN and are not kept."""
+
+    def __missing__(self, word: bytes | None) -> float:
+        return math.nan
+
+
 def looked_up(head: dict[bytes | None, int], rows: DataFrame, text_col: str = "text") -> Column:
     """Column struct(n_tokens, n_known, logs, rare): the base's sum over words of ``head``, and the other words with their numbers."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,logs:double,rare:array<struct<word:binary,n:bigint>>>")
     def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = {word: math.log10(n + SMOOTH) for word, n in shared.value.items()}
+        known = _Logs((word, math.log10(n + SMOOTH)) for word, n in shared.value.items())
         for batch in texts:
             for begin in range(0, max(1, len(batch)), _ROWS):
-                tokens, seen, logs, rare = [], [], [], []
+                tokens, seen, logs, words, numbers, offsets = [], [], [], [], [], [0]
                 for data in as_bytes(batch.slice(begin, _ROWS)):
                     met = Counter((data or b"").lower().split())
                     met[None] = 1
-                    other = [(word, n) for word, n in met.items() if word not in known]
-                    tokens.append(met.total())
-                    seen.append(tokens[-1] - sum(n for _, n in other))
-                    logs.append(math.fsum(n * known[word] for word, n in met.items() if word in known))
-                    rare.append([{"word": word, "n": n} for word, n in other])
+                    n = np.fromiter(met.values(), np.int64, len(met))
+                    value = np.fromiter(map(known.__getitem__, met), np.float64, len(met))
+                    other = np.isnan(value)
+                    tokens.append(int(n.sum()))
+                    seen.append(tokens[-1] - int(n[other].sum()))
+                    logs.append(float(n[~other] @ value[~other]))
+                    words += compress(met, other.tolist())
+                    numbers.append(n[other])
+                    offsets.append(len(words))
+                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(words, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *numbers]))], ["word", "n"]))
                 yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(logs, pa.float64()),
-                                                  pa.array(rare, rare_kind)], ["n_tokens", "n_known", "logs", "rare"])
+                                                  rare], ["n_tokens", "n_known", "logs", "rare"])
 
     return look(F.col(text_col))
 
