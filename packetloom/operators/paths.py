@@ -1,20 +1,23 @@
 """Iterative graph analytics as joins over edge tables.
 
-Each round is a shuffle join plus a partial aggregation; rounds end in a reliable checkpoint, so a
-lost executor costs one round and the plan stays short. No graph or neighbour list is ever gathered.
+Each round is a join with links that lie bucketed in the shared folder, plus a partial aggregation;
+rounds end in a written table, so a lost executor costs one round and the plan stays short. Hubs are
+dealt over salts (see ``layout``). No graph or neighbour list is ever gathered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import clamp
 from packetloom.operators.graph import degree_centrality
+from packetloom.operators.layout import PIECE, SALT, Bucketed, Hubs, dealt_links, piece_size
 from packetloom.operators.ordered import beside
 from packetloom.session import cut_lineage
 
@@ -24,30 +27,35 @@ def graph_nodes(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def weak_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def weak_components(edges: DataFrame, keys: Sequence[str] = (), piece: int = PIECE) -> DataFrame:
     """G7. (keys, node, component): the smallest node reachable when direction is ignored.
 
     Alternating large-star and small-star rounds: every node links its larger neighbours, then its
     smaller ones, to the least of them, which takes logarithmically many rounds instead of one per
-    hop. Stops when a round changes nothing.
+    hop. Stops when a round changes nothing. A node with more than ``piece`` links has them dealt over
+    salts in each round, with its least neighbour copied to those.
     """
     keys = list(keys)
 
-    def least_neighbour(links):
-        return links.groupBy(*keys, "u").agg(F.min("v").alias("m"))
+    def linked_to_least(links, keep):
+        """Links (u, v) that ``keep`` holds for, with the least neighbour m of u over all links."""
+        counted = cut_lineage(links.groupBy(*keys, "u").agg(F.min("v").alias("m"), F.count("*").alias("n"))).withColumn(
+            "m", F.least("u", "m")).withColumn("__u", F.struct(*keys, "u"))
+        hubs = Hubs(counted, "__u", piece)
+        many = hubs.deal(links.filter(keep).withColumn("__u", F.struct(*keys, "u")), F.col("v"))
+        return many.join(hubs.copy(counted, "__u").select("__u", SALT, "m"), ["__u", SALT]).drop("__u", SALT), counted
 
     links = edges.filter(F.col("src") != F.col("dst")).select(
         *keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     links, mark = cut_lineage(links), None
+    piece = piece_size(2 * links.count(), piece)
     while True:
         both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        least = least_neighbour(both).withColumn("m", F.least("u", "m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, [*keys, "u"]).select(
-            *keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = least_neighbour(large)
-        small = large.join(least, [*keys, "u"]).filter(F.col("v") != F.col("m")).select(
-            *keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        large = cut_lineage(linked_to_least(both, F.col("v") > F.col("u"))[0].select(
+            *keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        met, least = linked_to_least(large, F.lit(True))
+        small = met.filter(F.col("v") != F.col("m")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut_lineage(small.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).distinct())
         state = links.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break
@@ -61,132 +69,264 @@ def component_counts(components: DataFrame, keys: Sequence[str] = ()) -> DataFra
     return components.groupBy(*keys).agg(F.count_distinct("component").alias("component_count"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 100, piece: int = PIECE) -> DataFrame:
     """G5. Rank with dangling mass spread evenly; stops when the total change is below n * tolerance and raises if ``max_rounds`` do not reach it.
 
-    The edges are hashed by source once and keep that layout over all rounds; a round hands three
-    sums to the driver: total change, dangling mass and node count.
+    The edges are bucketed by source and salt once and read in place in all rounds: a hub's edges lie in
+    several buckets, to which only the hub's rank is copied. A round hands three sums to the driver:
+    total change, dangling mass and node count.
     """
-    links = edges.select("src", "dst").distinct()
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    table, hubs = dealt_links(links, "src", "dst", piece_size(links.count(), piece))
     out = links.groupBy("src").agg(F.count("*").alias("out_degree"))
-    links = cut_lineage(links.join(out, "src").repartition("src"))
-    sinks = out.select(F.col("src").alias("node"), F.lit(False).alias("dangling"))
-    nodes = cut_lineage(graph_nodes(edges).join(sinks, "node", "left").na.fill(True, ["dangling"]).repartition("node"))
+    nodes = cut_lineage(graph_nodes(links).join(out.withColumnRenamed("src", "node"), "node", "left"))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+    dangling = F.sum(F.when(F.col("out_degree").isNull(), F.col("rank")).otherwise(0.0))
+    lost = ranks.agg(dangling).first()[0] or 0.0
     for _ in range(max_rounds if n else 0):
-        received = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(
-            F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out_degree")).alias("received"))
+        given = hubs.copy(ranks.filter("out_degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out_degree")).alias("given")), "src")
+        received = table.rows().join(given, ["src", SALT]).groupBy(F.col("dst").alias("node")).agg(F.sum("given").alias("received"))
         base = (1 - alpha) / n + alpha * lost / n
         settled = cut_lineage(ranks.withColumnRenamed("rank", "before").join(received, "node", "left").select(
-            "node", "dangling", "before", (F.lit(base) + alpha * F.coalesce("received", F.lit(0.0))).alias("rank")))
-        change, lost = settled.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.coalesce(F.sum(
-            F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
+            "node", "out_degree", "before", (F.lit(base) + alpha * F.coalesce("received", F.lit(0.0))).alias("rank")))
+        change, lost = settled.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), dangling).first()
         ranks = settled.drop("before")
         if change < n * tolerance:
             break
     else:
         if n:
             raise ValueError(f"the ranks have not settled in {max_rounds} rounds")
+    table.drop()
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
-def breadth_first(edges: DataFrame, sources: DataFrame) -> list[DataFrame]:
-    """Levels of a breadth-first search from every row of ``sources`` (column ``source``).
+WIDE = 16  # sources searched side by side, a column each
+STATE_ROWS = 2_000_000_000
+_SLOTS = range(WIDE)
 
-    Level d holds (source, node, dist, sigma): nodes first reached in d hops and over how many
-    shortest paths. Each level is checkpointed.
-    """
-    links = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
-    level = cut_lineage(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"),
-                                       F.lit(1.0).alias("sigma")))
-    levels = [level]
-    for depth in count(1):
-        reached = reduce(DataFrame.unionByName, levels).select("source", "node")
-        step = level.join(links, level["node"] == links["src"]).groupBy("source", F.col("dst").alias("node")).agg(
-            F.lit(depth).alias("dist"), F.sum("sigma").alias("sigma"))
-        level = cut_lineage(step.join(reached, ["source", "node"], "left_anti"))
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return levels
 
+def _bit(i: int) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
 
-def _source_batches(edges: DataFrame, batches: int):
-    nodes = graph_nodes(edges).withColumnRenamed("node", "source")
-    for part in range(batches):
-        yield nodes if batches == 1 else nodes.filter(F.pmod(F.xxhash64("source"), F.lit(batches)) == part)
 
+def folded_leaves(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources whose searches tell all, and the leaves folded onto them.
 
-def path_centralities(edges: DataFrame, batches: int = 1) -> DataFrame:
+    A leaf has one neighbour and an edge to it. Its paths are those of the neighbour with one hop
+    more, so the neighbour's search counts for it too. First table: (source, leaves, back), back
+    the leaves with an edge from the neighbour as well; nodes without out-edges only serve as
+    neighbours. Second: (node, neighbour, back). Of two nodes that only have each other none is folded.
+    """
+    ends = links.select(F.col("src").alias("node"), F.col("dst").alias("peer"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        links.select(F.col("dst").alias("node"), F.col("src").alias("peer"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = cut_lineage(ends.groupBy("node").agg(F.min("peer").alias("low"), F.max("peer").alias("high"), F.max("out").alias("out"),
+                                                F.max("into").alias("into")))
+    single = seen.filter(F.col("low") == F.col("high"))
+    leaves = cut_lineage(single.filter("out = 1").join(single.select(F.col("node").alias("low")), "low", "left_anti").select(
+        "node", F.col("low").alias("neighbour"), F.col("into").alias("back")))
+    held = leaves.groupBy(F.col("neighbour").alias("source")).agg(F.count("*").alias("leaves"), F.sum("back").alias("back"))
+    rest = seen.join(leaves.select("node"), "node", "left_anti").select(F.col("node").alias("source"), "out")
+    sources = rest.join(held, "source", "left").na.fill(0, ["leaves", "back"]).filter("out = 1 or leaves > 0").drop("out")
+    return sources, leaves
+
+
+def _in_blocks(sources: DataFrame, count: int, group: int = 1024) -> DataFrame:
+    """Sources with a block of at most WIDE and a slot within it; numbered in groups of about ``group``."""
+    parts = max(1, -(-count // group))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("source")) - 1
+    return cut_lineage(sources.withColumn("__part", F.pmod(F.xxhash64("source"), F.lit(parts)).cast("long")).withColumn("__at", place).select(
+        *sources.columns, (F.col("__part") * (1 << 20) + F.floor(F.col("__at") / WIDE)).alias("block"),
+        (F.col("__at") % WIDE).cast("int").alias("slot")))
+
+
+def _search(links: Bucketed, hubs: Hubs, placed: DataFrame) -> tuple[Bucketed, int]:
+    """Levels of breadth-first searches, and the last level's number.
+
+    A row holds, for one block and node, how many shortest paths lead there from each source of the
+    block that first reaches it in this round, and a bit for each such source. All rounds are one
+    table bucketed by block and node: looking up what was reached before moves no visited row.
+    """
+    found = Bucketed(placed.sparkSession, ["block", "node"])
+    found.append(placed.select("block", F.col("source").alias("node"), F.shiftleft(F.lit(1), 0).alias("one"), "slot").select(
+        "block", "node", F.expr("shiftleft(one, slot)").alias("mask"),
+        *[F.when(F.col("slot") == i, 1.0).otherwise(0.0).alias(f"s{i}") for i in _SLOTS]))
+    for depth in count(1):
+        frontier = hubs.copy(found.rows(depth - 1).drop("mask").withColumnRenamed("node", "src"), "src")
+        step = frontier.join(links.rows(), ["src", SALT]).groupBy("block", F.col("dst").alias("node")).agg(
+            *[F.sum(f"s{i}").alias(f"s{i}") for i in _SLOTS])
+        before = found.rows().groupBy("block", "node").agg(F.bit_or("mask").alias("mask"))
+        fresh = step.join(before, ["block", "node"], "left").na.fill(0, ["mask"]).select(
+            "block", "node", *[F.when(_bit(i), 0.0).otherwise(F.col(f"s{i}")).alias(f"s{i}") for i in _SLOTS])
+        mask = reduce(Column.bitwiseOR, [F.when(F.col(f"s{i}") > 0, 1 << i).otherwise(0) for i in _SLOTS])
+        found.append(fresh.select("block", "node", mask.alias("mask"), *[f"s{i}" for i in _SLOTS]).filter("mask <> 0"), depth)
+        if found.rows(depth).isEmpty():
+            return found, depth - 1
+
+
+def _dependencies(links: Bucketed, hubs: Hubs, found: Bucketed, last: int, weights: DataFrame) -> DataFrame:
+    """(node, delta, reach, hops) over all sources of a search.
+
+    ``weights`` (block, w) holds the leaves of each slot, of blocks that have any: what a search tells counts
+    once for its source and once more for each leaf.
+    """
+    add = lambda parts: reduce(Column.__add__, parts)
+    hop, met = F.col("__round").cast("long"), F.bit_count("mask").cast("long")
+    leaves = [F.get("w", F.lit(i)) for i in _SLOTS]
+    held = [F.when(_bit(i), leaves[i]).otherwise(0) for i in _SLOTS]
+    none = F.lit(0).cast("long")
+    parts = [
+        found.numbered().filter("__round > 0").groupBy("node").agg(F.lit(0.0).alias("delta"), F.sum(met).alias("reach"), F.sum(met * hop).alias("hops")),
+        found.numbered().join(weights, "block").select("node", hop.alias("hop"), add(held).alias("m")).groupBy("node").agg(
+            F.lit(0.0).alias("delta"), F.sum("m").alias("reach"), F.sum(F.col("m") * (1 + F.col("hop"))).alias("hops"))]
+    carried = Bucketed(found.spark, ["block", "node"])
+    for depth in range(last, 1, -1):
+        here = found.rows(depth)
+        if depth < last:
+            here = here.join(carried.rows(depth), ["block", "node"], "left").na.fill(0.0)
+        gain = lambda i: 1.0 + F.col(f"d{i}") if depth < last else F.lit(1.0)  # noqa: B023, E731
+        share = here.select("block", F.col("node").alias("dst"), *[
+            F.when(_bit(i), gain(i) / F.col(f"s{i}")).otherwise(0.0).alias(f"h{i}") for i in _SLOTS])
+        back = hubs.copy(share, "dst").join(links.rows(), ["dst", SALT]).groupBy("block", F.col("src").alias("node")).agg(
+            *[F.sum(f"h{i}").alias(f"h{i}") for i in _SLOTS])
+        carried.append(back.join(found.rows(depth - 1), ["block", "node"]).select(
+            "block", "node", *[(F.col(f"s{i}") * F.col(f"h{i}")).alias(f"d{i}") for i in _SLOTS]), depth - 1)
+    if last > 1:
+        own = add([F.col(f"d{i}") for i in _SLOTS])
+        more = add([F.col(f"d{i}") * leaves[i] for i in _SLOTS])
+        parts += [rows.groupBy("node").agg(F.sum(value).alias("delta"), none.alias("reach"), none.alias("hops"))
+                  for rows, value in ((carried.rows(), own), (carried.rows().join(weights, "block"), more))]
+    total = _summed(parts)
+    carried.drop()
+    return total
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("delta", "reach", "hops")]))
+
+
+def _accumulated(links: DataFrame, sources: DataFrame, n: int, batches: int | None, piece: int) -> tuple[DataFrame, DataFrame]:
+    """Sums (node, delta, reach, hops) over all sources, and (source, leaves, back, reached).
+
+    The sources are cut into as many runs as keep blocks x nodes below STATE_ROWS, unless ``batches`` is given.
+    """
+    sources = cut_lineage(sources)
+    size = sources.count()
+    if batches is None:
+        batches = max(1, -(-(-(-size // WIDE) * n) // STATE_ROWS))
+    piece = piece_size(links.count(), piece)
+    onward, onward_hubs = dealt_links(links, "src", "dst", piece)
+    inward, inward_hubs = dealt_links(links, "dst", "src", piece)
+    placed = _in_blocks(sources, size)
+    parts, reached = [], []
+    for run in range(batches):
+        some = placed if batches == 1 else placed.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == run)
+        weights = cut_lineage(some.groupBy("block").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("leaves"))), F.lit(0)).alias(
+            f"w{i}") for i in _SLOTS]).select("block", F.array(*[f"w{i}" for i in _SLOTS]).alias("w")).filter(F.exists("w", lambda m: m > 0)))
+        found, last = _search(onward, onward_hubs, some)
+        parts.append(_dependencies(inward, inward_hubs, found, last, weights))
+        totals = found.numbered().filter("__round > 0").groupBy("block").agg(F.array(*[F.sum(_bit(i).cast("long")) for i in _SLOTS]).alias("r"))
+        reached.append(cut_lineage(some.join(totals, "block", "left").select(
+            "source", "leaves", "back", F.coalesce(F.get("r", F.col("slot")), F.lit(0)).alias("reached"))))
+        found.drop()
+    onward.drop()
+    inward.drop()
+    return _summed(parts), reduce(DataFrame.unionByName, reached)
+
+
+def _simple(edges: DataFrame) -> DataFrame:
+    return cut_lineage(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
+
+
+def _closeness(reach: Column, hops: Column, reaching: Column, n: int) -> Column:
+    """Mean nearness of the sources that reach a node, scaled by their share of all others."""
+    return F.coalesce(reach / F.when(hops > 0, hops) * (reaching / F.lit(max(n - 1, 1))), F.lit(0.0))
+
+
+def path_centralities(edges: DataFrame, batches: int | None = None, piece: int = PIECE) -> DataFrame:
     """G3 + G4. Exact normalised betweenness and inward closeness of every node, from one search.
 
-    Betweenness dependencies flow back level by level from the search levels. Closeness is scaled by
-    the share of nodes that reach the node. Work and state grow with sources x reachable nodes, so
-    ``batches`` splits the sources into that many runs.
+    WIDE sources are searched side by side, so a hop costs one row per block, not per source; leaves are
+    folded onto their neighbour. Dependencies flow back level by level. Closeness is scaled by the
+    share of nodes that reach the node. The work grows with sources x edges: on large graphs take
+    :func:`sampled_centralities`. ``batches`` fixes the number of runs over the sources, which
+    otherwise follows from the number of state rows.
     """
-    nodes = graph_nodes(edges)
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    parts = []
-    for sources in _source_batches(edges, batches):
-        levels = breadth_first(edges, sources)
-        carried, deltas = None, []
-        for depth in range(len(levels) - 1, 0, -1):
-            here = levels[depth]
-            weighted = here.withColumn("delta", F.lit(0.0)) if carried is None else here.join(
-                carried, ["source", "node"], "left").na.fill(0.0, ["delta"])
-            share = weighted.select("source", F.col("node").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
-            above = levels[depth - 1].select("source", F.col("node").alias("src"), F.col("sigma").alias("sigma_above"))
-            carried = cut_lineage(share.join(links, "dst").join(above, ["source", "src"]).groupBy(
-                "source", F.col("src").alias("node")).agg(F.sum(F.col("sigma_above") * F.col("share")).alias("delta")))
-            deltas.append(carried.filter(F.col("node") != F.col("source")).select(
-                "node", "delta", F.lit(0).alias("reach"), F.lit(0).alias("hops")))
-        deltas += [level.select("node", F.lit(0.0).alias("delta"), F.lit(1).alias("reach"), F.col("dist").alias("hops"))
-                   for level in levels[1:]]
-        if deltas:
-            parts.append(cut_lineage(reduce(DataFrame.unionByName, deltas).groupBy("node").agg(
-                *[F.sum(c).alias(c) for c in ("delta", "reach", "hops")])))
-    sized = beside(nodes, nodes.agg(F.count("*").alias("n")))
-    if not parts:
-        return sized.select("node", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("closeness"))
-    total = reduce(DataFrame.unionByName, parts).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("delta", "reach", "hops")])
-    rows = sized.join(total, "node", "left")
-    n, hops = F.col("n"), F.col("hops")
-    inward = F.col("reach") / F.when(hops > 0, hops) * (F.col("reach") / F.when(n > 1, n - 1))
-    return rows.select(
-        "node", F.when(n > 2, F.coalesce("delta", F.lit(0.0)) / F.when(n > 2, (n - 1) * (n - 2))).otherwise(0.0).alias("betweenness"),
-        F.coalesce(inward, F.lit(0.0)).alias("closeness"))
-
-
-def betweenness(edges: DataFrame, batches: int = 1) -> DataFrame:
+    nodes, links = cut_lineage(graph_nodes(edges)), _simple(edges)
+    n = nodes.count()
+    sources, leaves = folded_leaves(links)
+    total, reached = _accumulated(links, sources, n, batches, piece)
+    held = reached.filter("leaves > 0").select(F.col("source").alias("node"), (F.col("leaves") * F.col("reached") - F.col("back")).cast(
+        "double").alias("delta"), F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("hops"))
+    own = leaves.filter("back = 1").select("node", F.lit(0.0).alias("delta"), F.lit(-1).cast("long").alias("reach"), F.lit(-2).cast("long").alias("hops"))
+    rows = nodes.join(_summed([total, held, own]), "node", "left")
+    share = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return rows.select("node", (F.coalesce("delta", F.lit(0.0)) * F.lit(share)).alias("betweenness"),
+                       _closeness(F.col("reach"), F.col("hops"), F.col("reach"), n).alias("closeness"))
+
+
+def sample_sources(edges: DataFrame, sample: int, seed: int = 7) -> DataFrame:
+    """(source): the ``sample`` nodes with the least digests of seed and node, a draw without replacement that every engine repeats."""
+    nodes = graph_nodes(edges).select(F.col("node").alias("source"))
+    return nodes.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("source").cast("string"))), "source").limit(sample)
+
+
+def sampled_centralities(edges: DataFrame, sample: int = 1024, seed: int = 7, chance: float = 0.05, batches: int | None = None,
+                         piece: int = PIECE) -> DataFrame:
+    """G3 + G4 on large graphs: (node, betweenness, closeness, error_bound) estimated from the searches of sampled sources.
+
+    Betweenness is the mean dependency over the sample. A dependency lies between 0 and n - 2, so by
+    Hoeffding's inequality, which holds for draws without replacement, with probability 1 - ``chance``
+    no estimate of any node is off by more than ``error_bound`` = n / (n - 1) * sqrt(ln(2 n / chance) / (2 sample)).
+    Closeness takes the sampled share of reaching nodes for that of all. A sample of all nodes is exact.
+    """
+    nodes, links = cut_lineage(graph_nodes(edges)), _simple(edges)
+    n = nodes.count()
+    drawn = cut_lineage(sample_sources(edges, sample, seed)).withColumns({"leaves": F.lit(0).cast("long"), "back": F.lit(0).cast("long")})
+    k = min(sample, n)
+    total, _ = _accumulated(links, drawn, n, batches, piece)
+    rows = nodes.join(total, "node", "left")
+    share = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    bound = n / (n - 1) * math.sqrt(math.log(2 * n / chance) / (2 * k)) if 1 < k < n else 0.0 if k == n else None
+    return rows.select("node", (F.coalesce("delta", F.lit(0.0)) * F.lit(share)).alias("betweenness"),
+                       _closeness(F.col("reach"), F.col("hops"), F.col("reach") * F.lit(n / max(k, 1)), n).alias("closeness"),
+                       F.lit(bound).cast("double").alias("error_bound"))
+
+
+def betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     """G3. Exact normalised directed betweenness (unweighted)."""
     return path_centralities(edges, batches).select("node", "betweenness")
 
 
-def closeness(edges: DataFrame, batches: int = 1) -> DataFrame:
+def closeness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     """G4. Inward closeness with reachability scaling."""
     return path_centralities(edges, batches).select("node", "closeness")
 
 
-def shortest_paths(edges: DataFrame, attackers: Sequence, target) -> DataFrame:
-    """G10. One shortest path per attacker that reaches the target; ties go to the least node sequence."""
-    node_type = dict(edges.dtypes)["src"]
-    links = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
-    known = graph_nodes(edges).filter(F.col("node").isin(*attackers))
-    level = cut_lineage(known.select(F.col("node").alias("attacker"), "node", F.array("node").alias("path")))
-    levels, found = [level], [level.filter(F.col("node") == F.lit(target).cast(node_type))]
-    while True:
-        reached = reduce(DataFrame.unionByName, levels).select("attacker", "node")
+def shortest_paths(edges: DataFrame, attackers: Sequence, target, piece: int = PIECE) -> DataFrame:
+    """G10. One shortest path per attacker that reaches the target; ties go to the least node sequence.
+
+    Links of hubs are dealt over salts; the nodes visited are one table bucketed by attacker and node.
+    """
+    goal = F.lit(target).cast(dict(edges.dtypes)["src"])
+    links = cut_lineage(edges.select("src", "dst").distinct())
+    table, hubs = dealt_links(links, "src", "dst", piece_size(links.count(), piece))
+    visited = Bucketed(edges.sparkSession, ["attacker", "node"])
+    level = cut_lineage(graph_nodes(links).filter(F.col("node").isin(*attackers)).select(
+        F.col("node").alias("attacker"), "node", F.array("node").alias("path")))
+    found = []
+    for depth in count():
+        visited.append(level.select("attacker", "node"), depth)
+        found.append(level.filter(F.col("node") == goal))
         finished = reduce(DataFrame.unionByName, found).select("attacker")
-        step = level.join(finished, "attacker", "left_anti").join(links, level["node"] == links["src"]).groupBy(
-            "attacker", F.col("dst").alias("node")).agg(F.min("path").alias("path")).withColumn(
-            "path", F.concat("path", F.array("node")))
-        level = cut_lineage(step.join(reached, ["attacker", "node"], "left_anti"))
+        open_ends = hubs.copy(level.join(finished, "attacker", "left_anti").withColumnRenamed("node", "src"), "src")
+        step = open_ends.join(table.rows(), ["src", SALT]).groupBy("attacker", F.col("dst").alias("node")).agg(
+            F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("node")))
+        level = cut_lineage(step.join(visited.rows(), ["attacker", "node"], "left_anti"))
         if level.isEmpty():
             break
-        levels.append(level)
-        found.append(level.filter(F.col("node") == F.lit(target).cast(node_type)))
+    table.drop()
+    visited.drop()
     return reduce(DataFrame.unionByName, found).select("attacker", "path", (F.size("path") - 1).alias("hops"))
 
 

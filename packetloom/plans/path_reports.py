@@ -84,6 +84,21 @@ REPORTS.add("betweenness", lambda s, d: pt.betweenness(EDGES(s, d)),
 REPORTS.add("closeness", lambda s, d: pt.closeness(EDGES(s, d)),
             with_tables(*BASE, "nn AS (SELECT count(*) AS n FROM vertices)", CLOSE_SQL, select="SELECT * FROM close_t"),
             doubles=["closeness"])
+SAMPLED_SQL = """
+sample AS (SELECT node FROM vertices ORDER BY md5('7:' || node), node LIMIT 64),
+raw_between AS (SELECT a.t AS node, sum(a.sigma * b.sigma / c.sigma) AS b FROM dist a JOIN dist b ON b.s = a.t
+  JOIN dist c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.s IN (SELECT node FROM sample) AND a.s <> a.t AND b.t <> a.t
+  AND a.s <> b.t GROUP BY 1),
+met AS (SELECT t AS node, count(*) AS r, sum(d) AS h FROM dist WHERE s IN (SELECT node FROM sample) AND s <> t GROUP BY 1),
+nn AS (SELECT count(*) AS n, least(64, count(*)) AS k FROM vertices)"""
+REPORTS.add(
+    "sampled_centralities", lambda s, d: pt.sampled_centralities(EDGES(s, d), sample=64),
+    with_tables(*BASE, SAMPLED_SQL, select="""SELECT node, coalesce(b, 0) * n / k / ((n - 1) * (n - 2)) AS betweenness,
+  coalesce(r / h * (r * n / k / (n - 1)), 0) AS closeness,
+  CASE WHEN k < n THEN n / (n - 1) * sqrt(ln(2 * n / 0.05) / (2 * k)) ELSE 0 END AS error_bound
+  FROM vertices LEFT JOIN raw_between USING (node) LEFT JOIN met USING (node), nn"""),
+    doubles=["betweenness", "closeness", "error_bound"],
+)
 PATHS_SQL = "p0 AS (SELECT s AS attacker, s AS node, [s] AS path FROM dist WHERE s = t AND s IN (3, 14, 27)),\n" + ",\n".join(
     f"""p{i} AS (SELECT attacker, dst AS node, list_append(min(path), dst) AS path FROM p{i - 1} JOIN peer_edges ON src = node
   JOIN dist ON s = attacker AND t = dst AND d = {i} GROUP BY attacker, dst)""" for i in range(1, DEPTH + 1)) + ",\npaths AS (" + " UNION ALL ".join(
