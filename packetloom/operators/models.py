@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.numeric import bind, clamp, finite_double, is_finite, log_clip, sigmoid
+from packetloom.operators import newton
+from packetloom.operators.newton import LinearModel
 from packetloom.operators.ordered import beside, owned_rows, with_halo
 from packetloom.session import cut_lineage
 
@@ -77,29 +78,15 @@ def meets_contract(x: Column, history: int, features: int) -> Column:
     return F.coalesce(shaped & F.forall(F.flatten(x), lambda v: F.coalesce(is_finite(v), F.lit(False))), F.lit(False))
 
 
-def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: bool = True, c: float = 1.0,
-                 max_iter: int = 2000) -> LogisticRegressionModel:
-    """E5. L2 logistic regression; the penalty 1/C on a sum of losses becomes 1/(C * total weight) on their mean.
+def fit_logistic(samples: DataFrame, features: Column, label: str, balanced: bool = True, c: float = 1.0) -> LinearModel:
+    """E5. L2 logistic regression, fitted by Newton rounds over the samples.
 
     ``features`` is an array column: a flattened history (E5) or the last state (E6).
     """
-    rows = samples.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
-    rows = rows.persist()
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    total = sum(counts.values())
-    if set(counts) != {0.0, 1.0}:
-        raise ValueError(f"two classes are needed, the samples hold {sorted(counts)}")
-    weight = F.lit(1.0)
-    if balanced:
-        weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
-    learner = LogisticRegression(weightCol="weight", regParam=1.0 / (c * max(total, 1)), standardization=False,
-                                 maxIter=max_iter, tol=1e-7)
-    model = learner.fit(rows.withColumn("weight", weight))
-    rows.unpersist()
-    return model
-
-
-def logistic_scores(model: LogisticRegressionModel, samples: DataFrame, features: Column, name: str = "score") -> DataFrame:
+    return newton.fit(samples, features, label, balanced, c)
+
+
+def logistic_scores(model: LinearModel, samples: DataFrame, features: Column, name: str = "score") -> DataFrame:
     """E5. The positive-class probability, as a plain column expression over the coefficients."""
     weights = F.array(*[F.lit(float(v)) for v in model.coefficients])
     margin = F.aggregate(F.zip_with(features, weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, v: a + v)
@@ -111,7 +98,7 @@ def last_state(x: str = "x") -> Column:
     return F.element_at(x, -1)
 
 
-def coefficient_importance(spark, model: LogisticRegressionModel, names: Sequence[str]) -> DataFrame:
+def coefficient_importance(spark, model: LinearModel, names: Sequence[str]) -> DataFrame:
     """E7. Features by absolute coefficient."""
     rows = [(n, float(c), abs(float(c))) for n, c in zip(names, model.coefficients)]
     return spark.createDataFrame(rows, "feature string, coefficient double, importance double").orderBy(F.desc("importance"), "feature")
@@ -193,12 +180,12 @@ def pick_samples(samples: DataFrame, negatives: int, positives: int, order: Sequ
     return first(0, negatives).unionByName(first(1, positives))
 
 
-def fit_platt(validation: DataFrame, score: str = "score", label: str = "label") -> LogisticRegressionModel:
+def fit_platt(validation: DataFrame, score: str = "score", label: str = "label") -> LinearModel:
     """E23. One-dimensional logistic regression on the validation scores."""
     return fit_logistic(validation, F.array(F.col(score).cast("double")), label, balanced=False)
 
 
-def apply_platt(model: LogisticRegressionModel, rows: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
+def apply_platt(model: LinearModel, rows: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
     return logistic_scores(model, rows, F.array(F.col(score).cast("double")), name)
 
 

@@ -6,6 +6,7 @@ on a *ladder*: one row per distinct score with cumulative counts, built bucket b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,18 @@ from packetloom.operators.ordered import (
 )
 from packetloom.session import cut_lineage
 
-# Cumulative Poisson(1) probabilities, for bootstrap weights.
-POISSON_ONE = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-    0.9999999899522336, 0.9999999991683892, 0.9999999999364022,
-]
+DRAW_BITS = 52  # of a digest's leading hex digits, four each
+
+
+def poisson_steps(rate: float = 1.0) -> list[float]:
+    """Cumulative Poisson probabilities, as far as a draw of DRAW_BITS bits can tell them from 1."""
+    chance = total = math.exp(-rate)
+    steps = []
+    while total < 1 - 2.0 ** -DRAW_BITS and (not steps or total > steps[-1]):
+        steps.append(total)
+        chance *= rate / len(steps)
+        total += chance
+    return steps
 
 
 def _ratio(numerator: Column, denominator: Column, otherwise: Column | None = None) -> Column:
@@ -212,11 +219,14 @@ def bootstrap_interval(rows: DataFrame, row_id: str, threshold: float, replicate
                        score: str = "score", label: str = "label") -> DataFrame:
     """E26. Mean and 95 % interval of ranking and threshold metrics over seeded Poisson resamples.
 
-    A row's weight in a replicate is a function of (row id, replicate, seed), so recomputed tasks
-    agree; single-class replicates are skipped and fewer than 50 valid ones give NULL.
+    A row's weight in a replicate comes from the leading bits of the md5 digest of "row id:replicate:seed",
+    so recomputed tasks agree, and so does any other engine; single-class replicates are skipped and
+    fewer than 50 valid ones give NULL. Draws are per row and replicate, so work is rows x replicates;
+    counts per distinct score are added up before anything is shuffled.
     """
-    draw = F.pmod(F.xxhash64(F.col(row_id), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    steps = F.array(*[F.lit(p) for p in POISSON_ONE])
+    digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("double") / F.lit(2.0 ** DRAW_BITS)
+    steps = F.array(*[F.lit(p) for p in poisson_steps()])
     weight = bind(draw, lambda u: F.size(F.filter(steps, lambda p: p <= u)))
     copies = rows.select(row_id, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     drawn = copies.withColumn("weight", weight.cast("long")).filter("weight > 0")

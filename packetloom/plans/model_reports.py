@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from packetloom import adapters
 from packetloom.operators import models as md
 from packetloom.plans import dataset_reports as dr
+from packetloom.plans.newton_sql import fit_sql, margin_sql
+from packetloom.plans.score_reports import confusion_sql, ladder_sql
 from packetloom.plans.registry import Reports, with_tables
 
 REPORTS = Reports()
@@ -165,8 +167,28 @@ def logistic(s, d):
     return md.logistic_scores(model, samples, F.flatten("x")).select("source_file", "window_start", "split", TARGET, "score")
 
 
-REPORTS.add("logistic_scores", logistic)
-REPORTS.add("logistic_metrics", lambda s, d: md.logistic_operating_metrics(state_sequences(s, d), F.flatten("x"), TARGET))
+SCALED_SQL = _scaler_sql("weighted", PLAIN) + f""",
+scaled AS (SELECT source_file, window_start, split, eligible, {TARGET}, attack_list[1] AS next_attack,
+  [{', '.join(f'({c} - m_{c}) / s_{c}' for c in STATE)}] AS v FROM labelled, means, scales),
+histories AS (SELECT * FROM (SELECT *, flatten(list(v) OVER (PARTITION BY source_file ORDER BY window_start ROWS 5 PRECEDING)) AS h
+  FROM scaled) WHERE eligible)"""
+WIDTH = 6 * len(STATE)
+LOGISTIC_SQL = (*dr.LABELLED, WEIGHTS_SQL, SCALED_SQL, f"train AS (SELECT list_append(h, 1.0) AS x, {TARGET} AS y FROM histories WHERE split = 'train')",
+                *fit_sql("train", WIDTH, balanced=True), f"""
+scored AS MATERIALIZED (SELECT source_file, window_start, split, {TARGET}, {TARGET} AS label,
+  {margin_sql('list_append(h, 1.0)')} AS score FROM histories, train_fit)""")
+REPORTS.add("logistic_scores", logistic, with_tables(
+    *LOGISTIC_SQL, select=f"SELECT source_file, window_start, split, {TARGET}, score FROM scored"), doubles=["score"])
+REPORTS.add(
+    "logistic_metrics", lambda s, d: md.logistic_operating_metrics(state_sequences(s, d), F.flatten("x"), TARGET),
+    with_tables(*LOGISTIC_SQL, "val AS (SELECT * FROM scored WHERE split = 'validation')", "tst AS (SELECT * FROM scored WHERE split = 'test')",
+                ladder_sql("val", extra="0.5"), "cut AS MATERIALIZED (SELECT threshold FROM ladder ORDER BY f1 DESC, threshold LIMIT 1)",
+                confusion_sql("tst", "(SELECT threshold FROM cut)"), ladder_sql("tst", name="lt"), select="""SELECT cm.*, threshold,
+  (SELECT CASE WHEN max(positives) > 0 THEN sum(pos * tp / (tp + fp)) / max(positives) END FROM lt) AS average_precision,
+  (SELECT CASE WHEN max(positives * negatives) > 0 THEN sum(neg * (tp - pos / 2)) / max(positives * negatives) END FROM lt) AS roc_auc
+  FROM cm, cut"""),
+    doubles=["precision", "recall", "f1", "fpr", "threshold", "average_precision", "roc_auc"],
+)
 
 
 def static_importance(s, d):
@@ -175,7 +197,13 @@ def static_importance(s, d):
     return md.coefficient_importance(s, model, STATE)
 
 
-REPORTS.add("static_logistic_importance", static_importance)
+REPORTS.add(
+    "static_logistic_importance", static_importance,
+    with_tables(*dr.LABELLED, WEIGHTS_SQL, SCALED_SQL, "train AS (SELECT list_append(v, 1.0) AS x, next_attack AS y FROM histories WHERE split = 'train')",
+                *fit_sql("train", len(STATE), balanced=True), select=" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, b[{i + 1}] AS coefficient, abs(b[{i + 1}]) AS importance FROM train_fit" for i, c in enumerate(STATE))),
+    doubles=["coefficient", "importance"],
+)
 
 
 def linear_model():
@@ -203,17 +231,32 @@ def validation(s, d):
     return adapters.scores(s, d).filter("split = 'validation'")
 
 
-REPORTS.add("platt_calibration", lambda s, d: md.apply_platt(md.fit_platt(validation(s, d)), adapters.scores(s, d).filter(
-    "split = 'test'")).select("event_id", "score", "calibrated"))
+PLATT_SQL = (adapters.SCORES_SQL, "valid AS (SELECT *, [score::DOUBLE, 1.0] AS x, label AS y FROM scores WHERE split = 'validation')",
+             *fit_sql("valid", 1, balanced=False))
 REPORTS.add(
-    "isotonic_calibration",
-    lambda s, d: md.apply_isotonic(md.fit_isotonic(validation(s, d)), validation(s, d)).select("score", "calibrated").distinct(),
-    with_tables(adapters.SCORES_SQL, """
+    "platt_calibration", lambda s, d: md.apply_platt(md.fit_platt(validation(s, d)), adapters.scores(s, d).filter(
+        "split = 'test'")).select("event_id", "score", "calibrated"),
+    with_tables(*PLATT_SQL, select=f"""SELECT event_id, score, {margin_sql('[score::DOUBLE, 1.0]')} AS calibrated
+  FROM scores, valid_fit WHERE split = 'test'"""), doubles=["calibrated"],
+)
+ISOTONIC_SQL = """
 pool AS (SELECT score, sum(label) AS y, count(*) AS n, row_number() OVER (ORDER BY score) AS r FROM scores WHERE split = 'validation' GROUP BY 1),
 cum AS (SELECT *, sum(y) OVER (ORDER BY r) AS cy, sum(n) OVER (ORDER BY r) AS cn FROM pool),
 spans AS (SELECT a.r AS i, b.r AS j, (b.cy - a.cy + a.y) / (b.cn - a.cn + a.n) AS m FROM cum a JOIN cum b ON b.r >= a.r),
 low AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM spans),
-fit AS (SELECT j AS r, max(m) AS calibrated FROM low GROUP BY 1)""", select="SELECT score, calibrated FROM fit JOIN pool USING (r)"),
+fit AS (SELECT j AS r, max(m) AS calibrated FROM low GROUP BY 1)"""
+REPORTS.add(
+    "isotonic_calibration",
+    lambda s, d: md.apply_isotonic(md.fit_isotonic(validation(s, d)), validation(s, d)).select("score", "calibrated").distinct(),
+    with_tables(adapters.SCORES_SQL, ISOTONIC_SQL, select="SELECT score, calibrated FROM fit JOIN pool USING (r)"),
     doubles=["calibrated"],
 )
-REPORTS.add("calibrator_selection", lambda s, d: md.select_calibrator(validation(s, d)))
+REPORTS.add(
+    "calibrator_selection", lambda s, d: md.select_calibrator(validation(s, d)),
+    with_tables(*PLATT_SQL, ISOTONIC_SQL, f"""
+mapped AS (SELECT 'platt' AS method, score, label, {margin_sql('x')} AS c FROM valid, valid_fit
+  UNION ALL SELECT 'isotonic', score, label, round(calibrated, 12) FROM valid JOIN pool USING (score) JOIN fit USING (r)),
+rated AS (SELECT method, avg((c - label) ** 2) AS brier, count(DISTINCT c) >= count(DISTINCT score) AS preserves_ranking FROM mapped GROUP BY 1),
+best AS (SELECT coalesce((SELECT method FROM rated WHERE preserves_ranking ORDER BY brier, method LIMIT 1), 'platt') AS chosen)""",
+                select="SELECT method, brier, preserves_ranking, method = chosen AS selected FROM rated, best"), doubles=["brier"],
+)

@@ -155,8 +155,25 @@ REPORTS.add(
     with_tables(SCORES_SQL, select="""SELECT split, avg((score - label) * (score - label)) AS brier FROM scores GROUP BY 1"""),
     doubles=["brier"],
 )
-REPORTS.add("bootstrap_interval", lambda s, d: sc.bootstrap_interval(
-    SCORES(s, d).filter("split = 'test'"), "event_id", 0.5, replicates=100))
+METRICS = ["average_precision", "roc_auc", "f1", "recall"]
+REPORTS.add(
+    "bootstrap_interval", lambda s, d: sc.bootstrap_interval(SCORES(s, d).filter("split = 'test'"), "event_id", 0.5, replicates=100),
+    with_tables(SCORES_SQL, f"""
+drawn AS MATERIALIZED (SELECT r AS replicate, score, label, len(list_filter({sc.poisson_steps()}, lambda p: p <= u)) AS w FROM (
+  SELECT *, ('0x' || md5(event_id || ':' || r || ':42')[1:13])::UBIGINT::DOUBLE / 2.0 ** 52 AS u
+  FROM scores, range(1, 101) t(r) WHERE split = 'test'))""", """
+steps AS (SELECT replicate, score, sum(w * label) AS pos, sum(w * (1 - label)) AS neg FROM drawn GROUP BY ALL),
+cum AS (SELECT *, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER (PARTITION BY replicate) AS p,
+  sum(neg) OVER (PARTITION BY replicate) AS n FROM steps WINDOW o AS (PARTITION BY replicate ORDER BY score DESC)),
+ranked AS (SELECT replicate, sum(CASE WHEN tp + fp > 0 THEN pos * tp / (tp + fp) ELSE 0 END) / max(p) AS average_precision,
+  sum(neg * (tp - pos / 2)) / (max(p) * max(n)) AS roc_auc FROM cum WHERE p > 0 AND n > 0 GROUP BY 1),
+cut AS (SELECT replicate, sum(w) FILTER (score >= 0.5 AND label = 1) AS tp, sum(w) FILTER (score >= 0.5 AND label = 0) AS fp,
+  sum(w) FILTER (score < 0.5 AND label = 1) AS fn FROM drawn GROUP BY 1),
+valid AS (SELECT average_precision, roc_auc, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fn) AS recall FROM ranked JOIN cut USING (replicate))""",
+                select=" UNION ALL ".join(f"""SELECT '{m}' AS metric, count(*) AS valid_replicates, avg({m}) AS mean,
+  quantile_cont({m}, 0.025) AS low, quantile_cont({m}, 0.975) AS high FROM valid""" for m in METRICS)),
+    doubles=["mean", "low", "high"],
+)
 REPORTS.add(
     "class_weights",
     lambda s, d: sc.class_weights(SCORES(s, d).filter("split = 'train'").withColumn("stage", F.col("event_id") % 7 % 3),

@@ -224,3 +224,9 @@ def test_bootstrap_is_repeatable(spark):
     whole = sc.ranking_metrics(df).first()["roc_auc"]
     low, high = next((r["low"], r["high"]) for r in runs[0] if r["metric"] == "roc_auc")
     assert low <= whole <= high
+
+
+def test_poisson_steps_leave_nothing_a_draw_can_tell():
+    steps = sc.poisson_steps()
+    assert steps == sorted(set(steps)) and steps[0] == pytest.approx(np.exp(-1)) and 1 - steps[-1] < 1e-13
+    assert sum(1 - s for s in steps) == pytest.approx(1)  # the mean of a Poisson(1) weight
