@@ -45,7 +45,7 @@ def _sums(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndar
 
 
 def fit(samples: DataFrame, features: Column, label: str, balanced: bool = True, c: float = 1.0, max_rounds: int = 100,
-        tolerance: float = 1e-12) -> LinearModel:
+        tolerance: float = 1e-10) -> LinearModel:
     """Minimum of c * sum(weight * log loss) + |coefficients|^2 / 2, the intercept unpenalised.
 
     ``balanced`` weighs the classes alike. The samples are written once; a round that does not lower
@@ -70,12 +70,15 @@ def fit(samples: DataFrame, features: Column, label: str, balanced: bool = True,
     loss, slope, bend = at(beta)
     for _ in range(max_rounds):
         step = np.linalg.solve(bend, slope)
-        if float(slope @ step) <= tolerance * max(1.0, abs(loss)) ** 0.5 * 1e-6:
+        if slope @ step <= tolerance * max(1.0, abs(loss)):  # the next round would move less than this one by far
+            beta = beta - step
             break
-        while True:
+        for _ in range(40):
             tried = at(beta - step)
-            if tried[0] <= loss or np.abs(step).max() < 1e-14:
+            if tried[0] <= loss * (1 + 1e-12):
                 break
             step = step / 2
         beta, (loss, slope, bend) = beta - step, tried
+    else:
+        raise ValueError(f"the fit has not settled in {max_rounds} rounds")
     return LinearModel(tuple(float(v) for v in beta[:-1]), float(beta[-1]))
