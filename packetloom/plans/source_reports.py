@@ -17,6 +17,7 @@ from packetloom.plans import label_reports as lr
 from packetloom.plans.registry import Reports, with_tables
 from packetloom.session import checkpoint_dir
 from packetloom.sources import capture as cp
+from packetloom.sources import capture_ranges as cr
 from packetloom.sources import flow_csv as fc
 from packetloom.sources import sinks as sk
 from packetloom.sources import zeek as zk
@@ -156,6 +157,25 @@ REPORTS.add(
                                       "tcp_window_size", "more_fragments", "fragment_offset")},
                     "payload_length": "least(payload_length, 40)"}.items()) + " FROM p"),
 )
+
+def captured(s, d):
+    """Frames written as four capture files and read back, each file by several tasks."""
+    folder = f"{checkpoint_dir(s)}/captures-{uuid.uuid4().hex}"
+    cr.write_captures(frames(s, d), folder, 4)
+    return cp.decode_frames(cr.read_capture_ranges(s, folder, 32 << 10))
+
+
+REPORTS.add(
+    "capture_files",
+    lambda s, d: captured(s, d).groupBy("parse_status", "protocol", "src_ip", "dst_port").agg(
+        F.count("*").alias("frames"), F.sum("packet_length").alias("bytes"), F.sum("tcp_seq").alias("tcp_seq"), F.max("timestamp").alias("last")),
+    with_tables(PACKETS_SQL, f"p AS (SELECT *, {STATUS} AS parse_status FROM packets)", """
+d AS (SELECT *, parse_status = 'ok' AS ok, 14 + 20 + CASE WHEN protocol = 'TCP' THEN 20 ELSE 8 END + least(payload_length, 40) AS size FROM p)""",
+                select="""SELECT parse_status, CASE WHEN ok THEN protocol END AS protocol, CASE WHEN ok THEN src_ip END AS src_ip,
+  CASE WHEN ok THEN dst_port END AS dst_port, count(*) AS frames,
+  CAST(sum(greatest(packet_length, CASE WHEN event_id % 41 = 0 THEN 20 ELSE size END)) AS BIGINT) AS bytes,
+  CAST(sum(CASE WHEN ok AND protocol = 'TCP' THEN tcp_seq END) AS BIGINT) AS tcp_seq, max(timestamp) AS "last" FROM d GROUP BY ALL"""),
+)
 REPORTS.add("capture_status", lambda s, d: cp.status_counts(cp.decode_frames(frames(s, d))),
             with_tables(PACKETS_SQL, select=f"SELECT {STATUS} AS parse_status, count(*) AS frames FROM packets GROUP BY 1"))
 REPORTS.add(

@@ -1,13 +1,16 @@
 """Readers and sinks on real files."""
 
 import datetime as dt
+import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from packetloom.operators.packets import flag
 from packetloom.sources import capture as cp
+from packetloom.sources import capture_ranges as cr
 from packetloom.sources import flow_csv as fc
 from packetloom.sources import sinks as sk
 from packetloom.sources import zeek as zk
@@ -193,3 +196,51 @@ def test_state_schema_is_checked(spark, tmp_path):
         fc.read_states(spark, str(tmp_path / "s"), sources=10)
     fc.export_states_csv(states, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["current_attack_types"] == "x;y"
+
+
+def same_frames(spark, folder, split):
+    columns = ["frame_no", "epoch_micros", "wire_length", "link_type", "frame", "cut"]
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    want = sorted(cp.read_capture_frames(spark, folder).select(name, *columns).collect(), key=str)
+    got = sorted(cr.read_capture_ranges(spark, folder, split).select(name, *columns).collect(), key=str)
+    assert got == want
+    return got
+
+
+def test_ranges_of_captures_equal_whole_files(spark, tmp_path):
+    rng = random.Random(3)
+    fake = b"".join(struct.pack("<IIII", 9, 9, 20, 20) + b"\1" * 20 for _ in range(12))  # a payload that looks like records
+    rows = [(100 + k, k, frame(payload=fake if k % 9 == 4 else bytes(rng.randrange(256) for _ in range(rng.randrange(60))))) for k in range(60)]
+    (tmp_path / "little.pcap").write_bytes(capture(rows))
+    (tmp_path / "big.pcap").write_bytes(capture([(s, n, f if len(f) < 200 else frame()) for s, n, f in rows], ">", True) + b"\0\0\0tail")
+    (tmp_path / "short.pcap").write_bytes(capture([])[:10])
+    (tmp_path / "none.pcap").write_bytes(capture([]))
+    (tmp_path / "cut.pcap").write_bytes(capture(rows[:9])[:-3])
+    for split in (100, 777):
+        found = same_frames(spark, str(tmp_path), split)
+        assert Counter(r["name"] for r in found) == {"little.pcap": 60, "big.pcap": 61, "short.pcap": 1, "cut.pcap": 9}
+    index = cr.capture_index(spark, str(tmp_path / "little.pcap"), 777).collect()
+    assert len(index) > 5 and sum(r["frames"] for r in index) == 60
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_ranges_of_block_captures_know_their_interfaces(spark, tmp_path, order):
+    section = block(order, 0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    packet = lambda port, k: block(order, 6, struct.pack(order + "IIIII", port, 0, k, len(frame()), len(frame())) + frame())
+    face = lambda link: block(order, 1, struct.pack(order + "HHI", link, 0, 0))
+    data = section + face(1) + b"".join(packet(0, k) for k in range(20)) + face(101) + b"".join(packet(k % 2, k) for k in range(20))
+    data += section + face(113) + b"".join(packet(0, k) for k in range(20)) + block(order, 5, b"\0" * 12) + packet(3, 0)
+    (tmp_path / "a.pcapng").write_bytes(data)
+    (tmp_path / "b.pcapng").write_bytes(data + b"\6\0\0")
+    other = "<" if order == ">" else ">"  # a section of the other byte order
+    turned = block(other, 0x0A0D0D0A, struct.pack(other + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(other, 1, struct.pack(other + "HHI", 12, 0, 0))
+    turned += b"".join(block(other, 6, struct.pack(other + "IIIII", 0, 0, k, 59, 59) + frame()) for k in range(20))
+    (tmp_path / "c.pcapng").write_bytes(data + turned)
+    found = same_frames(spark, str(tmp_path), 300)
+    assert Counter(r["link_type"] for r in found if r["name"] == "a.pcapng") == {1: 31, 101: 10, 113: 20}
+
+
+def test_ranges_refuse_other_files(spark, tmp_path):
+    (tmp_path / "x.pcap").write_bytes(b"text, not packets")
+    with pytest.raises(Exception, match="no capture file"):
+        cr.read_capture_ranges(spark, str(tmp_path)).count()
