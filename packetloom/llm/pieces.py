@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,16 +54,22 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
 
 
 class _Chunks(dict):
-    """Packed ids by chunk; a short chunk met for the first time is encoded and kept."""
+    """Packed ids by chunk; a short chunk met for the first time is encoded and kept.
+
+    A full cache becomes the older half, from which chunks met again are taken back.
+    """
 
     def __init__(self, viterbi):
         super().__init__()
-        self.viterbi = viterbi
+        self.viterbi, self.older = viterbi, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.viterbi(chunk), np.int32).tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = array("i", self.viterbi(chunk)).tobytes()
         if len(chunk) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -82,6 +89,7 @@ class Encoder:
         line = any("\n" in p and len(p) > 1 for p in vocabulary.pieces)
         self.cut = None if inside or line else re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.known = _Chunks(self.viterbi)
+        self.singles = frozenset(p for p in vocabulary.pieces if len(p) == 1)
 
     def viterbi(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best-scoring split; of equal splits, the one whose last piece is longer.
@@ -90,6 +98,8 @@ class Encoder:
         each relaxes the best score there. A character that is no piece, and one whose place is in
         ``literal``, costs the unknown score and becomes its UTF-8 bytes.
         """
+        if not literal and self.singles.issuperset(text):
+            return self._covered(text)
         n = len(text)
         best = [0.0] + [float("-inf")] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -126,6 +136,23 @@ class Encoder:
             at -= length
         return found[::-1]
 
+    def _covered(self, text: str) -> list[int]:
+        """The same for a text whose every character is a piece: all places are reached, none is unknown."""
+        n = len(text)
+        best = [0.0] + [float("-inf")] * n
+        back: list = [None] * (n + 1)
+        for last, piece in self.automaton.iter(text):
+            end = last + 1
+            score = piece[1] + best[end - piece[0]]
+            if score > best[end]:
+                best[end], back[end] = score, piece
+        found, at = [], n
+        while at:
+            length, _, k = back[at]
+            found.append(k)
+            at -= length
+        return found[::-1]
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; a leading mark is added and blanks become marks. An empty text has none."""
         if not text:
