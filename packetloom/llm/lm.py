@@ -30,7 +30,7 @@ STEPS = 1024  # of the first descent, by one task
 HEAD = 1 << 17  # words whose counts every task gets; those of all other words are joined
 SMOOTH = 0.1  # fixed value of the base: added to each count
 _PAD = 65535
-_BLOCK = 64
+_BLOCK = 128
 _ROWS = 512
 _KINDS = 200_000
 
@@ -110,6 +110,27 @@ def classes(counts: np.ndarray, size: int = GROUPS * MEMBERS, bins: int = BINS)
     return Classes(of, np.log(mass / total[of]), log_mass.astype(np.float32))
 
 
+_STRIP = 200_000
+
+
+def _times(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Rows of ``s`` times ``t``, in strips so small that the linear algebra library starts no threads of its own."""
+    strip = max(1, _STRIP // t.size)
+    whole = len(s) // strip * strip
+    out = np.empty((len(s), t.shape[1]), np.result_type(s, t))
+    np.matmul(s[:whole].reshape(-1, strip, s.shape[1]), t, out=out[:whole].reshape(-1, strip, t.shape[1]))
+    np.matmul(s[whole:], t, out=out[whole:])
+    return out
+
+
+def _across(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """``s`` transposed times ``t``, in such strips."""
+    strip = max(1, _STRIP // (s.shape[1] * t.shape[1]))
+    whole = len(s) // strip * strip
+    part = lambda x: x[:whole].reshape(-1, strip, x.shape[1])
+    return np.matmul(part(s).transpose(0, 2, 1), part(t)).sum(axis=0) + s[whole:].T @ t[whole:]
+
+
 class Attention:
     """One causal head over a window, added to a map of the last token, then a softmax in two steps.
 
@@ -138,7 +159,7 @@ class Attention:
         inputs, targets = at[:, :-1], at[:, CONTEXT - STRIDE + 1:]
         x = self.x[inputs]
         own = x[:, CONTEXT - STRIDE:]
-        flat = lambda s, t: (s.reshape(-1, DIM) @ t).reshape(s.shape)
+        flat = lambda s, t: _times(s.reshape(-1, DIM), t).reshape(s.shape)
         q, k, v = flat(own, self.q), flat(x, self.k), flat(x, self.v)
         scores = q @ k.transpose(0, 2, 1)
         scores += self.bias[0][self.lag]
@@ -152,10 +173,10 @@ class Attention:
         real = targets.ravel() <= self.end
         group, member = np.divmod(self.known.of[np.minimum(targets.ravel(), self.end)], MEMBERS)
         place = np.arange(len(group))
-        inner = (last @ self.w).reshape(-1, GROUPS, MEMBERS)[place, group] + self.b.reshape(GROUPS, MEMBERS)[group]
+        inner = _times(last, self.w).reshape(-1, GROUPS, MEMBERS)[place, group] + self.b.reshape(GROUPS, MEMBERS)[group]
         logp = self.known.log_share[np.minimum(targets.ravel(), self.end)]
         chances = []
-        for logits, goal in ((last @ self.wg + self.bg, group), (inner, member)):
+        for logits, goal in ((_times(last, self.wg) + self.bg, group), (inner, member)):
             logits -= logits.max(axis=1, keepdims=True)
             hit = logits[place, goal]
             chance = np.exp(logits, out=logits)
@@ -178,9 +199,9 @@ class Attention:
         inner[np.arange(len(group)), group] = slopes[1]
         inner = inner.reshape(len(group), -1)
         last = h.reshape(-1, DIM)
-        dense = {"w": last.T @ inner, "b": inner.sum(axis=0, keepdims=True), "wg": last.T @ outer, "bg": outer.sum(axis=0, keepdims=True)}
-        dz = ((inner @ self.w.T + outer @ self.wg.T) * (1 - last * last)).reshape(h.shape)
-        both = lambda s, t: s.reshape(-1, DIM).T @ t.reshape(-1, DIM)
+        dense = {"w": _across(last, inner), "b": inner.sum(axis=0, keepdims=True), "wg": _across(last, outer), "bg": outer.sum(axis=0, keepdims=True)}
+        dz = ((_times(inner, self.w.T) + _times(outer, self.wg.T)) * (1 - last * last)).reshape(h.shape)
+        both = lambda s, t: _across(s.reshape(-1, DIM), t.reshape(-1, DIM))
         dense["u"] = both(own, dz)
         dv = a.transpose(0, 2, 1) @ dz
         da = dz @ v.transpose(0, 2, 1)
@@ -188,7 +209,7 @@ class Attention:
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         dense["q"], dense["k"], dense["v"] = both(own, dq), both(x, dk), both(x, dv)
         dense["bias"] = np.bincount(self.lag.ravel(), weights=np.where(self.future, 0, ds.sum(axis=0)).ravel(), minlength=CONTEXT)[None, :]
-        flat = lambda s, t: (s.reshape(-1, DIM) @ t).reshape(s.shape)
+        flat = lambda s, t: _times(s.reshape(-1, DIM), t).reshape(s.shape)
         dx = flat(dk, self.k.T) + flat(dv, self.v.T)
         dx[:, CONTEXT - STRIDE:] += flat(dq, self.q.T) + flat(dz, self.u.T)
         order = np.argsort(inputs, axis=None, kind="stable")
@@ -251,10 +272,10 @@ class Attention:
             at = line[w * STRIDE:(w + rows - 1) * STRIDE + CONTEXT + 1]
             x = self.x.take(at[:-1], axis=0)
             own = x[CONTEXT - STRIDE:]
-            kv = x @ both
+            kv = _times(x, both)
             step = kv.strides
             seen = np.lib.stride_tricks.as_strided(kv, (rows, CONTEXT, 2 * DIM), (STRIDE * step[0], *step), writeable=False)
-            scores = (own @ self.q).reshape(rows, STRIDE, DIM) @ seen[:, :, :DIM].transpose(0, 2, 1)
+            scores = _times(own, self.q).reshape(rows, STRIDE, DIM) @ seen[:, :, :DIM].transpose(0, 2, 1)
             scores += allowed
             pad = at[:-1] > self.end
             if pad.any():
@@ -263,7 +284,7 @@ class Attention:
             scores -= scores.max(axis=2, keepdims=True)
             a = np.exp(scores, out=scores)
             weight = a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)
-            h = own @ self.u
+            h = _times(own, self.u)
             h += (a @ seen[:, :, DIM:]).reshape(-1, DIM) / weight[:, None]
             np.tanh(h, out=h)
             targets = at[CONTEXT - STRIDE + 1:]
@@ -271,7 +292,7 @@ class Attention:
             goal = np.minimum(targets, self.end)
             group, member = np.divmod(self.known.of[goal], MEMBERS)
             inner = (h[:, None, :] @ members[group])[:, 0] + inner_b[group]
-            logp = self._spread(h @ self.wg + self.bg, group) + self._spread(inner, member) + self.known.log_share[goal]
+            logp = self._spread(_times(h, self.wg) + self.bg, group) + self._spread(inner, member) + self.known.log_share[goal]
             logp = np.where(real, logp, 0.0).reshape(rows, STRIDE).sum(axis=1, dtype=np.float64)
             total += np.bincount(owner[w:w + rows], weights=logp, minlength=len(texts) + 1)
         return total[:-1] / math.log(10)
