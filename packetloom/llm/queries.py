@@ -23,6 +23,5 @@ QUERIES = {
 SQL = {
     "op5_exact_dedup": exact.OP5_SQL,
     "op11_fill_in_middle": fim.OP11_SQL,
-    "op12_lm_scores": lm.op12_lm_scores,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
