@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetloom.functions.numeric import bind, clamp, finite_double, is_finite, log_clip, sigmoid
 from packetloom.operators import newton
+from packetloom.operators.isotonic import interpolate, isotonic_points
 from packetloom.operators.newton import LinearModel
 from packetloom.operators.ordered import beside, owned_rows, with_halo
 from packetloom.session import cut_lineage
@@ -189,17 +189,14 @@ def apply_platt(model: LinearModel, rows: DataFrame, score: str = "score", name:
     return logistic_scores(model, rows, F.array(F.col(score).cast("double")), name)
 
 
-def fit_isotonic(validation: DataFrame, score: str = "score", label: str = "label"):
-    """E24. Isotonic regression on validation scores, equal scores pooled beforehand."""
-    pooled = validation.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(pooled)
+def fit_isotonic(validation: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """E24. Isotonic regression on validation scores, as the points of its steps."""
+    return isotonic_points(validation, score, label)
 
 
-def apply_isotonic(model, rows: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
-    """Interpolates between the fitted points and clips outside them."""
-    return model.setFeaturesCol("__score").setPredictionCol(name).transform(
-        rows.withColumn("__score", F.col(score).cast("double"))).drop("__score")
+def apply_isotonic(points: DataFrame, rows: DataFrame, score: str = "score", name: str = "calibrated") -> DataFrame:
+    """E24. Interpolates between the fitted points and clips outside them."""
+    return interpolate(points, rows, score, name)
 
 
 def select_calibrator(validation: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
