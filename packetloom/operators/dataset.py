@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.labels import coarse_stage, is_attack, map_label_set
 from packetloom.functions.numeric import finite_double
-from packetloom.operators.ordered import epoch_micros, grouped_percentiles, owned_rows, with_halo
+from packetloom.operators.ordered import epoch_micros, explode_range, grouped_percentiles, owned_rows, with_halo
 from packetloom.operators.windows import window_start
 from packetloom.session import cut_lineage
 
@@ -131,21 +131,18 @@ def mean_std_max_min_states(rows: DataFrame, columns: Sequence[str], window_seco
 def complete_timeline(states: DataFrame, window_seconds: int = 10, keys: Sequence[str] = ("source_file",)) -> DataFrame:
     """J4. Every window from first to last per source; empty ones hold zeros.
 
-    ``window_index`` and ``window_count`` follow from arithmetic, so no ordering is needed. The states
+    ``window_index`` and ``window_count`` follow from arithmetic, so no ordering is needed, and a source
+    whose events lie years apart has its windows made by many tasks. The states
     (one per non-empty window) are written once, so that bounds and join share one aggregation.
     """
     keys = list(keys)
     states = cut_lineage(states)
-    bounds = states.groupBy(*keys).agg(F.min("window_start").alias("__first"), F.max("window_start").alias("__last"))
-    step = F.expr(f"INTERVAL {window_seconds} SECONDS")
     micros = window_seconds * 1_000_000
-    timeline = bounds.select(
-        *keys, "__first",
-        (F.floor((epoch_micros("__last") - epoch_micros("__first")) / micros) + 1).alias("window_count"),
-        F.explode(F.sequence("__first", "__last", step)).alias("window_start"),
-    ).withColumn(
-        "window_index", F.floor((epoch_micros("window_start") - epoch_micros("__first")) / micros)
-    ).drop("__first")
+    bounds = states.groupBy(*keys).agg(F.min("window_start").alias("__first"), F.max("window_start").alias("__last")).withColumn(
+        "window_count", F.floor((epoch_micros("__last") - epoch_micros("__first")) / micros) + 1).drop("__last")
+    after = F.make_dt_interval(secs=(F.col("window_index") * window_seconds).cast("decimal(18,6)"))
+    timeline = explode_range(bounds, F.lit(0), F.col("window_count") - 1, "window_index").select(
+        *keys, "window_count", (F.col("__first") + after).alias("window_start"), "window_index")
     filled = timeline.join(states, [*keys, "window_start"], "left")
     empty = F.array().cast("array<string>")
     zero = {}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import distinct_with_null, finite_double
-from packetloom.operators.ordered import beside, row_index
+from packetloom.operators.ordered import beside, explode_range, grouped_percentiles, row_index
 from packetloom.operators.windows import window_start
 from packetloom.session import cut_lineage
 
@@ -112,18 +112,21 @@ def window_distributions(metrics: DataFrame, columns: Sequence[str], total_windo
                          ) -> DataFrame:
     """G8. min/median/mean/p95/max and defined count per metric over all window indices.
 
-    Windows without traffic count as zero in the size metrics and as undefined elsewhere. Values
-    per metric are as many as there are windows, a bound set by the capture's duration.
+    Windows without traffic count as zero in the size metrics and as undefined elsewhere.
     """
-    last = F.lit(total_windows - 1).cast("long") if total_windows is not None else F.col("last")
-    grid = metrics.agg(F.max("window_index").alias("last")).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("window_index"))
+    last = F.lit(total_windows - 1) if total_windows is not None else F.col("last")
+    grid = explode_range(metrics.agg(F.max("window_index").alias("last")), F.lit(0), last, "window_index").drop("last")
     filled = grid.join(metrics, "window_index", "left").na.fill(0, [c for c in columns if c in zero_when_empty])
-    long = filled.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "metric", "value")
-    return long.groupBy("metric").agg(
-        F.min("value").alias("min"), F.percentile("value", 0.5).alias("median"), F.avg("value").alias("mean"),
-        F.percentile("value", 0.95).alias("p95"), F.max("value").alias("max"), F.count("value").alias("defined"))
+    return _distributions(filled.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "metric", "value"))
+
+
+def _distributions(long: DataFrame) -> DataFrame:
+    """min/median/mean/p95/max and defined count of (metric, value) rows, percentiles by ranks in buckets."""
+    plain = long.groupBy("metric").agg(
+        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"), F.count("value").alias("defined"))
+    ranked = grouped_percentiles(long, ["metric"], "value", {"median": 0.5, "p95": 0.95})
+    return plain.join(ranked, "metric", "left").select("metric", "min", "median", "mean", "p95", "max", "defined")
 
 
 def window_churn(members: DataFrame, element: Sequence[str], total_windows: DataFrame) -> DataFrame:
@@ -143,8 +146,7 @@ def window_churn(members: DataFrame, element: Sequence[str], total_windows: Data
     counts = met.groupBy("window_index").agg(
         F.sum(now).alias("size"), F.sum(before).alias("prior"), F.sum(now * before).alias("kept"),
         F.sum(now * (1 - before)).alias("new"), F.sum(before * (1 - now)).alias("gone"))
-    grid = total_windows.filter("total_windows > 1").select(F.explode(F.sequence(
-        F.lit(1).cast("long"), F.col("total_windows").cast("long") - 1)).alias("window_index"))
+    grid = explode_range(total_windows, F.lit(1), F.col("total_windows") - 1, "window_index").select("window_index")
     full = grid.join(counts, "window_index", "left").na.fill(0, ["size", "new", "kept", "gone", "prior"])
     union = F.col("size") + F.col("prior") - F.col("kept")
     return full.select("window_index", "new", "gone", (F.col("new") + F.col("gone")).alias("churn"), "kept",
@@ -165,9 +167,7 @@ def dynamics_summary(node_churn: DataFrame, edge_churn: DataFrame) -> DataFrame:
         return churn.select(*[F.col(c).cast("double").alias(f"{kind}_{c}") for c in ("new", "gone", "churn", "jaccard")]
                             ).unpivot([], [f"{kind}_{c}" for c in ("new", "gone", "churn", "jaccard")], "metric", "value")
 
-    return long(node_churn, "node").unionAll(long(edge_churn, "edge")).groupBy("metric").agg(
-        F.min("value").alias("min"), F.percentile("value", 0.5).alias("median"), F.avg("value").alias("mean"),
-        F.percentile("value", 0.95).alias("p95"), F.max("value").alias("max"), F.count("value").alias("defined"))
+    return _distributions(long(node_churn, "node").unionAll(long(edge_churn, "edge")))
 
 
 def edge_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], src: str = "src_ip",

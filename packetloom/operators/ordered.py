@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from packetloom.session import cut_lineage
 
 KEY, BUCKET, BLOCK, OWNED = "__key", "__bucket", "__block", "__owned"
+SPANS_PER_TASK, MOST_SPAN_TASKS = 16, 10_000
+SKETCH_SIZE, MOST_RANKS = 4096, 1024  # ranks off by about a thousandth, so finer cut points would not be even
 
 
 def group_key(columns: Sequence[str | Column]) -> Column:
@@ -150,21 +152,71 @@ def add_value_bucket(values: DataFrame, column: str, name: str = "__vb", buckets
     return values.withColumn("__cuts", cuts).withColumn(name, below).drop("__cuts")
 
 
+def add_key_value_bucket(counts: DataFrame, keys: Sequence[str], column: str, name: str = "__vb",
+                         rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """Add an order-preserving bucket number whose cut points belong to the key of a row.
+
+    A key of at most ``rows_per_bucket`` rows is one bucket. A hot key gets cut points from a quantile
+    sketch of its own values, so that it is split evenly however narrow its range is. The sketches
+    only balance work; their cut points are written once, since a sketch is not the same in every run.
+    ``counts`` should be a written table: it is read up to three times.
+    """
+    tagged = counts.withColumn(KEY, group_key(keys))
+    hot = cut_lineage(tagged.groupBy(KEY).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > rows_per_bucket))
+    largest = hot.agg(F.max("__rows")).first()[0]
+    if largest is None:
+        return counts.withColumn(name, F.lit(0))
+    value = F.col(column).cast("double")
+    # Hot keys, and all cut points they use, are fewer than rows / rows_per_bucket each.
+    ranks = min(-(-largest // rows_per_bucket), MOST_RANKS)
+    every = F.kll_sketch_get_quantile_double("__sketch", F.array(*[F.lit(i / ranks) for i in range(1, ranks)]))
+    own = F.least(F.ceil(F.col("__rows") / rows_per_bucket), F.lit(ranks))
+    sketched = tagged.join(F.broadcast(hot), KEY).filter(~F.isnan(value)).groupBy(KEY).agg(
+        F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE)).alias("__sketch"), F.max("__rows").alias("__rows"))
+    used = F.transform(F.sequence(F.lit(1).cast("long"), own - 1), lambda i: F.element_at("__every", F.floor(
+        i * ranks / own).cast("int")))
+    cuts = cut_lineage(sketched.select(KEY, "__rows", every.alias("__every")).select(
+        KEY, F.array_distinct(used).alias("__cuts")))
+    below = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda cut: cut < value))
+    return tagged.join(F.broadcast(cuts), KEY, "left").withColumn(name, below).drop("__cuts", KEY)
+
+
+def explode_range(rows: DataFrame, first: Column, last: Column, name: str, span: int = 65_536) -> DataFrame:
+    """One row per integer from ``first`` to ``last``, none if ``last`` is smaller or a bound is NULL.
+
+    Ranges are cut into spans, the spans dealt over tasks, and only then expanded, so that no row
+    holds an array longer than a span (or than the number of spans) and a long range is no single task.
+    """
+    bounds = cut_lineage(rows.withColumns({"__from": first.cast("long"), "__to": last.cast("long")}).filter(
+        "__to >= __from"))
+    spans = F.floor((F.col("__to") - F.col("__from")) / span)
+    total = bounds.agg(F.coalesce(F.sum(spans + 1), F.lit(0))).first()[0]
+    cut = bounds.withColumn("__span", F.explode(F.sequence(F.lit(0).cast("long"), spans)))
+    if total > SPANS_PER_TASK:
+        cut = cut.repartition(min(-(-total // SPANS_PER_TASK), MOST_SPAN_TASKS), *rows.columns, "__span")
+    begin = F.col("__from") + F.col("__span") * span
+    return cut.withColumn(name, F.explode(F.sequence(begin, F.least(F.col("__to"), begin + (span - 1))))).drop(
+        "__from", "__to", "__span")
+
+
 def grouped_percentiles(
     rows: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
+    rows_per_bucket: int = 2_000_000,
 ) -> DataFrame:
     """F3. Exact linear-interpolated percentiles per key without buffering a group in one task.
 
-    The counts per distinct value are written once, since ranks, sizes and cut points all read them.
+    The counts per distinct value are written once, since ranks, sizes and cut points all read them;
+    so are the sizes, which lets the adaptive join split a hot key.
     """
     counts = cut_lineage(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n")))
     ranked = running_totals(
-        add_value_bucket(counts, value, buckets=value_buckets(counts)), keys, [F.col(value)], F.col("__vb"), {"__cum": F.col("__n")}
+        add_key_value_bucket(counts, keys, value, rows_per_bucket=rows_per_bucket), keys, [F.col(value)], F.col("__vb"),
+        {"__cum": F.col("__n")}
     ).withColumn(KEY, group_key(keys))
-    sizes = ranked.groupBy(KEY).agg(F.sum("__n").alias("__size"))
+    sizes = cut_lineage(counts.groupBy(group_key(keys).alias(KEY)).agg(F.sum("__n").alias("__size")))
     placed = ranked.join(sizes, KEY)
 
     def at(position: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import bind
 from packetloom.operators.ordered import (
-    add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals, value_buckets,
+    add_key_value_bucket, add_value_bucket, beside, epoch_micros, group_key, grouped_percentiles, running_totals, value_buckets,
 )
 from packetloom.session import cut_lineage
 
@@ -66,8 +66,10 @@ def score_ladder(rows: DataFrame, keys: Sequence[str] = (), score: str = "score"
                              F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
         counts = cut_lineage(counts.unionByName(added).groupBy(*keys, "threshold").agg(
             F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    bucketed = (add_key_value_bucket(counts, keys, "threshold") if keys
+                else add_value_bucket(counts, "threshold", buckets=value_buckets(counts)))
     ladder = running_totals(
-        add_value_bucket(counts, "threshold", buckets=value_buckets(counts)), keys, [F.desc("threshold")], -F.col("__vb"),
+        bucketed, keys, [F.desc("threshold")], -F.col("__vb"),
         {"tp": F.col("pos"), "fp": F.col("neg")}).drop("__vb")
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     if not keys:
