@@ -15,7 +15,7 @@ from packetloom.operators import alerts as al
 from packetloom.plans import dataset_reports as dr
 from packetloom.plans import label_reports as lr
 from packetloom.plans.registry import Reports, with_tables
-from packetloom.session import checkpoint_dir
+from packetloom.session import checkpoint_dir, cut_lineage
 from packetloom.sources import capture as cp
 from packetloom.sources import capture_ranges as cr
 from packetloom.sources import flow_csv as fc
@@ -269,13 +269,20 @@ def stream_packets(s, d):
 
 @contextmanager
 def one_store_per_core(s):
-    """A stream keeps one state store per shuffle partition for life; the short test streams need no more than cores."""
-    before = s.conf.get("spark.sql.shuffle.partitions")
-    s.conf.set("spark.sql.shuffle.partitions", str(min(int(before), s.sparkContext.defaultParallelism)))
+    """A stream keeps one state store per shuffle partition for life; the short test streams need no more than cores.
+    Keyed state needs the RocksDB store. Both settings are set back."""
+    wanted = {
+        "spark.sql.shuffle.partitions": str(min(int(s.conf.get("spark.sql.shuffle.partitions")), s.sparkContext.defaultParallelism)),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+    before = {name: s.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        s.conf.set(name, value)
     try:
         yield
     finally:
-        s.conf.set("spark.sql.shuffle.partitions", before)
+        for name, value in before.items():
+            s.conf.unset(name) if value is None else s.conf.set(name, value)
 
 
 def finished(s, rows):
@@ -343,3 +350,39 @@ def stream_forecasts(s, d):
 
 
 REPORTS.add("stream_forecasts", stream_forecasts, """SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS stream_key, true AS valid FROM events""")
+
+
+def keyed_packets(s, d):
+    return stream_packets(s, d).withColumn("stream_key", F.col("src_ip"))
+
+
+def stream_recent_events(s, d):
+    """The state of a finished stream, read back as a table."""
+    out = scratch(s)
+    events = keyed_packets(s, d).select("stream_key", F.unix_micros("timestamp").alias("created_at"), "event_id",
+                                        F.col("event_type").alias("payload"))
+    with one_store_per_core(s):
+        st.recent_events(events, 50).writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.write.format("noop").mode("append").save()).option(
+            "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+        return cut_lineage(st.read_buffers(s, f"{out}/state"))
+
+
+REPORTS.add("stream_recent_events", stream_recent_events, """SELECT CAST(user_id % 40 AS VARCHAR) AS stream_key,
+  epoch_us(ts) AS created_at, event_id, event_type AS payload FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) <= 50""")
+
+
+def stream_keyed_forecasts(s, d):
+    out = scratch(s)
+    with one_store_per_core(s):
+        st.buffered_events(keyed_packets(s, d), 50).writeStream.outputMode("update").foreachBatch(
+            st.forecast_buffers(f"{out}/result", 60, 3600)).option(
+            "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{out}/result").select(
+        "stream_key", "events", "oldest_id", "newest_id", F.col("forecasted_risk").between(0, 1).alias("valid"))
+
+
+REPORTS.add("stream_keyed_forecasts", stream_keyed_forecasts, """SELECT stream_key, count(*) AS events,
+  arg_min(event_id, (ts, event_id)) AS oldest_id, arg_max(event_id, (ts, event_id)) AS newest_id, true AS valid
+  FROM (SELECT *, CAST(user_id % 40 AS VARCHAR) AS stream_key FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY 1""")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
 from packetloom.operators.flows import FLOW_KEYS, session_flows
+from packetloom.session import cut_lineage
 
 DEFAULT_DELAY = "60 seconds"
 BUFFER_SIZE = 200
@@ -92,12 +93,17 @@ def sliding_scan(events: DataFrame, history: str = "200 seconds", stride: str =
 
 
 class RecentEvents(StatefulProcessor):
-    """M3. Keeps the newest events of a stream key, whatever order batches bring them in."""
+    """M3. Keeps the newest n events of a stream key, whatever order batches bring them in.
 
-    def __init__(self, n: int = BUFFER_SIZE) -> None:
-        self.n = n
+    With ``idle_seconds``, a key whose newest event lies that far behind the watermark is forgotten.
+    ``whole`` gives the buffered events of each key of a batch, else one row about its buffer.
+    """
+
+    def __init__(self, n: int = BUFFER_SIZE, idle_seconds: float | None = None, whole: bool = False) -> None:
+        self.n, self.idle, self.whole = n, idle_seconds, whole
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.buffer = handle.getListState("recent", "created_at long, event_id long, payload string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
@@ -106,21 +112,86 @@ class RecentEvents(StatefulProcessor):
             kept += list(frame[["created_at", "event_id", "payload"]].itertuples(index=False, name=None))
             kept = sorted(kept, key=lambda r: (r[0], r[1]))[-self.n:]
         self.buffer.put(kept)
-        yield pd.DataFrame({
-            "stream_key": [key[0]], "events": [len(kept)], "oldest_id": [int(kept[0][1])], "newest_id": [int(kept[-1][1])]})
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            forget = int(kept[-1][0]) // 1000 + int(self.idle * 1000)
+            # An event later than the whole idle time still counts, until the watermark moves on.
+            self.handle.registerTimer(max(forget, timer_values.getCurrentWatermarkInMs() + 1))
+        if self.whole:
+            frame = pd.DataFrame([tuple(r) for r in kept], columns=["created_at", "event_id", "payload"])
+            yield frame.assign(stream_key=key[0])[["stream_key", "created_at", "event_id", "payload"]]
+        else:
+            yield pd.DataFrame({
+                "stream_key": [key[0]], "events": [len(kept)], "oldest_id": [int(kept[0][1])], "newest_id": [int(kept[-1][1])]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.buffer.clear()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def recent_events(events: DataFrame) -> DataFrame:
-    """M3. Buffer report per stream key after each batch; state is at most 200 rows per key.
+def recent_events(events: DataFrame, n: int = BUFFER_SIZE, idle_seconds: float | None = None) -> DataFrame:
+    """M3. Buffer report per stream key after each batch; state is at most n rows per key.
 
-    Needs columns stream_key, created_at (long), event_id, payload and the RocksDB state store.
+    Needs columns stream_key, created_at (microseconds), event_id, payload and the RocksDB state
+    store; with ``idle_seconds`` also a watermarked event time.
     """
     return events.groupBy("stream_key").transformWithStateInPandas(
-        statefulProcessor=RecentEvents(), outputStructType="stream_key string, events long, oldest_id long, newest_id long",
-        outputMode="Update", timeMode="None")
+        statefulProcessor=RecentEvents(n, idle_seconds),
+        outputStructType="stream_key string, events long, oldest_id long, newest_id long",
+        outputMode="Update", timeMode="None" if idle_seconds is None else "EventTime")
+
+
+def buffered_events(events: DataFrame, n: int = BUFFER_SIZE, idle_seconds: float | None = None, ts: str = "timestamp") -> DataFrame:
+    """M3. The newest n events of every stream key that a batch brings events of, with all columns.
+
+    ``events`` has stream_key, event_id and a zoned event time; the other columns travel through the
+    state as one JSON text, so that NULLs and any column types keep. Events without key, id or time
+    are left out.
+    """
+    stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    packed = events.filter(F.col("stream_key").isNotNull() & F.col("event_id").isNotNull() & F.col(ts).isNotNull()).select(
+        "stream_key", ts, F.unix_micros(ts).alias("created_at"), F.col("event_id").cast("long").alias("event_id"),
+        F.to_json(F.struct(*events.columns), stamp).alias("payload"))
+    kept = packed.groupBy("stream_key").transformWithStateInPandas(
+        statefulProcessor=RecentEvents(n, idle_seconds, whole=True),
+        outputStructType="stream_key string, created_at long, event_id long, payload string",
+        outputMode="Update", timeMode="None" if idle_seconds is None else "EventTime")
+    return kept.select(F.from_json("payload", events.schema, stamp).alias("event")).select("event.*")
+
+
+def read_buffers(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """M3. The buffers that a query of :func:`recent_events` or :func:`buffered_events` holds, as a table."""
+    state = spark.read.format("statestore").option("stateVarName", "recent").load(checkpoint)
+    return state.select("key.stream_key", "list_element.*")
+
+
+def forecast_buffers(result: str, timeout_seconds: int = 60, window_seconds: int = 10) -> Callable[[DataFrame, int], None]:
+    """M2. A handler for batches of :func:`buffered_events`: rerun flows, states and forecast on the
+    buffers of the keys of the batch. Its cost follows the batch and n, not the number of keys ever seen.
+    """
+    def handle(buffers: DataFrame, batch_id: int) -> None:
+        _forecasts(cut_lineage(buffers), timeout_seconds, window_seconds).withColumn("batch_id", F.lit(batch_id)).write.mode(
+            "overwrite").parquet(f"{result}/run={batch_id}")
+
+    return handle
+
+
+def _forecasts(newest: DataFrame, timeout_seconds: int, window_seconds: int) -> DataFrame:
+    from packetloom.operators.models import heuristic_forecast
+    from packetloom.operators.windows import window_states
+
+    flows = session_flows(newest, ["stream_key", *FLOW_KEYS], "timestamp", timeout_seconds)
+    states = window_states(flows, window_seconds, ["stream_key"])
+    features = [c for c, t in states.dtypes if t in ("bigint", "double")]
+    vectors = states.select("stream_key", "window_start", F.array(*[F.col(c).cast("double") for c in features]).alias("state"))
+    used = newest.groupBy("stream_key").agg(
+        F.count("*").alias("events"), F.min_by("event_id", F.struct("timestamp", "event_id")).alias("oldest_id"),
+        F.max_by("event_id", F.struct("timestamp", "event_id")).alias("newest_id"))
+    return heuristic_forecast(vectors, "state", "window_start", ["stream_key"]).join(used, "stream_key")
 
 
 def store_and_forecast(store: str, result: str, timeout_seconds: int = 60, window_seconds: int = 10, n: int = BUFFER_SIZE):
@@ -131,8 +202,6 @@ def store_and_forecast(store: str, result: str, timeout_seconds: int = 60, windo
     batch before, so a batch never reads the whole store. A batch repeated after a failure rewrites
     its own folders and nothing else.
     """
-    from packetloom.operators.models import heuristic_forecast
-    from packetloom.operators.windows import window_states
     from packetloom.sources.sinks import latest_per_stream
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -146,11 +215,7 @@ def store_and_forecast(store: str, result: str, timeout_seconds: int = 60, windo
             f"{store}/recent/batch={batch_id}")
         newest = spark.read.schema(batch.schema).parquet(f"{store}/recent/batch={batch_id}").join(
             arrived.select("stream_key").distinct(), "stream_key", "left_semi")
-        flows = session_flows(newest, ["stream_key", *FLOW_KEYS], "timestamp", timeout_seconds)
-        states = window_states(flows, window_seconds, ["stream_key"])
-        features = [c for c, t in states.dtypes if t in ("bigint", "double")]
-        vectors = states.select("stream_key", "window_start", F.array(*[F.col(c).cast("double") for c in features]).alias("state"))
-        heuristic_forecast(vectors, "state", "window_start", ["stream_key"]).withColumn("batch_id", F.lit(batch_id)).write.mode(
+        _forecasts(newest, timeout_seconds, window_seconds).withColumn("batch_id", F.lit(batch_id)).write.mode(
             "overwrite").parquet(f"{result}/run={batch_id}")
 
     return handle

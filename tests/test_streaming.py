@@ -79,3 +79,53 @@ def test_store_and_forecast(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/recent/batch=1")).count() == 10
     got = spark.read.parquet(str(tmp_path / "result")).collect()
     assert {r["stream_key"] for r in got} == {"a", "c"} and all(0 <= r["forecasted_risk"] <= 1 for r in got)
+
+
+def start(rows, handle, folder):
+    rows.writeStream.outputMode("update").foreachBatch(handle).option(
+        "checkpointLocation", str(folder)).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_buffers_keep_whole_events_and_can_be_read(spark, tmp_path):
+    put(spark, tmp_path / "in", "1", range(8), "a")
+    put(spark, tmp_path / "in", "2", [20.000001, 2.5], "a")
+    put(spark, tmp_path / "in", "3", [1], "c")
+    rows = stream(spark, tmp_path / "in").withColumn("stream_key", F.col("src_ip")).withColumn(
+        "tcp_flags", F.when(F.col("event_id") == 0, F.lit(None).cast("string")).otherwise(F.col("tcp_flags")))
+    seen = []
+
+    def collect(batch, batch_id):
+        seen.append(sorted((r["stream_key"], r["timestamp"]) for r in batch.collect()))
+        for r in batch.collect():
+            assert r["tcp_flags"] == (None if r["event_id"] == 0 else "S") and r["byte_count"] == 10.0
+
+    start(st.buffered_events(rows, 3), collect, tmp_path / "state")
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    # only the keys of a batch are given; the late 2.5 is older than the newest three
+    assert seen == [[("a", at(s)) for s in (5, 6, 7)], [("a", at(s)) for s in (6, 7, 20.000001)], [("c", at(1))]]
+    held = st.read_buffers(spark, str(tmp_path / "state")).collect()
+    micros = int(T0.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    assert sorted((r["stream_key"], r["created_at"] - micros) for r in held) == [
+        ("a", 6_000_000), ("a", 7_000_000), ("a", 20_000_001), ("c", 1_000_000)]
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    put(spark, tmp_path / "in", "1", [0, 1], "a")
+    put(spark, tmp_path / "in", "2", [0, 500], "c")
+    put(spark, tmp_path / "in", "3", [1000], "c")
+    put(spark, tmp_path / "in", "4", [1001], "c")
+    rows = st.with_event_time(stream(spark, tmp_path / "in")).withColumn("stream_key", F.col("src_ip"))
+    start(st.buffered_events(rows, 10, idle_seconds=300), lambda batch, _: batch.count(), tmp_path / "state")
+    held = st.read_buffers(spark, str(tmp_path / "state")).groupBy("stream_key").count().collect()
+    assert {r["stream_key"]: r["count"] for r in held} == {"c": 4}
+
+
+def test_forecast_of_buffers(spark, tmp_path):
+    put(spark, tmp_path / "in", "1", range(5), "a")
+    put(spark, tmp_path / "in", "2", range(5, 9), "c")
+    put(spark, tmp_path / "in", "3", [100, 200], "a")
+    rows = stream(spark, tmp_path / "in").withColumn("stream_key", F.col("src_ip"))
+    start(st.buffered_events(rows, 6), st.forecast_buffers(str(tmp_path / "result")), tmp_path / "state")
+    got = {(r["batch_id"], r["stream_key"]): r for r in spark.read.parquet(str(tmp_path / "result")).collect()}
+    assert {k: r["events"] for k, r in got.items()} == {(0, "a"): 5, (1, "c"): 4, (2, "a"): 6}
+    assert all(0 <= r["forecasted_risk"] <= 1 for r in got.values())
