@@ -50,6 +50,9 @@ PRECAUTIONS = {
         "Restrict inbound access to trusted sources and review perimeter logs.",
     ],
 }
+# Texts of the next access step.
+NEXT_STEP = "Possible progression toward %s access."
+NO_NEXT_STEP = "No access attempt predicted within the current forecast horizon."
 # Words of a severe message, and the limits of a head disagreement and of a trend.
 HIGH_RISK_TERMS = ("attack", "injection", "unauthorized", "brute", "malware", "scan")
 LOW_ATTACK_PROBABILITY, HIGH_STAGE_CONFIDENCE, TREND_EPSILON = 0.30, 0.70, 0.05
@@ -206,6 +209,36 @@ def trajectory_narrative(attack: Column, steps: Column) -> Column:
         F.format_string("The non-benign signal is %s.", trend(steps)))
 
 
+def trajectory_account(attack: Column, steps: Column, features: Column | None = None) -> Column:
+    """F20. The whole account: overall stage and confidence, steps, first and last signal, the feature that
+    drives the most confident step, and a warning where the two heads disagree.
+
+    ``features`` holds the strongest feature of each step; without it, or where it is NULL, that sentence is left out.
+    """
+    def stage_of(field):
+        return F.transform(steps, lambda s: s[field])
+
+    names = F.transform(steps, lambda s: stage_name(s["stage"]))
+    overall = overall_stage(stage_of("stage"), names, stage_of("confidence"))
+    same = F.size(F.array_distinct(names)) == 1
+    first, last = F.get(steps, F.lit(0)), F.element_at(steps, -1)
+    surest = F.array_position(stage_of("confidence"), F.array_max(stage_of("confidence"))).cast("int")
+    flagged = disagreement(attack, steps)
+    called = F.transform(flagged, lambda k: F.concat(k.cast("string"), F.lit(" ("), F.element_at(names, k), F.lit(")")))
+    driver = F.lit(None).cast("string") if features is None else F.element_at(features, surest)
+    return F.concat_ws(
+        " ", F.format_string("Attack probability over the horizon: %.4f.", attack),
+        F.format_string("Overall stage: %s (confidence %.4f).", overall["name"], overall["confidence"]),
+        F.when(same, F.concat(F.lit("All steps predict "), F.get(names, F.lit(0)), F.lit("."))).otherwise(
+            F.concat(F.lit("Stage trajectory: "), F.array_join(names, " -> "), F.lit("."))),
+        F.format_string("The non-benign signal is %s (first step %.4f, last step %.4f).", trend(steps), first["non_benign"],
+                        last["non_benign"]),
+        F.when(driver.isNotNull(), F.format_string("Step %d (%s) is driven most by %s.", surest, F.element_at(names, surest), driver)),
+        F.when(F.size(flagged) > 0, F.concat(
+            F.lit("Warning: the attack probability is low, yet these steps are confident of an attack stage: "),
+            F.array_join(called, ", "), F.lit("."))))
+
+
 def flatten_trajectory(steps: Column, horizon: int = 6) -> list[Column]:
     """E41. Wide step_k columns."""
     return [F.get(steps, F.lit(k))[f].alias(f"step_{k + 1}_{f}") for k in range(horizon)
@@ -213,12 +246,14 @@ def flatten_trajectory(steps: Column, horizon: int = 6) -> list[Column]:
 
 
 def verdict(risk: Column, horizon_seconds: int = 60) -> Mapping[str, Column]:
-    """E10. Attack type, seconds to impact and precautions from the forecast risk."""
+    """E10. Attack type, next access step, seconds to impact and precautions from the forecast risk."""
     high = risk >= RISK_THRESHOLD
     eta = F.greatest(F.lit(5), F.bround(F.lit(float(horizon_seconds)) * (1 - risk)).cast("int"))
     # A risk at the threshold reads as brute force, whose stage is followed by DISCOVERY, which has no own advice.
+    following = F.initcap(F.replace(stage_name(next_stage(F.lit(STAGE_NUMBER["CREDENTIAL_ACCESS"]))), F.lit("_"), F.lit(" ")))
     return {
         "attack_type": F.when(high, "Brute Force").otherwise("Benign"),
+        "next_access_step": F.when(high, F.format_string(NEXT_STEP, following)).otherwise(F.lit(NO_NEXT_STEP)),
         "estimated_time_seconds": F.when(high, eta),
         "precautions": F.when(high, F.array(*map(F.lit, PRECAUTIONS["INITIAL_ACCESS"]))).otherwise(
             F.array(*map(F.lit, PRECAUTIONS["BENIGN"]))),

@@ -266,6 +266,17 @@ def build_summary(labelled: DataFrame, source: str = "source_file", horizon: int
     )
 
 
+def affected_values(rows: DataFrame, columns: Sequence[str], source: str = "source_file") -> DataFrame:
+    """A29. Cells that imputation has to fill (no finite number), per source and, with NULL source, overall."""
+    broken = [F.coalesce(finite_double(F.col(c)).isNull().cast("long"), F.lit(0)) for c in columns]
+    total = broken[0]
+    for cell in broken[1:]:
+        total = total + cell
+    return rows.withColumn("__affected", total).rollup(source).agg(
+        F.count("*").alias("rows"), F.sum("__affected").alias("numeric_affected_values"),
+        F.count_if(F.col("__affected") > 0).alias("rows_affected"))
+
+
 def excluded_summary(classified: DataFrame, source: str = "source_file", reason: str = "reason") -> DataFrame:
     """A29. Rejected rows per source and reason."""
     return classified.filter(F.col(reason).isNotNull()).groupBy(source, reason).agg(F.count("*").alias("excluded_rows"))

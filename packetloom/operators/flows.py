@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import distinct_with_null, safe_ratio
-from packetloom.operators.ordered import BUCKET, KEY, epoch_micros, group_key, grouped_percentiles, time_bucket
+from packetloom.operators.ordered import BUCKET, KEY, add_time_bucket, epoch_micros, group_key, grouped_percentiles
 from packetloom.session import cut_lineage
 
 FLOW_KEYS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
@@ -57,16 +57,18 @@ def segment_flows(
     tie_break: Sequence[str] = (),
     timeout_seconds: int = 60,
     bucket_seconds: int = 3600,
+    rows_per_bucket: int = 2_000_000,
 ) -> DataFrame:
     """W1. Number the sessions of each key: a gap of more than ``timeout_seconds`` whole seconds
     starts a new one.
 
     Rows are handled per (key, time bucket). One summary row per bucket (first and last time, inner
-    boundaries) tells whether the bucket opens a session and how many sessions came before it.
+    boundaries) tells whether the bucket opens a session and how many sessions came before it. A burst
+    of more than ``rows_per_bucket`` packets of one key within a bucket is cut further.
     """
     if timeout_seconds <= 0:
         raise ValueError("timeout_seconds must be greater than zero")
-    keyed = packets.withColumns({KEY: group_key(keys), BUCKET: time_bucket(ts, bucket_seconds)})
+    keyed = add_time_bucket(packets, keys, ts, bucket_seconds, rows_per_bucket).withColumn(KEY, group_key(keys))
     inside = Window.partitionBy(KEY, BUCKET).orderBy(ts, *tie_break)
 
     def splits(now, before):

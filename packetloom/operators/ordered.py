@@ -83,11 +83,12 @@ def previous_value(
     bucket_seconds: float,
     value: str | None = None,
     name: str = "previous",
+    rows_per_bucket: int = 2_000_000,
 ) -> DataFrame:
-    """``lag(value)`` in time order per key, carried across time buckets."""
+    """``lag(value)`` in time order per key, carried across time buckets; bursts within one are cut."""
     value = value or ts
     order = [F.col(ts), *[F.col(c) for c in tie_break]]
-    tagged = rows.withColumns({KEY: group_key(keys), BUCKET: time_bucket(ts, bucket_seconds)})
+    tagged = add_time_bucket(rows, keys, ts, bucket_seconds, rows_per_bucket).withColumn(KEY, group_key(keys))
     last = tagged.groupBy(KEY, BUCKET).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last")
     )
@@ -181,6 +182,16 @@ def add_key_value_bucket(counts: DataFrame, keys: Sequence[str], column: str, na
     return tagged.join(F.broadcast(cuts), KEY, "left").withColumn(name, below).drop("__cuts", KEY)
 
 
+def add_time_bucket(rows: DataFrame, keys: Sequence[str], ts: str, seconds: float, rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """Add ``BUCKET``, which never decreases along the time of a key: a time slice, and within a slice
+    that holds a burst of more than ``rows_per_bucket`` rows of one key, a part between cut points of
+    that burst's own times. Rows of one microsecond stay together. One pass counts the slices.
+    """
+    sliced = rows.withColumns({"__slice": time_bucket(ts, seconds), "__us": epoch_micros(ts)})
+    parted = add_key_value_bucket(sliced, [*keys, "__slice"], "__us", "__part", rows_per_bucket)
+    return parted.withColumn(BUCKET, F.struct("__slice", "__part")).drop("__slice", "__us", "__part")
+
+
 def explode_range(rows: DataFrame, first: Column, last: Column, name: str, span: int = 65_536) -> DataFrame:
     """One row per integer from ``first`` to ``last``, none if ``last`` is smaller or a bound is NULL.
 

@@ -25,6 +25,17 @@ def file_audit(rows: DataFrame, file: str = "source_file", text: str = "line", w
         F.min(parsed).alias("earliest"), F.max(parsed).alias("latest"))
 
 
+def blank_cells(rows: DataFrame, columns: Sequence[str], file: str = "source_file", width: str | None = None,
+                expected_width: int = 80) -> DataFrame:
+    """Q1. Blank cells (NULL, empty or white space only) as rows (file, column, blanks), without zeros.
+
+    With ``width``, rows of another width than expected are left out: their cells have no sure column.
+    """
+    sound = rows if width is None else rows.filter(F.col(width) == expected_width)
+    blank = {c: F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")).rlike(r"^\s*$")).alias(c) for c in columns}
+    return sound.groupBy(file).agg(*blank.values()).unpivot([file], list(columns), "column", "blanks").filter("blanks > 0")
+
+
 def audit_histograms(rows: DataFrame, file: str = "source_file", width: str = "width", label: str = "raw_label",
                      parsed: str = "parsed") -> DataFrame:
     """Q1. Width, year and label histograms per file, as (file, kind, value, n)."""

@@ -411,6 +411,35 @@ def compare_models(rows: DataFrame, model: str = "model", split: str = "split",
         "lowest_fpr": F.min_by(model, "fpr").over(every)})
 
 
+def comparison_checks(rows: DataFrame, keys: Sequence[str], model: str = "model", split: str = "split",
+                      label: str = "label") -> DataFrame:
+    """E35. Per split, whether all models were judged on the same samples with the same labels.
+
+    ``missing_samples`` counts keys that some model lacks, ``label_mismatches`` shared keys on whose label
+    models differ (NULL is a label of its own). A split that a model lacks altogether fails too.
+    """
+    positive = F.col(label).eqNullSafe(F.lit(1))
+    shown = F.coalesce(F.col(label).cast("string"), F.lit("\u0000"))
+    per_model = rows.groupBy(split, model).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
+    sizes = cut_lineage(per_model.groupBy(split).agg(
+        F.count("*").alias("models"), F.min("n").alias("least_samples"), F.max("n").alias("most_samples"),
+        F.min("p").alias("least_positives"), F.max("p").alias("most_positives")))
+    every = cut_lineage(rows.select(model).distinct().agg(F.count("*").alias("__all")))
+    samples = rows.groupBy(split, *keys, model).agg(F.min(shown).alias("lo"), F.max(shown).alias("hi")).groupBy(split, *keys).agg(
+        F.count("*").alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counted = beside(samples, every)
+    missing = F.col("held") < F.col("__all")
+    found = counted.groupBy(split).agg(
+        F.count_if(missing).alias("missing_samples"),
+        F.count_if(~missing & (F.col("lo") != F.col("hi"))).alias("label_mismatches"), F.max("__all").alias("__all"))
+    joined = found.withColumnRenamed(split, "__split").join(sizes, F.col("__split").eqNullSafe(F.col(split)))
+    equal = F.col("least_positives") == F.col("most_positives")
+    fair = equal & (F.col("missing_samples") == 0) & (F.col("label_mismatches") == 0) & (F.col("models") == F.col("__all"))
+    return joined.select(split, "models", "least_samples", "most_samples", "least_positives", "most_positives",
+                         equal.alias("prevalence_equal"), "missing_samples", "label_mismatches",
+                         F.when(fair, "PASS").otherwise("FAIL").alias("status"))
+
+
 def claim_verdict(table: DataFrame, candidate: str, rival: str, model: str = "model") -> DataFrame:
     """E35. PARTIALLY SUPPORTED when the candidate outranks the rival on both ranking metrics, else NOT SUPPORTED."""
     def of(name, column):

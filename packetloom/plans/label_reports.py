@@ -259,6 +259,32 @@ REPORTS.add(
   || ' The non-benign signal is ' || CASE WHEN delta > 0.05 THEN 'increasing' WHEN delta < -0.05 THEN 'decreasing'
   ELSE 'roughly stable' END || '.' AS text FROM tr"""),
 )
+REPORTS.add(
+    "trajectory_account",
+    lambda s, d: trajectories(s, d).select("event_id", rk.trajectory_account(F.col("attack"), F.col("steps"), F.transform(
+        "steps", lambda x: F.concat(F.lit("feature_"), ((F.col("event_id") + x["step"]) % 5).cast("string")))).alias("text")),
+    with_tables(PROBABILITIES_SQL, f"""
+named AS (SELECT *, {STAGE_NAMES_SQL}[CAST(stage + 1 AS INT)] AS sn FROM steps),
+acc AS (SELECT event_id, any_value(attack) AS attack, list(sn ORDER BY step) AS sns, arg_max(sn, stage) AS top,
+  max(struct_pack(s := stage, c := confidence)).c AS topc, max(non_benign) FILTER (step = 1) AS f, max(non_benign) FILTER (step = 6) AS l,
+  max(struct_pack(c := confidence, o := -step)) AS best,
+  string_agg(step || ' (' || sn || ')', ', ' ORDER BY step) FILTER (stage <> 0 AND confidence >= 0.7) AS flagged FROM named GROUP BY 1)""",
+                select="""SELECT event_id, concat_ws(' ', printf('Attack probability over the horizon: %.4f.', attack),
+  printf('Overall stage: %s (confidence %.4f).', top, topc),
+  CASE WHEN len(list_distinct(sns)) = 1 THEN 'All steps predict ' || sns[1] || '.'
+    ELSE 'Stage trajectory: ' || array_to_string(sns, ' -> ') || '.' END,
+  printf('The non-benign signal is %s (first step %.4f, last step %.4f).', CASE WHEN l - f > 0.05 THEN 'increasing'
+    WHEN l - f < -0.05 THEN 'decreasing' ELSE 'roughly stable' END, f, l),
+  printf('Step %d (%s) is driven most by feature_%d.', -best.o, sns[-best.o], (event_id - best.o) % 5),
+  CASE WHEN attack <= 0.3 THEN 'Warning: the attack probability is low, yet these steps are confident of an attack stage: ' || flagged || '.' END)
+  AS text FROM acc"""),
+)
+REPORTS.add(
+    "next_access_step",
+    lambda s, d: probabilities(s, d).select("event_id", rk.verdict(F.col("attack"))["next_access_step"].alias("step")),
+    with_tables(PROBABILITIES_SQL, select="""SELECT event_id, CASE WHEN attack >= 0.7 THEN 'Possible progression toward Discovery access.'
+  ELSE 'No access attempt predicted within the current forecast horizon.' END AS step FROM steps WHERE step = 1"""),
+)
 REPORTS.add(
     "risk_verdict",
     lambda s, d: probabilities(s, d).withColumns(dict(rk.verdict(F.col("attack")))).select(

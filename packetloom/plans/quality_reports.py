@@ -8,6 +8,7 @@ from packetloom import adapters
 from packetloom.adapters import PACKETS_SQL
 from packetloom.functions.labels import dataset_label
 from packetloom.functions.timefmt import parse_timestamp
+from packetloom.operators import dataset as ds
 from packetloom.operators import quality as q
 from packetloom.plans import dataset_reports as dr
 from packetloom.plans import label_reports as lr
@@ -50,6 +51,22 @@ def numeric_text(s, d):
     return adapters.packets(s, d).select("source_file", text.alias("length_text"), F.col("ttl").cast("string").alias("ttl_text"))
 
 
+REPORTS.add(
+    "blank_cells",
+    lambda s, d: q.blank_cells(numeric_text(s, d).withColumn("width", F.when(F.col("ttl_text") == "64", 80).otherwise(79)),
+                               ["length_text", "ttl_text"], width="width"),
+    with_tables(PACKETS_SQL, select="""SELECT source_file, 'length_text' AS "column", count(*) AS blanks FROM packets
+  WHERE event_id % 5 = 0 AND ttl = 64 GROUP BY 1"""),
+)
+REPORTS.add(
+    "affected_values", lambda s, d: ds.affected_values(numeric_text(s, d).select("source_file", *[
+        F.col(c).try_cast("double").alias(c) for c in ("length_text", "ttl_text")]), ["length_text", "ttl_text"]),
+    with_tables(PACKETS_SQL, """
+odd AS (SELECT source_file, CAST(event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0
+  OR packet_length IS NULL AS INT) + CAST(ttl IS NULL AS INT) AS k FROM packets)""",
+                select="""SELECT source_file, count(*) AS "rows", CAST(sum(k) AS BIGINT) AS numeric_affected_values,
+  count(*) FILTER (k > 0) AS rows_affected FROM odd GROUP BY ROLLUP (source_file)"""),
+)
 REPORTS.add(
     "numeric_quality", lambda s, d: q.numeric_quality(numeric_text(s, d), ["length_text", "ttl_text"]),
     with_tables(PACKETS_SQL, """

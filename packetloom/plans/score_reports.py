@@ -377,6 +377,29 @@ REPORTS.add(
   AS best_validation_recall, (SELECT arg_max(model, f1) FROM cmp) AS best_f1, (SELECT arg_min(model, fpr) FROM cmp) AS lowest_fpr
   FROM cmp"""), doubles=["recall", "f1", "fpr", "validation_recall", "average_precision", "roc_auc"],
 )
+
+
+def uneven_models(s, d):
+    """The second model lacks some test samples and has other labels on some validation ones."""
+    i, other = F.col("event_id"), F.col("model") == "steps"
+    return two_models(s, d).filter(~(other & (F.col("split") == "test") & (i % 97 == 0))).withColumn(
+        "label", F.when(other & (F.col("split") == "validation") & (i % 89 == 0), 1 - F.col("label")).otherwise(F.col("label")))
+
+
+REPORTS.add(
+    "comparison_checks", lambda s, d: sc.comparison_checks(uneven_models(s, d), ["source_file", "event_id"]),
+    with_tables(SCORES_SQL, """
+two AS (SELECT 'base' AS model, split, source_file, event_id, label FROM scores UNION ALL
+  SELECT 'steps', split, source_file, event_id, CASE WHEN split = 'validation' AND event_id % 89 = 0 THEN 1 - label ELSE label END
+  FROM scores WHERE NOT (split = 'test' AND event_id % 97 = 0)),
+pm AS (SELECT split, model, count(*) AS n, count(*) FILTER (label = 1) AS p FROM two GROUP BY ALL),
+sz AS (SELECT split, count(*) AS models, min(n) AS least_samples, max(n) AS most_samples, min(p) AS least_positives,
+  max(p) AS most_positives, min(p) = max(p) AS prevalence_equal FROM pm GROUP BY 1),
+ks AS (SELECT split, source_file, event_id, count(*) AS held, min(label) <> max(label) AS odd FROM two GROUP BY ALL),
+fd AS (SELECT split, count(*) FILTER (held < 2) AS missing_samples, count(*) FILTER (held = 2 AND odd) AS label_mismatches FROM ks GROUP BY 1)""",
+                select="""SELECT *, CASE WHEN prevalence_equal AND missing_samples = 0 AND label_mismatches = 0 AND models = 2
+  THEN 'PASS' ELSE 'FAIL' END AS status FROM sz JOIN fd USING (split)"""),
+)
 REPORTS.add(
     "claim_verdict", lambda s, d: sc.claim_verdict(sc.compare_models(two_models(s, d)), "steps", "base"),
     with_tables(SCORES_SQL, COMPARE_SQL, select="""SELECT CASE WHEN max(average_precision) FILTER (model = 'steps') >

@@ -1,4 +1,4 @@
-"""Long grids and hot keys of a narrow range of values."""
+"""Long grids, hot keys of a narrow range of values, bursts, and checks on models and trajectories."""
 
 import datetime as dt
 import random
@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.functions import risk as rk
 from packetloom.operators import dataset as ds
+from packetloom.operators import flows as fl
 from packetloom.operators import graph as gr
 from packetloom.operators import ordered as od
+from packetloom.operators import scores as sc
 
 
 def test_explode_range(spark):
@@ -60,3 +63,49 @@ def test_hot_key_of_a_narrow_range_is_split(spark):
     for key in ("hot", "a", "b", "c", None):
         values = [v for k, v in data if k == key and v == v]
         assert [got[key][p] for p in ("p10", "p50", "p99")] == pytest.approx(np.percentile(values, [10, 50, 99]), rel=1e-12)
+
+
+def test_burst_within_a_slice_is_cut(spark):
+    """A third of all packets belong to one key within one second."""
+    rng = random.Random(11)
+    start = dt.datetime(2024, 1, 1)
+    data = [("hot", start + dt.timedelta(microseconds=rng.randrange(1_000_000)), i) for i in range(2000)]
+    data += [(rng.choice(["hot", "a", None]), start + dt.timedelta(seconds=rng.randrange(40_000)), 2000 + i) for i in range(4000)]
+    table = spark.createDataFrame(data, "src_ip string, timestamp timestamp_ntz, id long").repartition(5)
+    sizes = [r["count"] for r in od.add_time_bucket(table, ["src_ip"], "timestamp", 3600, 100).groupBy("src_ip", od.BUCKET).count().collect()]
+    assert max(sizes) <= 250 and sum(sizes) == 6000
+    groups = {}
+    for key, ts, i in data:
+        groups.setdefault(key, []).append((ts, i))
+    before, segment = {}, {}
+    for group in groups.values():
+        group.sort()
+        number = 0
+        for place, (ts, i) in enumerate(group):
+            before[i] = group[place - 1][0] if place else None
+            number += place > 0 and int((ts - before[i]).total_seconds()) > 5
+            segment[i] = number
+    previous = od.previous_value(table, ["src_ip"], "timestamp", ["id"], 3600, rows_per_bucket=100)
+    assert {r["id"]: r["previous"] for r in previous.collect()} == before
+    numbered = fl.segment_flows(table, ["src_ip"], tie_break=["id"], timeout_seconds=5, rows_per_bucket=100)
+    assert {r["id"]: r["flow_segment"] for r in numbered.collect()} == segment
+
+
+def test_comparison_checks(spark):
+    rows = [(m, s, k, int(k % 3 == 0)) for m in "xy" for s in ("validation", "test") for k in range(30)]
+    even = {r["split"]: r for r in sc.comparison_checks(spark.createDataFrame(rows, "model string, split string, k int, label int"), ["k"]).collect()}
+    assert {r["status"] for r in even.values()} == {"PASS"}
+    # a swap of two labels keeps the prevalence and is still found; a missing split fails too
+    odd = [(m, s, k, 1 - y if (m, s) == ("y", "test") and k in (0, 1) else y) for m, s, k, y in rows] + [("x", "extra", 1, None)]
+    got = {r["split"]: r for r in sc.comparison_checks(spark.createDataFrame(odd, "model string, split string, k int, label int"), ["k"]).collect()}
+    assert (got["test"]["prevalence_equal"], got["test"]["label_mismatches"], got["test"]["status"]) == (True, 2, "FAIL")
+    assert (got["validation"]["status"], got["extra"]["status"], got["extra"]["missing_samples"]) == ("PASS", "FAIL", 1)
+
+
+def test_account_without_features_and_with_a_warning(spark):
+    steps = "array(struct(1 as step, 0 as stage, 0.9D as confidence, 0.1D as non_benign), struct(2 as step, 3 as stage, 0.95D as confidence, 0.9D as non_benign))"
+    row = spark.range(1).select(
+        rk.trajectory_account(F.lit(0.2), F.expr(steps)).alias("plain"),
+        rk.trajectory_account(F.lit(0.9), F.expr(steps), F.array(F.lit("a"), F.lit("b"))).alias("driven")).first()
+    assert "Warning" in row["plain"] and "driven" not in row["plain"] and "increasing (first step 0.1000, last step 0.9000)" in row["plain"]
+    assert "Warning" not in row["driven"] and row["driven"].endswith("is driven most by b.")
