@@ -77,6 +77,13 @@ def label_distribution(rows: DataFrame, raw: str = "raw_label", normal: str = "l
     return counts.withColumn("percentage", F.round(F.col("flow_count") * 100 / total, 8))
 
 
+def label_files(rows: DataFrame, raw: str = "raw_label", normal: str = "label", file: str = "source_file",
+                ts: str = "timestamp") -> DataFrame:
+    """Q4. One row per label spelling and file, so that no cell grows with the number of files."""
+    return rows.groupBy(F.col(raw).alias("raw_label"), F.col(normal).alias("normalized_label"), F.col(file).alias("file")).agg(
+        F.count("*").alias("flow_count"), F.min(ts).alias("first_timestamp"), F.max(ts).alias("last_timestamp"))
+
+
 def label_report(distribution: DataFrame, n: int | None = None) -> DataFrame:
     """T8. Most frequent label first, ties by name."""
     ordered = distribution.orderBy(F.desc("flow_count"), "raw_label")

@@ -255,10 +255,12 @@ UNION ALL SELECT 'history_mapping', count(*) FROM labelled WHERE eligible AND wi
 )
 REPORTS.add(
     "snapshot_artifact",
-    lambda s, d: gr.snapshot_artifact(pr.nodes(s, d), pr.edges(s, d)).filter("kind = 'edge'").groupBy("window_index").agg(
-        F.count("*").alias("edge_rows"), F.sum(F.get_json_object("payload", "$.packet_count").cast("long")).alias("packets")),
-    with_tables(*pr.BASE, pr.EDGES_SQL, select="""SELECT window_index, count(*) AS edge_rows,
-  CAST(sum(packet_count) AS BIGINT) AS packets FROM edges GROUP BY window_index"""),
+    lambda s, d: gr.snapshot_artifact(pr.nodes(s, d), pr.edges(s, d)).groupBy("window_index", "kind").agg(
+        F.count("*").alias("n"), F.sum(F.get_json_object("payload", "$.packet_count").cast("long")).alias("packets"),
+        F.count(F.coalesce(F.get_json_object("payload", "$.src_ip"), F.get_json_object("payload", "$.node"))).alias("named")),
+    with_tables(*pr.BASE, pr.EDGES_SQL, pr.NODES_SQL, select="""SELECT window_index, 'edge' AS kind, count(*) AS n,
+  CAST(sum(packet_count) AS BIGINT) AS packets, count(src_ip) AS named FROM edges GROUP BY window_index
+  UNION ALL SELECT window_index, 'node', count(*), CAST(sum(packet_count) AS BIGINT), count(node) FROM nodes GROUP BY window_index"""),
 )
 REPORTS.add(
     "snapshot_summary",

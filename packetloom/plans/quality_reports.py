@@ -97,6 +97,11 @@ REPORTS.add(
   string_agg(DISTINCT source_file, '; ' ORDER BY source_file) AS files, min("timestamp") AS first_timestamp,
   max("timestamp") AS last_timestamp, round(count(*) * 100 / sum(count(*)) OVER (), 8) AS percentage FROM spelled GROUP BY 1, 2"""),
 )
+REPORTS.add(
+    "label_files", lambda s, d: q.label_files(spelled(s, d)),
+    with_tables(PACKETS_SQL, SPELLED_SQL, select="""SELECT raw_label, label AS normalized_label, source_file AS file, count(*) AS flow_count,
+  min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp FROM spelled GROUP BY 1, 2, 3"""),
+)
 REPORTS.add(
     "label_report",
     lambda s, d: q.label_report(q.label_distribution(spelled(s, d)), 3).select("raw_label", "flow_count"),

@@ -379,10 +379,13 @@ def stream_keyed_forecasts(s, d):
             st.forecast_buffers(f"{out}/result", 60, 3600)).option(
             "checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{out}/result").select(
-        "stream_key", "events", "oldest_id", "newest_id", F.col("forecasted_risk").between(0, 1).alias("valid"))
+        "stream_key", "events", "oldest_id", "newest_id", "graph_nodes", "graph_edges", (
+            F.col("forecasted_risk").between(0, 1) & ((F.col("attack_type") == "Brute Force") == (F.col("forecasted_risk") >= 0.7))
+            & (F.col("flows") >= F.col("network_states"))).alias("valid"))
 
 
 REPORTS.add("stream_keyed_forecasts", stream_keyed_forecasts, """SELECT stream_key, count(*) AS events,
-  arg_min(event_id, (ts, event_id)) AS oldest_id, arg_max(event_id, (ts, event_id)) AS newest_id, true AS valid
-  FROM (SELECT *, CAST(user_id % 40 AS VARCHAR) AS stream_key FROM events
+  arg_min(event_id, (ts, event_id)) AS oldest_id, arg_max(event_id, (ts, event_id)) AS newest_id, true AS valid,
+  1 + count(DISTINCT dst_ip) FILTER (dst_ip <> stream_key) AS graph_nodes, count(DISTINCT dst_ip) AS graph_edges
+  FROM (SELECT *, CAST(user_id % 40 AS VARCHAR) AS stream_key, regexp_extract(props, '(\\d+)', 1) AS dst_ip FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY 1""")

@@ -170,7 +170,7 @@ def read_buffers(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def forecast_buffers(result: str, timeout_seconds: int = 60, window_seconds: int = 10) -> Callable[[DataFrame, int], None]:
-    """M2. A handler for batches of :func:`buffered_events`: rerun flows, states and forecast on the
+    """M2. A handler for batches of :func:`buffered_events`: rerun flows, states, forecast and verdict on the
     buffers of the keys of the batch. Its cost follows the batch and n, not the number of keys ever seen.
     """
     def handle(buffers: DataFrame, batch_id: int) -> None:
@@ -181,17 +181,28 @@ def forecast_buffers(result: str, timeout_seconds: int = 60, window_seconds: int
 
 
 def _forecasts(newest: DataFrame, timeout_seconds: int, window_seconds: int) -> DataFrame:
+    """One row per stream key: risk, verdict and the sizes of what it rests on.
+
+    A key has at most n events, so its set of hosts is a small cell. Events without an endpoint are no edges.
+    """
+    from packetloom.functions.risk import verdict
     from packetloom.operators.models import heuristic_forecast
     from packetloom.operators.windows import window_states
 
-    flows = session_flows(newest, ["stream_key", *FLOW_KEYS], "timestamp", timeout_seconds)
-    states = window_states(flows, window_seconds, ["stream_key"])
+    flows = cut_lineage(session_flows(newest, ["stream_key", *FLOW_KEYS], "timestamp", timeout_seconds))
+    states = cut_lineage(window_states(flows, window_seconds, ["stream_key"]))
     features = [c for c, t in states.dtypes if t in ("bigint", "double")]
     vectors = states.select("stream_key", "window_start", F.array(*[F.col(c).cast("double") for c in features]).alias("state"))
+    time = F.struct("timestamp", "event_id")
     used = newest.groupBy("stream_key").agg(
-        F.count("*").alias("events"), F.min_by("event_id", F.struct("timestamp", "event_id")).alias("oldest_id"),
-        F.max_by("event_id", F.struct("timestamp", "event_id")).alias("newest_id"))
-    return heuristic_forecast(vectors, "state", "window_start", ["stream_key"]).join(used, "stream_key")
+        F.count("*").alias("events"), F.min_by("event_id", time).alias("oldest_id"), F.max_by("event_id", time).alias("newest_id"),
+        F.size(F.array_union(F.collect_set("src_ip"), F.collect_set("dst_ip"))).cast("long").alias("graph_nodes"),
+        F.count_distinct("src_ip", "dst_ip").alias("graph_edges"))
+    forecast = heuristic_forecast(vectors, "state", "window_start", ["stream_key"])
+    for sizes in (used, flows.groupBy("stream_key").agg(F.count("*").alias("flows")),
+                  states.groupBy("stream_key").agg(F.count("*").alias("network_states"))):
+        forecast = forecast.join(sizes, "stream_key")
+    return forecast.withColumns(dict(verdict(F.col("forecasted_risk"))))
 
 
 def store_and_forecast(store: str, result: str, timeout_seconds: int = 60, window_seconds: int = 10, n: int = BUFFER_SIZE):
