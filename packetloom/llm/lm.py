@@ -30,7 +30,7 @@ STEPS = 1024  # of the first descent, by one task
 HEAD = 1 << 17  # words whose counts every task gets; those of all other words are joined
 SMOOTH = 0.1  # fixed value of the base: added to each count
 _PAD = 65535
-_BLOCK = 128
+_BLOCK = 256
 _ROWS = 512
 _KINDS = 200_000
 
@@ -113,11 +113,13 @@ def classes(counts: np.ndarray, size: int = GROUPS * MEMBERS, bins: int = BINS)
 _STRIP = 200_000
 
 
-def _times(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+def _times(s: np.ndarray, t: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Rows of ``s`` times ``t``, in strips so small that the linear algebra library starts no threads of its own."""
     strip = max(1, _STRIP // t.size)
+    if len(s) <= strip:
+        return np.matmul(s, t, out=out)
     whole = len(s) // strip * strip
-    out = np.empty((len(s), t.shape[1]), np.result_type(s, t))
+    out = np.empty((len(s), t.shape[1]), np.result_type(s, t)) if out is None else out
     np.matmul(s[:whole].reshape(-1, strip, s.shape[1]), t, out=out[:whole].reshape(-1, strip, t.shape[1]))
     np.matmul(s[whole:], t, out=out[whole:])
     return out
@@ -236,19 +238,26 @@ class Attention:
             met[ids] += 1
         return met
 
-    def _spread(self, logits: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """log P(goal) of each row; h lies within -1 and 1, so logits only need a shift where weights are extreme."""
-        if max(np.abs(self.w).sum(axis=0).max(), np.abs(self.wg).sum(axis=0).max()) > 80:
-            logits -= logits.max(axis=1, keepdims=True)
-        hit = logits[np.arange(len(goal)), goal]
-        return hit - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+    def projected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key, value, 1 and query of each id, and its part as last token; made once for many texts.
+
+        Padding has value 0 and 0 in place of 1, so that a window's sums leave it out. The last token's part has
+        a further column whose tanh is 1: it takes the shifts of the logits.
+        """
+        real = (np.arange(len(self.x)) <= self.end).astype(np.float32)[:, None]
+        return (np.concatenate([self.x @ self.k, self.x @ self.v * real, real, self.x @ self.q], axis=1),
+                np.concatenate([self.x @ self.u, np.full((len(self.x), 1), 20, np.float32)], axis=1))
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], projected: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """log10 P of each text and its end, every token scored once.
 
         The texts lie one after another, each after a lead of padding and padded to whole strides, so that
-        window k begins at stride k and embeddings, keys and values of overlapping windows are made once.
+        window k begins at stride k and keys and values of overlapping windows are looked up once. A softmax
+        is only shifted by its greatest exponent where the weights let exponents grow beyond 40. The targets of
+        a block are sorted by group, so that a group's classes take one product.
         """
+        per_id, as_last = projected or self.projected()
+        key, value, query = slice(0, DIM), slice(DIM, 2 * DIM + 1), slice(2 * DIM + 1, None)
         sizes = np.array([len(t) for t in texts], np.int64)
         count = -(-(sizes + 1) // STRIDE)
         lead = -(-(CONTEXT - STRIDE) // STRIDE)
@@ -262,39 +271,56 @@ class Attention:
             line[at + 1:at + len(text) + 1] = text
             first = begin[k] + lead - (CONTEXT - STRIDE) // STRIDE
             owner[first:first + count[k]] = k
-        allowed = (self.bias[0][self.lag] + np.where(self.future, np.float32(-1e9), np.float32(0))).astype(np.float32)
-        both = np.concatenate([self.k, self.v], axis=1)
-        members = np.ascontiguousarray(self.w.reshape(DIM, GROUPS, MEMBERS).transpose(1, 0, 2))
-        inner_b = self.b.reshape(GROUPS, MEMBERS)
+        longest = lambda part: float(np.sqrt(np.square(per_id[:, part]).sum(axis=1).max()))
+        steep = longest(key) * longest(query) + np.abs(self.bias).max() > 40
+        wide = max(np.abs(m).sum(axis=0).max() + np.abs(c).max() for m, c in ((self.w, self.b), (self.wg, self.bg))) > 40
+        allowed = np.where(self.future, np.float32(-np.inf), self.bias[0][self.lag])
+        open_ = np.exp(allowed)
+        group_of, member_of = (part.astype(np.uint8) for part in np.divmod(self.known.of, MEMBERS))
+        outer = np.broadcast_to(self.wg, (GROUPS, DIM, GROUPS))
+        maps = np.concatenate([self.w.reshape(DIM, GROUPS, MEMBERS).transpose(1, 0, 2), outer], axis=2)
+        shifts = np.concatenate([self.b.reshape(GROUPS, 1, MEMBERS), np.broadcast_to(self.bg, (GROUPS, 1, GROUPS))], axis=2)
+        maps = np.concatenate([maps, shifts], axis=1)
+        ones = np.ones(max(GROUPS, MEMBERS), np.float32)
         total = np.zeros(len(texts) + 1)
         for w in range(0, begin[-1], _BLOCK):
             rows = min(_BLOCK, begin[-1] - w)
             at = line[w * STRIDE:(w + rows - 1) * STRIDE + CONTEXT + 1]
-            x = self.x.take(at[:-1], axis=0)
-            own = x[CONTEXT - STRIDE:]
-            kv = _times(x, both)
-            step = kv.strides
-            seen = np.lib.stride_tricks.as_strided(kv, (rows, CONTEXT, 2 * DIM), (STRIDE * step[0], *step), writeable=False)
-            scores = _times(own, self.q).reshape(rows, STRIDE, DIM) @ seen[:, :, :DIM].transpose(0, 2, 1)
-            scores += allowed
-            pad = at[:-1] > self.end
-            if pad.any():
-                mask = np.where(pad, np.float32(-1e9), np.float32(0))
-                scores += np.lib.stride_tricks.as_strided(mask, (rows, 1, CONTEXT), (STRIDE * mask.strides[0], 0, mask.strides[0]))
-            scores -= scores.max(axis=2, keepdims=True)
-            a = np.exp(scores, out=scores)
-            weight = a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)
-            h = _times(own, self.u)
-            h += (a @ seen[:, :, DIM:]).reshape(-1, DIM) / weight[:, None]
+            z = per_id.take(at[:-1], axis=0)
+            step = z.strides
+            seen = np.lib.stride_tricks.as_strided(z, (rows, CONTEXT, z.shape[1]), (STRIDE * step[0], *step), writeable=False)
+            a = z[CONTEXT - STRIDE:, query].reshape(rows, STRIDE, DIM) @ seen[:, :, key].transpose(0, 2, 1)
+            if steep:
+                a += allowed
+                pad = np.where(at[:-1] > self.end, np.float32(-1e9), np.float32(0))
+                a += np.lib.stride_tricks.as_strided(pad, (rows, 1, CONTEXT), (STRIDE * pad.strides[0], 0, pad.strides[0]))
+                a -= a.max(axis=2, keepdims=True)
+                np.exp(a, out=a)
+            else:
+                np.exp(a, out=a)
+                a *= open_
+            h = (a @ seen[:, :, value]).reshape(-1, DIM + 1)
+            h /= h[:, DIM:] + np.float32(1e-30)  # 0 where all is padding, which has no target
+            h += as_last.take(at[CONTEXT - STRIDE:-1], axis=0)
             np.tanh(h, out=h)
             targets = at[CONTEXT - STRIDE + 1:]
-            real = targets <= self.end
             goal = np.minimum(targets, self.end)
-            group, member = np.divmod(self.known.of[goal], MEMBERS)
-            inner = (h[:, None, :] @ members[group])[:, 0] + inner_b[group]
-            logp = self._spread(_times(h, self.wg) + self.bg, group) + self._spread(inner, member) + self.known.log_share[goal]
-            logp = np.where(real, logp, 0.0).reshape(rows, STRIDE).sum(axis=1, dtype=np.float64)
-            total += np.bincount(owner[w:w + rows], weights=logp, minlength=len(texts) + 1)
+            group = group_of.take(goal)
+            order = np.argsort(group, kind="stable")
+            h = h.take(order, axis=0)
+            logits = np.empty((len(h), MEMBERS + GROUPS), np.float32)
+            stop = np.cumsum(np.bincount(group, minlength=GROUPS))
+            for g, (first, last) in enumerate(zip([0, *stop[:-1]], stop, strict=True)):
+                _times(h[first:last], maps[g], logits[first:last])
+            if wide:
+                logits[:, :MEMBERS] -= logits[:, :MEMBERS].max(axis=1, keepdims=True)
+                logits[:, MEMBERS:] -= logits[:, MEMBERS:].max(axis=1, keepdims=True)
+            goal, group, place = goal[order], group[order], np.arange(len(h))
+            hit = logits[place, member_of.take(goal)] + logits[place, MEMBERS + group]
+            chance = np.exp(logits, out=logits)
+            logp = hit - np.log(chance[:, :MEMBERS] @ ones[:MEMBERS]) - np.log(chance[:, MEMBERS:] @ ones[:GROUPS]) + self.known.log_share[goal]
+            logp[targets[order] > self.end] = 0
+            total += np.bincount(owner[w:w + rows].repeat(STRIDE)[order], weights=logp, minlength=len(texts) + 1)
         return total[:-1] / math.log(10)
 
 
@@ -398,10 +424,11 @@ def scores(coded: DataFrame, model: Attention, ids_col: str = "ids") -> Column:
 
     @F.arrow_udf("double")
     def score(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        projected = shared.value.projected()
         for batch in ids:
             for begin in range(0, max(1, len(batch)), _ROWS):
                 texts = [np.frombuffer(v.as_buffer(), "<u2") for v in batch.slice(begin, _ROWS)]
-                yield pa.array(shared.value.score(texts), pa.float64())
+                yield pa.array(shared.value.score(texts, projected), pa.float64())
 
     return score(F.col(ids_col))
 

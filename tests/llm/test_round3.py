@@ -242,6 +242,18 @@ def test_lm_windows_score_each_token_once():
             assert (row[:lm.CONTEXT - lm.STRIDE + 1] != 65535).all() or n < lm.CONTEXT
 
 
+@pytest.mark.parametrize("q, w", [(1, 1), (400, 1), (1, 400), (400, 400)])
+def test_lm_scores_of_steep_weights_follow_the_forward_pass(q, w):
+    rng = np.random.default_rng(3)
+    model = lm.Attention(700, lm.classes(rng.integers(0, 90, 700)))
+    model.q, model.w, model.wg = model.q * np.float32(q), model.w * np.float32(w), model.wg * np.float32(w)
+    model.bias[0] = rng.normal(0, 1, lm.CONTEXT)
+    texts = [rng.integers(0, 699, n).astype(np.uint16) for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 500, 9 * lm.CONTEXT + 5, 0)]
+    want = [model.forward(lm.windows(t, 699))[0].sum(dtype=np.float64) / np.log(10) for t in texts]
+    assert np.allclose(model.score(texts), want, rtol=2e-5)
+    assert np.allclose(model.score(texts[::-1], model.projected()), want[::-1], rtol=2e-5)
+
+
 def test_lm_learns(spark):
     sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [r for r in lm.lm_scores(sf).collect() if r["held_out"]]
