@@ -176,6 +176,26 @@ d AS (SELECT *, parse_status = 'ok' AS ok, 14 + 20 + CASE WHEN protocol = 'TCP'
   CAST(sum(greatest(packet_length, CASE WHEN event_id % 41 = 0 THEN 20 ELSE size END)) AS BIGINT) AS bytes,
   CAST(sum(CASE WHEN ok AND protocol = 'TCP' THEN tcp_seq END) AS BIGINT) AS tcp_seq, max(timestamp) AS "last" FROM d GROUP BY ALL"""),
 )
+
+
+def signed(s, d):
+    """Frames behind the signatures of capture formats; some have a signature cut short, none of the known ones, or no bytes at all."""
+    i = F.col("frame_no")
+    signatures = [*cp.CLASSIC_MAGICS, cp.PCAPNG_MAGIC, cp.PCAPNG_MAGIC[:6], "504B0304"]
+    content = F.concat(F.unhex(F.element_at(F.array(*map(F.lit, signatures)), (i % len(signatures) + 1).cast("int"))), F.col("frame"))
+    cut = i % len(signatures) == len(signatures) - 2
+    return frames(s, d).select(i, F.when(cut, F.substring(content, 1, 3)).when(i % 11 > 0, content).alias("content"))
+
+
+REPORTS.add(
+    "capture_formats",
+    lambda s, d: signed(s, d).groupBy(cp.sniff_format(F.col("content")).alias("format")).agg(
+        F.count("*").alias("files"), F.sum("frame_no").alias("numbers")),
+    with_tables(PACKETS_SQL, """
+f AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unknown' ELSE CASE event_id % 7 WHEN 0 THEN 'pcap-big-micro'
+  WHEN 1 THEN 'pcap-little-micro' WHEN 2 THEN 'pcap-big-nano' WHEN 3 THEN 'pcap-little-nano' WHEN 4 THEN 'pcapng' ELSE 'unknown' END
+  END AS format FROM packets)""", select="""SELECT format, count(*) AS files, CAST(sum(event_id) AS BIGINT) AS numbers FROM f GROUP BY 1"""),
+)
 REPORTS.add("capture_status", lambda s, d: cp.status_counts(cp.decode_frames(frames(s, d))),
             with_tables(PACKETS_SQL, select=f"SELECT {STATUS} AS parse_status, count(*) AS frames FROM packets GROUP BY 1"))
 REPORTS.add(
