@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.session import cut_lineage
+
 # Kill-chain stages by number, with descriptions.
 STAGES = [
     ("BENIGN", "Normal network behaviour"),
@@ -186,11 +188,18 @@ def split_labels(joined: Column) -> Column:
     return F.filter(F.transform(F.split(joined, ";"), F.trim), lambda x: x != "")
 
 
-def attach_stage(rows: DataFrame, label: str = "label") -> DataFrame:
-    """J13. Resolve the distinct labels once, then join the stage columns back."""
-    resolved = rows.select(label).distinct().withColumn("__hit", map_label(F.col(label)))
+def attach_stage(rows: DataFrame, label: str = "label", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """J13. Resolve the distinct labels once, then join the stage columns back; a NULL label gets NULLs.
+
+    The resolved labels are written and measured. Up to ``broadcast_bytes`` they go to every task, so that rows
+    are not shuffled by label and a frequent label meets no single task; more of them are left to a shuffled join.
+    """
     fields = ["stage", "stage_name", "confidence", "technique", "description", "evidence_type"]
-    return rows.join(resolved.select(label, *[F.col(f"__hit.{f}").alias(f) for f in fields]), label, "left")
+    resolved = cut_lineage(rows.select(label).distinct().withColumn("__hit", map_label(F.col(label))).select(
+        label, *[F.col(f"__hit.{f}").alias(f) for f in fields]))
+    texts = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in (label, "stage_name", "technique", "description", "evidence_type"))
+    size = resolved.agg(F.sum(texts + 64)).first()[0] or 0
+    return rows.join(F.broadcast(resolved) if size <= broadcast_bytes else resolved, label, "left")
 
 
 def stage_name(stage: Column) -> Column:

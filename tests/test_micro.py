@@ -119,6 +119,17 @@ def test_label_to_stage(spark):
     assert got[""]["confidence"] == 1.0 and got["nothing like it"]["confidence"] == 0.0
 
 
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_stages_join_alike_broadcast_or_not(spark, most):
+    rows = spark.createDataFrame([(k, label) for k, label in enumerate([*STAGE_CASES, None, None, *STAGE_CASES])], "k long, label string")
+    joined = lb.attach_stage(rows, broadcast_bytes=most)
+    assert joined.columns[:2] == ["label", "k"]
+    got = {r["k"]: r for r in joined.collect()}
+    assert len(got) == 2 * len(STAGE_CASES) + 2
+    assert all(r["stage"] == (STAGE_CASES[r["label"]][0] if r["label"] is not None else None) for r in got.values())
+    assert lb.attach_stage(rows.limit(0), broadcast_bytes=most).collect() == []
+
+
 @pytest.mark.parametrize("labels,stage,text", [
     ("SSH-Bruteforce;DDoS attack-HOIC", 13, "High Orbit"), ("DoS attacks-Hulk;DoS attacks-GoldenEye", 13, "GoldenEye"),
     ("DoS attacks-GoldenEye;DoS attacks-Hulk", 13, "GoldenEye"), ("", 0, "No attack labels"), (" ; ", 0, "No attack labels")])
