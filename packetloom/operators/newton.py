@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,16 +46,20 @@ def _sums(rows: DataFrame, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndar
 
 
 def fit(samples: DataFrame, features: Column, label: str, balanced: bool = True, c: float = 1.0, max_rounds: int = 100,
-        tolerance: float = 1e-10) -> LinearModel:
+        tolerance: float = 1e-10, single_class: bool = False) -> LinearModel:
     """Minimum of c * sum(weight * log loss) + |coefficients|^2 / 2, the intercept unpenalised.
 
     ``balanced`` weighs the classes alike. The samples are written once; a round that does not lower
     the loss halves its step. Samples with a NULL label or feature are not allowed in ``features``;
-    a single class or no sample raises.
+    no sample raises, and so does a single class unless ``single_class`` is set: the loss then has no
+    minimum but falls towards coefficients of 0 and an infinite intercept, and this limit is returned.
     """
     rows = cut_lineage(samples.select(features.cast("array<double>").alias("x"), F.col(label).cast("double").alias("y")))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
+    if single_class and len(counts) == 1 and set(counts) < {0.0, 1.0}:
+        width = rows.select(F.max(F.size("x"))).first()[0]
+        return LinearModel((0.0,) * width, math.inf if 1.0 in counts else -math.inf)
     if set(counts) != {0.0, 1.0}:
         raise ValueError(f"two classes are needed, the samples hold {sorted(counts, key=str)}")
     weight = F.when(F.col("y") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0])) if balanced else F.lit(1.0)

@@ -163,7 +163,7 @@ TARGET = "future_attack_within_horizon"
 
 def logistic(s, d):
     samples = state_sequences(s, d)
-    model = md.fit_logistic(samples.filter("split = 'train'"), F.flatten("x"), TARGET)
+    model = md.fit_logistic(samples.filter("split = 'train'"), F.flatten("x"), TARGET, single_class=True)
     return md.logistic_scores(model, samples, F.flatten("x")).select("source_file", "window_start", "split", TARGET, "score")
 
 
@@ -193,7 +193,7 @@ REPORTS.add(
 
 def static_importance(s, d):
     samples = state_sequences(s, d).withColumn("next_attack", F.get("attack_steps", F.lit(0)))
-    model = md.fit_logistic(samples.filter("split = 'train'"), md.last_state(), "next_attack")
+    model = md.fit_logistic(samples.filter("split = 'train'"), md.last_state(), "next_attack", single_class=True)
     return md.coefficient_importance(s, model, STATE)
 
 

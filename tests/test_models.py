@@ -94,3 +94,15 @@ def test_fit_survives_steps_that_overshoot(spark):
 def test_fit_needs_two_classes(spark):
     with pytest.raises(ValueError):
         md.fit_logistic(spark.createDataFrame([([1.0], 1)], "x array<double>, label int"), F.col("x"), "label")
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_one_class_gives_the_constant_model_where_asked(spark, label):
+    rows = spark.createDataFrame([([1.0, -3.0], label, split) for split in ("train", "validation", "test")], "x array<double>, label int, split string")
+    model = md.fit_logistic(rows, F.col("x"), "label", single_class=True)
+    assert model.coefficients == (0.0, 0.0) and model.intercept == (np.inf if label else -np.inf)
+    assert {r["score"] for r in md.logistic_scores(model, rows, F.col("x")).collect()} == {float(label)}
+    got = md.logistic_operating_metrics(rows, F.col("x"), "label").first()
+    assert got["recall"] == label and got["f1"] == label and got["roc_auc"] is None
+    with pytest.raises(ValueError):
+        md.fit_logistic(rows.limit(0), F.col("x"), "label", single_class=True)
