@@ -32,6 +32,21 @@ def poisson_steps(rate: float = 1.0) -> list[float]:
     return steps
 
 
+def _draw_steps() -> list[str]:
+    """The Poisson steps as leading hex digits of a digest: text of one length compares as the number does."""
+    digits = DRAW_BITS // 4
+    steps = [f"{math.ceil(p * 2.0 ** DRAW_BITS):0{digits}x}" for p in poisson_steps()]
+    return [s for s in steps if len(s) == digits]  # a longer one is above all draws
+
+
+def _steps_reached(digest: Column, steps: Sequence[str]) -> Column:
+    """How many of the ascending ``steps`` are not above the digest."""
+    chain = F.when(digest < steps[0], 0)
+    for k, step in enumerate(steps[1:], 1):
+        chain = chain.when(digest < step, k)
+    return chain.otherwise(len(steps)).cast("long")
+
+
 def _ratio(numerator: Column, denominator: Column, otherwise: Column | None = None) -> Column:
     value = F.when(denominator != 0, numerator.cast("double") / F.when(denominator != 0, denominator))
     return value.otherwise(F.lit(0.0) if otherwise is None else otherwise)
@@ -227,11 +242,11 @@ def bootstrap_interval(rows: DataFrame, row_id: str, threshold: float, replicate
     counts per distinct score are added up before anything is shuffled.
     """
     digest = F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed))))
-    draw = F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("double") / F.lit(2.0 ** DRAW_BITS)
-    steps = F.array(*[F.lit(p) for p in poisson_steps()])
-    weight = bind(draw, lambda u: F.size(F.filter(steps, lambda p: p <= u)))
-    copies = rows.select(row_id, score, label, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = copies.withColumn("weight", weight.cast("long")).filter("weight > 0")
+    dealt = rows.select(row_id, score, label).repartition(row_id)  # a split by time lies in few of the input's files
+    copies = dealt.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    steps = _draw_steps()
+    drawn = copies.withColumn("__digest", digest).filter(F.col("__digest") >= steps[0]).withColumn(
+        "weight", _steps_reached(F.col("__digest"), steps))
     counted = drawn.groupBy("replicate", score, label).agg(F.sum("weight").alias("weight"))
     ranked = ranking_metrics(counted, ["replicate"], score=score, label=label, weight="weight")
     hit, true = F.col(score) >= threshold, F.col(label) == 1

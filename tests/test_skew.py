@@ -2,6 +2,8 @@
 
 import collections
 import datetime as dt
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -230,3 +232,14 @@ def test_poisson_steps_leave_nothing_a_draw_can_tell():
     steps = sc.poisson_steps()
     assert steps == sorted(set(steps)) and steps[0] == pytest.approx(np.exp(-1)) and 1 - steps[-1] < 1e-13
     assert sum(1 - s for s in steps) == pytest.approx(1)  # the mean of a Poisson(1) weight
+
+
+def test_bootstrap_draws_compare_digests_as_numbers(spark):
+    steps = sc.poisson_steps()
+    digests = [hashlib.md5(str(k).encode()).hexdigest() for k in range(3000)] + ["0" * 32, "f" * 32]
+    digests += [f"{math.ceil(p * 2.0 ** 52) + d:013x}" + "0" * 19 for p in steps for d in (-1, 0) if math.ceil(p * 2.0 ** 52) + d < 2 ** 52]
+    rows = spark.createDataFrame([(d,) for d in digests], "d string")
+    got = rows.select("d", sc._steps_reached(F.col("d"), sc._draw_steps()).alias("w")).collect()
+    assert all(r["w"] == sum(p <= int(r["d"][:13], 16) / 2.0 ** 52 for p in steps) for r in got)
+    plan = sc.bootstrap_interval(spark.createDataFrame([(1, 0.5, 1)], "id long, score double, label int"), "id", 0.5, 60)._jdf
+    assert "lambda" not in plan.queryExecution().optimizedPlan().toString()
