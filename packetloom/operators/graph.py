@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.numeric import distinct_with_null, finite_double
+from packetloom.functions.numeric import distinct_of_few, distinct_with_null, finite_double
 from packetloom.operators.ordered import beside, explode_range, grouped_percentiles, row_index
 from packetloom.operators.windows import window_start
 from packetloom.session import cut_lineage
@@ -172,7 +172,10 @@ def dynamics_summary(node_churn: DataFrame, edge_churn: DataFrame) -> DataFrame:
 
 def edge_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], src: str = "src_ip",
                     dst: str = "dst_ip") -> DataFrame:
-    """A20. sum/mean/min/max/finite count per numeric column, plus port and protocol diversity."""
+    """A20. sum/mean/min/max/finite count per numeric column, plus port and protocol diversity.
+
+    One aggregation: the ports and protocols of an edge are bounded sets, see :func:`distinct_of_few`.
+    """
     aggregates = []
     for c in columns:
         value = finite_double(F.col(c))
@@ -183,28 +186,29 @@ def edge_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]
                        F.count(value).alias(f"{c}__finite_count")]
     return rows.groupBy(*keys, src, dst).agg(
         F.count("*").alias("flow_count"), *aggregates,
-        F.count_distinct("dst_port").alias("unique_destination_ports"),
-        F.count_distinct("protocol").alias("unique_protocols"))
+        distinct_of_few(F.col("dst_port")).alias("unique_destination_ports"),
+        distinct_of_few(F.col("protocol")).alias("unique_protocols"))
 
 
 def node_statistics(edges: DataFrame, keys: Sequence[str], packets: str, bytes_: str, src: str = "src_ip",
                     dst: str = "dst_ip") -> DataFrame:
-    """A21. Flows, packets, bytes and distinct peers of each node from its edges, by role."""
+    """A21. Flows, packets, bytes and distinct peers of each node from its edges, by role.
+
+    The rows of a node meet per role and peer first, then per node, so two distinct counts take no copies.
+    """
     zero = F.lit(0).cast("long")
-    out = edges.select(*keys, F.col(src).alias("node"), F.col("flow_count").alias("outgoing_flow_count"),
-                       zero.alias("incoming_flow_count"), F.col(packets).alias("outgoing_packets"),
-                       F.lit(0.0).alias("incoming_packets"), F.col(bytes_).alias("outgoing_bytes"),
-                       F.lit(0.0).alias("incoming_bytes"), F.col(dst).alias("__to"),
-                       F.lit(None).cast("string").alias("__from"))
-    into = edges.select(*keys, F.col(dst).alias("node"), zero.alias("outgoing_flow_count"),
-                        F.col("flow_count").alias("incoming_flow_count"), F.lit(0.0).alias("outgoing_packets"),
-                        F.col(packets).alias("incoming_packets"), F.lit(0.0).alias("outgoing_bytes"),
-                        F.col(bytes_).alias("incoming_bytes"), F.lit(None).cast("string").alias("__to"),
-                        F.col(src).alias("__from"))
-    sums = [c for c in out.columns if c.startswith(("outgoing", "incoming"))]
-    return out.unionByName(into).groupBy(*keys, "node").agg(
-        *[F.sum(c).alias(c) for c in sums], F.count_distinct("__to").alias("unique_destinations"),
-        F.count_distinct("__from").alias("unique_sources"),
+    ends = F.explode(F.array(
+        F.struct(F.lit(True).alias("__out"), F.col(src).alias("node"), F.col(dst).alias("__peer")),
+        F.struct(F.lit(False).alias("__out"), F.col(dst).alias("node"), F.col(src).alias("__peer")))).alias("__end")
+    amounts = {"flow_count": F.col("flow_count"), "packets": F.col(packets), "bytes": F.col(bytes_)}
+    met = edges.select(*keys, *[c.alias(f"__{n}") for n, c in amounts.items()], ends).select("*", "__end.*").groupBy(
+        *keys, "node", "__out", "__peer").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in amounts])
+    roles = {"outgoing": F.col("__out"), "incoming": ~F.col("__out")}
+    nothing = {"flow_count": zero, "packets": F.lit(0.0), "bytes": F.lit(0.0)}
+    return met.groupBy(*keys, "node").agg(
+        *[F.sum(F.when(mine, F.col(f"__{n}")).otherwise(nothing[n])).alias(f"{role}_{n}") for n in amounts for role, mine in roles.items()],
+        *[F.count_if(mine & F.col("__peer").isNotNull()).alias(name) for name, mine in (
+            ("unique_destinations", roles["outgoing"]), ("unique_sources", roles["incoming"]))],
     ).withColumn("total_flow_count", F.col("outgoing_flow_count") + F.col("incoming_flow_count"))
 
 

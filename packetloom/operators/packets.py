@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.numeric import clamp, normalize_score, safe_ratio
+from packetloom.functions.numeric import clamp, distinct_of_few, normalize_score, safe_ratio
 from packetloom.operators.ordered import beside, epoch_micros, grouped_percentiles, previous_value
 
 # TCP flag bits and the protocol vocabulary.
@@ -220,8 +220,8 @@ def _link_features(packets: DataFrame, keys: Sequence[str], tie_break: Sequence[
         ((epoch_micros(F.max("timestamp")) - epoch_micros(F.min("timestamp"))) / 1_000_000).alias("edge_duration"),
         F.avg(gap).alias("mean_inter_arrival_time"), F.stddev_pop(gap).alias("inter_arrival_time_std"),
         *[F.count_if(protocol == p).alias(f"{p.lower()}_packet_count") for p in PROTOCOLS],
-        F.count_distinct("src_port").alias("source_port_diversity"),
-        F.count_distinct("dst_port").alias("destination_port_diversity"),
+        distinct_of_few(F.col("src_port")).alias("source_port_diversity"),
+        distinct_of_few(F.col("dst_port")).alias("destination_port_diversity"),
         *[F.count_if(flag(bits, f)).alias(f"tcp_{f}_count") for f in ("syn", "ack", "fin", "rst")],
     )
 

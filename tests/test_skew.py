@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packetloom.operators import flows as fl
 from packetloom.operators import graph as gr
 from packetloom.operators import ordered as od
+from packetloom.operators import packets as pk
 from packetloom.operators import paths as pt
 from packetloom.operators import scores as sc
 from packetloom.sources.sinks import latest_per_stream
@@ -243,3 +244,45 @@ def test_bootstrap_draws_compare_digests_as_numbers(spark):
     assert all(r["w"] == sum(p <= int(r["d"][:13], 16) / 2.0 ** 52 for p in steps) for r in got)
     plan = sc.bootstrap_interval(spark.createDataFrame([(1, 0.5, 1)], "id long, score double, label int"), "id", 0.5, 60)._jdf
     assert "lambda" not in plan.queryExecution().optimizedPlan().toString()
+
+
+def _copies_rows(df):
+    return "Expand" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edge_and_node_statistics_copy_no_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, None]), rng.choice(["a", "b", None]), rng.choice(["b", "c", None]), rng.choice([80, 443, None]), rng.choice(["T", "U", None]),
+             float(rng.randrange(9))) for _ in range(300)]
+    flows = spark.createDataFrame(rows, "k long, src_ip string, dst_ip string, dst_port int, protocol string, size double")
+    edges = gr.edge_statistics(flows, ["size"], ["k"])
+    assert not _copies_rows(edges)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[:3]].append(r)
+    got = {(r["k"], r["src_ip"], r["dst_ip"]): r for r in edges.collect()}
+    assert got.keys() == groups.keys()
+    for key, members in groups.items():
+        assert got[key]["unique_destination_ports"] == len({m[3] for m in members} - {None})
+        assert got[key]["unique_protocols"] == len({m[4] for m in members} - {None})
+        assert (got[key]["flow_count"], got[key]["size__sum"]) == (len(members), sum(m[5] for m in members))
+    edges = edges.unionByName(edges)  # an edge may come twice
+    nodes = gr.node_statistics(edges, ["k"], "size__sum", "size__max")
+    assert not _copies_rows(nodes)
+    found = {(r["k"], r["node"]): r for r in nodes.collect()}
+    for (k, node), r in found.items():
+        out, into = [v for key, v in got.items() if key[:2] == (k, node)], [v for key, v in got.items() if key[::2] == (k, node)]
+        assert r["outgoing_flow_count"] == 2 * sum(v["flow_count"] for v in out) and r["incoming_flow_count"] == 2 * sum(v["flow_count"] for v in into)
+        assert r["outgoing_packets"] == 2 * sum(v["size__sum"] for v in out) and r["incoming_bytes"] == 2 * sum(v["size__max"] for v in into)
+        assert r["unique_destinations"] == len({v["dst_ip"] for v in out} - {None}) and r["unique_sources"] == len({v["src_ip"] for v in into} - {None})
+    assert found.keys() == {(k, n) for k, s, d in got for n in (s, d)}
+
+
+def test_packet_edges_copy_no_rows(spark):
+    rows = [(0, "a", "b", p, 80, "TCP", 2, 10, float(p), dt.datetime(2024, 1, 1, 0, 0, p)) for p in (1, 2, 2, 3)]
+    packets = spark.createDataFrame(rows, "window_index long, src_ip string, dst_ip string, src_port long, dst_port long, protocol string, "
+                                          "flag_bits long, packet_length long, offset double, timestamp timestamp")
+    edges = pk.edge_window_features(packets)
+    assert not _copies_rows(edges)
+    row = edges.first()
+    assert (row["source_port_diversity"], row["destination_port_diversity"], row["packet_count"]) == (3, 1, 4)
