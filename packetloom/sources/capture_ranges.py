@@ -145,6 +145,7 @@ class _File:
 def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Fill start, stop, frames and context of ranges; ``start`` is -1 to search, -2 for a range without records, or known."""
     for batch in batches:
+        done = []
         for row in batch.to_dict("records"):
             file = _File(row["path"], row["length"])
             start = row["start"]
@@ -164,7 +165,15 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row["stop"], row["context"], row["section"] = file.walk(start, row["end"])
                 row["big_after"] = file.order == ">"
                 row["frames"] = sum(1 for _ in file.records(start, row["stop"], section))
-            yield pd.DataFrame([row])
+            done.append(row)
+        if done:
+            yield pd.DataFrame(done)
+
+
+def _tasks(ranges: DataFrame) -> int:
+    """One task for each SPLIT_BYTES of the ranges, and for each range while there are few: a task walks several small ones."""
+    number, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
+    return max(1, min(number, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES)), 10_000))
 
 
 def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -177,7 +186,7 @@ def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     cuts = files.select("path", "length", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes))).alias("part", "begin"))
     ranges = cut_lineage(cuts.select("path", "length", "part", "begin", F.least(F.col("begin") + split_bytes, "length").alias("end"),
                                      F.lit(-1).cast("long").alias("start"), F.lit(None).cast("boolean").alias("big")))
-    tasks = max(1, min(10_000, ranges.count()))
+    tasks = _tasks(ranges)
     blank = {"stop": F.lit(0).cast("long"), "frames": F.lit(0).cast("long"), "context": F.lit(None).cast("binary"), "section": F.lit(False),
              "big_after": F.lit(None).cast("boolean")}
 
@@ -200,7 +209,7 @@ def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
         index = cut_lineage(checked.filter(~differs).drop("wanted", "order").unionByName(again))
     kept = index.withColumn("first_frame", F.coalesce(F.sum("frames").over(before), F.lit(0)))
     last = F.max_by("part", F.when(F.col("section"), F.col("part"))).over(before)  # the range in which the section in force begins
-    told = F.collect_list(F.struct("part", "context")).over(before)
+    told = F.collect_list(F.when(F.octet_length("context") > 0, F.struct("part", "context"))).over(before)  # most ranges tell nothing
     context = F.aggregate(F.filter("__told", lambda c: c["part"] >= F.coalesce("__last", F.lit(0))), F.lit(b""), lambda a, c: F.concat(a, c["context"]))
     return kept.withColumns({"__last": last, "__told": told}).withColumn("context", context).filter("start >= 0").select(
         "path", "length", "part", "start", "stop", "frames", "first_frame", "context")
@@ -224,10 +233,11 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_capture_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """S5. Frames of a folder of captures, as :func:`capture.read_capture_frames` gives them, by several tasks per file.
 
-    A task holds one range of about ``split_bytes``; a file may have any size. The path must lie in a file system that Arrow reads.
+    A task holds one range of about ``split_bytes`` at a time; a file may have any size. The path must lie in a file system that Arrow reads.
     """
     index = cut_lineage(capture_index(spark, path, split_bytes))
-    return index.repartition(max(1, min(10_000, index.count())), "path", "part").mapInPandas(_cut, FRAME_SCHEMA)
+    tasks = _tasks(index.select(F.col("start").alias("begin"), F.col("stop").alias("end")))
+    return index.repartition(tasks, "path", "part").mapInPandas(_cut, FRAME_SCHEMA)
 
 
 def write_captures(frames: DataFrame, path: str, files: int, link_type: int = 1) -> None:
