@@ -247,12 +247,11 @@ def test_ranges_refuse_other_files(spark, tmp_path):
 
 
 def test_small_ranges_share_tasks(spark, tmp_path):
-    frames = spark.range(2000).select(F.col("id").alias("frame_no"), (F.col("id") * 1000).alias("epoch_micros"), F.lit(100).cast("long").alias("wire_length"),
-                                      F.unhex(F.repeat(F.lit("AB"), 100)).alias("frame"))
+    frames = spark.range(4000).select(F.col("id").alias("frame_no"), (F.col("id") * 1000).alias("epoch_micros"), F.lit(64).cast("long").alias("wire_length"),
+                                      F.unhex(F.sha2(F.col("id").cast("string"), 512)).alias("frame"))
     folder = f"{tmp_path}/captures"
     cr.write_captures(frames, folder, 1)
-    read = cr.read_capture_ranges(spark, folder, 2048)
-    assert cr.capture_index(spark, folder, 2048).count() > 100
-    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    read = cr.read_capture_ranges(spark, folder, 16 << 10)
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < (4000 * 80 + 24) // (16 << 10)
     got = read.orderBy("frame_no").collect()
-    assert [r["epoch_micros"] for r in got] == [k * 1000 for k in range(2000)] and not any(r["cut"] for r in got)
+    assert [r["epoch_micros"] for r in got] == [k * 1000 for k in range(4000)] and not any(r["cut"] for r in got)
