@@ -34,9 +34,10 @@ class Bucketed:
         name = f"packetloom_{uuid.uuid4().hex}"
         self.name, self.path = name, f"{checkpoint_dir(spark)}/{name}"
 
-    def append(self, rows: DataFrame, number: int = 0) -> None:
-        dealt = rows.repartition(self.buckets, *self.keys).withColumn("__round", F.lit(number))
-        dealt.write.format("parquet").mode("append").option("path", self.path).partitionBy("__round").bucketBy(
+    def append(self, rows: DataFrame, number: int = 0, dealt: bool = False) -> None:
+        """Append a round; ``dealt`` rows lie by key already, as what is grouped beside this table does, and are not shuffled again."""
+        placed = (rows if dealt else rows.repartition(self.buckets, *self.keys)).withColumn("__round", F.lit(number))
+        placed.write.format("parquet").mode("append").option("path", self.path).partitionBy("__round").bucketBy(
             self.buckets, *self.keys).saveAsTable(self.name)
 
     def rows(self, number: int | None = None) -> DataFrame:

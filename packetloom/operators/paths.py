@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from packetloom.functions.numeric import clamp
 from packetloom.operators.graph import degree_centrality
 from packetloom.operators.layout import PIECE, SALT, Bucketed, Hubs, dealt_links, piece_size
 from packetloom.operators.ordered import beside
+from packetloom.operators.tiles import TILE, WIDE, carried_back, first_states, link_tiles, met, node_sums, opened, sent
 from packetloom.session import cut_lineage
 
 
@@ -101,13 +103,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
-WIDE = 16  # sources searched side by side, a column each
-STATE_ROWS = 2_000_000_000
-_SLOTS = range(WIDE)
-
-
-def _bit(i: int) -> Column:
-    return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+STATE_CELLS = 1_000_000_000
 
 
 def folded_leaves(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,72 +127,57 @@ def folded_leaves(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources, leaves
 
 
-def _in_blocks(sources: DataFrame, count: int, group: int = 1024) -> DataFrame:
-    """Sources with a block of at most WIDE and a slot within it; numbered in groups of about ``group``."""
-    parts = max(1, -(-count // group))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("source")) - 1
-    return cut_lineage(sources.withColumn("__part", F.pmod(F.xxhash64("source"), F.lit(parts)).cast("long")).withColumn("__at", place).select(
-        *sources.columns, (F.col("__part") * (1 << 20) + F.floor(F.col("__at") / WIDE)).alias("block"),
-        (F.col("__at") % WIDE).cast("int").alias("slot")))
+def _in_blocks(rows: DataFrame, key: str, count: int, width: int, block: str, place: str) -> DataFrame:
+    """Rows with a block of at most ``width`` and a place within it; numbered in groups of about 16 blocks."""
+    groups = max(1, -(-count // (16 * width)))
+    place_in_group = F.row_number().over(Window.partitionBy("__group").orderBy(key)) - 1
+    return cut_lineage(rows.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("long")).withColumn("__at", place_in_group).select(
+        *rows.columns, (F.col("__group") * (1 << 20) + F.floor(F.col("__at") / width)).alias(block),
+        (F.col("__at") % width).cast("int").alias(place)))
 
 
-def _search(links: Bucketed, hubs: Hubs, placed: DataFrame) -> tuple[Bucketed, int]:
+def _search(tiles: DataFrame, placed: DataFrame, parts: DataFrame) -> tuple[Bucketed, int]:
     """Levels of breadth-first searches, and the last level's number.
 
-    A row holds, for one block and node, how many shortest paths lead there from each source of the
-    block that first reaches it in this round, and a bit for each such source. All rounds are one
-    table bucketed by block and node: looking up what was reached before moves no visited row.
+    A row holds, for one block of sources and one part of the nodes, how many shortest paths lead to each
+    node from each source that first reaches it in this round. All rounds are one table bucketed by
+    block and part: looking up what was reached before moves no visited row. Nothing is sent to
+    parts that all sources of the block have reached whole.
     """
-    found = Bucketed(placed.sparkSession, ["block", "node"])
-    found.append(placed.select("block", F.col("source").alias("node"), F.shiftleft(F.lit(1), 0).alias("one"), "slot").select(
-        "block", "node", F.expr("shiftleft(one, slot)").alias("mask"),
-        *[F.when(F.col("slot") == i, 1.0).otherwise(0.0).alias(f"s{i}") for i in _SLOTS]))
+    found = Bucketed(placed.sparkSession, ["block", "part"])
+    found.append(first_states(placed))
+    slots = placed.groupBy("block").agg(F.count("*").alias("slots"))
+    ways = tiles.drop("codes")
     for depth in count(1):
-        frontier = hubs.copy(found.rows(depth - 1).drop("mask").withColumnRenamed("node", "src"), "src")
-        step = frontier.join(links.rows(), ["src", SALT]).groupBy("block", F.col("dst").alias("node")).agg(
-            *[F.sum(f"s{i}").alias(f"s{i}") for i in _SLOTS])
-        before = found.rows().groupBy("block", "node").agg(F.bit_or("mask").alias("mask"))
-        fresh = step.join(before, ["block", "node"], "left").na.fill(0, ["mask"]).select(
-            "block", "node", *[F.when(_bit(i), 0.0).otherwise(F.col(f"s{i}")).alias(f"s{i}") for i in _SLOTS])
-        mask = reduce(Column.bitwiseOR, [F.when(F.col(f"s{i}") > 0, 1 << i).otherwise(0) for i in _SLOTS])
-        found.append(fresh.select("block", "node", mask.alias("mask"), *[f"s{i}" for i in _SLOTS]).filter("mask <> 0"), depth)
+        frontier = found.rows(depth - 1)
+        whole = found.rows().groupBy("block", "part").agg(F.sum("cells").alias("cells")).join(slots, "block").join(parts, "part").filter(
+            F.col("cells") == F.col("slots") * F.col("size")).select("block", F.col("part").alias("into"))
+        routes = cut_lineage(frontier.select("block", "part").join(ways, "part").join(whole, ["block", "into"], "left_anti"))
+        received = sent(frontier.drop("cells", "nodes"), tiles, routes, lambda row: opened(row["mask"], row["value"]))
+        found.append(met(received, found.rows()), depth, dealt=True)
         if found.rows(depth).isEmpty():
             return found, depth - 1
 
 
-def _dependencies(links: Bucketed, hubs: Hubs, found: Bucketed, last: int, weights: DataFrame) -> DataFrame:
-    """(node, delta, reach, hops) over all sources of a search.
+def _dependencies(tiles: DataFrame, found: Bucketed, last: int, nodes: DataFrame) -> DataFrame:
+    """(node, delta, reach, hops) over all sources of a search; ``nodes`` (node, part, at) tells where a node's sums lie."""
 
-    ``weights`` (block, w) holds the leaves of each slot, of blocks that have any: what a search tells counts
-    once for its source and once more for each leaf.
-    """
-    add = lambda parts: reduce(Column.__add__, parts)
-    hop, met = F.col("__round").cast("long"), F.bit_count("mask").cast("long")
-    leaves = [F.get("w", F.lit(i)) for i in _SLOTS]
-    held = [F.when(_bit(i), leaves[i]).otherwise(0) for i in _SLOTS]
-    none = F.lit(0).cast("long")
-    parts = [
-        found.numbered().filter("__round > 0").groupBy("node").agg(F.lit(0.0).alias("delta"), F.sum(met).alias("reach"), F.sum(met * hop).alias("hops")),
-        found.numbered().join(weights, "block").select("node", hop.alias("hop"), add(held).alias("m")).groupBy("node").agg(
-            F.lit(0.0).alias("delta"), F.sum("m").alias("reach"), F.sum(F.col("m") * (1 + F.col("hop"))).alias("hops"))]
-    carried = Bucketed(found.spark, ["block", "node"])
+    def share(row: dict) -> np.ndarray:
+        tile = opened(row["mask"], row["value"])
+        gain = 1.0 + opened(row["back_mask"], row["back"]) if row["back_mask"] is not None else 1.0
+        return np.divide(gain, tile, out=np.zeros_like(tile), where=tile != 0)
+
+    spark, ways = found.spark, tiles.drop("codes")
+    carried = Bucketed(spark, ["block", "part"])
+    carried.append(spark.createDataFrame([], "block long, part long, back_mask binary, back binary"))
     for depth in range(last, 1, -1):
-        here = found.rows(depth)
-        if depth < last:
-            here = here.join(carried.rows(depth), ["block", "node"], "left").na.fill(0.0)
-        gain = lambda i: 1.0 + F.col(f"d{i}") if depth < last else F.lit(1.0)  # noqa: B023, E731
-        share = here.select("block", F.col("node").alias("dst"), *[
-            F.when(_bit(i), gain(i) / F.col(f"s{i}")).otherwise(0.0).alias(f"h{i}") for i in _SLOTS])
-        back = hubs.copy(share, "dst").join(links.rows(), ["dst", SALT]).groupBy("block", F.col("src").alias("node")).agg(
-            *[F.sum(f"h{i}").alias(f"h{i}") for i in _SLOTS])
-        carried.append(back.join(found.rows(depth - 1), ["block", "node"]).select(
-            "block", "node", *[(F.col(f"s{i}") * F.col(f"h{i}")).alias(f"d{i}") for i in _SLOTS]), depth - 1)
-    if last > 1:
-        own = add([F.col(f"d{i}") for i in _SLOTS])
-        more = add([F.col(f"d{i}") * leaves[i] for i in _SLOTS])
-        parts += [rows.groupBy("node").agg(F.sum(value).alias("delta"), none.alias("reach"), none.alias("hops"))
-                  for rows, value in ((carried.rows(), own), (carried.rows().join(weights, "block"), more))]
-    total = _summed(parts)
+        here = found.rows(depth).drop("cells", "nodes").join(carried.rows(depth), ["block", "part"], "left")
+        level = found.rows(depth - 1)
+        routes = cut_lineage(found.rows(depth).select("block", "part").join(ways, "part").join(
+            level.select("block", F.col("part").alias("into")), ["block", "into"], "left_semi"))
+        carried.append(carried_back(sent(here, tiles, routes, share), level), depth - 1, dealt=True)
+    sums = node_sums(found.numbered(), carried.rows()).groupBy("part", "at").agg(*[F.sum(c).alias(c) for c in ("delta", "reach", "hops")])
+    total = cut_lineage(sums.join(nodes, ["part", "at"]).select("node", "delta", "reach", "hops"))
     carried.drop()
     return total
 
@@ -205,33 +186,39 @@ def _summed(parts: list[DataFrame]) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("delta", "reach", "hops")]))
 
 
-def _accumulated(links: DataFrame, sources: DataFrame, n: int, batches: int | None, piece: int) -> tuple[DataFrame, DataFrame]:
+def _accumulated(links: DataFrame, sources: DataFrame, batches: int | None) -> tuple[DataFrame, DataFrame]:
     """Sums (node, delta, reach, hops) over all sources, and (source, leaves, back, reached).
 
-    The sources are cut into as many runs as keep blocks x nodes below STATE_ROWS, unless ``batches`` is given.
+    The sources are cut into as many runs as keep sources x nodes below STATE_CELLS, unless ``batches`` is given.
     """
-    sources = cut_lineage(sources)
+    ends = cut_lineage(graph_nodes(links))
+    n = ends.count()
+    nodes = _in_blocks(ends, "node", n, TILE, "part", "at")
+    sizes = cut_lineage(nodes.groupBy("part").agg(F.count("*").alias("size")))
+    lying = links
+    for end in ("src", "dst"):
+        lying = lying.join(nodes.select(F.col("node").alias(end), F.col("part").alias(f"{end}_part"), F.col("at").alias(f"{end}_at")), end)
+    lying, parts = cut_lineage(lying.drop("src", "dst")), sizes.count()
+    onward, inward = (link_tiles(lying, *way, parts) for way in (("src", "dst"), ("dst", "src")))
+    sources = cut_lineage(sources.join(nodes.withColumnRenamed("node", "source"), "source"))
     size = sources.count()
     if batches is None:
-        batches = max(1, -(-(-(-size // WIDE) * n) // STATE_ROWS))
-    piece = piece_size(links.count(), piece)
-    onward, onward_hubs = dealt_links(links, "src", "dst", piece)
-    inward, inward_hubs = dealt_links(links, "dst", "src", piece)
-    placed = _in_blocks(sources, size)
-    parts, reached = [], []
+        batches = max(1, -(-size * n // STATE_CELLS))
+    placed = _in_blocks(sources, "source", size, WIDE, "block", "slot")
+    held = placed.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "leaves"))).alias("m")).select(
+        "block", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("held"))
+    placed = cut_lineage(placed.join(held, "block"))
+    sums, reached = [], []
     for run in range(batches):
         some = placed if batches == 1 else placed.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == run)
-        weights = cut_lineage(some.groupBy("block").agg(*[F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("leaves"))), F.lit(0)).alias(
-            f"w{i}") for i in _SLOTS]).select("block", F.array(*[f"w{i}" for i in _SLOTS]).alias("w")).filter(F.exists("w", lambda m: m > 0)))
-        found, last = _search(onward, onward_hubs, some)
-        parts.append(_dependencies(inward, inward_hubs, found, last, weights))
-        totals = found.numbered().filter("__round > 0").groupBy("block").agg(F.array(*[F.sum(_bit(i).cast("long")) for i in _SLOTS]).alias("r"))
-        reached.append(cut_lineage(some.join(totals, "block", "left").select(
-            "source", "leaves", "back", F.coalesce(F.get("r", F.col("slot")), F.lit(0)).alias("reached"))))
+        found, last = _search(onward, some, sizes)
+        sums.append(_dependencies(inward, found, last, nodes))
+        totals = found.numbered().filter("__round > 0").select("block", F.posexplode("nodes").alias("slot", "n")).groupBy("block", "slot").agg(
+            F.sum("n").alias("reached"))
+        reached.append(cut_lineage(some.join(totals, ["block", "slot"], "left").select(
+            "source", "leaves", "back", F.coalesce("reached", F.lit(0)).alias("reached"))))
         found.drop()
-    onward.drop()
-    inward.drop()
-    return _summed(parts), reduce(DataFrame.unionByName, reached)
+    return _summed(sums), reduce(DataFrame.unionByName, reached)
 
 
 def _simple(edges: DataFrame) -> DataFrame:
@@ -246,16 +233,17 @@ def _closeness(reach: Column, hops: Column, reaching: Column, n: int) -> Column:
 def path_centralities(edges: DataFrame, batches: int | None = None, piece: int = PIECE) -> DataFrame:
     """G3 + G4. Exact normalised betweenness and inward closeness of every node, from one search.
 
-    WIDE sources are searched side by side, so a hop costs one row per block, not per source; leaves are
-    folded onto their neighbour. Dependencies flow back level by level. Closeness is scaled by the
+    WIDE sources are searched side by side over tiles of nodes and links (see ``tiles``), so a hop moves one
+    tile per block and part, not a row per link; leaves are folded onto their neighbour. A hub's links lie in
+    many tiles, so ``piece`` changes nothing here. Dependencies flow back level by level. Closeness is scaled by the
     share of nodes that reach the node. The work grows with sources x edges: on large graphs take
     :func:`sampled_centralities`. ``batches`` fixes the number of runs over the sources, which
-    otherwise follows from the number of state rows.
+    otherwise follows from sources x nodes.
     """
     nodes, links = cut_lineage(graph_nodes(edges)), _simple(edges)
     n = nodes.count()
     sources, leaves = folded_leaves(links)
-    total, reached = _accumulated(links, sources, n, batches, piece)
+    total, reached = _accumulated(links, sources, batches)
     held = reached.filter("leaves > 0").select(F.col("source").alias("node"), (F.col("leaves") * F.col("reached") - F.col("back")).cast(
         "double").alias("delta"), F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("hops"))
     own = leaves.filter("back = 1").select("node", F.lit(0.0).alias("delta"), F.lit(-1).cast("long").alias("reach"), F.lit(-2).cast("long").alias("hops"))
@@ -284,7 +272,7 @@ def sampled_centralities(edges: DataFrame, sample: int = 1024, seed: int = 7, ch
     n = nodes.count()
     drawn = cut_lineage(sample_sources(edges, sample, seed)).withColumns({"leaves": F.lit(0).cast("long"), "back": F.lit(0).cast("long")})
     k = min(sample, n)
-    total, _ = _accumulated(links, drawn, n, batches, piece)
+    total, _ = _accumulated(links, drawn, batches)
     rows = nodes.join(total, "node", "left")
     share = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
     bound = n / (n - 1) * math.sqrt(math.log(2 * n / chance) / (2 * k)) if 1 < k < n else 0.0 if k == n else None
