@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import as_bytes, stored, table
+from packetloom.llm.common import as_bytes, short_batches, stored, table
 
 FRAME_BYTES = 1 << 16
 LEVEL = 1
@@ -262,7 +262,8 @@ def output_text(output: Column) -> Column:
 
 
 def op11_fill_in_middle(spark, sf_dir):
-    store = stored(framed(table(spark, sf_dir, "documents")))
+    with short_batches(spark, _ROWS):
+        store = stored(framed(table(spark, sf_dir, "documents")))
     return fill_in_middle(store).withColumn("digests", output_digests(F.col("output"), F.col("form"))).select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", "digests.*")
 
