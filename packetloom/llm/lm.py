@@ -50,7 +50,8 @@ _encodings: dict[int, tiktoken.Encoding] = {}
 def _encoding(shared) -> tiktoken.Encoding:
     if id(shared.value) not in _encodings:
         _encodings.clear()
-        _encodings[id(shared.value)] = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+        unused = {"\0end": max(shared.value.values(), default=-1) + 1}  # never allowed, so it codes nothing; without any the coder into arrays would scan for an empty pattern
+        _encodings[id(shared.value)] = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens=unused)
     return _encodings[id(shared.value)]
 
 
@@ -63,7 +64,7 @@ def subword_ids(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "
         encoding = _encoding(shared)
         for batch in texts:
             for begin in range(0, max(1, len(batch)), _ROWS):
-                yield pa.array([np.array(encoding.encode_ordinary((data or b"").decode()), "<u2").tobytes()
+                yield pa.array([encoding.encode_to_numpy((data or b"").decode(), disallowed_special=()).astype("<u2").tobytes()
                                 for data in as_bytes(batch.slice(begin, _ROWS))], pa.binary())
 
     return run(F.col(text_col))

@@ -258,3 +258,30 @@ def test_lm_learns(spark):
     sf = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = [r for r in lm.lm_scores(sf).collect() if r["held_out"]]
     assert len(got) > 5 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got) * 1.2
+
+
+def test_short_batches_bound_what_python_gets_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.llm.common import short_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield type(b).from_pydict({"n": [b.num_rows]})
+
+    longest = lambda: spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    with short_batches(spark, 256):
+        assert longest() <= 256
+    assert spark.conf.get(name) == before and longest() > 256
+
+
+def test_ids_of_texts_that_hold_the_unused_mark(spark):
+    texts = ["a\0end b", "\0end", "", "x  y\n\n 'll \0"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = lm.read_vocabulary()
+    coding = tiktoken.Encoding("t", pat_str=lm.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
+    got = found.select("text", lm.subword_ids(found, vocabulary).alias("ids")).collect()
+    assert all(np.frombuffer(r["ids"], "<u2").tolist() == coding.encode_ordinary(r["text"]) for r in got) and len(got) == 4
