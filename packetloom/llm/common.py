@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.session import checkpoint_dir, cut_lineage
+from packetloom.session import Rounds, checkpoint_dir, cut_lineage
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -61,9 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
     def least_neighbour(links: DataFrame) -> DataFrame:
         return cut_lineage(links.groupBy("u").agg(F.min("v").alias("m")))
 
-    links = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select(
+    rounds, mark = Rounds(edges.sparkSession), None
+    links = rounds.keep(edges.filter(F.col("src") != F.col("dst")).select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = least_neighbour(both).select("u", F.least("u", "m").alias("m"))
@@ -72,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = least_neighbour(large)
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(
             F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        links = rounds.keep(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break

@@ -21,7 +21,7 @@ from packetloom.operators.graph import degree_centrality
 from packetloom.operators.layout import PIECE, SALT, Bucketed, Hubs, dealt_links, piece_size
 from packetloom.operators.ordered import beside
 from packetloom.operators.tiles import TILE, WIDE, carried_back, first_states, link_tiles, met, node_sums, opened, sent
-from packetloom.session import cut_lineage
+from packetloom.session import Rounds, cut_lineage
 
 
 def graph_nodes(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -49,7 +49,8 @@ def weak_components(edges: DataFrame, keys: Sequence[str] = (), piece: int = PIE
 
     links = edges.filter(F.col("src") != F.col("dst")).select(
         *keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    links, mark = cut_lineage(links), None
+    rounds, mark = Rounds(edges.sparkSession), None
+    links = rounds.keep(links)
     piece = piece_size(2 * links.count(), piece)
     while True:
         both = links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -57,7 +58,7 @@ def weak_components(edges: DataFrame, keys: Sequence[str] = (), piece: int = PIE
             *keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         met, least = linked_to_least(large, F.lit(True))
         small = met.filter(F.col("v") != F.col("m")).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut_lineage(small.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).distinct())
+        links = rounds.keep(small.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).distinct())
         state = links.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break
@@ -83,14 +84,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, max
     out = links.groupBy("src").agg(F.count("*").alias("out_degree"))
     nodes = cut_lineage(graph_nodes(links).join(out.withColumnRenamed("src", "node"), "node", "left"))
     n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    rounds, ranks = Rounds(edges.sparkSession), nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     dangling = F.sum(F.when(F.col("out_degree").isNull(), F.col("rank")).otherwise(0.0))
     lost = ranks.agg(dangling).first()[0] or 0.0
     for _ in range(max_rounds if n else 0):
         given = hubs.copy(ranks.filter("out_degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("out_degree")).alias("given")), "src")
         received = table.rows().join(given, ["src", SALT]).groupBy(F.col("dst").alias("node")).agg(F.sum("given").alias("received"))
         base = (1 - alpha) / n + alpha * lost / n
-        settled = cut_lineage(ranks.withColumnRenamed("rank", "before").join(received, "node", "left").select(
+        settled = rounds.keep(ranks.withColumnRenamed("rank", "before").join(received, "node", "left").select(
             "node", "out_degree", "before", (F.lit(base) + alpha * F.coalesce("received", F.lit(0.0))).alias("rank")))
         change, lost = settled.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), dangling).first()
         ranks = settled.drop("before")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that iterative plans neither grow nor depend on one executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The state that a loop carries from round to round, as Parquet in the shared folder; a round's files go when the next lies there.
+
+    A checkpoint keeps the size that its plan was estimated at, and a join multiplies those of its sides. In a
+    loop that joins its own results the estimate would gain digits exponentially, until they fill the driver;
+    files are as large as they are. The last round's files are left to the owner of the folder.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.number = spark, 0
+        self.path = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """Write the next round, which may read the last, and read it back; what else is still to be run may not read the last."""
+        self.number += 1
+        rows.write.parquet(f"{self.path}/{self.number}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.number - 1}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{self.number}")

@@ -131,3 +131,30 @@ def test_empty_graph(spark):
     none = edges_of(spark, [])
     assert pt.path_centralities(none).collect() == [] == pt.sampled_centralities(none).collect()
     assert pt.pagerank(none).collect() == [] == pt.weak_components(none).collect()
+
+
+def estimated(rows):
+    return int(str(rows._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
+def test_estimates_of_rounds_do_not_multiply(spark, monkeypatch):
+    seen = []
+    keep = pt.Rounds.keep
+    monkeypatch.setattr(pt.Rounds, "keep", lambda self, rows: seen.append(keep(self, rows)) or seen[-1])
+    chain = spark.range(12).selectExpr("id % 3 AS w", "id AS src", "id + 3 AS dst")
+    parts = pt.component_counts(pt.weak_components(chain, ["w"]), ["w"])
+    assert {r["w"]: r["component_count"] for r in parts.collect()} == {0: 1, 1: 1, 2: 1}
+    assert len(seen) > 2 and estimated(seen[-1]) < 1e6
+    rounds = len(seen)
+    assert pt.pagerank(edges_of(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])).count() == 4
+    assert len(seen) > rounds + 3 and estimated(seen[-1]) < 1e6
+
+
+def test_estimates_of_near_copy_rounds_do_not_multiply(spark, monkeypatch):
+    common = pytest.importorskip("packetloom.llm.common")
+    seen = []
+    keep = common.Rounds.keep
+    monkeypatch.setattr(common.Rounds, "keep", lambda self, rows: seen.append(keep(self, rows)) or seen[-1])
+    got = common.components(spark.range(8).selectExpr("id AS src", "id + 1 AS dst")).collect()
+    assert {r["node"]: r["component"] for r in got} == dict.fromkeys(range(9), 0) and len(got) == 9
+    assert len(seen) > 2 and estimated(seen[-1]) < 1e6
