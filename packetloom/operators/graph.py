@@ -179,8 +179,9 @@ def edge_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]
     aggregates = []
     for c in columns:
         value = finite_double(F.col(c))
+        mean = F.sum(value) / F.when(F.count(value) > 0, F.count(value))  # as avg, without a second sum and count in the shuffle
         aggregates += [F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{c}__sum"),
-                       F.coalesce(F.avg(value), F.lit(0.0)).alias(f"{c}__mean"),
+                       F.coalesce(mean, F.lit(0.0)).alias(f"{c}__mean"),
                        F.coalesce(F.min(value), F.lit(0.0)).alias(f"{c}__min"),
                        F.coalesce(F.max(value), F.lit(0.0)).alias(f"{c}__max"),
                        F.count(value).alias(f"{c}__finite_count")]
@@ -191,18 +192,21 @@ def edge_statistics(rows: DataFrame, columns: Sequence[str], keys: Sequence[str]
 
 
 def node_statistics(edges: DataFrame, keys: Sequence[str], packets: str, bytes_: str, src: str = "src_ip",
-                    dst: str = "dst_ip") -> DataFrame:
+                    dst: str = "dst_ip", once: bool = False) -> DataFrame:
     """A21. Flows, packets, bytes and distinct peers of each node from its edges, by role.
 
     The rows of a node meet per role and peer first, then per node, so two distinct counts take no copies.
+    ``once`` tells that each edge has one row, as after :func:`edge_statistics`; then every row is a peer and
+    nodes meet at once.
     """
     zero = F.lit(0).cast("long")
     ends = F.explode(F.array(
         F.struct(F.lit(True).alias("__out"), F.col(src).alias("node"), F.col(dst).alias("__peer")),
         F.struct(F.lit(False).alias("__out"), F.col(dst).alias("node"), F.col(src).alias("__peer")))).alias("__end")
     amounts = {"flow_count": F.col("flow_count"), "packets": F.col(packets), "bytes": F.col(bytes_)}
-    met = edges.select(*keys, *[c.alias(f"__{n}") for n, c in amounts.items()], ends).select("*", "__end.*").groupBy(
-        *keys, "node", "__out", "__peer").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in amounts])
+    met = edges.select(*keys, *[c.alias(f"__{n}") for n, c in amounts.items()], ends).select("*", "__end.*")
+    if not once:
+        met = met.groupBy(*keys, "node", "__out", "__peer").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in amounts])
     roles = {"outgoing": F.col("__out"), "incoming": ~F.col("__out")}
     nothing = {"flow_count": zero, "packets": F.lit(0.0), "bytes": F.lit(0.0)}
     return met.groupBy(*keys, "node").agg(

@@ -86,8 +86,10 @@ def item_edges(spark, sf_dir):
     return gr.edge_statistics(flow_edges(spark, sf_dir), ["quantity", "cents"], ["ship_year"])
 
 
-def item_nodes(spark, sf_dir):
-    return gr.node_statistics(item_edges(spark, sf_dir), ["ship_year"], "quantity__sum", "cents__sum")
+def item_nodes(spark, sf_dir, edges=None):
+    """Nodes of the item graph, from its ``edges`` where these lie written already."""
+    edges = item_edges(spark, sf_dir) if edges is None else edges
+    return gr.node_statistics(edges, ["ship_year"], "quantity__sum", "cents__sum", once=True)
 
 
 REPORTS.add("edge_statistics", item_edges, with_tables(ITEM_EDGES_SQL, select="SELECT * FROM item_edges"),

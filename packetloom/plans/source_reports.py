@@ -237,8 +237,9 @@ def graph_dataset(s, d):
     path = scratch(s)
     edges = gr.item_edges(s, d)
     sk.write_graph_dataset({"edges": edges}, path, "json")
-    sk.write_graph_dataset({"nodes": gr.item_nodes(s, d)}, path, "csv")
-    return s.read.schema(edges.schema).json(f"{path}/edges").groupBy("ship_year").agg(
+    written = s.read.schema(edges.schema).json(f"{path}/edges")
+    sk.write_graph_dataset({"nodes": gr.item_nodes(s, d, written)}, path, "csv")
+    return written.groupBy("ship_year").agg(
         F.count("*").alias("edges"), F.sum("flow_count").alias("flows"))
 
 

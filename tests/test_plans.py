@@ -41,3 +41,19 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan
     peers = plan_of(spark, sf_dir, "attacker_connectivity")
     assert "ReadSchema: struct<user_id:bigint,props:string>" in peers
+
+
+def test_nodes_of_written_edges_meet_in_one_shuffle(spark, sf_dir, tmp_path):
+    from packetloom.operators import graph as gr
+    from packetloom.plans import graph_reports
+
+    rows = spark.createDataFrame([(y, a, b, 80, "TCP", v) for y in (1, 2, None) for a, b in [("p", "q"), ("q", "p"), (None, "q"), ("p", "p")]
+                                  for v in (1.5, 2.0, None, float("nan"))], "y int, src_ip string, dst_ip string, dst_port int, protocol string, v double")
+    edges = gr.edge_statistics(rows, ["v"], ["y"])
+    assert {(r["v__sum"], r["v__mean"], r["v__finite_count"]) for r in edges.collect()} == {(3.5, 1.75, 2)}
+    edges.write.json(str(tmp_path / "edges"))
+    written = spark.read.schema(edges.schema).json(str(tmp_path / "edges"))
+    both = [gr.node_statistics(e, ["y"], "v__sum", "v__sum", once=once).collect() for e, once in ((written, True), (edges, False))]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and len(both[0]) == 9
+    plan = graph_reports.item_nodes(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # edges, then nodes
