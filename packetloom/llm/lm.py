@@ -7,7 +7,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -239,17 +239,19 @@ class Attention:
             met[ids] += 1
         return met
 
-    def projected(self) -> tuple[np.ndarray, np.ndarray]:
-        """Key, value, 1 and query of each id, and its part as last token; made once for many texts.
+    def projected(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Key, value, 1 and query of each id, its part as last token, and the greatest key times the greatest query; made once for many texts.
 
         Padding has value 0 and 0 in place of 1, so that a window's sums leave it out. The last token's part has
         a further column whose tanh is 1: it takes the shifts of the logits.
         """
         real = (np.arange(len(self.x)) <= self.end).astype(np.float32)[:, None]
-        return (np.concatenate([self.x @ self.k, self.x @ self.v * real, real, self.x @ self.q], axis=1),
-                np.concatenate([self.x @ self.u, np.full((len(self.x), 1), 20, np.float32)], axis=1))
+        key, query = self.x @ self.k, self.x @ self.q
+        longest = lambda part: float(np.sqrt(np.square(part).sum(axis=1).max()))
+        return (np.concatenate([key, self.x @ self.v * real, real, query], axis=1),
+                np.concatenate([self.x @ self.u, np.full((len(self.x), 1), 20, np.float32)], axis=1), longest(key) * longest(query))
 
-    def score(self, texts: list[np.ndarray], projected: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], projected: tuple[np.ndarray, np.ndarray, float] | None = None) -> np.ndarray:
         """log10 P of each text and its end, every token scored once.
 
         The texts lie one after another, each after a lead of padding and padded to whole strides, so that
@@ -257,7 +259,7 @@ class Attention:
         is only shifted by its greatest exponent where the weights let exponents grow beyond 40. The targets of
         a block are sorted by group, so that a group's classes take one product.
         """
-        per_id, as_last = projected or self.projected()
+        per_id, as_last, most = projected or self.projected()
         key, value, query = slice(0, DIM), slice(DIM, 2 * DIM + 1), slice(2 * DIM + 1, None)
         sizes = np.array([len(t) for t in texts], np.int64)
         count = -(-(sizes + 1) // STRIDE)
@@ -272,8 +274,7 @@ class Attention:
             line[at + 1:at + len(text) + 1] = text
             first = begin[k] + lead - (CONTEXT - STRIDE) // STRIDE
             owner[first:first + count[k]] = k
-        longest = lambda part: float(np.sqrt(np.square(per_id[:, part]).sum(axis=1).max()))
-        steep = longest(key) * longest(query) + np.abs(self.bias).max() > 40
+        steep = most + np.abs(self.bias).max() > 40
         wide = max(np.abs(m).sum(axis=0).max() + np.abs(c).max() for m, c in ((self.w, self.b), (self.wg, self.bg))) > 40
         allowed = np.where(self.future, np.float32(-np.inf), self.bias[0][self.lag])
         open_ = np.exp(allowed)
@@ -474,34 +475,26 @@ def _head(counts: DataFrame, most: int = HEAD) -> dict[bytes | None, int]:
     return dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True))
 
 
-class _Logs(dict):
-    """Logs of known words; others are NaN and are not kept."""
-
-    def __missing__(self, word: bytes | None) -> float:
-        return math.nan
-
-
 def looked_up(head: dict[bytes | None, int], rows: DataFrame, text_col: str = "text") -> Column:
     """Column struct(n_tokens, n_known, logs, rare): the base's sum over words of ``head``, and the other words with their numbers."""
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,logs:double,rare:array<struct<word:binary,n:bigint>>>")
     def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Logs((word, math.log10(n + SMOOTH)) for word, n in shared.value.items())
+        known = {word: math.log10(n + SMOOTH) for word, n in shared.value.items()}
         for batch in texts:
             for begin in range(0, max(1, len(batch)), _ROWS):
                 tokens, seen, logs, words, numbers, offsets = [], [], [], [], [], [0]
                 for data in as_bytes(batch.slice(begin, _ROWS)):
-                    met = Counter((data or b"").lower().split())
-                    met[None] = 1
-                    n = np.fromiter(met.values(), np.int64, len(met))
-                    value = np.fromiter(map(known.__getitem__, met), np.float64, len(met))
+                    met = [*(data or b"").lower().split(), None]
+                    value = np.fromiter(map(known.get, met, repeat(math.nan)), np.float64, len(met))
                     other = np.isnan(value)
-                    tokens.append(int(n.sum()))
-                    seen.append(tokens[-1] - int(n[other].sum()))
-                    logs.append(float(n[~other] @ value[~other]))
-                    words += compress(met, other.tolist())
-                    numbers.append(n[other])
+                    unknown = Counter(compress(met, other.tolist())) if other.any() else {}
+                    tokens.append(len(met))
+                    seen.append(len(met) - int(other.sum()))
+                    logs.append(float(value[~other].sum()))
+                    words += unknown
+                    numbers.append(np.fromiter(unknown.values(), np.int64, len(unknown)))
                     offsets.append(len(words))
                 rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
                     [pa.array(words, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *numbers]))], ["word", "n"]))

@@ -285,3 +285,19 @@ def test_ids_of_texts_that_hold_the_unused_mark(spark):
     coding = tiktoken.Encoding("t", pat_str=lm.PATTERN, mergeable_ranks=vocabulary, special_tokens={})
     got = found.select("text", lm.subword_ids(found, vocabulary).alias("ids")).collect()
     assert all(np.frombuffer(r["ids"], "<u2").tolist() == coding.encode_ordinary(r["text"]) for r in got) and len(got) == 4
+
+
+def test_score_makes_no_pass_over_all_ids_where_these_are_projected(monkeypatch):
+    model = lm.Attention(50, lm.classes(np.ones(50)))
+    projected, texts = model.projected(), [np.array([1, 2, 3], np.uint16), np.zeros(0, np.uint16)]
+    want = model.score(texts)
+    monkeypatch.setattr(np, "square", None)
+    assert np.array_equal(model.score(texts, projected), want)
+
+
+def test_words_outside_the_head_are_counted_per_text(spark):
+    docs = spark.createDataFrame([("a B a x x y",), (None,), ("",)], "text string")
+    got = [r["t"] for r in docs.coalesce(1).select(lm.looked_up({b"a": 3, b"b": 1}, docs).alias("t")).collect()]
+    assert [(r["n_tokens"], r["n_known"], [(bytes(w["word"]) if w["word"] is not None else None, w["n"]) for w in r["rare"]]) for r in got] == [
+        (7, 3, [(b"x", 2), (b"y", 1), (None, 1)]), (1, 0, [(None, 1)]), (1, 0, [(None, 1)])]
+    assert got[0]["logs"] == pytest.approx(2 * np.log10(3.1) + np.log10(1.1)) and got[1]["logs"] == 0
