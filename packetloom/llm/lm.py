@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ from packetloom.llm.wordbytes import mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same words without looking ahead, which takes an automaton in place of backtracking, where the last white space of every run of
+# several before a word begins a text of its own.
+_PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]  # \s of the vocabulary
+_IS_WHITE = np.isin(np.arange(0x3002), _WHITE)
 DIM, CONTEXT, STRIDE = 16, 32, 16  # model width; a window has CONTEXT inputs, of which the last STRIDE are scored
 GROUPS, MEMBERS = 16, 16  # the softmax picks one of GROUPS, then one of its MEMBERS classes
 BINS = 64  # classes of several ids, by equal mass; the most frequent ids have a class each
@@ -32,6 +37,7 @@ SMOOTH = 0.1  # fixed value of the base: added to each count
 _PAD = 65535
 _BLOCK = 256
 _ROWS = 512
+_BYTES = 1 << 23
 _KINDS = 200_000
 
 
@@ -51,10 +57,19 @@ def _encoding(shared) -> tiktoken.Encoding:
     if id(shared.value) not in _encodings:
         _encodings.clear()
         unused = {"\0end": max(shared.value.values(), default=-1) + 1}  # never allowed, so it codes nothing; without any the coder into arrays would scan for an empty pattern
-        _encodings[id(shared.value)] = tiktoken.Encoding("ids", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens=unused)
+        _encodings[id(shared.value)] = tiktoken.Encoding("ids", pat_str=_PATTERN, mergeable_ranks=shared.value, special_tokens=unused)
     return _encodings[id(shared.value)]
 
 
+def _ids(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text under PATTERN, from a coder under _PATTERN."""
+    white = _IS_WHITE[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), len(_IS_WHITE) - 1)]
+    cuts = (np.flatnonzero(white[:-2] & white[1:-1] & ~white[2:]) + 1).tolist()
+    parts = [text[i:j] for i, j in pairwise([0, *cuts, len(text)])] if cuts else [text]
+    ids = [encoding.encode_to_numpy(part, disallowed_special=()) for part in parts]
+    return (np.concatenate(ids) if cuts else ids[0]).astype("<u2")
+
+
 def subword_ids(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "text") -> Column:
     """Column of 16-bit little-endian ids of whole texts; NULL counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -64,8 +79,7 @@ def subword_ids(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "
         encoding = _encoding(shared)
         for batch in texts:
             for begin in range(0, max(1, len(batch)), _ROWS):
-                yield pa.array([encoding.encode_to_numpy((data or b"").decode(), disallowed_special=()).astype("<u2").tobytes()
-                                for data in as_bytes(batch.slice(begin, _ROWS))], pa.binary())
+                yield pa.array([_ids(encoding, (data or b"").decode()).tobytes() for data in as_bytes(batch.slice(begin, _ROWS))], pa.binary())
 
     return run(F.col(text_col))
 
@@ -332,9 +346,15 @@ def _id_counts(coded: DataFrame, ids: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ids, np.int64)
         for batch in batches:
+            part, size = [], 0
             for data in batch.column(0):
-                total += np.bincount(np.frombuffer(data.as_buffer(), "<u2"), minlength=ids) if data.as_buffer().size else 0
-                total[ids - 1] += 1
+                part.append(np.frombuffer(data.as_buffer(), "<u2"))
+                size += len(part[-1])
+                if size >= _KINDS:
+                    total += np.bincount(np.concatenate(part), minlength=ids)
+                    part, size = [], 0
+            total += np.bincount(np.concatenate([np.zeros(0, "<u2"), *part]), minlength=ids)
+            total[ids - 1] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -435,24 +455,49 @@ def scores(coded: DataFrame, model: Attention, ids_col: str = "ids") -> Column:
     return score(F.col(ids_col))
 
 
+def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words, A-Z lower-cased, and where those of each text begin and the last one's end; a few rows and about _BYTES at once."""
+    texts = texts.cast(pa.string()).fill_null("")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy()) // _BYTES
+    cuts = np.flatnonzero(np.diff(sizes, prepend=0) | (np.arange(len(texts)) % _ROWS == 0)).tolist()
+    for i, j in pairwise([*cuts, len(texts)] if cuts else [0, 0]):
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i)))  # the blanks of the contract
+        words, begin = found.flatten(), found.offsets.to_numpy().astype(np.int64)
+        begin -= begin[0]
+        real = pc.binary_length(words).to_numpy() > 0  # a blank at either end of a text gives an empty word
+        if not real.all():
+            words, begin = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[begin]
+        yield words, begin
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over one text column, A-Z lower-cased; NULL stands for the ends of texts. Each task adds up its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        ends = 0
+        found: list[pa.Table] = []
+        ends = kinds = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        def out() -> list[pa.RecordBatch]:
+            table = merged()
+            return pa.table([table["word"].cast(pa.binary()), table["n"]], ["word", "n"]).to_batches()
 
         for batch in batches:
-            for data in as_bytes(batch.column(0)):
-                ends += 1
-                found.update((data or b"").lower().split())  # bytes: A-Z and the blanks of the contract alone
-                if len(found) > _KINDS:
-                    yield out()
-                    found.clear()
-        yield out()
+            ends += batch.num_rows
+            for words, _ in _words(batch.column(0)):
+                met = words.value_counts()
+                found.append(pa.table([met.field("values"), met.field("counts")], ["word", "n"]))
+                kinds += len(met)
+                if kinds > 2 * _KINDS:
+                    found = [merged()]
+                    kinds = found[0].num_rows
+                if kinds > _KINDS and len(found) == 1:
+                    yield from out()
+                    found, kinds = [], 0
+        if found:
+            yield from out()
         yield pa.record_batch([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
@@ -477,29 +522,37 @@ def _head(counts: DataFrame, most: int = HEAD) -> dict[bytes | None, int]:
 
 def looked_up(head: dict[bytes | None, int], rows: DataFrame, text_col: str = "text") -> Column:
     """Column struct(n_tokens, n_known, logs, rare): the base's sum over words of ``head``, and the other words with their numbers."""
-    shared = rows.sparkSession.sparkContext.broadcast(head)
+    names = pa.array([word for word in head if word is not None], pa.binary())
+    logs_of = np.array([*(math.log10(n + SMOOTH) for word, n in head.items() if word is not None), math.nan])  # the last one: of no word of the head
+    end = math.log10(head[None] + SMOOTH) if None in head else math.nan
+    shared = rows.sparkSession.sparkContext.broadcast((names, logs_of, end))
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,logs:double,rare:array<struct<word:binary,n:bigint>>>")
     def look(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = {word: math.log10(n + SMOOTH) for word, n in shared.value.items()}
+        names, logs_of, end = shared.value
+        names = names.cast(pa.string())
         for batch in texts:
-            for begin in range(0, max(1, len(batch)), _ROWS):
-                tokens, seen, logs, words, numbers, offsets = [], [], [], [], [], [0]
-                for data in as_bytes(batch.slice(begin, _ROWS)):
-                    met = [*(data or b"").lower().split(), None]
-                    value = np.fromiter(map(known.get, met, repeat(math.nan)), np.float64, len(met))
-                    other = np.isnan(value)
-                    unknown = Counter(compress(met, other.tolist())) if other.any() else {}
-                    tokens.append(len(met))
-                    seen.append(len(met) - int(other.sum()))
-                    logs.append(float(value[~other].sum()))
-                    words += unknown
-                    numbers.append(np.fromiter(unknown.values(), np.int64, len(unknown)))
-                    offsets.append(len(words))
+            for words, begin in _words(batch):
+                at = pc.index_in(words, value_set=names).fill_null(-1).to_numpy()
+                n = len(begin) - 1
+                value = np.insert(logs_of[at], begin[1:], end)
+                known = ~np.isnan(value)
+                ranges = list(pairwise((begin + np.arange(n + 1)).tolist()))
+                tokens = np.diff(begin) + 1
+                place = np.flatnonzero(at < 0)
+                others = words.take(pa.array(place)).dictionary_encode()
+                kinds = len(others.dictionary)
+                key = (np.searchsorted(begin, place, side="right") - 1) * (kinds + 1) + others.indices.to_numpy()
+                if math.isnan(end):
+                    key = np.concatenate([key, np.arange(n) * (kinds + 1) + kinds])
+                key, times = np.unique(key, return_counts=True)
+                text, kind = np.divmod(key, kinds + 1)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
                 rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(words, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *numbers]))], ["word", "n"]))
-                yield pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(logs, pa.float64()),
-                                                  rare], ["n_tokens", "n_known", "logs", "rare"])
+                    [others.dictionary.cast(pa.binary()).take(pa.array(kind, mask=kind == kinds)), pa.array(times, pa.int64())], ["word", "n"]))
+                yield pa.StructArray.from_arrays(
+                    [pa.array(tokens, pa.int64()), pa.array([int(known[i:j].sum()) for i, j in ranges], pa.int64()),
+                     pa.array([float(value[i:j][known[i:j]].sum()) for i, j in ranges], pa.float64()), rare], ["n_tokens", "n_known", "logs", "rare"])
 
     return look(F.col(text_col))
 

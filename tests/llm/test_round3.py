@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -301,3 +302,70 @@ def test_words_outside_the_head_are_counted_per_text(spark):
     assert [(r["n_tokens"], r["n_known"], [(bytes(w["word"]) if w["word"] is not None else None, w["n"]) for w in r["rare"]]) for r in got] == [
         (7, 3, [(b"x", 2), (b"y", 1), (None, 1)]), (1, 0, [(None, 1)]), (1, 0, [(None, 1)])]
     assert got[0]["logs"] == pytest.approx(2 * np.log10(3.1) + np.log10(1.1)) and got[1]["logs"] == 0
+
+
+def test_coding_without_looking_ahead_gives_the_ids_of_the_whole_pattern():
+    assert "(?!" not in lm._PATTERN and "(?=" not in lm._PATTERN
+    vocabulary = lm.read_vocabulary()
+    whole, ahead = (tiktoken.Encoding("t", pat_str=p, mergeable_ranks=vocabulary, special_tokens={}) for p in (lm.PATTERN, lm._PATTERN))
+    parts = ["a", "B", "the", "'s", "'ll", "'", "1", "é", "!", " ", "  ", "\n", "\t", *map(chr, lm._WHITE), "\x1c", "\x1f", "\u180e", "\u200b", "\ufeff", "\U0001f600", "\0"]
+    rng = random.Random(7)
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randrange(12)))
+        assert lm._ids(ahead, text).tolist() == whole.encode_ordinary(text), repr(text)
+
+
+def test_words_and_their_counts_are_made_in_arrays(spark):
+    """As bytes split them: only the blanks of ASCII part words, only A-Z are lower-cased, blanks at the ends give no word."""
+    texts = ["", " ", None, " a  B\x0b\x1cc ", "É\xa0e\n\nE\t", "\x85", "x" * 300, "b b\r\nb"]
+    batch = pa.array(texts).slice(1)
+    found = [(words.to_pylist(), begin.tolist()) for words, begin in lm._words(batch)]
+    assert len(found) == 1 and [(len(w), b.tolist()) for w, b in lm._words(batch.slice(0, 0))] == [(0, [0])]
+    words, begin = found[0]
+    want = [(t or "").encode().lower().split() for t in texts[1:]]
+    assert [[w.encode() for w in words[i:j]] for i, j in zip(begin, begin[1:], strict=False)] == want
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in lm.word_counts(rows).collect()}
+    assert got == Counter(w for t in want for w in t) | {None: 8}
+
+
+class _Caught:
+    """Stands for a table; keeps the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        raise StopIteration
+
+
+def _task(call, *args):
+    caught = _Caught()
+    with pytest.raises(StopIteration):
+        call(caught, *args)
+    return caught.run
+
+
+def test_a_task_gives_out_words_before_they_are_too_many(monkeypatch):
+    monkeypatch.setattr(lm, "_KINDS", 1000)
+    monkeypatch.setattr(lm, "_ROWS", 7)
+    texts = [" ".join(f"w{(k * j) % 997}x{j % 5}" for j in range(90)) for k in range(120)]
+    given = list(_task(lm.word_counts)(iter([pa.record_batch([pa.array(texts[k:k + 50])], ["t"]) for k in (0, 50, 100)])))
+    got = Counter()
+    for batch in given:
+        for row in batch.to_pylist():
+            got[row["word"]] += row["n"]
+    assert got == Counter(w.encode() for t in texts for w in t.split()) | {None: 120}
+    assert len(given) > 3 and all(batch.num_rows <= 2000 + 7 * 90 for batch in given)
+
+
+def test_ids_of_many_texts_are_counted_in_one_pass_over_all_ids(monkeypatch):
+    rows = [np.arange(k % 9, dtype="<u2") for k in range(500)]
+    passes, count = [], np.bincount
+    run = _task(lm._id_counts, 12)
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: passes.append(1) or count(*a, **k))
+    got, = run(iter([pa.record_batch([pa.array([r.tobytes() for r in rows[:400]]).slice(100)], ["ids"]), pa.record_batch([pa.array([r.tobytes() for r in rows[400:]])], ["ids"])]))
+    want = count(np.concatenate(rows[100:]), minlength=12)
+    want[11] += 400
+    assert dict(zip(*got.to_pydict().values(), strict=True)) == {k: n for k, n in enumerate(want.tolist()) if n} and len(passes) == 2
