@@ -457,11 +457,11 @@ def scores(coded: DataFrame, model: Attention, ids_col: str = "ids") -> Column:
 
 def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Words, A-Z lower-cased, and where those of each text begin and the last one's end; a few rows and about _BYTES at once."""
-    texts = texts.cast(pa.string()).fill_null("")
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy()) // _BYTES
+    texts = texts.cast(pa.string())
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // _BYTES
     cuts = np.flatnonzero(np.diff(sizes, prepend=0) | (np.arange(len(texts)) % _ROWS == 0)).tolist()
     for i, j in pairwise([*cuts, len(texts)] if cuts else [0, 0]):
-        found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i)))  # the blanks of the contract
+        found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i).fill_null("")))  # the blanks of the contract
         words, begin = found.flatten(), found.offsets.to_numpy().astype(np.int64)
         begin -= begin[0]
         real = pc.binary_length(words).to_numpy() > 0  # a blank at either end of a text gives an empty word
@@ -474,30 +474,33 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over one text column, A-Z lower-cased; NULL stands for the ends of texts. Each task adds up its own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[pa.Table] = []
+        found: list[tuple[pa.Array, np.ndarray]] = []
         ends = kinds = 0
 
-        def merged() -> pa.Table:
-            return pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+        def merged() -> tuple[pa.Array, np.ndarray]:
+            words = pa.concat_arrays([words for words, _ in found]).dictionary_encode()
+            n = np.zeros(len(words.dictionary), np.int64)
+            np.add.at(n, words.indices.to_numpy(), np.concatenate([n for _, n in found]))
+            return words.dictionary, n
 
-        def out() -> list[pa.RecordBatch]:
-            table = merged()
-            return pa.table([table["word"].cast(pa.binary()), table["n"]], ["word", "n"]).to_batches()
+        def out() -> pa.RecordBatch:
+            words, n = merged()
+            return pa.record_batch([words.cast(pa.binary()), pa.array(n)], ["word", "n"])
 
         for batch in batches:
             ends += batch.num_rows
             for words, _ in _words(batch.column(0)):
                 met = words.value_counts()
-                found.append(pa.table([met.field("values"), met.field("counts")], ["word", "n"]))
+                found.append((met.field("values"), met.field("counts").to_numpy()))
                 kinds += len(met)
-                if kinds > 2 * _KINDS:
+                if kinds > _KINDS:
                     found = [merged()]
-                    kinds = found[0].num_rows
-                if kinds > _KINDS and len(found) == 1:
-                    yield from out()
+                    kinds = len(found[0][0])
+                if kinds > _KINDS // 2 and len(found) == 1:
+                    yield out()
                     found, kinds = [], 0
         if found:
-            yield from out()
+            yield out()
         yield pa.record_batch([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
