@@ -455,10 +455,10 @@ def scores(coded: DataFrame, model: Attention, ids_col: str = "ids") -> Column:
     return score(F.col(ids_col))
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Words, A-Z lower-cased, and where those of each text begin and the last one's end; a few rows and about _BYTES at once."""
+def _words(texts: pa.Array, size: int = _BYTES) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words, A-Z lower-cased, and where those of each text begin and the last one's end; a few rows and about ``size`` bytes at once."""
     texts = texts.cast(pa.string())
-    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // _BYTES
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // size
     cuts = np.flatnonzero(np.diff(sizes, prepend=0) | (np.arange(len(texts)) % _ROWS == 0)).tolist()
     for i, j in pairwise([*cuts, len(texts)] if cuts else [0, 0]):
         found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, j - i).fill_null("")))  # the blanks of the contract
@@ -468,6 +468,7 @@ def _words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
         if not real.all():
             words, begin = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[begin]
         yield words, begin
+    pa.default_memory_pool().release_unused()  # workers outlive a batch and a task
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -489,7 +490,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             ends += batch.num_rows
-            for words, _ in _words(batch.column(0)):
+            for words, _ in _words(batch.column(0), _BYTES // 16):
                 met = words.value_counts()
                 found.append((met.field("values"), met.field("counts").to_numpy()))
                 kinds += len(met)
