@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.numeric import clamp
+from packetloom.operators import held
 from packetloom.operators.graph import degree_centrality
 from packetloom.operators.layout import PIECE, SALT, Bucketed, Hubs, dealt_links, piece_size
 from packetloom.operators.ordered import beside
@@ -187,13 +188,16 @@ def _summed(parts: list[DataFrame]) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, parts).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("delta", "reach", "hops")]))
 
 
-def _accumulated(links: DataFrame, sources: DataFrame, batches: int | None) -> tuple[DataFrame, DataFrame]:
-    """Sums (node, delta, reach, hops) over all sources, and (source, leaves, back, reached).
+def _accumulated(links: DataFrame, sources: DataFrame, batches: int | None, paths: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Sums (node, delta, reach, hops) over all sources, and (source, leaves, back, reached); delta and reached only with ``paths``.
 
-    The sources are cut into as many runs as keep sources x nodes below STATE_CELLS, unless ``batches`` is given.
+    A graph that a task can hold is searched by tasks for themselves (see ``held``). In a larger one the sources are cut into
+    as many runs as keep sources x nodes below STATE_CELLS, or into ``batches``, which takes this way for any graph.
     """
     ends = cut_lineage(graph_nodes(links))
     n = ends.count()
+    if batches is None and n <= held.HELD_NODES and links.count() <= held.HELD_LINKS:
+        return held.accumulated(links, sources, ends, paths)
     nodes = _in_blocks(ends, "node", n, TILE, "part", "at")
     sizes = cut_lineage(nodes.groupBy("part").agg(F.count("*").alias("size")))
     lying = links
@@ -206,9 +210,9 @@ def _accumulated(links: DataFrame, sources: DataFrame, batches: int | None) -> t
     if batches is None:
         batches = max(1, -(-size * n // STATE_CELLS))
     placed = _in_blocks(sources, "source", size, WIDE, "block", "slot")
-    held = placed.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "leaves"))).alias("m")).select(
+    leaves = placed.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("slot", "leaves"))).alias("m")).select(
         "block", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("held"))
-    placed = cut_lineage(placed.join(held, "block"))
+    placed = cut_lineage(placed.join(leaves, "block"))
     sums, reached = [], []
     for run in range(batches):
         some = placed if batches == 1 else placed.filter(F.pmod(F.xxhash64("block"), F.lit(batches)) == run)
@@ -231,27 +235,28 @@ def _closeness(reach: Column, hops: Column, reaching: Column, n: int) -> Column:
     return F.coalesce(reach / F.when(hops > 0, hops) * (reaching / F.lit(max(n - 1, 1))), F.lit(0.0))
 
 
-def path_centralities(edges: DataFrame, batches: int | None = None, piece: int = PIECE) -> DataFrame:
+def path_centralities(edges: DataFrame, batches: int | None = None, piece: int = PIECE, paths: bool = True) -> DataFrame:
     """G3 + G4. Exact normalised betweenness and inward closeness of every node, from one search.
 
-    WIDE sources are searched side by side over tiles of nodes and links (see ``tiles``), so a hop moves one
-    tile per block and part, not a row per link; leaves are folded onto their neighbour. A hub's links lie in
+    WIDE sources are searched side by side; leaves are folded onto their neighbour. Tasks hold a graph of up to
+    ``held.HELD_LINKS`` links and move nothing but sums (see ``held``). A larger one lies in tiles of nodes and links
+    (see ``tiles``), so a hop moves one tile per block and part, not a row per link. A hub's links lie in
     many tiles, so ``piece`` changes nothing here. Dependencies flow back level by level. Closeness is scaled by the
     share of nodes that reach the node. The work grows with sources x edges: on large graphs take
-    :func:`sampled_centralities`. ``batches`` fixes the number of runs over the sources, which
-    otherwise follows from sources x nodes.
+    :func:`sampled_centralities`. ``batches`` takes tiles and fixes the number of runs over the sources, which
+    otherwise follows from sources x nodes. Without ``paths`` only closeness is told, which takes distances alone.
     """
     nodes, links = cut_lineage(graph_nodes(edges)), _simple(edges)
     n = nodes.count()
     sources, leaves = folded_leaves(links)
-    total, reached = _accumulated(links, sources, batches)
-    held = reached.filter("leaves > 0").select(F.col("source").alias("node"), (F.col("leaves") * F.col("reached") - F.col("back")).cast(
+    total, reached = _accumulated(links, sources, batches, paths)
+    folded = reached.filter("leaves > 0").select(F.col("source").alias("node"), (F.col("leaves") * F.col("reached") - F.col("back")).cast(
         "double").alias("delta"), F.lit(0).cast("long").alias("reach"), F.lit(0).cast("long").alias("hops"))
     own = leaves.filter("back = 1").select("node", F.lit(0.0).alias("delta"), F.lit(-1).cast("long").alias("reach"), F.lit(-2).cast("long").alias("hops"))
-    rows = nodes.join(_summed([total, held, own]), "node", "left")
+    rows = nodes.join(_summed([total, folded, own]), "node", "left")
     share = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return rows.select("node", (F.coalesce("delta", F.lit(0.0)) * F.lit(share)).alias("betweenness"),
-                       _closeness(F.col("reach"), F.col("hops"), F.col("reach"), n).alias("closeness"))
+    close = _closeness(F.col("reach"), F.col("hops"), F.col("reach"), n).alias("closeness")
+    return rows.select("node", (F.coalesce("delta", F.lit(0.0)) * F.lit(share)).alias("betweenness"), close) if paths else rows.select("node", close)
 
 
 def sample_sources(edges: DataFrame, sample: int, seed: int = 7) -> DataFrame:
