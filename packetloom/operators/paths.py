@@ -294,7 +294,7 @@ def betweenness(edges: DataFrame, batches: int | None = None) -> DataFrame:
 
 def closeness(edges: DataFrame, batches: int | None = None) -> DataFrame:
     """G4. Inward closeness with reachability scaling."""
-    return path_centralities(edges, batches).select("node", "closeness")
+    return path_centralities(edges, batches, paths=False).select("node", "closeness")
 
 
 def shortest_paths(edges: DataFrame, attackers: Sequence, target, piece: int = PIECE) -> DataFrame:
