@@ -470,3 +470,27 @@ def test_secret_scan_reads_assignments_within_a_word_and_short_values(spark):
     plain = spark.createDataFrame([(1, 'password = "Tr0ub4dor&3" x token="abcd1234" q?auth=k1k2k3k4&b=1 aaaa=bbbbbbbbbbbb=c1c1c1 cGFkZGVkIHZhbHVlIQ== (secret: p4ssw0rd)')], "doc_id long, text string")
     assert {r["value"] for r in secret_scan.candidates(plain).collect()} == {
         "Tr0ub4dor&3", "abcd1234", "k1k2k3k4", "aaaa=bbbbbbbbbbbb=c1c1c1", "cGFkZGVkIHZhbHVlIQ==", "p4ssw0rd"}
+
+
+def test_near_vectors_are_not_copied_for_each_pair_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 16))
+    made = np.concatenate([base, base[:100] + 0.01 * rng.normal(size=(100, 16)), np.repeat(base[7:8], 60, axis=0)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(made)], "vec_id long, embedding array<double>")
+    written = []
+    kept = vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda rows: written.append(kept(rows)) or written[-1])
+    got = {r["vec_id"]: r for r in vectors.near_vectors(df, n_pivots=4, block=9).collect()}
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    assert [got[k]["n_links"] for k in range(len(made))] == (linked.sum(axis=1) - 1).tolist() and got[400]["component_id"] == 7
+    blocks = next(t for t in written if "units" in t.columns)
+    assert blocks.select(F.sum(F.octet_length("ids"))).first()[0] == 8 * len(made) and blocks.count() > 20
+    plan = vectors._links_of_length(spark, vectors._packed(df, "vec_id", "embedding"), 128, 0.9, 0.5, 4, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_near_vectors_of_repeated_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=2).collect()
+    assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == [("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("None", 0, "None")]

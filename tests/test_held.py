@@ -76,4 +76,4 @@ def test_names_may_be_texts_and_larger_graphs_take_tiles(spark, monkeypatch):
 def test_closeness_counts_no_paths(spark, monkeypatch):
     monkeypatch.setattr(held, "Paths", None)
     edges = edges_of(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
-    assert {r["node"]: r["closeness"] for r in pt.closeness(edges).collect()} == pytest.approx({1: 2 / 3, 2: 2 / 3, 3: 2 / 3, 4: 0.5})
+    assert {r["node"]: r["closeness"] for r in pt.closeness(edges).collect()} == pytest.approx({1: 4 / 9, 2: 4 / 9, 3: 4 / 9, 4: 0.5})
