@@ -32,6 +32,12 @@ def _matrix(raw: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array([np.frombuffer(v, np.float64) for v in raw.to_pylist()])
 
 
+def _opened(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors from components of type ``kind``, scaled as :func:`_packed` scales them."""
+    values = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    return _unit(values / np.abs(values).max(axis=1, keepdims=True))
+
+
 def pivots(usable: DataFrame, count: int = PIVOTS) -> np.ndarray:
     """At most ``count`` vectors, those of least hash: a bounded set that guides the layout but never the result.
 
@@ -43,8 +49,8 @@ def pivots(usable: DataFrame, count: int = PIVOTS) -> np.ndarray:
     return _unit(np.array([np.frombuffer(r["raw"], np.float64) for r in rows])) if rows else np.zeros((0, 1))
 
 
-def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, raw): components as doubles; raw is NULL for vectors that link with nothing."""
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, single: bool = False) -> DataFrame:
+    """(id, raw): components as doubles; raw is NULL for vectors that link with nothing. With ``single`` also as they are, in half the space."""
 
     @F.arrow_udf("binary")
     def pack(values: pa.Array) -> pa.Array:
@@ -57,20 +63,25 @@ def _packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             out.append((x / scale).tobytes() if usable else None)  # scaling keeps the norm within range
         return pa.array(out, pa.binary())
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), pack(F.col(vector_col)).alias("raw"))
+    @F.arrow_udf("binary")
+    def as_singles(values: pa.Array) -> pa.Array:
+        return pa.array([np.array(v, np.float32).tobytes() if v and None not in v else None for v in values.to_pylist()], pa.binary())
+
+    more = [as_singles(F.col(vector_col)).alias("short")] if single else []
+    return vectors.select(F.col(id_col).cast("long").alias("id"), pack(F.col(vector_col)).alias("raw"), *more)
 
 
-def _blocks(shared):
-    """Rows (block, lo, hi, ids, units) of whole blocks, in order of id; lo and hi bound the distances to every pivot."""
-    schema = pa.schema([("block", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("units", pa.binary())])
+def _blocks(shared, kind: str):
+    """Rows (block, lo, hi, ids, vectors) of whole blocks, in order of id; lo and hi bound the distances to every pivot."""
+    schema = pa.schema([("block", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in batches_of_groups(batches, ["home"]):
             ids = group.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            unit = _unit(_matrix(group.column("raw").take(pa.array(order))))
-            far = _distances(unit, shared.value)
-            row = (group.column("home")[0].as_py(), far.min(axis=0), far.max(axis=0), ids[order].tobytes(), unit.tobytes())
+            values = group.column("raw").take(pa.array(order)).to_pylist()
+            far = _distances(_opened(values, kind), shared.value)
+            row = (group.column("home")[0].as_py(), far.min(axis=0), far.max(axis=0), ids[order].tobytes(), b"".join(values))
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return run
@@ -112,13 +123,14 @@ def _met(first: tuple, second: tuple, threshold: float, tile: int) -> Iterator[t
             yield _linked(both[order], linked[np.ix_(order, order)])
 
 
-def _join(shared, threshold: float, radius: float, tile: int):
+def _join(shared, threshold: float, radius: float, tile: int, kind: str):
     """Links of pairs of blocks; a vector takes part if its distances to all pivots are near enough those of the other block."""
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def opened(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row[f"{side}_ids"], np.int64)
-        return ids, np.frombuffer(row[f"{side}_units"], np.float64).reshape(len(ids), -1)
+        ids, values = np.frombuffer(row[f"{side}_ids"], np.int64), row[f"{side}_vectors"]
+        size = len(values) // len(ids)
+        return ids, _opened([values[k:k + size] for k in range(0, len(values), size)], kind)
 
     def near(block: tuple, row: dict, other: str) -> tuple[np.ndarray, np.ndarray]:
         far = _distances(block[1], shared.value)
@@ -158,9 +170,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     has a NULL component_id and is kept. Further columns are not read.
     """
     spark = vectors.sparkSession
-    packed = _packed(vectors, id_col, vector_col)
-    repeated = vectors.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
-    whole = packed if repeated.isEmpty() else stored(packed.distinct())
+    repeated = not vectors.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    single = not repeated and vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    whole = stored(_packed(vectors, id_col, vector_col).distinct()) if repeated else _packed(vectors, id_col, vector_col, single)
     usable = whole.filter(F.col("raw").isNotNull() & F.col("id").isNotNull())
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + SLACK
     lengths = [r[0] for r in usable.select(F.length("raw")).distinct().limit(257).collect()]
@@ -183,6 +195,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def _links_of_length(spark, usable: DataFrame, length: int, threshold: float, radius: float, n_pivots: int, block: int) -> DataFrame:
     """(id, links, root) of the vectors of one length, one row for each pair of tiles that links them."""
     shared = spark.sparkContext.broadcast(pivots(usable, n_pivots))
+    single = "short" in usable.columns
+    kind = "f4" if single else "f8"
 
     @F.arrow_udf("int")
     def nearest(raw: pa.Array) -> pa.Array:
@@ -201,13 +215,14 @@ def _links_of_length(spark, usable: DataFrame, length: int, threshold: float, ra
     def home(cell: pa.Array, draw: pa.Array) -> pa.Array:
         return pa.array([layout[c][0] + d % layout[c][1] for c, d in zip(cell.to_pylist(), draw.to_pylist(), strict=True)], pa.int64())
 
-    dealt = usable.withColumn("home", home(nearest("raw"), F.pmod(F.xxhash64("id", "raw"), F.lit(1 << 40)))).repartition("home").sortWithinPartitions("home")
-    blocks = stored(dealt.mapInArrow(_blocks(shared), "block long, lo array<double>, hi array<double>, ids binary, units binary"))
+    dealt = usable.withColumn("home", home(nearest("raw"), F.pmod(F.xxhash64("id", "raw"), F.lit(1 << 40))))
+    dealt = dealt.select("id", F.col("short" if single else "raw").alias("raw"), "home").repartition("home").sortWithinPartitions("home")
+    blocks = stored(dealt.mapInArrow(_blocks(shared, kind), "block long, lo array<double>, hi array<double>, ids binary, vectors binary"))
     first, second = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in ("first", "second"))
     apart = F.exists(F.arrays_zip("first_lo", "first_hi", "second_lo", "second_hi"), lambda p: (
         p["first_lo"] > p["second_hi"] + radius) | (p["second_lo"] > p["first_hi"] + radius))
     pairs = first.join(second.hint("shuffle_replicate_nl"), (F.col("first_block") <= F.col("second_block")) & ~apart)
-    return pairs.mapInArrow(_join(shared, threshold, radius, block), "id long, links long, root long")
+    return pairs.mapInArrow(_join(shared, threshold, radius, block, kind), "id long, links long, root long")
 
 
 def op10_embedding_near_dedup(spark, sf_dir):

@@ -484,7 +484,7 @@ def test_near_vectors_are_not_copied_for_each_pair_of_blocks(spark, monkeypatch)
     unit = made / np.linalg.norm(made, axis=1, keepdims=True)
     linked = unit @ unit.T >= 0.9
     assert [got[k]["n_links"] for k in range(len(made))] == (linked.sum(axis=1) - 1).tolist() and got[400]["component_id"] == 7
-    blocks = next(t for t in written if "units" in t.columns)
+    blocks = next(t for t in written if "vectors" in t.columns)
     assert blocks.select(F.sum(F.octet_length("ids"))).first()[0] == 8 * len(made) and blocks.count() > 20
     plan = vectors._links_of_length(spark, vectors._packed(df, "vec_id", "embedding"), 128, 0.9, 0.5, 4, 9)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
@@ -494,3 +494,12 @@ def test_near_vectors_of_repeated_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [1.0, 0.0])]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=2).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == [("1", 1, "1"), ("1", 1, "1"), ("2", 1, "1"), ("None", 0, "None")]
+
+
+def test_near_vectors_of_floats(spark):
+    rng = np.random.default_rng(5)
+    made = np.concatenate([base := rng.normal(size=(60, 8)), 3 * base[:20] + 0.02, [[0.0] * 8]]).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(made)] + [(100, None), (101, [None] * 8), (102, [float("inf")] * 8), (103, [1e-30] * 8), (104, [2e-30] * 8)]
+    got, want = (sorted(map(tuple, vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), block=7).collect()))
+                 for kind in ("float", "double"))
+    assert got == want and sum(r[1] for r in got) > 40
