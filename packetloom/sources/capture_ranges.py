@@ -2,18 +2,22 @@
 
 A first job finds where the records of each range begin: a range that starts inside a file looks for
 the first offset from which several headers follow one another. What it finds is then checked
-against the end of the range before it, and a range that disagrees is walked again from there, so the
-offsets are exact and not a guess. The second job cuts the ranges into frames.
+against the end of the range before it. A range that disagrees is walked again from there, and what its
+neighbours found stands until they are checked in turn, so the offsets are exact and not a guess and
+one wrong find costs one range. The second job cuts the ranges into frames.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from functools import partial
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,9 @@ from packetloom.sources.capture import (
     CLASSIC_MAGICS, FRAME_SCHEMA, FRAMES_PER_BATCH, PCAPNG_MAGIC, _block_records, _classic_records,
 )
 
+FRAME_TYPES = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("epoch_micros", pa.int64()), ("wire_length", pa.int64()),
+                         ("link_type", pa.int32()), ("frame", pa.binary()), ("cut", pa.bool_())])
+
 SPLIT_BYTES = 64 << 20
 CHAIN = 6  # headers that must follow one another
 SECTION, INTERFACE = 0x0A0D0D0A, 1  # fixed values: block types
@@ -108,30 +115,40 @@ class _File:
                     return False
         return True
 
-    def walk(self, start: int, end: int) -> tuple[int, bytes, bool]:
-        """Where the last record that starts before ``end`` stops, the interfaces described up to there, and whether a section begins.
+    def places(self, data: bytes, end: int) -> tuple[list[int], int]:
+        """Where the records of a classic capture begin in ``data`` before ``end``, the first at 0, and where the last one stops; without a tail that is no record."""
+        kept, at, found = struct.Struct(self.order + "8xI").unpack_from, 0, []
+        last = min(end, len(data) - 15)
+        while at < last:
+            found.append(at)
+            at += 16 + kept(data, at)[0]
+        return found, at
+
+    def walk(self, start: int, end: int) -> tuple[int, bytes, bool, int | None]:
+        """Where the last record that starts before ``end`` stops, the interfaces described up to there, whether a section begins,
+        and how many records a classic capture has up to there.
 
         ``order`` is then the byte order of the last section.
         """
         data, at, context, section = self.read(start, end + 16), start, [], False
+        if not self.blocks:
+            end = min(end, self.length)
+            found, size = self.places(data, end - start)
+            tail = start + size < end  # of fewer than 16 bytes
+            return self.length if tail else min(start + size, self.length), b"", False, len(found) + tail
         while at < min(end, self.length):
-            if not self.blocks:
-                if at + 16 > self.length:
-                    return self.length, b"", False
-                at += 16 + struct.unpack_from(self.order + "I", data, at - start + 8)[0]
-                continue
             if data[at - start:at - start + 4] == b"\x0a\x0d\x0d\x0a":
                 self.order = ">" if self.read(at + 8, at + 12) == b"\x1a\x2b\x3c\x4d" else "<"
             size = struct.unpack_from(self.order + "I", data, at - start + 4)[0] if at + 8 <= self.length else 0
             if size < 12 or size % 4 or at + size > self.length:
-                return self.length, b"".join(context), section
+                return self.length, b"".join(context), section, None
             kind = struct.unpack_from(self.order + "I", data, at - start)[0]
             if kind == SECTION:
                 context, section = [], True
             if kind in (SECTION, INTERFACE):
                 context.append(self.read(at, at + size))
             at += size
-        return min(at, self.length), b"".join(context), section
+        return min(at, self.length), b"".join(context), section, None
 
     def section(self) -> bytes:
         """A section header that only tells the byte order."""
@@ -141,9 +158,29 @@ class _File:
         data = self.read(start, stop)
         return _block_records(context + data) if self.blocks else _classic_records(self.head + data)
 
-
-def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fill start, stop, frames and context of ranges; ``start`` is -1 to search, -2 for a range without records, or known."""
+    def columns(self, start: int, stop: int) -> Iterator[tuple]:
+        """Batches of columns (micros, length on the wire, link type, frame, cut) of a classic capture, as ``_classic_records`` tells records."""
+        data = self.read(start, stop)
+        raw, link = np.frombuffer(data, np.uint8), struct.unpack(self.order + "I", self.head[20:24])[0] & 0xFFFF
+        found, size = self.places(data, len(data))
+        for begin in range(0, len(found), FRAMES_PER_BATCH):
+            places = found[begin:begin + FRAMES_PER_BATCH]
+            at = np.array(places, np.int64)
+            heads = raw[at[:, None] + np.arange(16)].view(self.order + "u4").astype(np.int64)
+            seconds, fraction, kept, wire = heads.T
+            ends = at + 16 + kept
+            frames = [data[a + 16:b] for a, b in zip(places, ends.tolist(), strict=True)]
+            yield (pa.array(seconds * 1_000_000 + (fraction // 1000 if self.nano else fraction)), pa.array(wire), pa.array(np.full(len(at), link, np.int32)),
+                   pa.array(frames, pa.binary()), pa.array(ends > len(data)))
+        if size < len(data):
+            yield pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([link], pa.int32()), pa.array([b""], pa.binary()), pa.array([True])
+
+
+def _walked(batches: Iterator[pd.DataFrame], split: int, steps: int) -> Iterator[pd.DataFrame]:
+    """Fill start, stop, frames and context of ranges; ``start`` is -1 to search, -2 for a range without records, or known.
+
+    From a range's end the walk goes on, to ``steps`` ranges that records start in.
+    """
     for batch in batches:
         done = []
         for row in batch.to_dict("records"):
@@ -156,20 +193,52 @@ def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 start = -2 if found is None else found
             if row["big"] is not None and not pd.isna(row["big"]):
                 file.order = ">" if row["big"] else "<"
-            big = file.order == ">"
-            row |= {"start": start, "stop": 0, "frames": 0, "context": b"", "section": False, "big": big, "big_after": big}
-            if start >= 0 and len(file.head) < 24 and not file.blocks:
-                row |= {"start": 0, "stop": file.length, "frames": 1}
-            elif start >= 0:
-                section = file.section()
-                row["stop"], row["context"], row["section"] = file.walk(start, row["end"])
-                row["big_after"] = file.order == ">"
-                row["frames"] = sum(1 for _ in file.records(start, row["stop"], section))
-            done.append(row)
+            for _ in range(steps):
+                big = file.order == ">"
+                row = row | {"start": start, "stop": 0, "frames": 0, "context": b"", "section": False, "big": big, "big_after": big}
+                if start >= 0 and len(file.head) < 24 and not file.blocks:
+                    row |= {"start": 0, "stop": file.length, "frames": 1}
+                elif start >= 0:
+                    section = file.section()
+                    row["stop"], row["context"], row["section"], number = file.walk(start, row["end"])
+                    row["big_after"] = file.order == ">"
+                    row["frames"] = sum(1 for _ in file.records(start, row["stop"], section)) if number is None else number
+                done.append(row)
+                start = row["stop"]
+                if not 0 < start < file.length:
+                    break
+                part = start // split
+                row = row | {"part": part, "begin": part * split, "end": min(part * split + split, file.length)}
         if done:
             yield pd.DataFrame(done)
 
 
+def _chained(walks: pd.DataFrame) -> pd.DataFrame:
+    """The walks of one file that follow one another from its beginning; ``missing`` where none does.
+
+    Behind a missing one the chain goes on with what the next range has found by itself.
+    """
+    known, found, ends = {}, {}, {}
+    for row in walks.sort_values("round", kind="stable").to_dict("records"):
+        found.setdefault(row["part"], row)
+        known.setdefault((row["part"], row["start"], row["big"]), row)
+        ends[row["part"]] = row["end"]
+    chain, due, big = [], None, None
+    for part in sorted(ends):
+        row = found[part]
+        if due is not None:
+            if due >= ends[part]:
+                continue
+            row = known.get((part, due, big))
+        elif row["start"] < 0:
+            continue
+        chain.append((part, due, big, True) if row is None else (part, row["start"], row["big"], False))
+        due, big = (None, None) if row is None else (row["stop"], row["big_after"])
+    rows = pd.DataFrame(chain, columns=["part", "start", "big", "missing"])
+    rows.insert(0, "path", walks["path"].iloc[0])
+    return rows
+
+
 def _tasks(ranges: DataFrame) -> int:
     """One task for each SPLIT_BYTES of the ranges, and for each range while there are few: a task walks several small ones."""
     number, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0))).first()
@@ -190,23 +259,22 @@ def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     blank = {"stop": F.lit(0).cast("long"), "frames": F.lit(0).cast("long"), "context": F.lit(None).cast("binary"), "section": F.lit(False),
              "big_after": F.lit(None).cast("boolean")}
 
-    def walked(rows: DataFrame) -> DataFrame:
+    def walked(rows: DataFrame, number: int, steps: int) -> DataFrame:
         names = [c.split()[0] for c in INDEX.split(", ")]
-        return cut_lineage(rows.withColumns(blank).select(*names).repartition(tasks, "path", "part").mapInPandas(_walked, INDEX))
-
-    index = walked(ranges)
-    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        due = F.coalesce(F.max("stop").over(before), F.lit(0))
-        wanted = F.when(F.col("part") == 0, F.col("start")).when(F.col("due") >= F.col("end"), F.lit(-2)).otherwise(F.col("due"))
-        order = F.coalesce(F.max_by("big_after", F.when(F.col("section"), F.col("part"))).over(before), F.col("big"))
-        checked = cut_lineage(index.withColumns({"due": due, "order": order}).withColumn("wanted", wanted.cast("long")).drop("due"))
-        differs = (F.col("start") != F.col("wanted")) | ((F.col("wanted") >= 0) & (F.col("order") != F.col("big")))
-        wrong = checked.filter(differs)
-        if wrong.isEmpty():
+        walk = partial(_walked, split=split_bytes, steps=steps)
+        return cut_lineage(rows.withColumns(blank).select(*names).repartition(tasks, "path", "part").mapInPandas(walk, INDEX).withColumn("round", F.lit(number)))
+
+    index, place = walked(ranges, 0, 1), ["path", "part", "start", "big"]
+    for number in count(1):
+        chain = cut_lineage(index.select(*place, "end", "stop", "big_after", "round").groupBy("path").applyInPandas(
+            _chained, "path string, part int, start long, big boolean, missing boolean"))
+        missing = chain.filter("missing").drop("missing")
+        if missing.isEmpty():
             break
-        again = walked(wrong.select("path", "length", "part", "begin", "end", F.col("wanted").alias("start"), F.col("order").alias("big")))
-        index = cut_lineage(checked.filter(~differs).drop("wanted", "order").unionByName(again))
+        again = walked(ranges.drop("start", "big").join(missing, ["path", "part"]), number, 1 << min(number - 1, 20))
+        index = cut_lineage(index.unionByName(again))
+    index = index.dropDuplicates(place).join(chain.drop("missing"), place)
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     kept = index.withColumn("first_frame", F.coalesce(F.sum("frames").over(before), F.lit(0)))
     last = F.max_by("part", F.when(F.col("section"), F.col("part"))).over(before)  # the range in which the section in force begins
     told = F.collect_list(F.when(F.octet_length("context") > 0, F.struct("part", "context"))).over(before)  # most ranges tell nothing
@@ -215,19 +283,20 @@ def capture_index(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
         "path", "length", "part", "start", "stop", "frames", "first_frame", "context")
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in FRAME_SCHEMA.split(", ")]
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_dict("records"):
-            file = _File(row["path"], row["length"])
-            context = b"" if row["part"] == 0 else bytes(row["context"])
-            if not file.blocks and len(file.head) < 24:
-                records = _classic_records(file.head)
+        for row in batch.to_pylist():
+            file, at = _File(row["path"], row["length"]), row["first_frame"]
+            if file.blocks or len(file.head) < 24:
+                records = file.records(row["start"], row["stop"], b"" if row["part"] == 0 else row["context"]) if file.blocks else _classic_records(file.head)
+                parts = iter(lambda records=records: list(islice(records, FRAMES_PER_BATCH)), [])
+                columns = ([pa.array(c, t) for c, t in zip(zip(*p, strict=True), FRAME_TYPES.types[2:], strict=True)] for p in parts)
             else:
-                records = file.records(row["start"], row["stop"], context)
-            numbered = ((row["path"], k, *record) for k, record in enumerate(records, row["first_frame"]))
-            while rows := list(islice(numbered, FRAMES_PER_BATCH)):
-                yield pd.DataFrame(rows, columns=names).astype({"epoch_micros": "Int64", "wire_length": "Int64"})
+                columns = file.columns(row["start"], row["stop"])
+            for part in columns:
+                size = len(part[0])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["path"]), size), pa.array(np.arange(at, at + size)), *part], schema=FRAME_TYPES)
+                at += size
 
 
 def read_capture_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -237,7 +306,7 @@ def read_capture_ranges(spark: SparkSession, path: str, split_bytes: int = SPLIT
     """
     index = cut_lineage(capture_index(spark, path, split_bytes))
     tasks = _tasks(index.select(F.col("start").alias("begin"), F.col("stop").alias("end")))
-    return index.repartition(tasks, "path", "part").mapInPandas(_cut, FRAME_SCHEMA)
+    return index.repartition(tasks, "path", "part").mapInArrow(_cut, FRAME_SCHEMA)
 
 
 def write_captures(frames: DataFrame, path: str, files: int, link_type: int = 1) -> None:
@@ -245,7 +314,7 @@ def write_captures(frames: DataFrame, path: str, files: int, link_type: int = 1)
 
     A task writes one file under a name of its attempt and renames it, so a repeated task replaces it whole.
     """
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
@@ -256,11 +325,18 @@ def write_captures(frames: DataFrame, path: str, files: int, link_type: int = 1)
         with system.open_output_stream(f"{name}.{context.taskAttemptId()}") as out:
             out.write(struct.pack("<IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 1 << 18, link_type))
             for batch in batches:
-                for micros, wire, frame in zip(batch["epoch_micros"], batch["wire_length"], batch["frame"], strict=True):
-                    out.write(struct.pack("<IIII", *divmod(micros, 1_000_000), len(frame), max(wire, len(frame))) + frame)
-                    count += 1
+                micros, wire, frames = (batch.column(c) for c in ("epoch_micros", "wire_length", "frame"))
+                if micros.null_count or wire.null_count or frames.null_count:
+                    raise ValueError("a frame without time, length or bytes")
+                size = pc.binary_length(frames).to_numpy(zero_copy_only=False).astype(np.int64)
+                heads = np.stack([*np.divmod(micros.to_numpy().astype(np.int64), 1_000_000), size, np.maximum(wire.to_numpy().astype(np.int64), size)], axis=1)
+                if len(heads) and (heads.min() < 0 or heads.max() > 0xFFFFFFFF):
+                    raise ValueError("a time or length that a capture cannot hold")
+                lines = heads.astype("<u4").tobytes()
+                out.write(b"".join(x for k, frame in enumerate(frames.to_pylist()) for x in (lines[16 * k:16 * k + 16], frame)))
+                count += batch.num_rows
         system.move(f"{name}.{context.taskAttemptId()}", name)
-        yield pd.DataFrame({"name": [name], "frames": [count]})
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count])], names=["name", "frames"])
 
     dealt = frames.select("frame_no", "epoch_micros", "wire_length", "frame").repartition(files, "frame_no").sortWithinPartitions("frame_no")
-    dealt.mapInPandas(write, "name string, frames long").agg(F.sum("frames")).collect()
+    dealt.mapInArrow(write, "name string, frames long").agg(F.sum("frames")).collect()

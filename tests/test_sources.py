@@ -255,3 +255,29 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < (4000 * 80 + 24) // (16 << 10)
     got = read.orderBy("frame_no").collect()
     assert [r["epoch_micros"] for r in got] == [k * 1000 for k in range(4000)] and not any(r["cut"] for r in got)
+
+
+def test_a_wrong_find_costs_one_range():
+    import pandas as pd
+
+    walks = pd.DataFrame([("f", k, 100 * k + 100, 100 * k + 7 if k else 24, 100 * k + 107, False, False, 0) for k in range(6)],
+                         columns=["path", "part", "end", "start", "stop", "big", "big_after", "round"])
+    told = lambda rows: [tuple(r)[1:] for r in cr._chained(rows).itertuples(index=False)]
+    right = [(k, 100 * k + 7 if k else 24, False, False) for k in range(6)]
+    assert told(walks) == right
+    walks.loc[2, ["start", "stop"]] = 255, 600  # a find within a payload, whose length goes to the file's end
+    assert told(walks) == [*right[:2], (2, 207, False, True), *right[3:]]
+    again = pd.DataFrame([("f", 2, 300, 207, 307, False, False, 1)], columns=walks.columns)
+    assert told(pd.concat([walks, again])) == right
+    walks.loc[3, ["start", "stop"]] = -2, 0  # nothing found where the next record goes on
+    assert told(pd.concat([walks, again])) == [*right[:3], (3, 307, False, True), *right[4:]]
+
+
+def test_a_walk_goes_on_to_the_next_ranges(tmp_path):
+    import pandas as pd
+
+    (tmp_path / "a.pcap").write_bytes(capture([(k, k, b"\1" * 84) for k in range(20)]))
+    row = {"path": f"file:{tmp_path}/a.pcap", "length": 2024, "part": 1, "begin": 300, "end": 600, "start": 324, "stop": 0, "frames": 0, "context": None,
+           "section": False, "big": None, "big_after": None}
+    rows = next(cr._walked(iter([pd.DataFrame([row])]), 300, 3))
+    assert rows[["part", "start", "stop", "frames"]].values.tolist() == [[1, 324, 624, 3], [2, 624, 924, 3], [3, 924, 1224, 3]]
