@@ -125,8 +125,9 @@ def frames(s, d):
         return F.lpad(F.hex(value.cast("long")), size * 2, "0")
 
     packets = adapters.packets(s, d).withColumn("payload_length", F.least(F.col("payload_length"), F.lit(40)))
+    packets = packets.withColumns({f"__{c}": F.split(c, r"\.") for c in ("src_ip", "dst_ip")})  # once a row, as the whole frame below
     tcp, i = F.col("protocol") == "TCP", F.col("event_id")
-    address = {c: F.concat(*[number(F.split(c, r"\.")[k], 1) for k in range(4)]) for c in ("src_ip", "dst_ip")}
+    address = {c: F.concat(*[number(F.col(f"__{c}")[k], 1) for k in range(4)]) for c in ("src_ip", "dst_ip")}
     l4_size = F.when(tcp, 20).otherwise(8)
     l4 = F.when(tcp, F.concat(
         number(F.col("src_port"), 2), number(F.col("dst_port"), 2), number(F.col("tcp_seq"), 4), F.lit("0" * 8), F.lit("50"),
@@ -138,10 +139,10 @@ def frames(s, d):
         F.lit("0" * 24), kind, F.lit("4500"), number(F.lit(20) + l4_size + F.col("payload_length"), 2), F.lit("0000"),
         number(fragment, 2), number(F.col("ttl"), 1), F.when(tcp, "06").otherwise("11"), F.lit("0000"), address["src_ip"],
         address["dst_ip"], l4, F.repeat(F.lit("AB"), F.col("payload_length").cast("int")))
-    return packets.select(
+    return packets.withColumn("__whole", whole).select(
         i.alias("frame_no"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("epoch_micros"),
         F.col("packet_length").alias("wire_length"),
-        F.unhex(F.when(i % 41 == 0, F.substring(whole, 1, 40)).otherwise(whole)).alias("frame"))
+        F.unhex(F.when(i % 41 == 0, F.substring("__whole", 1, 40)).otherwise(F.col("__whole"))).alias("frame"))
 
 
 STATUS = """CASE WHEN event_id % 31 = 0 THEN 'ipv6_not_implemented' WHEN event_id % 37 = 0 THEN 'non_ip'
